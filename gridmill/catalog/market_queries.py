@@ -25,7 +25,13 @@ from gridmill.catalog.registry import (
 )
 from gridmill.functions.ratios import banded_ratio, minute_energy, segment_energy, share_ratio
 from gridmill.functions.times import day_window, hour_bucket
-from gridmill.operators.intervals import lead_segments, minute_grid, nonneg_levels, override_energy
+from gridmill.operators.intervals import (
+    chunk_width,
+    lead_segments,
+    minute_grid,
+    nonneg_levels,
+    override_energy,
+)
 from gridmill.operators.joins import (
     densify,
     eligible_output,
@@ -40,6 +46,7 @@ from gridmill.plans.market import fuel_ratios, hourly_output, minute_output, uni
 CARRY = ["acceptance_id", "acceptance_time", "ad", "np"]
 COLS = ["acceptance_id", "ad", "np", "from_time", "from_level", "to_time", "to_level"]
 AS_OF = datetime(2024, 1, 31)
+DAY = 86_400
 
 
 def unique_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,7 +54,7 @@ def unique_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    return lead_segments(unique_points(spark, sf), ["bm_unit_id"], "time_gmt", "va_level", CARRY)
+    return lead_segments(unique_points(spark, sf), ["bm_unit_id"], "time_gmt", "va_level", CARRY, DAY)
 
 
 def doubles(df: DataFrame, *cols: str) -> DataFrame:
@@ -68,7 +75,9 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     WHERE to_time IS NOT NULL""",
 )
 def _lead_segments(spark, sf):
-    return lead_segments(table(spark, sf, "events"), ["user_id"], "ts", "value", ["event_id"])
+    events = table(spark, sf, "events")
+    width = chunk_width(events, "ts")
+    return lead_segments(events, ["user_id"], "ts", "value", ["event_id"], width)
 
 
 @query(
@@ -186,6 +195,10 @@ def minute_output_query(spark, sf):
     )
 
 
+def width(spark: SparkSession, sf: str) -> float:
+    return chunk_width(table(spark, sf, "events"), "ts")
+
+
 def schedule(spark: SparkSession, sf: str) -> DataFrame:
     """Segments between the `view` events of a user."""
     views = table(spark, sf, "events").where(F.col("event_type") == "view").select(
@@ -193,7 +206,7 @@ def schedule(spark: SparkSession, sf: str) -> DataFrame:
         "ts",
         F.col("value").cast("decimal(18,4)").alias("level"),
     )
-    return lead_segments(views, ["bm_unit_id"], "ts", "level")
+    return lead_segments(views, ["bm_unit_id"], "ts", "level", chunk_seconds=width(spark, sf))
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,7 +256,7 @@ def _override(spark, sf):
     planned = nonneg_levels(schedule(spark, sf)).withColumn("energy", energy)
     out = override_energy(
         planned, readings(spark, sf), "bm_unit_id", "from_time", "to_time", "energy",
-        "avg_time", "avg_level",
+        "avg_time", "avg_level", chunk_seconds=width(spark, sf),
     )
     return rounded(out, "energy", "matched", "output")
 
@@ -253,7 +266,9 @@ def _override(spark, sf):
     with_(SCHEDULE) + " SELECT avg_datehour, bm_unit_id, round(output, 6) AS output FROM hour_out",
 )
 def _hourly_sum(spark, sf):
-    out = hourly_output(schedule(spark, sf), readings(spark, sf), group=[])
+    out = hourly_output(
+        schedule(spark, sf), readings(spark, sf), group=[], chunk_seconds=width(spark, sf)
+    )
     return rounded(out, "output")
 
 
@@ -308,7 +323,10 @@ def _not_exists(spark, sf):
     WHERE b.bm_unit_id IS NULL""",
 )
 def _left_is_null(spark, sf):
-    out = hourly_output(schedule(spark, sf), readings(spark, sf), loaded(spark, sf), group=[])
+    out = hourly_output(
+        schedule(spark, sf), readings(spark, sf), loaded(spark, sf), group=[],
+        chunk_seconds=width(spark, sf),
+    )
     return rounded(out.select("avg_datehour", "bm_unit_id", "output"), "output")
 
 

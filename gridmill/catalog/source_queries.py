@@ -12,7 +12,7 @@ from gridmill.catalog.registry import query, table
 from gridmill.functions.masking import mask_email, mask_secret, md5_pair
 from gridmill.operators.aggregates import active_items
 from gridmill.operators.joins import find_instances
-from gridmill.session import work_path
+from gridmill.session import spread, work_path
 from gridmill.sources.archive import archive_partition
 from gridmill.sources.delimited import export_delimited, load_delimited, to_lines
 from gridmill.sources.documents import split_documents
@@ -130,7 +130,8 @@ def _messages(spark, sf):
         (level + 1).cast("string"),
         F.lit("}"),
     )
-    out = parse_acceptance_messages(table(spark, sf, "events").select(text.alias("value")))
+    events = spread(table(spark, sf, "events"))
+    out = parse_acceptance_messages(events.select(text.alias("value")))
     return out.withColumns({c: F.col(c).cast("double") for c in ("np", "va_level")})
 
 
@@ -232,7 +233,7 @@ def order_documents(lines: DataFrame) -> DataFrame:
     FROM s""",
 )
 def _idoc(spark, sf):
-    return split_documents(order_documents(table(spark, sf, "lineitem")))
+    return split_documents(order_documents(spread(table(spark, sf, "lineitem"))))
 
 
 @query(

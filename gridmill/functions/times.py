@@ -26,9 +26,9 @@ def minutes_between(start: Column | str, end: Column | str) -> Column:
     return (micros(end) - micros(start)) / F.lit(60_000_000)
 
 
-def time_chunk(ts: Column | str, seconds: int) -> Column:
+def time_chunk(ts: Column | str, seconds: float) -> Column:
     """Number of the fixed-width time slice that holds ts."""
-    return F.call_function("div", micros(ts), F.lit(seconds * 1_000_000))
+    return F.call_function("div", micros(ts), F.lit(int(seconds * 1_000_000)))
 
 
 def month_index(period: Column | str) -> Column:

@@ -17,10 +17,12 @@ def dependency_closure(
 
     edges(parent, child), roots(node). Self-edges are left out. Create in ascending
     depth, drop in descending depth. One join per level; a level is a distinct set of
-    nodes, so shared nodes do not multiply. Each level is written, so a lost executor
-    costs that level only.
+    nodes, so shared nodes do not multiply. The edges and each level are written once,
+    so a lost executor costs the level at hand only.
     """
-    links = edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct()
+    links = cut_lineage(
+        edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct()
+    )
     frontier = roots.select(F.col("node").alias("parent")).distinct()
     levels: list[DataFrame] = []
     for depth in range(1, max_depth + 1):

@@ -17,19 +17,30 @@ from gridmill.functions.times import time_chunk, trunc_ntz
 _CHUNK = "_chunk"
 
 
+def chunk_width(df: DataFrame, time: str, rows: int = 1_000_000) -> float:
+    """Seconds that hold at most about `rows` rows where the table is densest.
+
+    Measured over all keys, so the bound holds even if one key has every row. One pass
+    over the time column; one number comes back.
+    """
+    per_minute = df.groupBy(time_chunk(time, 60).alias("m")).agg(F.count(F.lit(1)).alias("n"))
+    densest = per_minute.where(F.col("m").isNotNull()).agg(F.max("n")).first()[0] or 1
+    return min(86_400.0, max(0.001, 60.0 * rows / densest))
+
+
 def lead_segments(
     points: DataFrame,
     keys: Sequence[str],
     time: str,
     level: str,
     carry: Sequence[str] = (),
-    chunk_seconds: int = 3600,
+    chunk_seconds: float = 3600,
 ) -> DataFrame:
     """Join every point to the next one of its key; the open last point is dropped.
 
     Columns: keys, from_time, from_level, carry (of the from point), to_time, to_level.
-    Points at the same time follow in order of level, then carry. Choose chunk_seconds
-    so that one key's points of that span fit one task with ease.
+    Points at the same time follow in order of level, then carry. One key's points of
+    chunk_seconds are ordered in one task; chunk_width() finds a span that fits.
     """
     # A point with no time sorts last: it starts no segment and ends none.
     p = points.where(F.col(time).isNotNull()).select(
@@ -121,7 +132,7 @@ def override_energy(
     reading_time: str,
     reading_level: str,
     group: Sequence[str] = (),
-    chunk_seconds: int = 3600,
+    chunk_seconds: float = 3600,
 ) -> DataFrame:
     """Scheduled energy replaced by the sum of the unit's readings in [from, to].
 
@@ -166,9 +177,25 @@ def override_energy(
     before = (
         Window.partitionBy(unit).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
+    # Slices of either side with their readings: straight from the inputs, combined
+    # before the shuffle.
+    touched = schedule.select(
+        unit, F.explode(F.array(from_time, to_time)).alias("_t")
+    ).select(
+        unit,
+        time_chunk("_t", chunk_seconds).alias(_CHUNK),
+        F.lit(None).cast("decimal(28,10)").alias("_s"),
+    )
+    read = readings.select(
+        unit,
+        time_chunk(reading_time, chunk_seconds).alias(_CHUNK),
+        F.col(reading_level).cast("decimal(28,10)").alias("_s"),
+    )
     offsets = (
-        stream.groupBy(unit, _CHUNK)
-        .agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+        touched.unionByName(read)
+        .where(F.col(unit).isNotNull() & F.col(_CHUNK).isNotNull())
+        .groupBy(unit, _CHUNK)
+        .agg(F.sum("_s").alias("_s"), F.count("_s").alias("_n"))
         .select(
             unit,
             _CHUNK,

@@ -19,19 +19,26 @@ MONTHS_BACK = 5
 
 
 def trailing_hours_avg(
-    hourly: DataFrame, unit: str, time: str, value: str, hours: Sequence[int] = HOURS
+    hourly: DataFrame,
+    unit: str,
+    time: str,
+    value: str,
+    hours: Sequence[int] = HOURS,
+    row_mean: str | None = None,
 ) -> DataFrame:
     """sum(value over (t - N hours, t]) / N for each N, one row per unit and time.
 
-    The divisor is always N, also where hours are missing.
+    The divisor is always N, also where hours are missing. row_mean names a further
+    column with the average over the rows of the same unit and time.
     """
-    grid = hourly.groupBy(unit, time).agg(F.sum(value).alias(value))
+    aggs = [F.sum(value).alias(value)]
+    if row_mean is not None:
+        aggs.append(F.avg(F.col(value).cast("double")).alias(row_mean))
+    grid = hourly.groupBy(unit, time).agg(*aggs)
     frame = Window.partitionBy(unit).orderBy(micros(time))
     hour = 3_600_000_000
     return grid.select(
-        unit,
-        time,
-        value,
+        *grid.columns,
         *[
             (F.sum(value).over(frame.rangeBetween(1 - n * hour, 0)).cast("double") / n).alias(
                 f"avg{n}hour"
@@ -66,20 +73,25 @@ def trailing_months_avg(
     All rows of the entity in those months count; a missing month does not widen the
     frame. The average is NULL where entity or period is NULL. Adds <value>_avg.
     """
-    known = df.where(F.col(entity).isNotNull() & F.col(period).isNotNull())
     aggs = []
     for v in values:
         aggs += [F.sum(v).alias(f"_s_{v}"), F.count(v).alias(f"_n_{v}")]
-    months = known.groupBy(entity, period).agg(*aggs)
+    months = df.groupBy(entity, period).agg(*aggs)
     frame = Window.partitionBy(entity).orderBy(month_index(period)).rangeBetween(-back, 0)
     averages = months.select(
-        entity,
-        period,
+        F.col(entity).alias("_entity"),
+        F.col(period).alias("_period"),
         *[
             (F.sum(f"_s_{v}").over(frame) / F.nullif(F.sum(f"_n_{v}").over(frame), F.lit(0))).alias(
-                f"{v}_avg"
+                f"_avg_{v}"
             )
             for v in values
         ],
     )
-    return df.join(averages, [entity, period], "left")
+    # A null-safe join keeps both sides of the plan alike, so an input that was itself
+    # aggregated is computed once.
+    same = F.col(entity).eqNullSafe(F.col("_entity")) & F.col(period).eqNullSafe(F.col("_period"))
+    has_both = F.col(entity).isNotNull() & F.col(period).isNotNull()
+    return df.join(averages, same).select(
+        *df.columns, *[F.when(has_both, F.col(f"_avg_{v}")).alias(f"{v}_avg") for v in values]
+    )

@@ -34,12 +34,12 @@ def minute_output(
     carry: Sequence[str] = (),
     start: datetime | None = None,
     end: datetime | None = None,
-    chunk_seconds: int = 3600,
+    chunk_seconds: float = 86_400,
 ) -> DataFrame:
     """Per unit and minute, the latest acceptance in force and the energy of the minute.
 
     points: keys, carry, time_gmt, va_level; unit and the acceptance columns are among
-    keys and carry.
+    keys and carry. Times are whole minutes, so a unit has at most 1,440 a day.
     """
     if start is not None:
         points = points.where(F.col("time_gmt") >= F.lit(start - timedelta(days=1)).cast("timestamp_ntz"))
@@ -61,7 +61,7 @@ def hourly_output(
     loaded: DataFrame | None = None,
     unit: str = "bm_unit_id",
     group: Sequence[str] = ("sett_period", "fpn_date"),
-    chunk_seconds: int = 3600,
+    chunk_seconds: float = 3600,
 ) -> DataFrame:
     """Scheduled energy, overridden by accepted minutes, per unit and hour of its start.
 
@@ -94,20 +94,21 @@ def unit_averages(
 
     as_of limits the result to the last days; the frames still reach back behind it.
     """
-    recent, history = hourly, hourly
     if as_of is not None:
         since = as_of - timedelta(days=AVERAGE_DAYS)
-        recent = hourly.where(F.col("avg_datehour") > F.lit(since).cast("timestamp_ntz"))
         oldest = since - timedelta(hours=max(hours))
-        history = hourly.where(F.col("avg_datehour") > F.lit(oldest).cast("timestamp_ntz"))
-    rows = eligible_output(recent, units, unit, "avg_datehour", "online_date")
+        hourly = hourly.where(F.col("avg_datehour") > F.lit(oldest).cast("timestamp_ntz"))
+    # All hours of the unit count, also those before it came online, so the frames come
+    # first. Repeated rows of an hour average to one output.
+    rows = trailing_hours_avg(hourly, unit, "avg_datehour", "output", hours, row_mean="_mean")
+    rows = rows.withColumn("output", F.col("_mean")).drop("_mean")
+    if as_of is not None:
+        rows = rows.where(F.col("avg_datehour") > F.lit(since).cast("timestamp_ntz"))
+    rows = eligible_output(rows, units, unit, "avg_datehour", "online_date")
     if loaded is not None:
         rows = not_yet_loaded(rows, loaded, [unit, "avg_datehour"])
-    # All hours of the unit count, also those before it came online.
-    trailing = trailing_hours_avg(history, unit, "avg_datehour", "output", hours).drop("output")
-    joined = rows.join(trailing, [unit, "avg_datehour"])
     values = ["output", *[f"avg{n}hour" for n in hours], *factors]
-    return group_avg(joined, [unit, "avg_datehour", *unit_cols], values)
+    return group_avg(rows, [unit, "avg_datehour", *unit_cols], values)
 
 
 def fuel_ratios(df: DataFrame, entity: str = "entity_id", period: str = "period") -> DataFrame:

@@ -21,6 +21,8 @@ QTY_START, QTY_LEN = 211, 10
 SHIP_START, SHIP_LEN = 221, 17
 SLOT_START, SLOT_END, SLOT_LEN = 74, 89, 15
 
+_ITEM_MARK, _BLOCK_MARK = "\u0001", "\u0002"
+
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: `text`, lines parted by newlines, and its `file`."""
@@ -37,54 +39,53 @@ def split_documents(docs: DataFrame, col: str = "text") -> DataFrame:
     """One output document per ship-to; documents with no allocation pass unchanged.
 
     Adds `ship_to` (NULL when passed through) and `ship_to_no` (1, 2, .. in numeric
-    order) and replaces the text column; all other columns are kept.
+    order) and replaces the text column; all other columns are kept. Everything
+    happens within the row: one pass, no shuffle.
     """
     others = [c for c in docs.columns if c != col]
     text = F.col(col)
-    has_alloc = text.rlike(rf"(?m)^{ALLOCATION}")
-    passed = docs.where(~F.coalesce(has_alloc, F.lit(False))).select(
-        *others, F.lit(None).cast("string").alias("ship_to"), F.lit(1).alias("ship_to_no"), text
-    )
-
+    # Items and blocks are marked first, so that a document is searched only twice.
+    marked = F.regexp_replace(text, rf"\n(?={ITEM})", _ITEM_MARK)
+    marked = F.regexp_replace(marked, rf"\n(?={ALLOCATION}|{SUMMARY})", _BLOCK_MARK)
+    has_alloc = F.concat(F.lit("\n"), text).contains("\n" + ALLOCATION)
     # Part 0 holds the header, every further part one item with its allocations.
-    parts = docs.where(has_alloc).withColumn("_parts", F.split(text, rf"\n(?={ITEM})"))
-    shaped = (
-        parts.withColumn("_blocks", F.transform("_parts", _blocks))
-        .withColumn("_header", F.split(F.get(F.get("_blocks", F.lit(0)), F.lit(0)), "\n"))
-        .withColumn(
-            "_items",
-            F.transform(
-                F.slice(F.col("_blocks"), F.lit(2), F.size("_blocks")),
-                lambda b: F.struct(
-                    F.get(b, F.lit(0)).alias("lines"),
-                    _allocation_lines(b).alias("alloc"),
-                ),
-            ),
-        )
-        .withColumn(
-            "_summary", F.flatten(F.transform("_blocks", lambda b: F.filter(b, _is_summary)))
-        )
+    parts = F.transform(F.split(marked, _ITEM_MARK), lambda p: F.split(p, _BLOCK_MARK))
+    parsed = docs.withColumn("_parts", F.when(has_alloc, parts))
+    raw_items = F.transform(F.slice(F.col("_parts"), F.lit(2), F.size("_parts")), _item)
+    items = F.transform(raw_items, _slotted)
+    summary = F.flatten(
+        F.transform("_parts", lambda b: F.filter(b, lambda x: x.startswith(SUMMARY)))
     )
-    ships = F.array_distinct(
-        F.flatten(F.transform("_items", lambda i: F.transform(i["alloc"], _ship_to)))
+    shaped = parsed.select(
+        *others,
+        text.alias("_text"),
+        F.split(F.get(F.get("_parts", F.lit(0)), F.lit(0)), "\n").alias("_header"),
+        items.alias("_items"),
+        summary.alias("_summary"),
     )
-    ordered = F.array_sort(
+    ships = F.array_distinct(F.flatten(F.transform("_items", lambda i: i["alloc"]["ship"])))
+    ordered = F.sort_array(
         F.transform(ships, lambda s: F.struct(_number(s).alias("n"), s.alias("s")))
     )
+    none = F.struct(F.lit(None).cast("decimal(38,0)").alias("n"), F.lit(None).cast("string").alias("s"))
     per_ship = shaped.select(
-        *others, "_header", "_items", "_summary", F.posexplode(ordered).alias("_i", "_ship")
+        *others,
+        "_text",
+        "_header",
+        "_items",
+        "_summary",
+        F.posexplode(F.coalesce(ordered, F.array(none))).alias("_i", "_ship"),
     )
     ship = F.col("_ship.s")
     header = F.transform("_header", lambda line: _header_line(line, ship))
-    own_items = F.filter("_items", lambda i: F.exists(i["alloc"], lambda a: _ship_to(a) == ship))
-    items = F.transform(own_items, lambda i: _item_text(i, ship))
-    split = per_ship.select(
+    own_items = F.filter("_items", lambda i: F.array_contains(i["alloc"]["ship"], ship))
+    lines = F.concat(header, F.transform(own_items, lambda i: _item_text(i, ship)), F.col("_summary"))
+    return per_ship.select(
         *others,
         ship.alias("ship_to"),
         (F.col("_i") + 1).alias("ship_to_no"),
-        F.array_join(F.concat(header, items, F.col("_summary")), "\n").alias(col),
+        F.when(ship.isNull(), F.col("_text")).otherwise(F.array_join(lines, "\n")).alias(col),
     )
-    return passed.unionByName(split)
 
 
 def malformed_allocations(docs: DataFrame, col: str = "text") -> DataFrame:
@@ -93,21 +94,32 @@ def malformed_allocations(docs: DataFrame, col: str = "text") -> DataFrame:
     return lines.where(F.col("line").startswith(ALLOCATION) & (F.length("line") <= SHIP_START))
 
 
-def _blocks(part: Column) -> Column:
-    return F.split(part, rf"\n(?={ALLOCATION}|{SUMMARY})")
-
-
-def _is_summary(block: Column) -> Column:
-    return block.startswith(SUMMARY)
-
-
-def _allocation_lines(blocks: Column) -> Column:
+def _item(blocks: Column) -> Column:
+    """First line, rest, and allocation lines of an item."""
     own = F.filter(blocks, lambda b: b.startswith(ALLOCATION))
-    return F.flatten(F.transform(own, lambda b: F.split(b, "\n")))
+    return F.struct(
+        F.split(F.get(blocks, F.lit(0)), "\n", 2).alias("text"),
+        F.flatten(F.transform(own, lambda b: F.split(b, "\n"))).alias("lines"),
+    )
 
 
-def _ship_to(line: Column) -> Column:
-    return F.substring(line, SHIP_START + 1, SHIP_LEN)
+def _slotted(item: Column) -> Column:
+    """The item's text around its quantity slot, and its allocations in order."""
+    first = F.get(item["text"], F.lit(0))
+    rest = F.get(item["text"], F.lit(1))
+    return F.struct(
+        F.substring(first, 1, SLOT_START).alias("head"),
+        F.concat_ws("\n", F.substring(first, F.lit(SLOT_END + 1), F.length(first)), rest).alias(
+            "tail"
+        ),
+        F.transform(
+            item["lines"],
+            lambda line: F.struct(
+                F.substring(line, SHIP_START + 1, SHIP_LEN).alias("ship"),
+                F.substring(line, QTY_START + 1, QTY_LEN).alias("qty"),
+            ),
+        ).alias("alloc"),
+    )
 
 
 def _number(ship: Column) -> Column:
@@ -122,15 +134,6 @@ def _header_line(line: Column, ship: Column) -> Column:
 
 
 def _item_text(item: Column, ship: Column) -> Column:
-    own = F.filter(item["alloc"], lambda a: _ship_to(a) == ship)
-    quantity = F.regexp_replace(
-        F.substring(F.element_at(own, -1), QTY_START + 1, QTY_LEN), r"\s.*\s", ""
-    )
-    first = F.substring_index(item["lines"], "\n", 1)
-    rest = F.substring(item["lines"], F.length(first) + 1, F.length(item["lines"]))
-    return F.concat(
-        F.substring(first, 1, SLOT_START),
-        F.rpad(quantity, SLOT_LEN, " "),
-        F.substring(first, F.lit(SLOT_END + 1), F.length(first)),
-        rest,
-    )
+    last = F.element_at(F.filter(item["alloc"], lambda a: a["ship"] == ship), -1)
+    quantity = F.regexp_replace(last["qty"], r"\s.*\s", "")
+    return F.concat(item["head"], F.rpad(quantity, SLOT_LEN, " "), item["tail"])
