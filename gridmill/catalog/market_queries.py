@@ -199,14 +199,14 @@ def width(spark: SparkSession, sf: str) -> float:
     return chunk_width(table(spark, sf, "events"), "ts")
 
 
-def schedule(spark: SparkSession, sf: str) -> DataFrame:
+def schedule(spark: SparkSession, sf: str, seconds: float) -> DataFrame:
     """Segments between the `view` events of a user."""
     views = table(spark, sf, "events").where(F.col("event_type") == "view").select(
         F.col("user_id").alias("bm_unit_id"),
         "ts",
         F.col("value").cast("decimal(18,4)").alias("level"),
     )
-    return lead_segments(views, ["bm_unit_id"], "ts", "level", chunk_seconds=width(spark, sf))
+    return lead_segments(views, ["bm_unit_id"], "ts", "level", chunk_seconds=seconds)
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -253,10 +253,11 @@ hour_out AS (
 )
 def _override(spark, sf):
     energy = segment_energy("from_level", "to_level", "from_time", "to_time")
-    planned = nonneg_levels(schedule(spark, sf)).withColumn("energy", energy)
+    seconds = width(spark, sf)
+    planned = nonneg_levels(schedule(spark, sf, seconds)).withColumn("energy", energy)
     out = override_energy(
         planned, readings(spark, sf), "bm_unit_id", "from_time", "to_time", "energy",
-        "avg_time", "avg_level", chunk_seconds=width(spark, sf),
+        "avg_time", "avg_level", chunk_seconds=seconds,
     )
     return rounded(out, "energy", "matched", "output")
 
@@ -266,8 +267,9 @@ def _override(spark, sf):
     with_(SCHEDULE) + " SELECT avg_datehour, bm_unit_id, round(output, 6) AS output FROM hour_out",
 )
 def _hourly_sum(spark, sf):
+    seconds = width(spark, sf)
     out = hourly_output(
-        schedule(spark, sf), readings(spark, sf), group=[], chunk_seconds=width(spark, sf)
+        schedule(spark, sf, seconds), readings(spark, sf), group=[], chunk_seconds=seconds
     )
     return rounded(out, "output")
 
@@ -323,9 +325,10 @@ def _not_exists(spark, sf):
     WHERE b.bm_unit_id IS NULL""",
 )
 def _left_is_null(spark, sf):
+    seconds = width(spark, sf)
     out = hourly_output(
-        schedule(spark, sf), readings(spark, sf), loaded(spark, sf), group=[],
-        chunk_seconds=width(spark, sf),
+        schedule(spark, sf, seconds), readings(spark, sf), loaded(spark, sf), group=[],
+        chunk_seconds=seconds,
     )
     return rounded(out.select("avg_datehour", "bm_unit_id", "output"), "output")
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridmill.functions.rows import rows_hash
 from gridmill.sources.delimited import export_delimited
@@ -13,31 +12,38 @@ from gridmill.sources.delimited import export_delimited
 def archive_partition(df: DataFrame, path: str, sep: str = "|") -> DataFrame:
     """Write df compressed, read it back, compare counts and content.
 
-    One row: n_rows, n_archived, counts_equal, content_equal, safe_to_drop.
+    One row: n_rows, n_archived, counts_equal, content_equal, safe_to_drop. The source is
+    counted and hashed while it is written, so it is read once.
     """
-    export_delimited(df, path, sep=sep, null="", compression="gzip")
-    text_schema = T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
-    back = df.sparkSession.read.schema(text_schema).option("sep", sep).csv(path)
-    source = _as_text(df).agg(
-        F.count(F.lit(1)).alias("n_rows"), rows_hash(df.columns).alias("h_rows")
-    )
-    archived = back.agg(
-        F.count(F.lit(1)).alias("n_archived"), rows_hash(df.columns).alias("h_archived")
+    text = _as_text(df)
+    seen = Observation()
+    count = F.count(F.lit(1))
+    export_delimited(
+        text.observe(seen, count.alias("n"), rows_hash(df.columns).alias("h")),
+        path,
+        sep=sep,
+        null="",
+        compression="gzip",
     )
+    source = seen.get
+    back = df.sparkSession.read.schema(text.schema).option("sep", sep).csv(path)
     counts_equal = F.col("n_rows") == F.col("n_archived")
-    content_equal = F.col("h_rows").eqNullSafe(F.col("h_archived"))
-    # Two one-row aggregates.
-    return source.join(archived, F.lit(True)).select(
-        "n_rows",
-        "n_archived",
-        counts_equal.alias("counts_equal"),
-        content_equal.alias("content_equal"),
-        (counts_equal & content_equal).alias("safe_to_drop"),
+    content_equal = F.lit(source["h"]).cast("decimal(38,0)").eqNullSafe(F.col("_h"))
+    return (
+        back.agg(count.alias("n_archived"), rows_hash(df.columns).alias("_h"))
+        .withColumn("n_rows", F.lit(source["n"]).cast("bigint"))
+        .select(
+            "n_rows",
+            "n_archived",
+            counts_equal.alias("counts_equal"),
+            content_equal.alias("content_equal"),
+            (counts_equal & content_equal).alias("safe_to_drop"),
+        )
     )
 
 
 def _as_text(df: DataFrame) -> DataFrame:
-    """Values as the writer prints them."""
+    """Every value as the text that is archived."""
     out = []
     for name, kind in df.dtypes:
         if kind == "timestamp_ntz":
