@@ -48,14 +48,13 @@ def partition_bounds(df: DataFrame, col: str, interval: str, table: str) -> Data
 
 
 def write_routed(df: DataFrame, path: str, col: str, interval: str, table: str) -> None:
-    """Write the rows under one directory per partition; only touched partitions change.
+    """Append the rows under one directory per partition.
 
-    Rows are spread over tasks by partition and hash, so a partition that holds most
-    rows is written by many tasks.
+    Rebalanced by partition: one that holds most rows is split over tasks and files of
+    the advisory size, small ones are packed together.
     """
     routed = route(df, col, interval, table).drop("partition_start")
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(64))
-    routed.repartition("partition_name", spread).write.mode("append").partitionBy(
+    routed.hint("rebalance", "partition_name").write.mode("append").partitionBy(
         "partition_name"
     ).parquet(path)
 

@@ -54,6 +54,17 @@ def reload_day(src: DataFrame, dst: DataFrame, col: str, day: date) -> DataFrame
     return append_if_newer(src, kept, col)
 
 
+def overwrite_partitions(df: DataFrame, path: str, partition: str) -> None:
+    """Replace the partitions that df holds, and no others, in a table on disk.
+
+    The form of reload_day for a table partitioned by day: run again, it gives the same.
+    df must not read the table itself.
+    """
+    df.hint("rebalance", partition).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(partition).parquet(path)
+
+
 def zero_fill(
     daily: DataFrame,
     units: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.functions.ratios import banded_ratio, minute_energy, segment_energy, share_ratio
-from gridmill.functions.times import hour_bucket
+from gridmill.functions.times import day_window, hour_bucket
 from gridmill.operators.aggregates import group_avg
 from gridmill.operators.intervals import (
     hourly_sum,
@@ -21,6 +21,7 @@ from gridmill.operators.intervals import (
 from gridmill.operators.joins import eligible_output, not_yet_loaded
 from gridmill.operators.latest import dedup, last_by
 from gridmill.operators.trailing import HOURS, trailing_hours_avg, trailing_months_avg
+from gridmill.sources.messages import parse_acceptance_messages
 
 # Fixed value: days of hourly output that a run of the averages looks back over.
 AVERAGE_DAYS = 5
@@ -80,6 +81,22 @@ def hourly_output(
     return hourly
 
 
+def hourly_from_messages(
+    lines: DataFrame,
+    schedule: DataFrame,
+    loaded: DataFrame,
+    day: datetime,
+    group: Sequence[str] = ("sett_period", "fpn_date"),
+) -> DataFrame:
+    """The day's new hourly output straight from market messages and the schedule."""
+    end = day + timedelta(days=1)
+    minutes = minute_output(
+        parse_acceptance_messages(lines), start=day, end=end - timedelta(minutes=1)
+    )
+    today = day_window(schedule, "from_time", day.date())
+    return hourly_output(today, minutes, loaded, group=group)
+
+
 def unit_averages(
     hourly: DataFrame,
     units: DataFrame,

@@ -18,7 +18,13 @@ from gridmill.operators.changes import (
     reconcile,
     replication_entry,
 )
-from gridmill.operators.tablesync import Published, publish, read_current
+from gridmill.operators.tablesync import (
+    Published,
+    overwrite_partitions,
+    publish,
+    read_current,
+)
+from gridmill.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -58,3 +64,37 @@ def replicate(
     elapsed = round(time.monotonic() - begun)
     entry = replication_entry(track, source, target, bounds.high, as_of, elapsed)
     return Batch(bounds, published, counts.inserts, counts.updates, counts.rows_match, entry)
+
+
+def merge_partitions(
+    track: DataFrame,
+    path: str,
+    keys: Sequence[str],
+    seq: str,
+    partition: str,
+    low: int | None = None,
+    high: int | None = None,
+) -> None:
+    """Merge changes into a partitioned table on disk, rewriting touched partitions only.
+
+    For tables whose key includes the partition column (a date, as text). The changes and
+    the merged rows are written aside first, so the table is not read while it changes;
+    merging the same batch again gives the same table.
+    """
+    if partition not in keys:
+        raise ValueError(f"{partition} must be among the keys")
+    spark = track.sparkSession
+    latest = cut_lineage(latest_changes(track, keys, seq, low, high))
+    touched = latest.select(partition).distinct()
+    table = spark.read.parquet(path)
+    # Prunes to the touched partitions at run time.
+    current = table.join(touched, partition, "left_semi").select(*table.columns)
+    merged = cut_lineage(merge_changes(current, latest, keys, seq))
+    # A partition that lost its last row has nothing to write; it is emptied by name.
+    # Few names: touched partitions of the table with no row left.
+    kept = merged.select(partition).distinct()
+    emptied = current.select(partition).distinct().join(kept, partition, "left_anti").collect()
+    overwrite_partitions(merged, path, partition)
+    no_rows = merged.drop(partition).where("false")
+    for row in emptied:
+        no_rows.write.mode("overwrite").parquet(f"{path}/{partition}={row[0]}")

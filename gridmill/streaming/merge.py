@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridmill.operators.changes import merge_changes
 from gridmill.operators.tablesync import publish, read_current
+from gridmill.plans.replication import merge_partitions
 
 
 def merge_stream(
@@ -19,16 +20,22 @@ def merge_stream(
     seq: str,
     checkpoint: str,
     status: str = "status",
+    partition: str | None = None,
 ) -> StreamingQuery:
-    """Merge the track rows that have arrived into the published table, then stop.
+    """Merge the track rows that have arrived into the table, then stop.
 
-    A batch is published as a new version before its progress is committed. After a
-    failure the batch runs again, and merging it twice changes nothing.
+    Without `partition`, root is a published table and a batch becomes its next version.
+    With it, root is partitioned by that key column and only touched partitions are
+    rewritten. Either is done before the batch's progress is committed: after a failure
+    the batch runs again, and merging it twice changes nothing.
     """
 
     def merge_batch(batch: DataFrame, _batch_id: int) -> None:
         if batch.isEmpty():
             return
+        if partition is not None:
+            merge_partitions(batch, root, keys, seq, partition)
+            return
         target = read_current(batch.sparkSession, root)
         merged = merge_changes(target, batch, keys, seq, status=status)
         publish(merged, root, datetime.now(timezone.utc).replace(tzinfo=None))

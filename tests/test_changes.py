@@ -22,7 +22,7 @@ from gridmill.operators.changes import (
 from gridmill.operators.inventory import mark_absent, mark_superseded, scd_upsert
 from gridmill.operators.runs import run_history
 from gridmill.operators.tablesync import publish, read_current
-from gridmill.plans.replication import replicate
+from gridmill.plans.replication import merge_partitions, replicate
 from gridmill.session import work_path
 from gridmill.streaming.merge import merge_stream
 
@@ -178,3 +178,38 @@ def test_run_history(spark):
         ("s", at("10:00"), at("10:06"), "END", 360.0, 0),
         ("s", at("11:00"), None, "START", None, None),
     ]
+
+
+DAY_TRACK = "k int, d string, s long, v string, status string"
+
+
+def test_merge_partitions_rewrites_touched_days_only(spark):
+    path = work_path(spark, "days")
+    spark.createDataFrame(
+        [(1, "2024-01-01", "a"), (2, "2024-01-01", "b"), (1, "2024-01-02", "c"), (1, "2024-01-03", "d")],
+        "k int, d string, v string",
+    ).write.partitionBy("d").parquet(path)
+    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+    try:
+        untouched = spark.read.parquet(path).where("d = '2024-01-02'").select("_metadata.file_path").first()[0]
+        t = spark.createDataFrame(
+            [(1, "2024-01-01", 1, "new", "U"), (2, "2024-01-01", 2, None, "D"), (1, "2024-01-03", 3, None, "D"),
+             (5, "2024-01-04", 4, "in", "I"), (9, "2024-01-05", 5, None, "D")],
+            DAY_TRACK,
+        )
+        want = [("2024-01-01", 1, "new"), ("2024-01-02", 1, "c"), ("2024-01-04", 5, "in")]
+        for _ in range(2):
+            merge_partitions(t, path, ["k", "d"], "s", "d")
+            assert rows(spark.read.parquet(path).select("d", "k", "v")) == want
+        again = spark.read.parquet(path).where("d = '2024-01-02'").select("_metadata.file_path").first()[0]
+        assert again == untouched
+        with pytest.raises(ValueError):
+            merge_partitions(t, path, ["k"], "s", "d")
+
+        src, ckpt = work_path(spark, "src"), work_path(spark, "ckpt")
+        spark.createDataFrame([(5, "2024-01-04", 6, "late", "U")], DAY_TRACK).write.parquet(src)
+        stream = spark.readStream.schema(DAY_TRACK).parquet(src)
+        merge_stream(stream, path, ["k", "d"], "s", ckpt, partition="d").awaitTermination(120)
+        assert rows(spark.read.parquet(path).where("d = '2024-01-04'").select("k", "v")) == [(5, "late")]
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")

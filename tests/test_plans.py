@@ -2,10 +2,14 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import functions as F
-
 from conftest import at, rows
-from gridmill.plans.market import fuel_ratios, hourly_output, minute_output, unit_averages
+from gridmill.plans.market import (
+    fuel_ratios,
+    hourly_from_messages,
+    hourly_output,
+    minute_output,
+    unit_averages,
+)
 
 KEYS = ["bm_unit_id", "acceptance_id", "acceptance_time", "ad", "np"]
 
@@ -68,3 +72,19 @@ def test_fuel_ratios(spark):
     assert [tuple(r) for r in got.collect()] == [
         (0.5, 0.5, 1.0, 1.0), (None, 0.5, 0.25, 0.625), (None, 0.5, None, 0.625),
     ]
+
+
+def test_hourly_from_messages(spark):
+    line = (
+        "2024:01:10:09:30:05:GMT: subject=X.BM.U.BOALF, message={NK=7,SO=F,TA=2024:01:10:09:29:00:GMT,"
+        "AD=F,NP=2,TS=2024:01:10:10:00:00:GMT,VA=120.0,TS=2024:01:10:10:09:00:GMT,VA=120.0}"
+    )
+    lines = spark.createDataFrame([(line,), ("other",)], "value string")
+    schedule = spark.createDataFrame(
+        [("U", at("10:00"), 60.0, at("10:30"), 60.0, 21, "d"), ("U", at("2024-01-11 10:00"), 60.0, at("2024-01-11 10:30"), 60.0, 21, "e")],
+        "bm_unit_id string, from_time timestamp_ntz, from_level double, to_time timestamp_ntz, to_level double, sett_period int, fpn_date string",
+    )
+    loaded = spark.createDataFrame([], "bm_unit_id string, avg_datehour timestamp_ntz")
+    got = hourly_from_messages(lines, schedule, loaded, at("2024-01-10"))
+    # Ten minutes at 2 each replace the planned 30.
+    assert rows(got.select("avg_datehour", "bm_unit_id", "output")) == [(at("10:00"), "U", 20.0)]

@@ -32,6 +32,7 @@ from gridmill.operators.tablesync import (
     current_version,
     full_refresh,
     new_since,
+    overwrite_partitions,
     read_current,
     reload_day,
     zero_fill,
@@ -90,6 +91,15 @@ def test_reload_day(spark):
     ]
 
 
+def test_overwrite_partitions_leaves_other_days(spark):
+    path = work_path(spark, "days")
+    s = "d string, v int"
+    spark.createDataFrame([("x", 1), ("y", 2), ("y", 3)], s).write.partitionBy("d").parquet(path)
+    for _ in range(2):
+        overwrite_partitions(spark.createDataFrame([("y", 9), ("z", 7)], s), path, "d")
+        assert rows(spark.read.parquet(path).select("d", "v")) == [("x", 1), ("y", 9), ("z", 7)]
+
+
 def test_full_refresh_switches_versions(spark):
     root = work_path(spark, "r")
     assert current_version(spark, root) is None
