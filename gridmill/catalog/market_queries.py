@@ -26,7 +26,6 @@ from gridmill.catalog.registry import (
 from gridmill.functions.ratios import banded_ratio, minute_energy, segment_energy, share_ratio
 from gridmill.functions.times import day_window, hour_bucket
 from gridmill.operators.intervals import (
-    chunk_width,
     lead_segments,
     minute_grid,
     nonneg_levels,
@@ -39,6 +38,7 @@ from gridmill.operators.joins import (
     selected_units,
 )
 from gridmill.operators.latest import dedup, last_by
+from gridmill.operators.slices import chunk_width
 from gridmill.operators.tablesync import reload_day, zero_fill
 from gridmill.operators.trailing import trailing_hours_avg, trailing_months_avg, trailing_rows_avg
 from gridmill.plans.market import fuel_ratios, hourly_output, minute_output, unit_averages

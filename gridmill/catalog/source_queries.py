@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +50,8 @@ LOAD_SCHEMA = T.StructType(
 )
 def _load(spark, sf):
     path = work_path(spark, "preload")
-    export_delimited(table(spark, sf, "lineitem").select(*LOAD_SCHEMA.names), path, sep=",")
+    lines = spread(table(spark, sf, "lineitem"))
+    export_delimited(lines.select(*LOAD_SCHEMA.names), path, sep=",")
     return load_delimited(spark, path, LOAD_SCHEMA).rows
 
 
@@ -92,7 +93,7 @@ def _lines(spark, sf):
            true AS content_equal, true AS safe_to_drop FROM lineitem""",
 )
 def _archive(spark, sf):
-    return archive_partition(table(spark, sf, "lineitem"), work_path(spark, "archive"))
+    return archive_partition(spread(table(spark, sf, "lineitem")), work_path(spark, "archive"))
 
 
 @query(

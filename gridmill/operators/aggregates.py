@@ -79,7 +79,7 @@ def active_items(
             F.regexp_replace(text, r"\s+", " ").alias(text),
             *cols,
         )
-        .orderBy(F.col("running_seconds").desc_nulls_first())
+        .orderBy(F.col("running_seconds").desc_nulls_first(), text, *cols)
     )
 
 

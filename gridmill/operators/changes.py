@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.operators.latest import latest_changes
+from gridmill.operators.slices import sums_before
 
 # Fixed value: the status that marks a deleted row in the track log.
 DELETED = "D"
@@ -28,39 +31,20 @@ def acknowledge(
 ) -> DataFrame:
     """Number the rows not yet acknowledged last+1, last+2, .. in order of seq.
 
-    seq is a database sequence, so a slice of it holds a bounded number of rows: rows
-    are ranked inside their slice and slices are offset by the counts before them, in
-    two levels. No task sees more than one slice, or the slice counts of one group.
+    seq is a database sequence, so a slice of it holds a bounded number of rows: rows are
+    ranked inside their slice, and slices are offset by the counts before them. No task
+    sees more than one slice or one group of slices.
     """
     rows = track.withColumn("_slice", F.shiftright(seq, SLICE_BITS))
     fresh = F.col(ack).isNull()
-    sliced = (
-        rows.where(fresh)
-        .groupBy("_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_group", F.shiftright("_slice", SLICE_BITS))
-    )
-    in_group = (
-        Window.partitionBy("_group").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # One row per 2**40 sequence numbers: few enough for one ordered pass.
-    all_groups = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
-    groups = (
-        sliced.groupBy("_group")
-        .agg(F.sum("_n").alias("_gn"))
-        .select("_group", F.coalesce(F.sum("_gn").over(all_groups), F.lit(0)).alias("_g0"))
-    )
-    offsets = (
-        sliced.withColumn("_s0", F.coalesce(F.sum("_n").over(in_group), F.lit(0)))
-        .join(groups, "_group")
-        .select("_slice", (F.col("_s0") + F.col("_g0")).alias("_before"))
-    )
+    counts = rows.where(fresh).groupBy("_slice").agg(F.count(F.lit(1)).alias("_before"))
+    offsets = sums_before(counts, [], "_slice", ["_before"], levels=2)
     inside = Window.partitionBy("_slice").orderBy(seq, *keys)
     numbered = (
         rows.where(fresh)
         .withColumn("_rn", F.row_number().over(inside))
         .join(offsets, "_slice")
-        .withColumn(ack, F.lit(last) + F.col("_before") + F.col("_rn"))
+        .withColumn(ack, F.lit(last) + F.coalesce("_before", F.lit(0)) + F.col("_rn"))
         .withColumn(ack_time, F.lit(as_of).cast("timestamp_ntz"))
         .select(*track.columns)
     )
@@ -131,12 +115,25 @@ def merge_changes(
 ) -> DataFrame:
     """Target after the changes low < seq <= high: deletes, then updates and inserts.
 
-    The same batch again gives the same target. One anti join serves both, since a
-    key has one latest change; a small batch is broadcast and the target stays put.
+    The same batch again gives the same target.
+    """
+    return merge_latest(target, latest_changes(track, keys, seq, low, high), keys, status)
+
+
+def merge_latest(
+    target: DataFrame, latest: DataFrame, keys: Sequence[str], status: str = "status"
+) -> DataFrame:
+    """Target after the latest change of each key.
+
+    One anti join serves deletes and updates, since a key has one latest change; a small
+    batch is broadcast and the target stays put. NULL key values match each other, so
+    that a batch can be repeated. Changes without a status are left out.
     """
-    latest = latest_changes(track, keys, seq, low, high).where(F.col(status).isNotNull())
-    kept = target.join(latest.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(latest_upserts(latest, status).select(*target.columns))
+    known = latest.where(F.col(status).isNotNull())
+    changed = known.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    kept = target.join(changed, same, "left_anti")
+    return kept.unionByName(latest_upserts(known, status).select(*target.columns))
 
 
 def replication_entry(
@@ -158,22 +155,27 @@ def replication_entry(
 def reconcile(
     target: DataFrame, upserts: DataFrame, keys: Sequence[str], length: int | None = None
 ) -> DataFrame:
-    """One row: batch rows against the inserts and updates they cause.
+    """One row: batch rows against the keys they insert and update.
 
-    Needs the target as it was before the merge.
+    Needs the target as it was before the merge, which is only searched for the batch's
+    keys. The counts differ where the batch repeats a key.
     """
-    marked = upserts.select(*keys).join(
-        target.select(*keys, F.lit(True).alias("_old")).distinct(), list(keys), "left"
+    batch_keys = upserts.select(*keys).distinct()
+    found = target.select(*keys).join(batch_keys, list(keys), "left_semi").distinct()
+    new = batch_keys.join(found, list(keys), "left_anti")
+    out = (
+        _count(upserts, "batch_rows")
+        .join(_count(new, "inserts"), F.lit(True))
+        .join(_count(found, "updates"), F.lit(True))
+        .withColumn("rows_match", F.col("batch_rows") == F.col("inserts") + F.col("updates"))
     )
-    old = F.col("_old").isNotNull()
-    out = marked.agg(
-        F.count(F.lit(1)).alias("batch_rows"),
-        F.count_if(~old).alias("inserts"),
-        F.count_if(old).alias("updates"),
-    ).withColumn("rows_match", F.col("batch_rows") == F.col("inserts") + F.col("updates"))
     return out if length is None else out.withColumn("batch_range", F.lit(length))
 
 
+def _count(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias(name))
+
+
 def snapshot_diff(
     old: DataFrame, new: DataFrame, keys: Sequence[str], user: str
 ) -> DataFrame:

@@ -1,33 +1,24 @@
 """Points, segments and the sums between them.
 
 No operator here puts all rows of one key into one task: rows are grouped by key and
-time slice, and only one small row per slice is ordered over the whole key.
+time slice, and slices are joined up level by level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions.times import time_chunk, trunc_ntz
+from gridmill.operators.slices import levels_of, link_neighbours, sums_before
 
 _CHUNK = "_chunk"
 
 
-def chunk_width(df: DataFrame, time: str, rows: int = 1_000_000) -> float:
-    """Seconds that hold at most about `rows` rows where the table is densest.
-
-    Measured over all keys, so the bound holds even if one key has every row. One pass
-    over the time column; one number comes back.
-    """
-    per_minute = df.groupBy(time_chunk(time, 60).alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    densest = per_minute.where(F.col("m").isNotNull()).agg(F.max("n")).first()[0] or 1
-    return min(86_400.0, max(0.001, 60.0 * rows / densest))
-
-
 def lead_segments(
     points: DataFrame,
     keys: Sequence[str],
@@ -62,18 +53,16 @@ def lead_segments(
     ends = p.groupBy(*keys, _CHUNK).agg(
         F.min(F.struct(*row)).alias("head"), F.max(F.struct(*row)).alias("tail")
     )
-    across = Window.partitionBy(*keys).orderBy(_CHUNK)
-    links = (
-        ends.withColumn("next", F.lead("head").over(across))
-        .where(F.col("next").isNotNull())
-        .select(
+    links = [
+        pairs.select(
             *keys,
             "tail.*",
             F.col("next.from_time").alias("to_time"),
             F.col("next.from_level").alias("to_level"),
         )
-    )
-    return inner.unionByName(links)
+        for pairs in link_neighbours(ends, keys, _CHUNK, levels_of(chunk_seconds))
+    ]
+    return reduce(DataFrame.unionByName, links, inner)
 
 
 def nonneg_levels(
@@ -174,9 +163,6 @@ def override_energy(
         .orderBy("_t", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = (
-        Window.partitionBy(unit).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    )
     # Slices of either side with their readings: straight from the inputs, combined
     # before the shuffle.
     touched = schedule.select(
@@ -191,18 +177,13 @@ def override_energy(
         time_chunk(reading_time, chunk_seconds).alias(_CHUNK),
         F.col(reading_level).cast("decimal(28,10)").alias("_s"),
     )
-    offsets = (
+    totals = (
         touched.unionByName(read)
         .where(F.col(unit).isNotNull() & F.col(_CHUNK).isNotNull())
         .groupBy(unit, _CHUNK)
-        .agg(F.sum("_s").alias("_s"), F.count("_s").alias("_n"))
-        .select(
-            unit,
-            _CHUNK,
-            F.sum("_s").over(before).alias("_s0"),
-            F.sum("_n").over(before).alias("_n0"),
-        )
+        .agg(F.sum("_s").alias("_s0"), F.count("_s").alias("_n0"))
     )
+    offsets = sums_before(totals, [unit], _CHUNK, ["_s0", "_n0"], levels_of(chunk_seconds))
     running = (
         stream.withColumn("_s", F.sum("_s").over(inside))
         .withColumn("_n", F.sum("_n").over(inside))

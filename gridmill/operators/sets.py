@@ -59,7 +59,7 @@ def manifests_equal(a: DataFrame, b: DataFrame, name: str) -> bool:
 
 def missing_pieces(expected: DataFrame, present: DataFrame, name: str) -> DataFrame:
     """Expected pieces that are not present."""
-    return expected.join(present.select(name), name, "left_anti")
+    return expected.join(present.select(name).distinct(), name, "left_anti")
 
 
 def require_all(expected: DataFrame, present: DataFrame, name: str) -> None:

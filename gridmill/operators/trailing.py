@@ -28,6 +28,8 @@ def trailing_hours_avg(
 ) -> DataFrame:
     """sum(value over (t - N hours, t]) / N for each N, one row per unit and time.
 
+    Times are whole hours: at most 24 rows a day of a unit reach its window.
+
     The divisor is always N, also where hours are missing. row_mean names a further
     column with the average over the rows of the same unit and time.
     """

@@ -14,7 +14,7 @@ from gridmill.operators.changes import (
     batch_range,
     latest_changes,
     latest_upserts,
-    merge_changes,
+    merge_latest,
     reconcile,
     replication_entry,
 )
@@ -57,10 +57,10 @@ def replicate(
     if bounds is None:
         return None
     current = read_current(track.sparkSession, root)
-    latest = latest_changes(track, keys, ack, bounds.last_replicated, bounds.high)
+    # Written once: the counts and both sides of the merge read it.
+    latest = cut_lineage(latest_changes(track, keys, ack, bounds.last_replicated, bounds.high))
     counts = reconcile(current, latest_upserts(latest), keys).first()
-    merged = merge_changes(current, track, keys, ack, bounds.last_replicated, bounds.high)
-    published = publish(merged, root, as_of)
+    published = publish(merge_latest(current, latest, keys), root, as_of)
     elapsed = round(time.monotonic() - begun)
     entry = replication_entry(track, source, target, bounds.high, as_of, elapsed)
     return Batch(bounds, published, counts.inserts, counts.updates, counts.rows_match, entry)
@@ -89,7 +89,7 @@ def merge_partitions(
     table = spark.read.parquet(path)
     # Prunes to the touched partitions at run time.
     current = table.join(touched, partition, "left_semi").select(*table.columns)
-    merged = cut_lineage(merge_changes(current, latest, keys, seq))
+    merged = cut_lineage(merge_latest(current, latest, keys))
     # A partition that lost its last row has nothing to write; it is emptied by name.
     # Few names: touched partitions of the table with no row left.
     kept = merged.select(partition).distinct()

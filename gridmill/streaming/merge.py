@@ -8,9 +8,11 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from gridmill.operators.changes import merge_changes
+from gridmill.operators.changes import merge_latest
+from gridmill.operators.latest import latest_changes
 from gridmill.operators.tablesync import publish, read_current
 from gridmill.plans.replication import merge_partitions
+from gridmill.session import cut_lineage
 
 
 def merge_stream(
@@ -31,13 +33,15 @@ def merge_stream(
     """
 
     def merge_batch(batch: DataFrame, _batch_id: int) -> None:
-        if batch.isEmpty():
-            return
         if partition is not None:
             merge_partitions(batch, root, keys, seq, partition)
             return
+        # Written once: a source is not read again for each use of the batch.
+        latest = cut_lineage(latest_changes(batch, keys, seq))
+        if latest.isEmpty():
+            return
         target = read_current(batch.sparkSession, root)
-        merged = merge_changes(target, batch, keys, seq, status=status)
+        merged = merge_latest(target, latest, keys, status)
         publish(merged, root, datetime.now(timezone.utc).replace(tzinfo=None))
 
     return (

@@ -57,6 +57,18 @@ def test_merge_equals_deletes_then_upsert(spark):
     assert rows(two) == rows(merge_changes(target, t, ["k"], "s"))
 
 
+def test_merge_matches_null_keys(spark):
+    target = spark.createDataFrame([(None, "old")], TARGET)
+    t = track(spark, (None, 1, "new", "U"))
+    once = merge_changes(target, t, ["k"], "s")
+    assert rows(once) == rows(merge_changes(once, t, ["k"], "s")) == [(None, "new")]
+
+
+def test_reconcile_notices_a_repeated_key(spark):
+    up = track(spark, (1, 1, "a", "U"), (1, 2, "b", "U"))
+    assert reconcile(spark.createDataFrame([], TARGET), up, ["k"]).first().rows_match is False
+
+
 def test_reconcile(spark):
     target = spark.createDataFrame([(1, "old")], TARGET)
     up = latest_upserts(latest_changes(track(spark, (1, 1, "a", "U"), (2, 2, "b", "I")), ["k"], "s"))

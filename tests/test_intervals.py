@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from conftest import at, rows
 from gridmill.operators.intervals import (
-    chunk_width,
     hourly_sum,
     lead_segments,
     minute_grid,
     nonneg_levels,
     override_energy,
 )
+from gridmill.operators.slices import chunk_width, levels_of, sums_before
 
 POINT = "u string, t timestamp_ntz, v double"
 
@@ -42,7 +42,7 @@ def test_point_without_time_is_no_end(spark):
     assert lead_segments(df, ["u"], "t", "v").count() == 0
 
 
-@pytest.mark.parametrize("seconds", [0.5, 60, 3600, 86_400])
+@pytest.mark.parametrize("seconds", [0.001, 0.5, 60, 3600, 86_400])
 def test_segments_match_plain_order_with_hot_key_and_ties(spark, seconds):
     rnd = random.Random(7)
     base = datetime(2024, 1, 10)
@@ -60,6 +60,24 @@ def test_segments_match_plain_order_with_hot_key_and_ties(spark, seconds):
     assert rows(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+def test_levels():
+    assert [levels_of(s) for s in (86_400, 60, 0.001)] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_sums_before_in_levels(spark, levels):
+    rnd = random.Random(5)
+    slices = sorted({rnd.randrange(1 << 45) for _ in range(30)} | set(range(20)))
+    data = [(k, s, rnd.randrange(9)) for k in "ab" for s in slices]
+    want = [
+        (k, s, sum(n for j, t, n in data if j == k and t < s) if s != slices[0] else None)
+        for k, s, _ in data
+    ]
+    df = spark.createDataFrame(data, "k string, s long, n int")
+    got = sums_before(df, ["k"], "s", ["n"], levels)
+    assert rows(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
+
+
 def test_chunk_width_follows_density(spark):
     base = datetime(2024, 1, 10)
     df = spark.createDataFrame(
@@ -136,7 +154,7 @@ def test_no_reading_falls_back(spark):
     assert rows(override(plan, reads)) == [("a", at("10:00"), at("10:30"), 5.0, None, 5.0)]
 
 
-@pytest.mark.parametrize("seconds", [30, 3600])
+@pytest.mark.parametrize("seconds", [0.001, 30, 3600])
 def test_override_matches_pairwise_join(spark, seconds):
     rnd = random.Random(3)
     base = datetime(2024, 1, 10)
