@@ -476,26 +476,26 @@ def _replace_day(spark, sf):
 
 @query(
     "banded_ratio",
-    with_(COAL) + " SELECT entity_id, period, round(coal_ratio, 6) AS coal_ratio FROM rated",
+    with_(COAL) + " SELECT entity_id, period, coal_ratio FROM rated",
 )
 def _banded(spark, sf):
     ratio = banded_ratio("coal_burns", "mwh_coal")
-    return coal(spark, sf).select("entity_id", "period", F.round(ratio, 6).alias("coal_ratio"))
+    return coal(spark, sf).select("entity_id", "period", ratio.alias("coal_ratio"))
 
 
 @query(
     "share_ratio",
-    with_(COAL) + " SELECT entity_id, period, round(coal_factor, 6) AS coal_factor FROM rated",
+    with_(COAL) + " SELECT entity_id, period, coal_factor FROM rated",
 )
 def _share(spark, sf):
     ratio = share_ratio("mwh_coal", "mwh_other")
-    return coal(spark, sf).select("entity_id", "period", F.round(ratio, 6).alias("coal_factor"))
+    return coal(spark, sf).select("entity_id", "period", ratio.alias("coal_factor"))
 
 
 SIX_MONTHS = """
 SELECT entity_id, period, {cols}
-  round(avg(coal_ratio) OVER w, 6) AS coal_ratio_6mth_avg,
-  round(avg(coal_factor) OVER w, 6) AS coal_factor_6mth_avg
+  round(avg(coal_ratio) OVER w, 9) AS coal_ratio_6mth_avg,
+  round(avg(coal_factor) OVER w, 9) AS coal_factor_6mth_avg
 FROM rated
 WINDOW w AS (PARTITION BY entity_id
              ORDER BY CAST(substr(period, 1, 4) AS INTEGER) * 12 + CAST(substr(period, 6, 2) AS INTEGER)
@@ -514,8 +514,8 @@ def _trailing_months(spark, sf):
     return out.select(
         "entity_id",
         "period",
-        F.round("r_avg", 6).alias("coal_ratio_6mth_avg"),
-        F.round("f_avg", 6).alias("coal_factor_6mth_avg"),
+        F.round("r_avg", 9).alias("coal_ratio_6mth_avg"),
+        F.round("f_avg", 9).alias("coal_factor_6mth_avg"),
     )
 
 
@@ -523,15 +523,12 @@ def _trailing_months(spark, sf):
     "fuel_ratios",
     with_(COAL)
     + SIX_MONTHS.format(
-        cols="mwh_coal, mwh_other, coal_burns, round(coal_ratio, 6) AS coal_ratio,"
-        " round(coal_factor, 6) AS coal_factor,"
+        cols="mwh_coal, mwh_other, coal_burns, coal_ratio, coal_factor,"
     ),
 )
 def _fuel_ratios(spark, sf):
-    return rounded(
-        fuel_ratios(coal(spark, sf)),
-        "coal_ratio", "coal_factor", "coal_ratio_6mth_avg", "coal_factor_6mth_avg",
-    )
+    averages = ["coal_ratio_6mth_avg", "coal_factor_6mth_avg"]
+    return fuel_ratios(coal(spark, sf)).withColumns({c: F.round(c, 9) for c in averages})
 
 
 @query(
