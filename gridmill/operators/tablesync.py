@@ -134,6 +134,8 @@ def publish(
     failed try is overwritten, never read.
     """
     spark = df.sparkSession
+    # The first publication starts an empty log; later ones leave it alone.
+    spark.createDataFrame([], _LOG).write.mode("ignore").parquet(f"{root}/log")
     version = (current_version(spark, root) or 0) + 1
     path = f"{root}/version={version}"
     seen = Observation()
