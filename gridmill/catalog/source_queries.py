@@ -107,7 +107,7 @@ def _archive(spark, sf):
     FROM events, (VALUES (0), (1)) p(i)""",
 )
 def _messages(spark, sf):
-    """Every event as a message with two points, parsed back."""
+    """Every event as a message with two points, written as text and parsed back."""
     fmt = "yyyy:MM:dd:HH:mm:ss"
     level = F.col("value").cast("decimal(18,4)")
     later = F.col("ts") + F.expr("INTERVAL 30 MINUTES")
@@ -131,8 +131,9 @@ def _messages(spark, sf):
         (level + 1).cast("string"),
         F.lit("}"),
     )
-    events = spread(table(spark, sf, "events"))
-    out = parse_acceptance_messages(events.select(text.alias("value")))
+    path = work_path(spark, "messages")
+    spread(table(spark, sf, "events")).select(text.alias("value")).write.text(path)
+    out = parse_acceptance_messages(spark.read.text(path))
     return out.withColumns({c: F.col(c).cast("double") for c in ("np", "va_level")})
 
 

@@ -44,9 +44,10 @@ def split_documents(docs: DataFrame, col: str = "text") -> DataFrame:
     """
     others = [c for c in docs.columns if c != col]
     text = F.col(col)
-    # Items and blocks are marked first, so that a document is searched only twice.
+    # Items and blocks are marked first, so that the parts need no pattern search.
     marked = F.regexp_replace(text, rf"\n(?={ITEM})", _ITEM_MARK)
-    marked = F.regexp_replace(marked, rf"\n(?={ALLOCATION}|{SUMMARY})", _BLOCK_MARK)
+    for start in (ALLOCATION, SUMMARY):
+        marked = F.replace(marked, F.lit("\n" + start), F.lit(_BLOCK_MARK + start))
     has_alloc = F.concat(F.lit("\n"), text).contains("\n" + ALLOCATION)
     # Part 0 holds the header, every further part one item with its allocations.
     parts = F.transform(F.split(marked, _ITEM_MARK), lambda p: F.split(p, _BLOCK_MARK))

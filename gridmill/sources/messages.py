@@ -29,9 +29,11 @@ def parse_acceptance_messages(lines: DataFrame, col: str = "value") -> DataFrame
     for pattern in (TAG, r"\}$", ":GMT"):
         text = F.regexp_replace(text, pattern, "")
     fields = lines.where(F.col(col).contains(MESSAGE_TYPE)).select(F.split(text, ",").alias("f"))
-    points = fields.withColumn("np", F.get("f", F.lit(5)).try_cast("int")).where(F.col("np") > 0)
-    # f[6], f[7] hold the first pair.
-    pairs = points.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("np") - 1)))
+    points = fields.withColumn("np", F.get("f", F.lit(5)).try_cast("int"))
+    # f[6], f[7] hold the first pair. The count is tested in the generator: a filter on it
+    # would move below and parse every line twice.
+    numbers = F.when(F.col("np") > 0, F.sequence(F.lit(0), F.col("np") - 1))
+    pairs = points.withColumn("i", F.explode(numbers))
     return pairs.select(
         F.col("f")[0].alias("bm_unit_id"),
         F.get("f", F.lit(1)).alias("acceptance_id"),
