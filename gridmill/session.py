@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,14 +19,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@cache
-def _scratch() -> str:
-    return tempfile.mkdtemp(prefix="gridmill-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a scratch one only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _scratch()).rstrip("/")
+    """The folder named in spark.checkpoint.dir, else one on the default file system.
+
+    A cluster whose default file system is each machine's own disk has no folder that
+    all executors see; there the setting must be given.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    root = context._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    if root.startswith("file:") and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}{'//' if root == 'file:///' else ''}/tmp/gridmill-{context.applicationId}"
 
 
 def work_path(spark: SparkSession, label: str) -> str:

@@ -14,7 +14,7 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(ORACLES) == set(QUERIES) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES) <= set(entry.queries())
 
 
 @pytest.fixture(scope="module")
