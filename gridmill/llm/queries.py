@@ -2,11 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import simhash
+from gridmill.llm import huffman, simhash, token_cache
 from gridmill.llm.registry import query, table
+from gridmill.session import work_path
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op1_huffman_ids")
+def op1_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as Huffman blocks and read back from them."""
+    path = work_path(spark, "ids")
+    huffman.huffman_ids(table(spark, sf_dir, "documents"), BYTE_BPE, path)
+    return huffman.read_ids(spark, path).select(
+        F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query("op4_token_cache")
+def op4_token_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document by way of a cache that starts out empty."""
+    docs = table(spark, sf_dir, "documents")
+    counts = token_cache.token_counts(docs, BYTE_BPE, work_path(spark, "token_cache"))
+    return counts.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit")
+    )
 
 
 @query("op10_simhash")
