@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import huffman, simhash, token_cache
+from gridmill.llm import huffman, simhash, token_cache, urls
 from gridmill.llm.registry import query, table
 from gridmill.session import work_path
 
@@ -42,3 +42,44 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+# Host, path and verdict of the listed entries.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query(
+    "op6_url_filter",
+    """
+    WITH rests AS (
+      SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest
+      FROM pages),
+    parts AS (
+      SELECT page_id,
+        translate(coalesce(regexp_extract(rest, '^([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+      FROM rests),
+    rules(r_host, r_path, r_verdict) AS (VALUES
+      ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+      ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+    urls AS (SELECT DISTINCT host, path FROM parts),
+    best AS (
+      SELECT host, path, arg_max(r_host || r_path, length(r_host || r_path)) AS rule,
+             arg_max(r_verdict, length(r_host || r_path)) AS verdict
+      FROM urls JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+      GROUP BY 1, 2)
+    SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict
+    FROM parts p LEFT JOIN best b ON p.host = b.host AND p.path = b.path
+    """,
+)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url by a list of hosts and paths."""
+    listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
