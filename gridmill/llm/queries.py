@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import huffman, simhash, token_cache, urls
+from gridmill.llm import huffman, quality, simhash, token_cache, urls
 from gridmill.llm.registry import query, table
 from gridmill.session import work_path
 
@@ -83,3 +83,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op7_quality_rules")
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, perplexity and verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "perplexity",
+    )
