@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import huffman, quality, simhash, token_cache, urls
+from gridmill.llm import huffman, lines, quality, simhash, token_cache, urls
 from gridmill.llm.registry import query, table
 from gridmill.session import work_path
 
@@ -92,3 +92,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "perplexity",
     )
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that each document loses, and a digest of what is left of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.line_dedup(docs).select(
+        "doc_id", "n_lines", "n_removed", "n_near", F.length("text").cast("long").alias("n_chars_left"), F.crc32("text").alias("text_crc32")
+    )
