@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import huffman, lines, quality, simhash, token_cache, urls
+from gridmill.llm import huffman, lines, mixing, quality, simhash, token_cache, urls
 from gridmill.llm.registry import query, table
 from gridmill.session import work_path
 
@@ -101,3 +101,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(docs).select(
         "doc_id", "n_lines", "n_removed", "n_near", F.length("text").cast("long").alias("n_chars_left"), F.crc32("text").alias("text_crc32")
     )
+
+
+@query("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, and its source's target."""
+    return mixing.taken_words(table(spark, sf_dir, "documents")).select(
+        F.col("key").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
