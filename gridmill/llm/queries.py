@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import huffman, lines, mixing, quality, simhash, token_cache, urls
+from gridmill.llm import ann, huffman, lines, mixing, quality, simhash, token_cache, urls
 from gridmill.llm.registry import query, table
 from gridmill.session import work_path
 
@@ -109,3 +109,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents")).select(
         F.col("key").alias("doc_id"), "size", "source_size", "target", "taken"
     )
+
+
+@query("op8_posting_lists")
+def op8_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector whose id is divisible by 20."""
+    found = ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
