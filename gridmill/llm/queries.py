@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import ann, huffman, lines, mixing, quality, simhash, token_cache, urls
+from gridmill.llm import ann, huffman, lines, mixing, quality, simhash, suffix_tree, token_cache, urls
 from gridmill.llm.registry import query, table
 from gridmill.session import work_path
 
@@ -116,3 +116,11 @@ def op8_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of every vector whose id is divisible by 20."""
     found = ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op2_suffix_tree")
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a suffix tree learned from six of seven."""
+    return suffix_tree.score(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
