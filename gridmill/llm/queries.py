@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import ann, huffman, lines, mixing, quality, simhash, suffix_tree, token_cache, urls
+from gridmill.llm import ann, huffman, lines, mixing, pieces, quality, simhash, suffix_tree, token_cache, urls
 from gridmill.llm.registry import query, table
 from gridmill.session import work_path
 
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -124,3 +125,15 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op3_merge_dropout")
+def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under merge-dropout, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encoded(docs, PIECE_BPE).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (pieces.decode(F.col("ids"), PIECE_BPE) == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
