@@ -35,10 +35,10 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
     halves: hashes of the halves that a line one word away shares, as the shorter or
     equal and as the longer of the two; none for lines too short to have near copies.
     """
-    lines = docs.select(
-        F.col(id_col), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line", "t")
-    )
-    worded = lines.select(_place(id_col).alias("place"), _words(F.col("t")).alias("w")).select(
+    named = docs.select(F.col(id_col), F.xxhash64(text_col).alias("th"), F.split(text_col, "\n").alias("all"))
+    lines = named.select(id_col, "th", F.posexplode("all").alias("line", "t"))
+    # As generated rows the words are split once, whatever asks for them.
+    worded = lines.select(_place(id_col).alias("place"), F.explode(F.array(_words(F.col("t")))).alias("w")).select(
         "place", "w", F.size("w").alias("n")
     )
     n, w = F.col("n"), F.col("w")
@@ -54,35 +54,34 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
     )
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """Keys of the lines that share a half with a different line."""
-    asked = distinct.select(*_KEY, F.explode(F.array_distinct("halves")).alias("half"))
-    shared = asked.groupBy("half").agg(F.min(F.struct(*_KEY)).alias("a"), F.max(F.struct(*_KEY)).alias("b")).where("a != b").select("half")
-    return asked.join(shared, "half", "left_semi").select(*_KEY).distinct()
+def _candidates(lines: DataFrame) -> DataFrame:
+    """h1 of the lines that share a half with a different line."""
+    asked = lines.where("halves IS NOT NULL").select("h1", F.explode(F.array_distinct("halves")).alias("half")).repartition("half")
+    shared = asked.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("half")
+    return asked.join(shared, "half", "left_semi").select("h1").distinct()
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(h1, h2, first, n, i, rest): the hash of a line without its word i; i = 0: the whole.
+    """(h1, h2, m, i, rest): the m words of a line without its word i; i = 0: the whole.
 
-    lines(h1, h2, first, n, w). Words are hashed with their place and combined by
-    exclusive or, so that all variants of a line cost one pass over its words.
+    lines(h1, h2, n, w). rest is a hash: words are hashed with their place and combined
+    by exclusive or, so that all variants of a line cost one pass over its words.
     """
-    word = lines.select(*_KEY, "first", "n", F.posexplode("w").alias("i", "word")).select(
-        *_KEY, "first", "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved")
+    word = lines.repartition(*_KEY).select(*_KEY, "n", F.posexplode("w").alias("i", "word")).select(
+        *_KEY, "n", "i", F.xxhash64("word", "i").alias("here"), F.xxhash64("word", F.col("i") - 1).alias("moved")
     )
     order = Window.partitionBy(*_KEY).orderBy("i")
-    whole = Window.partitionBy(*_KEY)
     running = word.withColumns(
         {
             "before": F.coalesce(F.bit_xor("here").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
             "upto": F.bit_xor("moved").over(order.rowsBetween(Window.unboundedPreceding, 0)),
-            "all": F.bit_xor("moved").over(whole),
+            "all": F.bit_xor("moved").over(Window.partitionBy(*_KEY)),
         }
     )
-    rest = F.col("before").bitwiseXOR(F.col("upto")).bitwiseXOR(F.col("all"))
-    last = F.when(F.col("i") == F.col("n") - 1, F.col("before").bitwiseXOR(F.col("here")))
-    each = F.array(F.struct((F.col("i") + 1).alias("i"), rest.alias("rest")), F.struct(F.lit(0).alias("i"), last.alias("rest")))
-    return running.select(*_KEY, "first", "n", F.explode(each).alias("v")).select(*_KEY, "first", "n", "v.i", "v.rest").where("rest IS NOT NULL")
+    left = F.struct((F.col("n") - 1).alias("m"), (F.col("i") + 1).alias("i"), F.col("before").bitwiseXOR(F.col("upto")).bitwiseXOR(F.col("all")).alias("rest"))
+    whole = F.struct(F.col("n").alias("m"), F.lit(0).alias("i"), F.col("before").bitwiseXOR(F.col("here")).alias("rest"))
+    last = F.col("i") == F.col("n") - 1
+    return running.select(*_KEY, F.explode(F.when(last, F.array(left, whole)).otherwise(F.array(left))).alias("v")).select(*_KEY, "v.*")
 
 
 def _without(words: str, i: Column) -> Column:
@@ -97,16 +96,19 @@ def near_lines(lines: DataFrame) -> DataFrame:
     every one is within the bound of the earliest, so a line asks only that one: links
     grow with the lines, not with their pairs.
     """
-    variants = cut_lineage(_variants(lines))
-    left_out = variants.where("i > 0")
-    earliest = left_out.groupBy("n", "i", "rest").agg(F.min(F.struct("first", *_KEY)).alias("e"))
+    # Dealt out once; most variants meet no other line's and go no further.
+    variants = _variants(lines).repartition("m", "rest")
+    met = variants.groupBy("m", "rest").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("m", "rest")
+    hits = cut_lineage(variants.join(met, ["m", "rest"]).join(lines.select(*_KEY, "first"), _KEY))
+    left_out = hits.where("i > 0")
+    earliest = left_out.groupBy("m", "i", "rest").agg(F.min(F.struct("first", *_KEY)).alias("e"))
     changed = (
-        left_out.join(earliest, ["n", "i", "rest"])
+        left_out.join(earliest, ["m", "i", "rest"])
         .where(F.col("first") > F.col("e.first"))
         .select(*_KEY, "i", F.col("e.h1").alias("o1"), F.col("e.h2").alias("o2"), F.col("i").alias("oi"))
     )
-    whole = variants.where("i = 0").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("first").alias("s_first"), (F.col("n") + 1).alias("n"), "rest")
-    added = left_out.join(whole, ["n", "rest"])
+    whole = hits.where("i = 0").select(F.col("h1").alias("s1"), F.col("h2").alias("s2"), F.col("first").alias("s_first"), "m", "rest")
+    added = left_out.join(whole, ["m", "rest"])
     longer = added.where(F.col("first") > F.col("s_first")).select(*_KEY, "i", F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.lit(0).alias("oi"))
     shorter = added.where(F.col("first") < F.col("s_first")).select(F.col("s1").alias("h1"), F.col("s2").alias("h2"), F.lit(0).alias("i"), F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("i").alias("oi"))
     links = changed.unionByName(longer).unionByName(shorter)
@@ -129,10 +131,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns of those names.
     """
     lines = cut_lineage(line_table(docs, id_col, text_col, min_words))
-    firsts = cut_lineage(
-        lines.groupBy(*_KEY).agg(F.min("place").alias("first"), F.any_value("n").alias("n"), F.any_value("halves").alias("halves"))
-    )
-    wanted = firsts.join(_candidates(firsts.where("halves IS NOT NULL")), _KEY, "left_semi")
+    firsts = cut_lineage(lines.groupBy(*_KEY).agg(F.min("place").alias("first"), F.max("n").alias("n")))
+    wanted = firsts.where(F.col("n") >= NEAR).join(_candidates(lines), "h1", "left_semi")
     by_doc = wanted.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.line", "first", *_KEY, "n")).alias("wanted"))
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
     held = (
