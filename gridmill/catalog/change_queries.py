@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridmill.catalog.registry import query, table, with_
 from gridmill.operators.changes import (
+    BatchRange,
     acknowledge,
     apply_deletes,
     batch_bounds,
@@ -16,8 +17,8 @@ from gridmill.operators.changes import (
     latest_deletes,
     latest_upserts,
     merge_changes,
+    next_log,
     reconcile,
-    replication_entry,
     snapshot_diff,
 )
 from gridmill.operators.inventory import mark_absent, mark_superseded, scd_upsert
@@ -50,18 +51,16 @@ def log(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def bounds(spark: SparkSession, sf: str):
+def bounds(spark: SparkSession, sf: str) -> BatchRange:
     return batch_range(track(spark, sf), SEQ, log(spark, sf), TARGET)
 
 
-def target(spark: SparkSession, sf: str) -> DataFrame:
+def target(spark: SparkSession, sf: str, b: BatchRange) -> DataFrame:
     """Users as the first half of the changes left them."""
-    first = latest_changes(track(spark, sf), KEY, SEQ, high=bounds(spark, sf).last_replicated)
-    return latest_upserts(first).drop("status")
+    return latest_upserts(latest_changes(track(spark, sf), KEY, SEQ, high=b.last_replicated)).drop("status")
 
 
-def batch(spark: SparkSession, sf: str) -> DataFrame:
-    b = bounds(spark, sf)
+def batch(spark: SparkSession, sf: str, b: BatchRange) -> DataFrame:
     return latest_changes(track(spark, sf), KEY, SEQ, b.last_replicated, b.high)
 
 
@@ -83,7 +82,7 @@ latest AS (
 
 @query("latest_per_key", with_(TRACK) + " SELECT * FROM latest")
 def _latest(spark, sf):
-    return batch(spark, sf)
+    return batch(spark, sf, bounds(spark, sf))
 
 
 @query(
@@ -118,12 +117,12 @@ def _range(spark, sf):
 
 @query("cdc_latest_deletes", with_(TRACK) + " SELECT user_id FROM latest WHERE status = 'D'")
 def _deletes(spark, sf):
-    return latest_deletes(batch(spark, sf), KEY)
+    return latest_deletes(batch(spark, sf, bounds(spark, sf)), KEY)
 
 
 @query("cdc_latest_upserts", with_(TRACK) + " SELECT * FROM latest WHERE status <> 'D'")
 def _upserts(spark, sf):
-    return latest_upserts(batch(spark, sf))
+    return latest_upserts(batch(spark, sf, bounds(spark, sf)))
 
 
 @query(
@@ -132,7 +131,8 @@ def _upserts(spark, sf):
     + " SELECT * FROM target WHERE user_id NOT IN (SELECT user_id FROM latest WHERE status = 'D')",
 )
 def _apply(spark, sf):
-    return apply_deletes(target(spark, sf), latest_deletes(batch(spark, sf), KEY), KEY)
+    b = bounds(spark, sf)
+    return apply_deletes(target(spark, sf, b), latest_deletes(batch(spark, sf, b), KEY), KEY)
 
 
 @query(
@@ -145,7 +145,7 @@ def _apply(spark, sf):
 def _merge(spark, sf):
     b = bounds(spark, sf)
     return merge_changes(
-        target(spark, sf), track(spark, sf), KEY, SEQ, b.last_replicated, b.high
+        target(spark, sf, b), track(spark, sf), KEY, SEQ, b.last_replicated, b.high
     )
 
 
@@ -159,21 +159,48 @@ def _merge(spark, sf):
     FROM (SELECT user_id FROM latest WHERE status <> 'D') l LEFT JOIN target t ON l.user_id = t.user_id""",
 )
 def _reconcile(spark, sf):
-    upserts = latest_upserts(batch(spark, sf))
-    return reconcile(target(spark, sf), upserts, KEY, bounds(spark, sf).length)
+    b = bounds(spark, sf)
+    return reconcile(target(spark, sf, b), latest_upserts(batch(spark, sf, b)), KEY, b.length)
+
+
+@query(
+    "ack_null_sequence",
+    """
+    WITH t AS (SELECT user_id, event_id, CASE WHEN event_id % 10 <> 0 THEN event_id END AS seq FROM events)
+    SELECT user_id, event_id, 7 + row_number() OVER (ORDER BY seq NULLS LAST, user_id, event_id) AS ack,
+           TIMESTAMP '2024-01-31' AS ack_time
+    FROM t""",
+)
+def _ack_null(spark, sf):
+    """Every tenth row has no sequence."""
+    rows = table(spark, sf, "events").select(
+        "user_id",
+        "event_id",
+        F.when(F.col("event_id") % 10 != 0, F.col("event_id")).alias("seq"),
+        F.lit(None).cast("long").alias("ack"),
+        F.lit(None).cast("timestamp_ntz").alias("ack_time"),
+    )
+    return acknowledge(rows, ["user_id", "event_id"], "seq", "ack", "ack_time", 7, datetime(2024, 1, 31)).drop("seq")
 
 
 @query(
     "replication_log",
     """
-    SELECT 'events' AS source_tablename, 'target.users' AS target_tablename,
-      max(event_id) AS last_row_replicated, TIMESTAMP '2024-01-31' AS last_row_replicated_timestamp,
-      CAST(0 AS BIGINT) AS batch_elapsed_seconds
-    FROM events""",
+    WITH half AS (SELECT max(event_id) // 2 AS h, max(event_id) AS m FROM events)
+    SELECT 'events' AS source_tablename, 'target.users' AS target_tablename, n AS last_row_replicated,
+      at AS last_row_replicated_timestamp, CAST(0 AS BIGINT) AS batch_elapsed_seconds
+    FROM half, LATERAL (VALUES (h, TIMESTAMP '2024-01-30'), (m, TIMESTAMP '2024-01-31')) AS v(n, at)""",
 )
 def _log(spark, sf):
-    t = track(spark, sf)
-    return replication_entry(t, "events", TARGET, bounds(spark, sf).high, datetime(2024, 1, 31), 0)
+    """The log after one more batch."""
+    before = log(spark, sf).select(
+        F.lit("events").alias("source_tablename"),
+        "target_tablename",
+        "last_row_replicated",
+        F.lit(datetime(2024, 1, 30)).cast("timestamp_ntz").alias("last_row_replicated_timestamp"),
+        F.lit(0).cast("long").alias("batch_elapsed_seconds"),
+    )
+    return next_log(before, track(spark, sf), SEQ, "events", TARGET, datetime(2024, 1, 31))
 
 
 @query(

@@ -18,6 +18,12 @@ from gridmill.operators.slices import sums_before
 DELETED = "D"
 # Bits of a sequence number that one slice spans (about a million numbers).
 SLICE_BITS = 20
+LOG_SCHEMA = (
+    "source_tablename string, target_tablename string, last_row_replicated long,"
+    " last_row_replicated_timestamp timestamp_ntz, batch_elapsed_seconds long"
+)
+# Above every slice of a long.
+_NO_SLICE = 1 << (63 - SLICE_BITS)
 
 
 def acknowledge(
@@ -33,9 +39,11 @@ def acknowledge(
 
     seq is a database sequence, so a slice of it holds a bounded number of rows: rows are
     ranked inside their slice, and slices are offset by the counts before them. No task
-    sees more than one slice or one group of slices.
+    sees more than one slice or one group of slices. Rows without a sequence come last,
+    in order of the keys, as one slice.
     """
-    rows = track.withColumn("_slice", F.shiftright(seq, SLICE_BITS))
+    slice_no = F.shiftright(F.col(seq).cast("long"), SLICE_BITS)
+    rows = track.withColumn("_slice", F.coalesce(slice_no, F.lit(_NO_SLICE)))
     fresh = F.col(ack).isNull()
     counts = rows.where(fresh).groupBy("_slice").agg(F.count(F.lit(1)).alias("_before"))
     offsets = sums_before(counts, [], "_slice", ["_before"], levels=2)
@@ -136,6 +144,20 @@ def merge_latest(
     return kept.unionByName(latest_upserts(known, status).select(*target.columns))
 
 
+def newer_than(
+    latest: DataFrame, applied: DataFrame, keys: Sequence[str], seq: str
+) -> DataFrame:
+    """Changes later than the last one applied to their key.
+
+    applied(keys, seq) has the keys of deleted rows, too: a change that arrives late does
+    not bring them back.
+    """
+    known = applied.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(seq).alias("_seq"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    later = F.col("_seq").isNull() | (F.col(seq) > F.col("_seq"))
+    return latest.join(known, same, "left").where(later).select(*latest.columns)
+
+
 def replication_entry(
     latest: DataFrame,
     source: str,
@@ -146,12 +168,28 @@ def replication_entry(
 ) -> DataFrame:
     """The log row of a finished batch."""
     return latest.sparkSession.createDataFrame(
-        [(source, target, high, as_of, elapsed_seconds)],
-        "source_tablename string, target_tablename string, last_row_replicated long,"
-        " last_row_replicated_timestamp timestamp_ntz, batch_elapsed_seconds long",
+        [(source, target, high, as_of, elapsed_seconds)], LOG_SCHEMA
     )
 
 
+def next_log(
+    log: DataFrame, track: DataFrame, ack: str, source: str, target: str, as_of: datetime
+) -> DataFrame:
+    """The log and the row that a batch of the track's new rows adds to it; none, if none are new."""
+    entry = (
+        batch_bounds(track, ack, log, target)
+        .where("has_new")
+        .select(
+            F.lit(source).alias("source_tablename"),
+            F.lit(target).alias("target_tablename"),
+            F.col("high").alias("last_row_replicated"),
+            F.lit(as_of).cast("timestamp_ntz").alias("last_row_replicated_timestamp"),
+            F.lit(0).cast("long").alias("batch_elapsed_seconds"),
+        )
+    )
+    return log.unionByName(entry)
+
+
 def reconcile(
     target: DataFrame, upserts: DataFrame, keys: Sequence[str], length: int | None = None
 ) -> DataFrame:
@@ -160,22 +198,21 @@ def reconcile(
     Needs the target as it was before the merge, which is only searched for the batch's
     keys. The counts differ where the batch repeats a key.
     """
-    batch_keys = upserts.select(*keys).distinct()
-    found = target.select(*keys).join(batch_keys, list(keys), "left_semi").distinct()
-    new = batch_keys.join(found, list(keys), "left_anti")
+    batch = upserts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    known = target.select(*keys).distinct().withColumn("_known", F.lit(True))
+    found = F.coalesce("_known", F.lit(False)).cast("long")
     out = (
-        _count(upserts, "batch_rows")
-        .join(_count(new, "inserts"), F.lit(True))
-        .join(_count(found, "updates"), F.lit(True))
+        batch.join(known, list(keys), "left")
+        .agg(
+            F.coalesce(F.sum("_rows"), F.lit(0)).alias("batch_rows"),
+            F.coalesce(F.sum(1 - found), F.lit(0)).alias("inserts"),
+            F.coalesce(F.sum(found), F.lit(0)).alias("updates"),
+        )
         .withColumn("rows_match", F.col("batch_rows") == F.col("inserts") + F.col("updates"))
     )
     return out if length is None else out.withColumn("batch_range", F.lit(length))
 
 
-def _count(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias(name))
-
-
 def snapshot_diff(
     old: DataFrame, new: DataFrame, keys: Sequence[str], user: str
 ) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridmill.operators.changes import (
+    LOG_SCHEMA,
     BatchRange,
     batch_range,
     latest_changes,
@@ -24,7 +26,7 @@ from gridmill.operators.tablesync import (
     publish,
     read_current,
 )
-from gridmill.session import cut_lineage
+from gridmill.session import cut_lineage, path_exists, remove_path
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,8 @@ def replicate(
 ) -> Batch | None:
     """Merge the new acknowledged rows into the published table; None when there are none.
 
-    The log entry is returned for appending after the merge is published, so a batch
-    that failed is repeated.
+    The log entry is for append_log, once the merge is published: a batch that failed is
+    repeated.
     """
     begun = time.monotonic()
     bounds = batch_range(track, ack, log, target)
@@ -66,6 +68,35 @@ def replicate(
     return Batch(bounds, published, counts.inserts, counts.updates, counts.rows_match, entry)
 
 
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The replication log; empty before the first batch."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], LOG_SCHEMA)
+    return spark.read.schema(LOG_SCHEMA).parquet(path)
+
+
+def append_log(entry: DataFrame, path: str) -> None:
+    entry.select(*read_log(entry.sparkSession, path).columns).write.mode("append").parquet(path)
+
+
+def replicate_logged(
+    track: DataFrame,
+    log_path: str,
+    root: str,
+    keys: Sequence[str],
+    ack: str,
+    source: str,
+    target: str,
+    as_of: datetime,
+) -> Batch | None:
+    """replicate with the log at log_path: read before the batch, appended to after it."""
+    log = read_log(track.sparkSession, log_path)
+    batch = replicate(track, log, root, keys, ack, source, target, as_of)
+    if batch is not None:
+        append_log(batch.entry, log_path)
+    return batch
+
+
 def merge_partitions(
     track: DataFrame,
     path: str,
@@ -77,24 +108,48 @@ def merge_partitions(
 ) -> None:
     """Merge changes into a partitioned table on disk, rewriting touched partitions only.
 
-    For tables whose key includes the partition column (a date, as text). The changes and
-    the merged rows are written aside first, so the table is not read while it changes;
-    merging the same batch again gives the same table.
+    For tables whose key includes the partition column (a date, as text). What is to be
+    put in place is written beside the table first: a try that failed half-way is
+    finished by the next call, and merging the same batch again gives the same table.
     """
     if partition not in keys:
         raise ValueError(f"{partition} must be among the keys")
     spark = track.sparkSession
+    _finish(spark, path, partition)
     latest = cut_lineage(latest_changes(track, keys, seq, low, high))
     touched = latest.select(partition).distinct()
     table = spark.read.parquet(path)
-    # Prunes to the touched partitions at run time.
-    current = table.join(touched, partition, "left_semi").select(*table.columns)
-    merged = cut_lineage(merge_latest(current, latest, keys))
-    # A partition that lost its last row has nothing to write; it is emptied by name.
-    # Few names: touched partitions of the table with no row left.
-    kept = merged.select(partition).distinct()
-    emptied = current.select(partition).distinct().join(kept, partition, "left_anti").collect()
-    overwrite_partitions(merged, path, partition)
-    no_rows = merged.drop(partition).where("false")
-    for row in emptied:
-        no_rows.write.mode("overwrite").parquet(f"{path}/{partition}={row[0]}")
+    # Prunes to the touched partitions at run time. A NULL partition is touched as well.
+    names = touched.withColumnRenamed(partition, "_touched")
+    current = table.join(
+        names, F.col(partition).cast("string").eqNullSafe(F.col("_touched").cast("string")), "left_semi"
+    ).select(*table.columns)
+    touched.write.mode("overwrite").parquet(f"{_pending(path)}/touched")
+    merge_latest(current, latest, keys).write.mode("overwrite").parquet(f"{_pending(path)}/rows")
+    _finish(spark, path, partition)
+
+
+def _pending(path: str) -> str:
+    return f"{path.rstrip('/')}.pending"
+
+
+def _finish(spark: SparkSession, path: str, partition: str) -> None:
+    """Put decided partitions in place, if a merge has decided any."""
+    pending = _pending(path)
+    if not path_exists(spark, f"{pending}/rows/_SUCCESS"):
+        return
+    rows = spark.read.parquet(f"{pending}/rows")
+    overwrite_partitions(rows, path, partition)
+    # A partition that lost its last row has nothing to write; its folder goes. Few
+    # names: touched partitions with no row left.
+    kept = rows.select(F.col(partition).cast("string").alias("_kept")).distinct()
+    names = spark.read.parquet(f"{pending}/touched").select(F.col(partition).cast("string").alias("name"))
+    for row in names.join(kept, F.col("name").eqNullSafe(F.col("_kept")), "left_anti").collect():
+        remove_path(spark, f"{path}/{_folder(spark, partition, row['name'])}")
+    remove_path(spark, pending)
+
+
+def _folder(spark: SparkSession, column: str, value: str | None) -> str:
+    """Name of a partition's folder, as Spark writes it."""
+    utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    return utils.getPartitionPathString(column, value)

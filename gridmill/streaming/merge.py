@@ -8,9 +8,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from gridmill.operators.changes import merge_latest
+from gridmill.operators.changes import merge_latest, newer_than, upsert
 from gridmill.operators.latest import latest_changes
-from gridmill.operators.tablesync import publish, read_current
+from gridmill.operators.tablesync import current_version, publish, read_current
 from gridmill.plans.replication import merge_partitions
 from gridmill.session import cut_lineage
 
@@ -30,19 +30,26 @@ def merge_stream(
     With it, root is partitioned by that key column and only touched partitions are
     rewritten. Either is done before the batch's progress is committed: after a failure
     the batch runs again, and merging it twice changes nothing.
+
+    The last change applied to each key, deleted ones too, is kept beside the table, so
+    a change that arrives in a later batch than a newer one of its key is left out.
     """
+    seen = f"{root.rstrip('/')}.applied"
 
     def merge_batch(batch: DataFrame, _batch_id: int) -> None:
-        if partition is not None:
-            merge_partitions(batch, root, keys, seq, partition)
-            return
+        spark, now = batch.sparkSession, datetime.now(timezone.utc).replace(tzinfo=None)
+        latest = latest_changes(batch, keys, seq)
+        before = None if current_version(spark, seen) is None else read_current(spark, seen)
         # Written once: a source is not read again for each use of the batch.
-        latest = cut_lineage(latest_changes(batch, keys, seq))
-        if latest.isEmpty():
+        fresh = cut_lineage(latest if before is None else newer_than(latest, before, keys, seq))
+        if fresh.isEmpty():
             return
-        target = read_current(batch.sparkSession, root)
-        merged = merge_latest(target, latest, keys, status)
-        publish(merged, root, datetime.now(timezone.utc).replace(tzinfo=None))
+        if partition is not None:
+            merge_partitions(fresh, root, keys, seq, partition)
+        else:
+            publish(merge_latest(read_current(spark, root), fresh, keys, status), root, now)
+        applied = fresh.select(*keys, seq)
+        publish(applied if before is None else upsert(before, applied, keys), seen, now)
 
     return (
         track.writeStream.foreachBatch(merge_batch)

@@ -22,8 +22,9 @@ from gridmill.operators.changes import (
 from gridmill.operators.inventory import mark_absent, mark_superseded, scd_upsert
 from gridmill.operators.runs import run_history
 from gridmill.operators.tablesync import publish, read_current
+from gridmill.plans import replication
 from gridmill.plans.replication import merge_partitions, replicate
-from gridmill.session import work_path
+from gridmill.session import path_exists, work_path
 from gridmill.streaming.merge import merge_stream
 
 TRACK = "k int, s long, v string, status string"
@@ -225,3 +226,43 @@ def test_merge_partitions_rewrites_touched_days_only(spark):
         assert rows(spark.read.parquet(path).where("d = '2024-01-04'").select("k", "v")) == [(5, "late")]
     finally:
         spark.conf.unset("spark.sql.sources.partitionColumnTypeInference.enabled")
+
+
+def test_acknowledge_keeps_rows_without_sequence(spark):
+    df = spark.createDataFrame([(1, None, None, None), (2, 5, None, None), (3, None, 9, None)], "k int, s long, ack long, t timestamp_ntz")
+    got = acknowledge(df, ["k"], "s", "ack", "t", 0, at("10:00")).collect()
+    assert sorted((r.k, r.ack) for r in got) == [(1, 2), (2, 1), (3, 9)]
+
+
+def test_merge_partitions_empties_odd_names_and_finishes_a_failed_try(spark, monkeypatch):
+    path = work_path(spark, "odd")
+    days = ["2024-01-01 10:00", None, "a=b/c%", "kept"]
+    spark.createDataFrame([(i, d, "x") for i, d in enumerate(days)], "k int, d string, v string").write.partitionBy("d").parquet(path)
+    t = spark.createDataFrame([(i, d, i, None, "D") for i, d in enumerate(days[:3])], DAY_TRACK)
+    monkeypatch.setattr(replication, "remove_path", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        merge_partitions(t, path, ["k", "d"], "s", "d")
+    monkeypatch.undo()
+    # The next merge first finishes the one before.
+    merge_partitions(spark.createDataFrame([(7, "new", 9, "y", "I")], DAY_TRACK), path, ["k", "d"], "s", "d")
+    assert rows(spark.read.parquet(path).select("d", "k", "v")) == [("kept", 3, "x"), ("new", 7, "y")]
+    assert not path_exists(spark, f"{path}.pending")
+
+
+def test_late_changes_do_not_win(spark):
+    root, src, ckpt = (work_path(spark, n) for n in ("tab", "src", "ckpt"))
+    publish(spark.createDataFrame([(1, "old"), (2, "old")], TARGET), root, at("09:00"))
+    for batch in ([(1, 9, "new", "U"), (2, 8, None, "D")], [(1, 5, "late", "U"), (2, 7, "back", "I"), (3, 1, "in", "I")]):
+        track(spark, *batch).write.mode("append").parquet(src)
+        merge_stream(spark.readStream.schema(TRACK).parquet(src), root, ["k"], "s", ckpt).awaitTermination(120)
+    assert rows(read_current(spark, root)) == [(1, "new"), (3, "in")]
+
+
+def test_replication_log_is_read_and_appended_to(spark):
+    root, log = work_path(spark, "t"), work_path(spark, "log")
+    publish(spark.createDataFrame([(1, "old")], TARGET), root, at("09:00"))
+    t = track(spark, (1, 1, "a", "U"))
+    run = lambda frame: replication.replicate_logged(frame, log, root, ["k"], "s", "src", "t", at("10:00"))
+    assert run(t) is not None and run(t) is None
+    assert run(t.unionByName(track(spark, (2, 4, "b", "I")))).bounds.low == 2
+    assert [r.last_row_replicated for r in replication.read_log(spark, log).orderBy("last_row_replicated").collect()] == [1, 4]
