@@ -188,8 +188,8 @@ def _ack_null(spark, sf):
     """
     WITH half AS (SELECT max(event_id) // 2 AS h, max(event_id) AS m FROM events)
     SELECT 'events' AS source_tablename, 'target.users' AS target_tablename, n AS last_row_replicated,
-      at AS last_row_replicated_timestamp, CAST(0 AS BIGINT) AS batch_elapsed_seconds
-    FROM half, LATERAL (VALUES (h, TIMESTAMP '2024-01-30'), (m, TIMESTAMP '2024-01-31')) AS v(n, at)""",
+      logged AS last_row_replicated_timestamp, CAST(0 AS BIGINT) AS batch_elapsed_seconds
+    FROM half, LATERAL (VALUES (h, TIMESTAMP '2024-01-30'), (m, TIMESTAMP '2024-01-31')) AS v(n, logged)""",
 )
 def _log(spark, sf):
     """The log after one more batch."""
