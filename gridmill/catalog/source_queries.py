@@ -12,7 +12,7 @@ from gridmill.catalog.registry import query, table
 from gridmill.functions.masking import mask_email, mask_secret, md5_pair
 from gridmill.operators.aggregates import active_items
 from gridmill.operators.joins import find_instances
-from gridmill.session import spread, work_path
+from gridmill.session import work_path
 from gridmill.sources.archive import archive_partition
 from gridmill.sources.delimited import export_delimited, load_delimited, to_lines
 from gridmill.sources.documents import split_documents
@@ -50,7 +50,7 @@ LOAD_SCHEMA = T.StructType(
 )
 def _load(spark, sf):
     path = work_path(spark, "preload")
-    lines = spread(table(spark, sf, "lineitem"))
+    lines = table(spark, sf, "lineitem")
     export_delimited(lines.select(*LOAD_SCHEMA.names), path, sep=",")
     return load_delimited(spark, path, LOAD_SCHEMA).rows
 
@@ -58,7 +58,7 @@ def _load(spark, sf):
 @query(
     "delimited_export",
     """
-    SELECT o_orderkey || '|' || o_custkey || '|' || coalesce(nullif(o_orderstatus, 'F'), '') || '|'
+    SELECT o_orderkey || '|' || o_custkey || '|' || coalesce(nullif(o_orderstatus, 'F'), '\\N') || '|'
            || o_orderpriority AS line FROM orders""",
 )
 def _export(spark, sf):
@@ -93,7 +93,7 @@ def _lines(spark, sf):
            true AS content_equal, true AS safe_to_drop FROM lineitem""",
 )
 def _archive(spark, sf):
-    return archive_partition(spread(table(spark, sf, "lineitem")), work_path(spark, "archive"))
+    return archive_partition(table(spark, sf, "lineitem"), work_path(spark, "archive"))
 
 
 @query(
@@ -132,7 +132,7 @@ def _messages(spark, sf):
         F.lit("}"),
     )
     path = work_path(spark, "messages")
-    spread(table(spark, sf, "events")).select(text.alias("value")).write.text(path)
+    table(spark, sf, "events").select(text.alias("value")).write.text(path)
     out = parse_acceptance_messages(spark.read.text(path))
     return out.withColumns({c: F.col(c).cast("double") for c in ("np", "va_level")})
 
@@ -235,7 +235,7 @@ def order_documents(lines: DataFrame) -> DataFrame:
     FROM s""",
 )
 def _idoc(spark, sf):
-    return split_documents(order_documents(spread(table(spark, sf, "lineitem"))))
+    return split_documents(order_documents(table(spark, sf, "lineitem")))
 
 
 @query(

@@ -17,9 +17,10 @@ def row_digest(cols: Sequence[str]) -> Column:
 def rows_hash(cols: Sequence[str]) -> Column:
     """Order-free hash of a set of rows, as an aggregate.
 
-    Rows are taken as text, the form in which they are archived.
+    Rows are taken as text, the form in which they are archived; NULL and the empty
+    string differ.
     """
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]
     return F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))
 
 

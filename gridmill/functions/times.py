@@ -1,4 +1,4 @@
-"""Time expressions on TIMESTAMP_NTZ columns (session zone UTC)."""
+"""Time expressions on TIMESTAMP_NTZ columns; none depends on the session zone."""
 
 from __future__ import annotations
 
@@ -8,9 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Units whose start is found by taking parts of the clock off.
+_CLOCK = ("second", "minute", "hour")
+
+
 def trunc_ntz(unit: str, ts: Column | str) -> Column:
-    """date_trunc that stays TIMESTAMP_NTZ."""
-    return F.date_trunc(unit, _col(ts)).cast("timestamp_ntz")
+    """The start of the unit that a TIMESTAMP_NTZ falls in, in any session zone.
+
+    date_trunc would pass through the session zone, and move times that its summer time
+    skips; parts of the clock are taken off instead.
+    """
+    c = _col(ts)
+    if unit not in _CLOCK:
+        day = c.cast("date")
+        return (day if unit == "day" else F.trunc(day, unit)).cast("timestamp_ntz")
+    fraction = F.extract(F.lit("SECOND"), c)
+    off = {"hours": F.lit(0), "mins": F.lit(0), "secs": fraction}
+    if unit == "second":
+        off["secs"] = fraction - F.second(c)
+    if unit == "hour":
+        off["mins"] = F.minute(c)
+    return c - F.make_dt_interval(**off)
 
 
 def hour_bucket(ts: Column | str) -> Column:
@@ -19,7 +37,16 @@ def hour_bucket(ts: Column | str) -> Column:
 
 
 def micros(ts: Column | str) -> Column:
-    return F.unix_micros(_col(ts).cast("timestamp"))
+    """Microseconds of a TIMESTAMP_NTZ since 1970, in any session zone."""
+    c = _col(ts)
+    clock = (F.hour(c) * 60 + F.minute(c)).cast("long") * 60_000_000
+    seconds = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    return F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + clock + seconds
+
+
+def text_ntz(ts: Column | str) -> Column:
+    """2024-01-10 09:30:00, with a fraction where there is one, in any session zone."""
+    return _col(ts).cast("string")
 
 
 def minutes_between(start: Column | str, end: Column | str) -> Column:

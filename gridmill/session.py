@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings the operators rely on; everything else stays as the cluster set it."""
-    # date_trunc and unix_micros pass through the session zone.
+    # For times read with a zone; TIMESTAMP_NTZ columns do not depend on it.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -57,13 +57,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = work_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out for work that is heavy per row.
-
-    Tables of any size have more splits than cores, and then nothing is moved. Only for
-    plain scans: the split count is read from the plan.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

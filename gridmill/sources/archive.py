@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridmill.functions.rows import rows_hash
-from gridmill.sources.delimited import export_delimited
+from gridmill.sources.delimited import export_delimited, split_line
 
 
 def archive_partition(df: DataFrame, path: str, sep: str = "|") -> DataFrame:
@@ -22,11 +22,11 @@ def archive_partition(df: DataFrame, path: str, sep: str = "|") -> DataFrame:
         text.observe(seen, count.alias("n"), rows_hash(df.columns).alias("h")),
         path,
         sep=sep,
-        null="",
         compression="gzip",
     )
     source = seen.get
-    back = df.sparkSession.read.schema(text.schema).option("sep", sep).csv(path)
+    fields = df.sparkSession.read.text(path).select(split_line(F.col("value"), sep).alias("f"))
+    back = fields.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(df.columns)])
     counts_equal = F.col("n_rows") == F.col("n_archived")
     content_equal = F.lit(source["h"]).cast("decimal(38,0)").eqNullSafe(F.col("_h"))
     return (
@@ -44,10 +44,4 @@ def archive_partition(df: DataFrame, path: str, sep: str = "|") -> DataFrame:
 
 def _as_text(df: DataFrame) -> DataFrame:
     """Every value as the text that is archived."""
-    out = []
-    for name, kind in df.dtypes:
-        if kind == "timestamp_ntz":
-            out.append(F.date_format(name, "yyyy-MM-dd HH:mm:ss[.SSSSSS]").alias(name))
-        else:
-            out.append(F.col(name).cast("string").alias(name))
-    return df.select(*out)
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])

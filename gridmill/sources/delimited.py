@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridmill.functions.rows import pg_order
+from gridmill.functions.times import text_ntz
+from gridmill.session import work_path
 
 # Fixed value: bad rows a load tolerates before it fails.
 MAX_ERRORS = 9999
@@ -28,50 +32,89 @@ class Load:
     n_bad: int
 
 
+# Escapes of the text form of a database's COPY, and its NULL.
+NULL = r"\N"
+_ESCAPES = {"\n": r"\n", "\r": r"\r", "\t": r"\t"}
+# Stands for escaped characters while a line is split; doubled by a letter where it is text.
+_HELD = "\u0001"
+
+
+def _escaped(value: Column, sep: str) -> Column:
+    out = F.replace(value, F.lit("\\"), F.lit(r"\\"))
+    for raw, text in {**_ESCAPES, sep: f"\\{sep}"}.items():
+        out = F.replace(out, F.lit(raw), F.lit(text))
+    return out
+
+
+def split_line(line: Column, sep: str, null: str = NULL) -> Column:
+    """Fields of an escaped line, as an array of text with NULLs."""
+    marks = {_HELD: "a", r"\\": "b", f"\\{sep}": "c", r"\n": "d", r"\r": "e", r"\t": "f"}
+    if null == NULL:
+        marks[NULL] = "g"
+    raw = dict(zip("abcdef", [_HELD, "\\", sep, "\n", "\r", "\t"]))
+    held = line
+    for text, letter in marks.items():
+        held = F.replace(held, F.lit(text), F.lit(_HELD + letter))
+
+    def plain(field: Column) -> Column:
+        out = field
+        for letter in "bcdefa":
+            out = F.replace(out, F.lit(_HELD + letter), F.lit(raw[letter]))
+        return F.when(field != F.lit(_HELD + "g" if null == NULL else null), out)
+
+    return F.transform(F.split(held, F.lit(re.escape(sep))), plain)
+
+
 def load_delimited(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
     max_errors: int = MAX_ERRORS,
     sep: str = ",",
-    null: str = "",
+    null: str = NULL,
 ) -> Load:
-    """Rows that fit the schema, the lines that do not, and the load counts."""
-    wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    options = {
-        "sep": sep,
-        "nullValue": null,
-        "mode": "PERMISSIVE",
-        "columnNameOfCorruptRecord": _BAD,
-    }
-    parsed = (
-        spark.read.text(path)
-        .where(F.length("value") > 0)
-        .select(F.from_csv("value", wide.toDDL(), options).alias("r"))
-        .select("r.*")
-    )
-    counts = parsed.agg(
-        F.count(F.lit(1)).alias("n_read"), F.count(_BAD).alias("n_bad")
-    ).first()
-    if counts.n_bad > max_errors:
-        raise TooManyBadRows(f"{counts.n_bad} bad rows in {path}, at most {max_errors} allowed")
+    """Rows that fit the schema, the lines that do not, and the load counts.
+
+    Lines are in the form of export_delimited; empty lines are skipped. Each is parsed
+    once: rows and counts are written to the shared folder in one pass.
+    """
+    fields = spark.read.text(path).where(F.length("value") > 0).select("value", split_line(F.col("value"), sep, null).alias("f"))
+    cast = [F.get("f", F.lit(i)).try_cast(s.dataType).alias(s.name) for i, s in enumerate(schema.fields)]
+    lost = [F.get("f", F.lit(i)).isNotNull() & F.col(f"r.{s.name}").isNull() for i, s in enumerate(schema.fields)]
+    bad = (F.size("f") != len(schema)) | reduce(Column.__or__, lost)
+    parsed = fields.select("value", "f", F.struct(*cast).alias("r")).select("r.*", F.when(bad, F.col("value")).alias(_BAD))
+    seen = Observation()
+    held = work_path(spark, "load")
+    parsed.observe(seen, F.count(F.lit(1)).alias("n"), F.count(_BAD).alias("bad")).write.parquet(held)
+    n_read, n_bad = seen.get["n"], seen.get["bad"]
+    if n_bad > max_errors:
+        raise TooManyBadRows(f"{n_bad} bad rows in {path}, at most {max_errors} allowed")
+    kept = spark.read.schema(parsed.schema).parquet(held)
     return Load(
-        parsed.where(F.col(_BAD).isNull()).drop(_BAD),
-        parsed.where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("line")),
-        counts.n_read,
-        counts.n_bad,
+        kept.where(F.col(_BAD).isNull()).drop(_BAD),
+        kept.where(F.col(_BAD).isNotNull()).select(F.col(_BAD).alias("line")),
+        n_read,
+        n_bad,
     )
 
 
 def export_delimited(
-    df: DataFrame, path: str, sep: str = "|", null: str = "", compression: str | None = None
+    df: DataFrame, path: str, sep: str = "|", null: str = NULL, compression: str | None = None
 ) -> None:
-    """Write rows as delimited text, NULL in its archive form."""
-    writer = df.write.option("sep", sep).option("nullValue", null).option("emptyValue", "")
-    writer = writer.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    """Write a line for each row: values as they are, with the separator, the backslash
+    and line breaks escaped, and NULL apart from the empty string."""
+    if len(sep) != 1 or sep in "\\\n\rntNr":
+        raise ValueError("the separator is one character that no escape uses")
+    parts = [F.coalesce(_escaped(F.col(c).cast("string"), sep), F.lit(null)) for c in df.columns]
+    writer = df.select(F.concat_ws(sep, *parts).alias("value")).write
     if compression:
         writer = writer.option("compression", compression)
-    writer.csv(path)
+    writer.text(path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Write the lines of to_lines, in order over the files; a NULL line is left out."""
+    lines.where(F.col("line").isNotNull()).write.text(path)
 
 
 def to_lines(
@@ -85,7 +128,7 @@ def to_lines(
 
     def text(name: str) -> Column:
         if types[name].startswith("timestamp"):
-            return F.date_format(name, "yyyy-MM-dd HH:mm")
+            return F.left(text_ntz(name), F.lit(16))
         return F.col(name).cast("string")
 
     parts: list[Column] = []

@@ -22,17 +22,16 @@ TIME = r"(\d{4}):(\d{2}):(\d{2}):(\d{2}):"
 def parse_acceptance_messages(lines: DataFrame, col: str = "value") -> DataFrame:
     """One row per point of every acceptance message in the lines.
 
-    A value that cannot be read is NULL; a line without a point count is left out.
+    A value that cannot be read is NULL; a line without a point count is left out. The
+    count is a claim: a line gives no more points than it has fields for, the last of
+    which may lack its value (see unfit_messages).
     """
-    text = F.regexp_replace(F.col(col), PREFIX, "")
-    text = F.regexp_replace(text, BODY_START, ",")
-    for pattern in (TAG, r"\}$", ":GMT"):
-        text = F.regexp_replace(text, pattern, "")
-    fields = lines.where(F.col(col).contains(MESSAGE_TYPE)).select(F.split(text, ",").alias("f"))
-    points = fields.withColumn("np", F.get("f", F.lit(5)).try_cast("int"))
+    points = _points(lines, col)
     # f[6], f[7] hold the first pair. The count is tested in the generator: a filter on it
     # would move below and parse every line twice.
-    numbers = F.when(F.col("np") > 0, F.sequence(F.lit(0), F.col("np") - 1))
+    present = F.ceil((F.size("f") - 6) / 2).cast("int")
+    n = F.when(F.col("np") > 0, F.least("np", present))
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1))
     pairs = points.withColumn("i", F.explode(numbers))
     return pairs.select(
         F.col("f")[0].alias("bm_unit_id"),
@@ -46,6 +45,23 @@ def parse_acceptance_messages(lines: DataFrame, col: str = "value") -> DataFrame
     )
 
 
+def unfit_messages(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Lines of acceptance messages whose point count is missing or not that of their points."""
+    points = _points(lines, col)
+    fits = F.col("np") * 2 + 6 == F.size("f")
+    return points.where(~F.coalesce(fits, F.lit(False))).select("line")
+
+
+def _points(lines: DataFrame, col: str) -> DataFrame:
+    """(line, f, np): fields and point count of each message."""
+    text = F.regexp_replace(F.col(col), PREFIX, "")
+    text = F.regexp_replace(text, BODY_START, ",")
+    for pattern in (TAG, r"\}$", ":GMT"):
+        text = F.regexp_replace(text, pattern, "")
+    fields = lines.where(F.col(col).contains(MESSAGE_TYPE)).select(F.col(col).alias("line"), F.split(text, ",").alias("f"))
+    return fields.withColumn("np", F.get("f", F.lit(5)).try_cast("int"))
+
+
 def _time(text: Column) -> Column:
     iso = F.regexp_replace(text, TIME, "$1-$2-$3 $4:")
     return iso.try_cast("timestamp_ntz")
