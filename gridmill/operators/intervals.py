@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridmill.functions.times import time_chunk, trunc_ntz
 from gridmill.operators.slices import levels_of, link_neighbours, sums_before
@@ -139,7 +140,7 @@ def override_energy(
         readings.where(F.col(unit).isNotNull() & F.col(reading_time).isNotNull())
         .groupBy(unit, F.col(reading_time).alias("_t"))
         .agg(
-            F.sum(F.col(reading_level).cast("decimal(28,10)")).alias("_s"),
+            F.sum(exact(readings, reading_level)).alias("_s"),
             F.count(reading_level).alias("_n"),
         )
     )
@@ -170,12 +171,12 @@ def override_energy(
     ).select(
         unit,
         time_chunk("_t", chunk_seconds).alias(_CHUNK),
-        F.lit(None).cast("decimal(28,10)").alias("_s"),
+        F.lit(None).cast("decimal(38,18)").alias("_s"),
     )
     read = readings.select(
         unit,
         time_chunk(reading_time, chunk_seconds).alias(_CHUNK),
-        F.col(reading_level).cast("decimal(28,10)").alias("_s"),
+        exact(readings, reading_level).alias("_s"),
     )
     totals = (
         touched.unionByName(read)
@@ -190,7 +191,7 @@ def override_energy(
         .where(F.col("_side") != 1)
         .join(offsets, [unit, _CHUNK], "left")
     )
-    zero = F.lit(0).cast("decimal(38,10)")
+    zero = F.lit(0).cast("decimal(38,18)")
     sign = F.when(F.col("_side") == 2, 1).otherwise(-1)
     total_s = F.coalesce("_s", zero) + F.coalesce("_s0", zero)
     total_n = F.coalesce("_n", F.lit(0)) + F.coalesce("_n0", F.lit(0))
@@ -205,9 +206,20 @@ def override_energy(
 
 
 def hourly_sum(df: DataFrame, hour: Column, unit: str, value: str) -> DataFrame:
-    """Sum per hour and unit; zero sums are left out."""
+    """Sum per hour and unit; sums of exactly zero are left out."""
+    total = F.sum(exact(df, value))
     return (
         df.groupBy(hour.alias("avg_datehour"), unit)
-        .agg(F.sum(F.col(value).cast("decimal(28,10)")).cast("double").alias("output"))
+        .agg(total.alias("output"))
         .where(F.col("output") != 0)
+        .withColumn("output", F.col("output").cast("double"))
     )
+
+
+def exact(df: DataFrame, col: str) -> Column:
+    """A value whose sums are exact: decimals as they are, others to 18 places.
+
+    A sum that does not fit 20 digits before the point fails; none is rounded away.
+    """
+    kind = df.schema[col].dataType
+    return F.col(col) if isinstance(kind, T.DecimalType) else F.col(col).cast("decimal(38,18)")

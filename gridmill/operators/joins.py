@@ -105,9 +105,9 @@ def densify(
 
 
 def selected_units(
-    units: DataFrame, unit: str, include: str = "include", skip: Sequence[str] = ("T_BPGRD-1",)
+    units: DataFrame, unit: str, skip: Sequence[str], include: str = "include"
 ) -> DataFrame:
-    """Distinct units marked for inclusion; the skip list names one standing exception."""
+    """Distinct units marked for inclusion, but for those in skip."""
     kept = units.where(F.col(include).cast("int") == 1)
     if skip:
         kept = kept.where(~F.col(unit).cast("string").isin(list(skip)))
@@ -115,7 +115,7 @@ def selected_units(
 
 
 def find_instances(
-    df: DataFrame, text: str, redshift_db: str = "padb_harvest", other_db: str = "postgres"
+    df: DataFrame, text: str, redshift_db: str, other_db: str
 ) -> DataFrame:
     """Connection lines of current instances whose name contains the text."""
     head = F.format_string("psql -h %s -p %s -d ", "endpoint", F.col("port").cast("string"))

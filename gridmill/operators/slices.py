@@ -15,19 +15,36 @@ from pyspark.sql import functions as F
 from gridmill.functions.times import time_chunk
 
 GROUP_BITS = 20
+# Slice widths in milliseconds that are tried, each a multiple of the next.
+_WIDTHS = (86_400_000, 3_600_000, 600_000, 60_000, 10_000, 1_000, 100, 10, 1)
 # Microseconds from 1970 to 2100. Later times still come out right, in larger groups.
 _HORIZON = 4_102_444_800_000_000
 
 
 def chunk_width(df: DataFrame, time: str, rows: int = 1_000_000) -> float:
-    """Seconds that hold at most about `rows` rows where the table is densest.
+    """The widest slice in seconds, from a day to a millisecond, that never holds more than
+    `rows` rows; a millisecond where even that holds more.
 
-    Measured over all keys, so the bound holds even if one key has every row. One pass
-    over the time column; one number comes back.
+    Measured over all keys, so the bound holds even if one key has every row. One pass:
+    rows are counted by the smallest slice, and those counts are summed up to the wider
+    ones; one row comes back.
     """
-    per_minute = df.groupBy(time_chunk(time, 60).alias("m")).agg(F.count(F.lit(1)).alias("n"))
-    densest = per_minute.where(F.col("m").isNotNull()).agg(F.max("n")).first()[0] or 1
-    return min(86_400.0, max(0.001, 60.0 * rows / densest))
+    finest = _WIDTHS[-1]
+    counts = (
+        df.where(F.col(time).isNotNull())
+        .groupBy(time_chunk(time, finest / 1000).alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn(f"_most{finest}", F.col("_n"))
+    )
+    found = [f"_most{finest}"]
+    for narrow, width in zip(_WIDTHS[::-1], _WIDTHS[-2::-1]):
+        counts = counts.groupBy(F.call_function("div", F.col("_at"), F.lit(width // narrow)).alias("_at")).agg(
+            F.sum("_n").alias("_n"), *[F.max(c).alias(c) for c in found]
+        ).withColumn(f"_most{width}", F.col("_n"))
+        found.append(f"_most{width}")
+    most = counts.agg(*[F.max(c).alias(c) for c in found]).first()
+    fits = [w for w in _WIDTHS if (most[f"_most{w}"] or 0) <= rows]
+    return (fits[0] if fits else finest) / 1000
 
 
 def levels_of(chunk_seconds: float) -> int:

@@ -73,18 +73,18 @@ def zero_fill(
     value: str,
     period_cols: Sequence[str],
     unit_cols: Sequence[str] = (),
-    skip: Sequence[str] = ("T_BPGRD-1",),
+    skip: Sequence[str] = (),
 ) -> DataFrame:
     """Rows of value 0 for selected units absent on the newest day.
 
-    They carry that day and its period columns, and unit_cols of the unit.
+    They carry that day and its period columns, all from one row of the day (the
+    greatest), and unit_cols of the unit. Units in skip get none.
     """
     newest = daily.agg(F.max(day)).scalar()
     present = daily.where(F.col(day) == newest)
-    # The newest day has one set of period values; max keeps it one row.
-    period = present.groupBy(day).agg(*[F.max(c).alias(c) for c in period_cols])
+    period = present.groupBy(day).agg(F.max(F.struct(*period_cols)).alias("_p")).select(day, "_p.*")
     absent = (
-        units.join(selected_units(units, unit, skip=skip), unit, "left_semi")
+        units.join(selected_units(units, unit, skip), unit, "left_semi")
         .select(unit, *unit_cols)
         .join(present.select(unit), unit, "left_anti")
     )

@@ -85,6 +85,9 @@ def test_chunk_width_follows_density(spark):
     )
     assert chunk_width(df, "t", rows=100) == 10.0
     assert chunk_width(df, "t") == 86_400.0
+    burst = df.unionByName(spark.range(3000).select((F.lit(base).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") / 10_000)).alias("t")))
+    # 3,000 rows in 300 milliseconds: a tenth of a second would hold 1,000.
+    assert chunk_width(burst, "t", rows=400) == 0.01
     assert chunk_width(df.limit(0), "t") == 86_400.0
 
 

@@ -58,7 +58,7 @@ def test_eligible_output(spark):
 
 def test_selected_units(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 0), ("T_BPGRD-1", 1)], "u string, include int")
-    assert rows(selected_units(df, "u")) == [("a",)]
+    assert rows(selected_units(df, "u", ["T_BPGRD-1"])) == [("a",)]
 
 
 def test_latest_backup_pieces(spark):
@@ -87,7 +87,7 @@ def test_find_instances(spark):
         [("current", "db-one", "one.RedShift.example", "5439", "adm"), ("current", "db-two", "two.example", "5432", "adm"), ("deleted", "db-three", "x", "1", "adm")],
         "dba_state string, instance_name string, endpoint string, port string, master_user string",
     )
-    assert rows(find_instances(df, "db-")) == [
+    assert rows(find_instances(df, "db-", "padb_harvest", "postgres")) == [
         ("db-one", "psql -h one.RedShift.example -p 5439 -d padb_harvest -U adm"),
         ("db-two", "psql -h two.example -p 5432 -d postgres -U adm"),
     ]
@@ -164,4 +164,11 @@ def test_closure_takes_the_longest_way(spark):
 def test_closure_reports_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
     with pytest.raises(ValueError, match="cycle"):
-        dependency_closure(edges, spark.createDataFrame([("a",)], "node string"), max_depth=5)
+        dependency_closure(edges, spark.createDataFrame([("a",)], "node string"))
+
+
+def test_closure_has_no_depth_limit(spark):
+    n = 110
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "parent int, child int")
+    got = dependency_closure(edges, spark.createDataFrame([(0,)], "node int"))
+    assert rows(got) == sorted((i, i) for i in range(1, n + 1)) or got.agg({"depth": "max"}).first()[0] == n

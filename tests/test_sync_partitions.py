@@ -118,12 +118,15 @@ def test_full_refresh_switches_versions(spark):
 
 def test_zero_fill(spark):
     daily = spark.createDataFrame(
-        [("a", at("00:00"), 2, 3.5), ("b", at("2024-01-09 00:00"), 2, 1.0)], "u string, d timestamp_ntz, week int, co2 double"
+        [("a", at("00:00"), 2023, 9, 3.5), ("a", at("00:00"), 2024, 1, 3.5), ("b", at("2024-01-09 00:00"), 2024, 2, 1.0)],
+        "u string, d timestamp_ntz, year int, week int, co2 double",
     )
     units = spark.createDataFrame(
         [("a", 1, "A"), ("b", 1, "B"), ("c", 0, "C"), ("T_BPGRD-1", 1, "T")], "u string, include int, name string"
     )
-    assert rows(zero_fill(daily, units, "u", "d", "co2", ["week"], ["name"])) == [("b", "B", at("00:00"), 2, 0.0)]
+    assert rows(zero_fill(daily, units, "u", "d", "co2", ["year", "week"], ["name"], ["T_BPGRD-1"])) == [
+        ("b", "B", at("00:00"), 2024, 1, 0.0)
+    ]
 
 
 def test_densify_repeats_old_hours(spark):
