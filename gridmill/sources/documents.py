@@ -61,34 +61,66 @@ def split_documents(docs: DataFrame, col: str = "text") -> DataFrame:
         *others,
         text.alias("_text"),
         F.split(F.get(F.get("_parts", F.lit(0)), F.lit(0)), "\n").alias("_header"),
-        items.alias("_items"),
+        # As a generated row, so that it is built once, whatever asks for it.
+        F.explode(F.array(_allocated(items))).alias("_alloc"),
         summary.alias("_summary"),
     )
-    ships = F.array_distinct(F.flatten(F.transform("_items", lambda i: i["alloc"]["ship"])))
-    ordered = F.sort_array(
-        F.transform(ships, lambda s: F.struct(_number(s).alias("n"), s.alias("s")))
+    # Sorted by ship-to and item: each ship-to is one stretch, so every allocation is
+    # looked at once, however many items and ship-tos a document has.
+    size = F.size("_alloc")
+    new = F.filter(
+        F.sequence(F.lit(0), size - 1),
+        lambda k: (k == 0) | (F.get("_alloc", k - 1)["ship"] != F.get("_alloc", k)["ship"]),
     )
-    none = F.struct(F.lit(None).cast("decimal(38,0)").alias("n"), F.lit(None).cast("string").alias("s"))
-    per_ship = shaped.select(
-        *others,
-        "_text",
-        "_header",
-        "_items",
-        "_summary",
-        F.posexplode(F.coalesce(ordered, F.array(none))).alias("_i", "_ship"),
+    cut = shaped.select(
+        *others, "_text", "_header", "_alloc", "_summary",
+        F.explode(F.array(F.when(size > 0, new))).alias("_new"),
+    )
+    stretch = F.transform(
+        "_new",
+        lambda k, g: F.slice("_alloc", k + 1, F.coalesce(F.get("_new", g + 1), size) - k),
     )
-    ship = F.col("_ship.s")
+    per_ship = cut.select(
+        *others, "_text", "_header", "_summary",
+        F.posexplode(F.coalesce(stretch, F.array(F.lit(None)))).alias("_i", "_own"),
+    )
+    ship = F.get("_own", F.lit(0))["ship"]
     header = F.transform("_header", lambda line: _header_line(line, ship))
-    own_items = F.filter("_items", lambda i: F.array_contains(i["alloc"]["ship"], ship))
-    lines = F.concat(header, F.transform(own_items, lambda i: _item_text(i, ship)), F.col("_summary"))
+    # Of several allocations of an item to a ship-to the last counts.
+    last = F.filter(
+        "_own", lambda e, k: F.coalesce(F.get("_own", k + 1)["item"] != e["item"], F.lit(True))
+    )
+    lines = F.concat(header, F.transform(last, lambda e: e["text"]), F.col("_summary"))
     return per_ship.select(
         *others,
         ship.alias("ship_to"),
         (F.col("_i") + 1).alias("ship_to_no"),
-        F.when(ship.isNull(), F.col("_text")).otherwise(F.array_join(lines, "\n")).alias(col),
+        F.when(F.col("_own").isNull(), F.col("_text")).otherwise(F.array_join(lines, "\n")).alias(col),
     )
 
 
+def _allocated(items: Column) -> Column:
+    """Allocations of all items as (n, ship, item, no, text), sorted; text: the item's, filled in."""
+    each = F.transform(
+        items,
+        lambda it, i: F.transform(
+            it["alloc"],
+            lambda a, j: F.struct(
+                _number(a["ship"]).alias("n"),
+                a["ship"].alias("ship"),
+                i.alias("item"),
+                j.alias("no"),
+                F.concat(
+                    it["head"],
+                    F.rpad(F.regexp_replace(a["qty"], r"\s.*\s", ""), SLOT_LEN, " "),
+                    it["tail"],
+                ).alias("text"),
+            ),
+        ),
+    )
+    return F.sort_array(F.flatten(each))
+
+
 def malformed_allocations(docs: DataFrame, col: str = "text") -> DataFrame:
     """Allocation lines too short to name a ship-to; the split files them under ''."""
     lines = docs.select(F.explode(F.split(F.col(col), "\n")).alias("line"))
@@ -132,9 +164,3 @@ def _header_line(line: Column, ship: Column) -> Column:
     return F.when(
         line.contains(PARTY_MARK), F.concat(F.rpad(cut, PARTY_PAD, " "), ship)
     ).otherwise(line)
-
-
-def _item_text(item: Column, ship: Column) -> Column:
-    last = F.element_at(F.filter(item["alloc"], lambda a: a["ship"] == ship), -1)
-    quantity = F.regexp_replace(last["qty"], r"\s.*\s", "")
-    return F.concat(item["head"], F.rpad(quantity, SLOT_LEN, " "), item["tail"])

@@ -190,3 +190,10 @@ def test_malformed_allocations_are_counted(spark):
     short = SPLIT.replace(alloc("9", "7"), "Z2EDP01SDQ short")
     assert malformed_allocations(documents(spark, short)).count() == 1
     assert {r.ship_to for r in split_documents(documents(spark, short)).collect()} == {"", "9", "10"}
+
+
+def test_large_document_is_split_in_one_pass(spark):
+    items = [item(i) + "\n" + "\n".join(alloc(str(s), str(i)) for s in range(i % 5, 500, 50)) for i in range(1000)]
+    got = split_documents(documents(spark, "\n".join(["EDI_DC40 9", *items, "E2EDS01 s"]))).select("ship_to", "ship_to_no", F.size(F.split("text", "\n")).alias("n")).collect()
+    want = {str(s): sum(s in range(i % 5, 500, 50) for i in range(1000)) for s in range(500) if s % 50 < 5}
+    assert {r.ship_to: r.n - 2 for r in got} == want
