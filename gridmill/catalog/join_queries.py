@@ -117,7 +117,7 @@ def _backup(spark, sf):
     sites = table(spark, sf, "nation").select(
         F.col("n_nationkey").alias("db_key"), F.col("n_name").alias("db_unique_name")
     )
-    return latest_backup_pieces(jobs, sets, pieces, sites).distinct()
+    return latest_backup_pieces(jobs, sets, pieces, sites, once=True)
 
 
 CAPACITY = """

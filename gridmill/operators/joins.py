@@ -45,11 +45,12 @@ def latest_backup_pieces(
     sites: DataFrame,
     db_unique_name: str | None = None,
     input_type: str = "DB INCR",
+    once: bool = False,
 ) -> DataFrame:
     """Pieces of the newest completed full backup of each database (or of one).
 
     Columns: db_key, piece (name after the last slash), completion_time; ordered by
-    completion.
+    completion. With `once`, pieces of equal name and time are listed once.
     """
     dbs = sites if db_unique_name is None else sites.where(F.col("db_unique_name") == db_unique_name)
     own_jobs = jobs.join(dbs.select("db_key").distinct(), "db_key", "left_semi")
@@ -69,15 +70,12 @@ def latest_backup_pieces(
         .distinct()
     )
     backup_sets = sets.select("bs_key", "session_key").distinct().join(sessions, "session_key")
-    return (
-        pieces.join(backup_sets.select("bs_key", "db_key").distinct(), "bs_key")
-        .select(
-            "db_key",
-            F.substring_index("handle", "/", -1).alias("piece"),
-            "completion_time",
-        )
-        .orderBy("completion_time", "piece")
+    found = pieces.join(backup_sets.select("bs_key", "db_key").distinct(), "bs_key").select(
+        "db_key",
+        F.substring_index("handle", "/", -1).alias("piece"),
+        "completion_time",
     )
+    return (found.distinct() if once else found).orderBy("completion_time", "piece")
 
 
 def densify(
