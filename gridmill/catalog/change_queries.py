@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.catalog.registry import query, table, with_
@@ -24,6 +24,8 @@ from gridmill.operators.changes import (
 from gridmill.operators.inventory import mark_absent, mark_superseded, scd_upsert
 from gridmill.operators.latest import latest_changes
 from gridmill.operators.runs import run_history
+from gridmill.plans.inventory import inventory_run, read_inventory
+from gridmill.session import work_path
 
 KEY = ["user_id"]
 SEQ = "event_id"
@@ -324,3 +326,49 @@ def _runs(spark, sf):
     )
     events = table(spark, sf, "events").select("user_id", "ts", "value", state.alias("state"))
     return run_history(events, ["user_id"], "state", "ts", end_cols=["value"])
+
+
+def write_inventory(customers: DataFrame, created: Column, price: Column, path: str) -> None:
+    """Customers as inventory documents of one instance each, a line a document."""
+    doc = F.struct(
+        F.struct(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").cast("string").alias("owner_id")).alias("account"),
+        F.col("c_name").alias("instance_id"),
+        created.alias("create_date"),
+        F.concat(F.lit("$"), F.format_number(price.cast("decimal(18,2)"), 2)).alias("price_per_month"),
+    )
+    customers.select(F.to_json(F.array(doc)).alias("value")).write.text(path)
+
+
+@query(
+    "inventory_run",
+    """
+    WITH c AS (SELECT c_mktsegment AS an, c_nationkey AS k, c_name AS i, CAST(abs(c_acctbal) AS DECIMAL(18,2)) AS b, c_acctbal < 0 AS neg FROM customer),
+    cur AS (SELECT an, k, i, '2024-01-01' AS d, b AS p, CASE WHEN neg THEN 'deleted' ELSE 'current' END AS st FROM c WHERE an <> 'BUILDING'),
+    snap AS (SELECT an, k, i, CASE WHEN k = 7 THEN '2024-02-01' ELSE '2024-01-01' END AS d,
+                    b + CASE WHEN k < 5 THEN 1 ELSE 0 END AS p FROM c WHERE an <> 'FURNITURE'),
+    up AS (
+      SELECT cur.an, cur.i, cur.d, coalesce(s.p, cur.p) AS p, st, CASE WHEN s.p <> cur.p THEN 'update' END AS change
+      FROM cur LEFT JOIN snap s ON s.i = cur.i AND s.d = cur.d
+      UNION ALL
+      SELECT an, i, d, p, 'current', 'insert' FROM snap s
+      WHERE k < 15 AND NOT EXISTS (SELECT 1 FROM cur WHERE cur.i = s.i AND cur.d = s.d)),
+    m AS (SELECT *, CASE WHEN d < max(CASE WHEN change = 'insert' THEN d END) OVER (PARTITION BY i) THEN 'deleted' ELSE st END AS st2 FROM up)
+    SELECT CASE WHEN an = 'FURNITURE' AND bool_or(st2 = 'current') OVER (PARTITION BY i) THEN 'deleted' ELSE st2 END AS dba_state,
+           i AS instance_name, d AS create_date, CAST(p AS DOUBLE) AS ppm, change
+    FROM m""",
+)
+def _inventory_run(spark, sf):
+    """Customers as instances; those of nation 7 are created anew, dearer in nations 0 to 4."""
+    c = table(spark, sf, "customer")
+    old, new = work_path(spark, "inventory"), work_path(spark, "inventory")
+    price = F.abs("c_acctbal")
+    write_inventory(c.where("c_mktsegment <> 'BUILDING'"), F.lit("2024-01-01"), price, old)
+    again = F.when(F.col("c_nationkey") == 7, "2024-02-01").otherwise("2024-01-01")
+    dearer = price + F.when(F.col("c_nationkey") < 5, 1).otherwise(0)
+    write_inventory(c.where("c_mktsegment <> 'FURNITURE'"), again, dearer, new)
+    gone = c.select(F.col("c_name").alias("instance_name"), F.when(F.col("c_acctbal") < 0, "deleted").otherwise("current").alias("dba_state"))
+    current = read_inventory(spark, old).join(gone, "instance_name")
+    label = F.when(F.col("account_number").cast("int") < 15, "prod-safety").otherwise("prod")
+    accounts = instances(spark, sf).select("account_name", "account_number").distinct().withColumn("label", label)
+    out = inventory_run(current, read_inventory(spark, new), accounts)
+    return out.select("dba_state", "instance_name", "create_date", F.col("ppm").cast("double").alias("ppm"), "change")
