@@ -106,7 +106,8 @@ def numbered(rows: DataFrame, sources: list[Source]) -> DataFrame:
     Rows without words have no place in the stream and are left out. The stream is
     ordered by the hash, in slices of its upper bits, so no window holds a whole source.
     """
-    names = rows.sparkSession.createDataFrame([(s.name, i) for i, s in enumerate(sources)], "name string, s int")
+    # One row for each source, from the driver's own list.
+    names = F.broadcast(rows.sparkSession.createDataFrame([(s.name, i) for i, s in enumerate(sources)], "name string, s int"))
     slice_no = F.shiftrightunsigned("mix", 64 - _SLICE_BITS)
     known = rows.where("size > 0").join(names, F.col("source").cast("string").eqNullSafe(F.col("name"))).drop("name").withColumn("part", slice_no)
     totals = known.groupBy("s", "part").agg(F.sum("size").alias("size"))
@@ -155,7 +156,8 @@ def slots(spark: SparkSession, sources: list[Source], seed: int) -> DataFrame:
     # Shards may be many: their sums are taken in groups of groups.
     before = sums_before(counts, ["s"], "shard", ["n"], 2)
     rank = F.row_number().over(Window.partitionBy("shard", "s").orderBy("slot")) - 1
-    own = drawn.withColumn("rank", rank).join(before, ["s", "shard"]).withColumn("turn", F.col("rank") + F.coalesce("n", F.lit(0)))
+    # Spark takes generated rows for few, so joins of them are told to sort, not to broadcast.
+    own = drawn.withColumn("rank", rank).hint("merge").join(before, ["s", "shard"]).withColumn("turn", F.col("rank") + F.coalesce("n", F.lit(0)))
     extra = _at(over, F.col("s")) + F.col("turn") - _at(want, F.col("s"))
     told = own.withColumn("extra", F.when(F.col("turn") >= _at(want, F.col("s")), extra)).withColumn("to", _range_of(short[1:], F.col("extra")))
     moved = F.col("extra").isNotNull()
@@ -193,14 +195,14 @@ def taken_words(
     times = slots(docs.sparkSession, sources, seed).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
     taken = (
         _pieces(stream, block)
-        .join(times, ["s", "block"], "left")
+        .join(times.hint("merge"), ["s", "block"], "left")
         .groupBy("key", "source", "size", "s", "start")
         .agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).alias("taken"))
         .select("key", "source", "size", "taken")
         .unionByName(rows.where("size = 0").select("key", "source", "size", F.lit(0).cast("long").alias("taken")))
     )
     told = docs.sparkSession.createDataFrame([(s.name, s.size, s.target) for s in sources], "name string, source_size long, target double")
-    return taken.join(told, F.col("source").cast("string").eqNullSafe(F.col("name"))).select("key", "source", "size", "source_size", "target", "taken")
+    return taken.join(F.broadcast(told), F.col("source").cast("string").eqNullSafe(F.col("name"))).select("key", "source", "size", "source_size", "target", "taken")
 
 
 def mixed_blocks(
@@ -218,12 +220,12 @@ def mixed_blocks(
     cut = F.slice("all", F.col("skip").cast("int") + 1, F.col("n").cast("int"))
     part = F.struct("start", "id", cut.alias("words"))
     packed = (
-        pieces.join(texts, F.col("key") == F.col("_row"))
+        pieces.hint("merge").join(texts, F.col("key") == F.col("_row"))
         .groupBy("s", "source", "block")
         .agg(F.sort_array(F.collect_list(part)).alias("parts"))
         .select("s", "source", "block", F.col("parts.id").alias("ids"), F.flatten("parts.words").alias("words"))
     )
-    return slots(docs.sparkSession, sources, seed).join(packed, ["s", "block"]).select("shard", "slot", "source", "block", "ids", "words")
+    return slots(docs.sparkSession, sources, seed).hint("merge").join(packed, ["s", "block"]).select("shard", "slot", "source", "block", "ids", "words")
 
 
 def mix_documents(
@@ -241,7 +243,7 @@ def mix_documents(
     times = slots(docs.sparkSession, sources, seed).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
     counts = (
         _pieces(cut_lineage(numbered(places, sources)), block)
-        .join(times, ["s", "block"])
+        .join(times.hint("merge"), ["s", "block"])
         .groupBy("key", "start")
         .agg(F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("times"), F.sum("n").alias("n"), F.max("size").alias("size"), F.min("times").alias("least"))
     )
@@ -250,7 +252,7 @@ def mix_documents(
     whole = (F.col("_c.n") == F.col("_c.size")) & (F.col("_c.least") >= F.col("_pass"))
     some = F.array_join(F.filter(parts, held), "")
     return (
-        rows.join(counts.select("key", F.struct("start", "times", "n", "size", "least").alias("_c")), F.col("_row") == F.col("key"))
+        rows.join(counts.select("key", F.struct("start", "times", "n", "size", "least").alias("_c")).hint("merge"), F.col("_row") == F.col("key"))
         .withColumn("_pass", F.explode(F.array(*[F.lit(i + 1) for i in range(MOST)])))
         .withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some))
         .where(F.length(text_col) > 0)
