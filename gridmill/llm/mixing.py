@@ -129,7 +129,8 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
         bit = F.xxhash64(*key, r, F.greatest(at, mirror)).bitwiseAND(F.lit(1))
         return F.when(bit == 1, mirror).otherwise(at)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, swapped)
+    # Never null; said so, a join has no null to look for and the rounds run once.
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, swapped), F.lit(0).cast("long"))
 
 
 def slots(spark: SparkSession, sources: list[Source], seed: int) -> DataFrame:
