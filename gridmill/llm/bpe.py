@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 from functools import lru_cache
 from hashlib import sha256
 
@@ -20,10 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _MARK = "\x01"
-# A blank or break beside another white space character must not be cut at. Python's
-# white space holds all that the tokenizers' patterns count as such.
-_UNSAFE = re.compile(r"^ | $|[ \n]\s|\s[ \n]")
+# A blank or break beside another white space character must not be cut at, nor a blank at
+# an end. The class holds all that the tokenizers' patterns count as white space.
+_SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
+_UNSAFE = rf"^ | $|[ \n]{_SPACE}|{_SPACE}[ \n]|{_MARK}"
 _BATCH = 20_000
+# One token pattern by itself: letters with at most a blank before them.
+_WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
 
 class Encoder:
@@ -32,6 +34,7 @@ class Encoder:
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -43,37 +46,61 @@ class Encoder:
         # A special string stands between chunks that are encoded in one go.
         self._mark = next(((t["content"], t["id"]) for t in spec["added_tokens"] if t["special"]), None)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # For chunks that are one word the pattern that looks for words is left out.
+        self._bare = Tokenizer.from_file(path)
+        self._bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, texts: list[str], bare: bool = False) -> list[np.ndarray]:
+        tokenizer = self._bare if bare else self._tokenizer
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined(self, chunks: list[str], bare: bool) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the chunks in turn."""
         if self._mark is None or any(self._mark[0] in c for c in chunks):
-            parts = self._encode(chunks)
+            parts = self._encode(chunks, bare)
             return np.array([len(p) for p in parts], np.int64), np.concatenate([*parts, np.zeros(0, "<u4")])
         text, mark = self._mark
-        groups = self._encode([text.join(chunks[i : i + _BATCH]) + text for i in range(0, len(chunks), _BATCH)])
+        groups = self._encode([text.join(chunks[i : i + _BATCH]) + text for i in range(0, len(chunks), _BATCH)], bare)
         ids = np.concatenate([*groups, np.zeros(0, "<u4")])
-        ends = np.flatnonzero(ids == mark)
-        return np.diff(ends, prepend=-1) - 1, ids[ids != mark]
+        return np.diff(np.flatnonzero(ids == mark), prepend=-1) - 1, ids[ids != mark]
+
+    def _chunks(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As _joined; a word's comma or full stop is taken off first, as it is a token alone."""
+        tail = pc.utf8_slice_codeunits(chunks, -1)
+        stem = pc.if_else(pc.is_in(tail, pa.array([",", "."], tail.type)), pc.utf8_slice_codeunits(chunks, 0, -1), chunks)
+        word = pc.match_substring_regex(stem, _WORD)
+        stem = pc.if_else(word, stem, chunks)
+        cut = pc.not_equal(stem, chunks).to_numpy(zero_copy_only=False)
+        coded = stem.dictionary_encode()
+        words = pc.match_substring_regex(coded.dictionary, _WORD).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(words), np.flatnonzero(~words)])
+        plain = self._joined(coded.dictionary.filter(pa.array(words)).to_pylist(), True)
+        other = self._joined(coded.dictionary.filter(pa.array(~words)).to_pylist(), False)
+        size, place = np.concatenate([plain[0], other[0]]), np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        lengths, ids = _gather(size, np.concatenate([plain[1], other[1]]), place[coded.indices.to_numpy()])
+        if cut.any():
+            comma, stop = (int(self._encode([m])[0][0]) for m in ",.")
+            ends = pc.equal(tail, ",").to_numpy(zero_copy_only=False)[cut]
+            ids = np.insert(ids, np.cumsum(lengths)[cut], np.where(ends, comma, stop).astype("<u4"))
+        return lengths + cut, ids
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids): ids of all texts in turn, and how many each has; null is empty."""
         found = [self._some(part) for part in slices(pc.fill_null(texts.cast(pa.large_string()), ""))]
+        pa.default_memory_pool().release_unused()
         return np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)]), np.concatenate([np.zeros(0, "<u4"), *(x for _, x in found)])
 
     def _some(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if not self._cuts:
-            whole = [self._encode([t])[0] for t in texts.to_pylist()]
+            whole = self._encode(texts.to_pylist())
             return np.array([len(x) for x in whole], np.int64), np.concatenate([*whole, np.zeros(0, "<u4")])
-        odd = np.array([bool(_UNSAFE.search(t)) or _MARK in t for t in texts.to_pylist()], bool)
-        marked = pc.if_else(pa.array(odd), "", pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", f"{_MARK}\n{_MARK}"))
+        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        odd = unsafe.to_numpy(zero_copy_only=False)
+        marked = pc.if_else(unsafe, "", pc.replace_substring(pc.replace_substring(texts, " ", _MARK + " "), "\n", f"{_MARK}\n{_MARK}"))
         lists = pc.split_pattern(marked, _MARK)
         coded = lists.flatten().dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        size, flat = self._chunks(coded.dictionary.to_pylist())
-        lengths, start = size[code], (np.cumsum(size) - size)[code]
-        ids = flat[np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+        lengths, ids = _gather(*self._chunks(coded.dictionary), coded.indices.to_numpy())
         doc = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
         sizes = np.bincount(doc, lengths, minlength=len(texts)).astype(np.int64)
         if odd.any():
@@ -85,7 +112,13 @@ class Encoder:
         return sizes, ids
 
 
-def slices(texts: pa.Array, size: int = 8 << 20) -> list[pa.Array]:
+def _gather(size: np.ndarray, flat: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, ids) of the coded chunks in turn; flat has each chunk's ids once."""
+    lengths, start = size[code], (np.cumsum(size) - size)[code]
+    return lengths, flat[np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+
+
+def slices(texts: pa.Array, size: int = 4 << 20) -> list[pa.Array]:
     """The texts in parts of about `size` bytes, or one text where that is longer."""
     part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // size
     first = np.flatnonzero(np.diff(part, prepend=-1)).tolist()

@@ -1,7 +1,7 @@
 """Token ids in files of canonical length-limited Huffman codes.
 
 A table of blocks: each holds up to BLOCK ids in one bit string, the bit offset of every
-STEPth id, and the documents it covers. A block needs only the code lengths to be read,
+STEPth id of each document, and the documents it covers. A block needs only the code lengths to be read,
 and inside it every stretch between checkpoints is decoded side by side through one
 table, so blocks can be read in any order and by any task. Documents lie in ascending id
 order over parts, blocks and ids; a document longer than a block has blocks of its own.
@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,11 +25,16 @@ from gridmill.session import work_path
 BLOCK = 65_536
 STEP = 64
 LIMIT = 20
+# Ids of the documents in one range of document ids, about; ids that are encoded at once.
+PART = 8_000_000
+_AT_ONCE = 1_000_000
 _BLOCKS = (
     "part int, block int, start long, doc_start long, piece int, n_ids int,"
     " doc_ids array<long>, doc_sizes array<int>, offsets binary, payload binary"
 )
 
+_CODED = "part int, id long, mix long, row long, piece int, n_ids int, offsets binary, payload binary"
+
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Code length for each count (0 where the count is 0), at most `limit`; package-merge."""
@@ -71,21 +77,29 @@ class Codes:
         self.code[self.symbols] = ((np.cumsum(span) - span) >> (self.bits - self.length[self.symbols])).astype(np.uint64)
         self._span = span
 
-    def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Bit string, and the bit offset of every STEPth id."""
-        size = self.length[ids]
-        at = np.cumsum(size) - size
-        total = int(size.sum())
-        words = np.zeros(total // 64 + 2, np.uint64)
-        word, left = at >> 6, 64 - (at & 63) - size
+    def encode(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """(bit string, bit offsets of every STEPth id) of each of the texts in turn.
+
+        sizes: ids of each text, none empty. Every text begins at a whole byte.
+        """
+        length, first = self.length[ids], np.cumsum(sizes) - sizes
+        used = -(-np.add.reduceat(length, first) // 8)
+        base = (np.cumsum(used) - used) * 8
+        at = np.cumsum(length) - length
+        at += np.repeat(base - at[first], sizes)
+        words = np.zeros(int(used.sum()) // 8 + 2, np.uint64)
+        word, left = at >> 6, 64 - (at & 63) - length
         code = self.code[ids]
         high = np.where(left >= 0, code << np.maximum(left, 0).astype(np.uint64), code >> np.maximum(-left, 0).astype(np.uint64))
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        if len(first):
-            words[word[first]] = np.add.reduceat(high, first)
+        new = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[new]] = np.add.reduceat(high, new)
         over = left < 0
         words[word[over] + 1] += code[over] << (64 + left[over]).astype(np.uint64)
-        return words.astype(">u8").tobytes()[: -(-total // 8)], at[::STEP].astype("<u4")
+        raw, marks = words.astype(">u8").tobytes(), -(-sizes // STEP)
+        step = np.repeat(first - (np.cumsum(marks) - marks) * STEP, marks) + np.arange(int(marks.sum())) * STEP
+        offsets = (at[step] - np.repeat(base, marks)).astype("<u4").tobytes()
+        ends, begins = np.cumsum(marks) * 4, base // 8
+        return [(raw[x : x + n], offsets[e - 4 * m : e]) for x, n, e, m in zip(begins.tolist(), used.tolist(), ends.tolist(), marks.tolist())]
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """Id and code length by the next `bits` bits."""
@@ -97,8 +111,11 @@ class Codes:
         return symbol, length
 
 
-def decode(payload: bytes, offsets: np.ndarray, n: int, bits: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The n ids of a block; all stretches between checkpoints advance together."""
+def decode(payload: bytes, offsets: np.ndarray, sizes: np.ndarray, bits: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The ids of a block's documents; all stretches between checkpoints advance together.
+
+    Each document begins a stretch of its own; its last may be short.
+    """
     symbol, length = table
     raw = np.frombuffer(payload + bytes(STEP * bits // 8 + 8), np.uint8).astype(np.uint32)
     window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
@@ -108,7 +125,11 @@ def decode(payload: bytes, offsets: np.ndarray, n: int, bits: int, table: tuple[
         key = (window[at >> 3] >> (32 - bits - (at & 7)).astype(np.uint32)) & mask
         out[i] = symbol[key]
         at += length[key]
-    return out.T.reshape(-1)[:n]
+    stretches = -(-sizes // STEP)
+    last = np.cumsum(stretches) - 1
+    full = np.full(len(offsets), STEP)
+    full[last] = sizes - (stretches - 1) * STEP
+    return out.T[np.arange(STEP) < full[:, None]]
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,8 +149,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "d
 def write_ids(tokens: DataFrame, path: str) -> None:
     """Write (id, ids) as code lengths and blocks under path, ids ascending, null first.
 
-    Rows with the same id follow each other. Reads `tokens` twice: once to count all ids,
-    once to write; only the counts, at most one row for each different id, come back.
+    Rows with the same id follow each other. Reads `tokens` twice: to count all ids, and
+    to encode each document, which is then dealt out in its coded form. Only the counts,
+    at most one row for each different id, come to the driver.
     """
     counts = tokens.select("ids").mapInArrow(_count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
     pairs = counts.toPandas()
@@ -140,16 +162,19 @@ def write_ids(tokens: DataFrame, path: str) -> None:
     table = [(int(s), int(codes.length[s])) for s in codes.symbols]
     spark.createDataFrame(table, "token int, length int").coalesce(1).write.parquet(f"{path}/codes")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _blocks(batches, codes, TaskContext.get().partitionId())
+    # Documents are dealt out by ranges of their ids, cut where these quantiles lie.
+    parts = -(-int(total.sum()) // PART)
+    cuts = tokens.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    bounds = np.unique(np.array(cuts, np.float64))
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _encoded(batches, codes, bounds)
 
-    mixed = F.xxhash64("ids")
     (
-        tokens.select("id", "ids", mixed.alias("_mix"))
-        .repartitionByRange("id", "_mix")
-        .sortWithinPartitions("id", "_mix")
-        .select("id", "ids")
-        .mapInArrow(blocks, _BLOCKS)
+        tokens.mapInArrow(encoded, _CODED)
+        .repartition("part")
+        .sortWithinPartitions("part", "id", "mix", "row", "piece")
+        .mapInArrow(_blocks, _BLOCKS)
         .write.option("compression", "none")
         .parquet(f"{path}/blocks")
     )
@@ -166,38 +191,76 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["token", "n"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], codes: Codes, part: int) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], codes: Codes, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each document as a bit string of its own, or as several where it is longer than a block.
+
+    row keeps the pieces of equal documents apart.
+    """
+    row_no = TaskContext.get().partitionId() << 32
+    names = ["part", "id", "mix", "row", "piece", "n_ids", "offsets", "payload"]
+    kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.int32()] * 2, *[pa.binary()] * 2]
+    rows: list[tuple] = []
+    held: list[np.ndarray] = []
+
+    def made() -> pa.RecordBatch:
+        coded = codes.encode(np.concatenate(held), np.array([len(h) for h in held], np.int64))
+        columns = [*zip(*rows), [o for _, o in coded], [p for p, _ in coded]]
+        held.clear()
+        rows.clear()
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    size = 0
+    for batch in batches:
+        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+            buffer = raw.as_buffer()
+            ids, mix = np.frombuffer(buffer, "<u4"), xxhash.xxh64_intdigest(buffer) >> 1
+            part = 0 if doc_id is None else int(np.searchsorted(bounds, doc_id, "right"))
+            for at in range(0, len(ids), BLOCK):
+                held.append(ids[at : at + BLOCK])
+                rows.append((part, doc_id, mix, row_no, at // BLOCK if len(ids) > BLOCK else -1, len(held[-1])))
+            row_no += 1
+            size += len(ids)
+            if size > _AT_ONCE:
+                yield made()
+                size = 0
+    if rows:
+        yield made()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bit strings in order, joined into blocks; each begins at a whole byte."""
     schema = pa.schema(
         [("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_start", pa.int64()), ("piece", pa.int32()), ("n_ids", pa.int32()),
          ("doc_ids", pa.list_(pa.int64())), ("doc_sizes", pa.list_(pa.int32())), ("offsets", pa.binary()), ("payload", pa.binary())]
     )
-    block, start = 0, 0
+    part, block, start, doc_start = -1, 0, 0, 0
 
-    def made(doc_ids: list, texts: list[np.ndarray], doc_start: int, piece: int) -> pa.RecordBatch:
+    def made(rows: list[tuple], piece: int) -> pa.RecordBatch:
         nonlocal block, start
-        ids = np.concatenate(texts)
-        payload, offsets = codes.encode(ids)
-        row = [part, block, start, doc_start, piece, len(ids), doc_ids, [len(t) for t in texts], offsets.tobytes(), payload]
-        block, start = block + 1, start + len(ids)
+        ids, sizes, offsets, payloads = zip(*rows)
+        first = np.cumsum([0, *map(len, payloads[:-1])]) * 8
+        shifted = np.concatenate([np.frombuffer(o, "<u4") + f for o, f in zip(offsets, first)]).astype("<u4")
+        row = [part, block, start, doc_start if piece >= 0 else start, piece, sum(sizes), list(ids), list(sizes), shifted.tobytes(), b"".join(payloads)]
+        block, start = block + 1, start + sum(sizes)
         return pa.record_batch([pa.array([x], f.type) for x, f in zip(row, schema)], schema=schema)
 
-    held_ids, held, size = [], [], 0
+    held: list[tuple] = []
+    size = 0
     for batch in batches:
-        for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = np.frombuffer(raw.as_buffer(), "<u4")
-            if held and size + len(ids) > BLOCK:
-                yield made(held_ids, held, start, -1)
-                held_ids, held, size = [], [], 0
-            if len(ids) > BLOCK:
-                first = start
-                for piece, at in enumerate(range(0, len(ids), BLOCK)):
-                    yield made([doc_id], [ids[at : at + BLOCK]], first, piece)
+        for own, doc_id, _, _, piece, n, offsets, payload in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and (piece >= 0 or size + n > BLOCK or own != part):
+                yield made(held, -1)
+                held, size = [], 0
+            if own != part:
+                part, block, start = own, 0, 0
+            if piece >= 0:
+                doc_start = start if piece == 0 else doc_start
+                yield made([(doc_id, n, offsets, payload)], piece)
             else:
-                held_ids.append(doc_id)
-                held.append(ids)
-                size += len(ids)
+                held.append((doc_id, n, offsets, payload))
+                size += n
     if held:
-        yield made(held_ids, held, start, -1)
+        yield made(held, -1)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -206,7 +269,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     lengths = np.zeros(int(pairs["token"].max()) + 1 if len(pairs) else 1, np.uint8)
     lengths[pairs["token"]] = pairs["length"]
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
-    # One row for each part: a task of the writer.
+    # One row for each part.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
@@ -215,8 +278,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         table = codes.table()
         for batch in batches:
             for r in batch.to_pylist():
-                ids = decode(r["payload"], np.frombuffer(r["offsets"], "<u4"), r["n_ids"], codes.bits, table)
                 sizes = np.array(r["doc_sizes"], np.int64)
+                ids = decode(r["payload"], np.frombuffer(r["offsets"], "<u4"), sizes, codes.bits, table)
                 ends = np.cumsum(sizes)
                 starts = r["base"] + (r["doc_start"] if r["piece"] >= 0 else r["start"] + ends - sizes)
                 raw = [ids[e - s : e].tobytes() for s, e in zip(sizes, ends)]

@@ -48,8 +48,9 @@ def test_codes_round_trip(n, total):
     assert lengths.max() <= huffman.LIMIT and (len(used) == 1 or (2.0**-used).sum() == 1)
     codes = huffman.Codes(lengths)
     part = ids[: huffman.BLOCK]
-    payload, offsets = codes.encode(part)
-    assert huffman.decode(payload, offsets, len(part), codes.bits, codes.table()).tolist() == part.tolist()
+    (payload, raw), = codes.encode(part, np.array([len(part)]))
+    offsets = np.frombuffer(raw, "<u4")
+    assert huffman.decode(payload, offsets, np.array([len(part)]), codes.bits, codes.table()).tolist() == part.tolist()
 
 
 def test_limit_holds_where_plain_codes_would_be_longer():
@@ -63,10 +64,12 @@ def test_limit_holds_where_plain_codes_would_be_longer():
 def test_ids_written_and_read(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(rng.choice([None, *range(40)]), t, "x") for t in odd_texts(60)]
-    rows += [(7, "same same", "x")] * 3 + [(99, "long words here " * 30_000, "x")]
+    rows += [(7, "same same", "x")] * 3 + [*[(99, "long words here " * 30_000, "x")] * 2]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(5)
     path = work_path(spark, "test")
+    monkeypatch.setattr(huffman, "PART", 40_000)
     huffman.huffman_ids(docs, BPE, path)
+    assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 2
     got = huffman.read_ids(spark, path).orderBy("start").collect()
     assert [r.id for r in got] == sorted((r[0] for r in rows), key=lambda i: (i is not None, i))
     at = 0
