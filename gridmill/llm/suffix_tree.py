@@ -33,6 +33,8 @@ from gridmill.session import cut_lineage
 DEPTH = 3
 SHARE = 2e-6
 CUTOFF = 6.0
+# Bytes of text in a block: what a task holds of texts, words and places at once.
+BLOCK = 4 << 20
 # Taken off each seen continuation, and the weight of the shorter context's view.
 DISCOUNT, MU = 0.75, 2.0
 _BITS = 20
@@ -66,7 +68,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, texts, at = batch.column(0), pc.fill_null(batch.column(1).cast(pa.large_string()), ""), 0
-            for part in slices(texts):
+            for part in slices(texts, BLOCK):
                 own = ids.slice(at, len(part)).to_pylist()
                 at += len(part)
                 lists = pc.ascii_split_whitespace(pc.ascii_lower(part))
@@ -102,10 +104,11 @@ def _each(blocks: DataFrame, columns: list[str], schema: str, fn: Callable[...,
 
 
 def word_counts(blocks: DataFrame, least: int) -> DataFrame:
-    """(block, code, word, n, c, lead) of words that stand in several blocks or `least` times.
+    """(block, code, word, c, held, lead) of words that stand in several blocks or `least` times.
 
-    c: count in all training texts; lead marks one row of each word. A block knows the
-    count of a word that no other block has.
+    c: count in all training texts; held: blocks that have the word in one; lead marks one
+    row of each word. A block knows the count of a word that no other block has; words
+    that stand `least` times or more have the lead row only, as the tree lists them.
     """
 
     def asked(block: int, words: bytes, counts: bytes) -> dict[str, np.ndarray]:
@@ -114,9 +117,12 @@ def word_counts(blocks: DataFrame, least: int) -> DataFrame:
 
     # Dealt out once: the sums and the join find their rows where they are.
     rows = _each(blocks, ["block", "words", "counts"], "word long, block long, code int, n int", asked).repartition("word")
-    sums = rows.groupBy("word").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks"), F.min("block").alias("first"))
-    told = rows.join(sums.where((F.col("blocks") > 1) | (F.col("c") >= least)), "word")
-    return cut_lineage(told.select("block", "code", "word", "n", "c", (F.col("block") == F.col("first")).alias("lead")))
+    sums = rows.groupBy("word").agg(
+        F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks"), F.min("block").alias("first"), F.sum((F.col("n") > 0).cast("int")).alias("held")
+    )
+    lead = F.col("block") == F.col("first")
+    told = rows.join(sums.where((F.col("blocks") > 1) | (F.col("c") >= least)), "word").where(lead | (F.col("c") < least))
+    return cut_lineage(told.select("block", "code", "word", "c", F.when(lead, F.col("held")).alias("held"), lead.alias("lead")))
 
 
 @dataclass
@@ -138,25 +144,29 @@ class Tree:
 
         The token before a text's first is its end mark; no context reaches further.
         """
-        at = np.arange(len(found)) - np.repeat(np.cumsum(size) - size, size)
-        shifted = np.concatenate([[-1], found[:-1]])
+        first = np.cumsum(size) - size
+        shifted = np.empty_like(found)
+        shifted[1:] = found[:-1]
         if k == 1:
-            return np.where(at == 0, _find(self.codes[0], np.array([_END], np.uint64))[0], shifted)
-        return np.where(at < k - 1, -1, shifted)
+            shifted[first] = _find(self.codes[0], np.array([_END], np.uint64))[0]
+        for i in range(k - 1):
+            shifted[first[size > i] + i] = -1
+        return shifted
 
     def places(self, words: np.ndarray, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For k = 1, 2, ...: the sequence of k words that ends at each token, by its place in
         the list or -1, and by its code or -1; at last the code alone of those of the next k.
         """
-        last = _find(self.codes[0], words)[codes]
+        last = _find(self.codes[0], words).astype(np.int32)[codes]
         found = last
         yield found, found
         for k in range(1, len(self.codes) + 1):
             context = self.before(found, size, k)
-            code = np.where((context >= 0) & (last >= 0), (context << _BITS) | last, -1)
-            found = np.full(len(codes), -1)
+            known = np.flatnonzero((context >= 0) & (last >= 0))
+            code = np.full(len(codes), -1)
+            code[known] = (context[known].astype(np.int64) << _BITS) | last[known]
+            found = np.full(len(codes), -1, np.int32)
             if k < len(self.codes):
-                known = np.flatnonzero(code >= 0)
                 found[known] = _find(self.codes[k], code[known])
             yield found, code
 
@@ -252,8 +262,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
     least = max(2, math.ceil(share * tokens))
     told = word_counts(blocks, least)
     # Words of several blocks are counted once.
-    more = told.agg(F.sum((F.col("n") > 0).cast("long")).alias("n"), F.sum((F.col("lead") & (F.col("c") > 0)).cast("long")).alias("lead")).first()
-    types = (own["types"] or 0) - (more["n"] or 0) + (more["lead"] or 0)
+    more = told.where("lead").agg(F.sum("held").alias("held"), F.sum((F.col("c") > 0).cast("long")).alias("words")).first()
+    types = (own["types"] or 0) - (more["held"] or 0) + (more["words"] or 0)
     tree = docs.sparkSession.sparkContext.broadcast(grow(blocks, told, least, tokens, types))
     scale = tokens + types + 1
 
@@ -263,6 +273,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
             size, codes = _unpack(row["sizes"], "<u4").astype(np.int64), _unpack(row["codes"], "<u4")
             count = _unpack(row["counts"], "<u4").astype(np.int64)
             count[counts["code"].to_numpy()] = counts["c"].to_numpy()
+            listed = _find(tree.value.codes[0], _unpack(row["words"], "<u8"))
+            count[listed >= 0] = tree.value.counts[0][listed[listed >= 0]]
             p = ((count + 1) / scale)[codes]
             base = np.log10(count + 1.0)[codes]
             known = (count > 0)[codes]
