@@ -1,32 +1,38 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
-Merges run from an agenda, best first; each candidate that comes up is skipped if a keyed
-hash of it says so. The key is the seed, one of DRAWS draws, the chunk and the
+Merges are taken from an agenda, best first; each candidate that comes up is skipped if a
+keyed hash of it says so. The key is the seed, one of DRAWS draws, the chunk and the
 candidate's place; the draw follows from the document and the chunk's number, so the same
 word is cut in different ways, and a rerun cuts it the same. A chunk is a run of blanks
-and what follows it: no piece reaches over its start, so chunks are encoded alone and
-kept by draw. With dropout 0 the ids are the library's, but for the character that the
-model uses for blanks: it is written as bytes, as no text could be read back otherwise.
+and what follows it: no piece reaches over its start, so each different chunk and draw of
+a batch is cut once, all side by side: a round takes the best candidate of every chunk.
+With dropout 0 the ids are the library's, but for the character that the model uses for
+blanks: it is written as bytes, as no text could be read back otherwise.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm.bpe import slices
+
 DRAWS = 4
 _BLANK = "▁"
 _CHUNK = re.compile(f"[\n{_BLANK}]| *[^ \n{_BLANK}]+| +")
-_KEPT = 400_000
-_MASK = 0xFFFFFFFF
+_BYTES = 4 << 20
+# Chunks of more characters would take as many rounds, and are cut one by one.
+_LONG = 96
+_NONE = np.iinfo(np.int64).max
+_MASK = np.uint64(0xFFFFFFFF)
 
 
 class Pieces:
@@ -49,19 +55,51 @@ class Pieces:
             raise ValueError("pieces that reach over a blank or a line break cannot be cut at them")
         score = {s: r for r, s in enumerate(sorted({model.get_score(i) for i, _ in named}, reverse=True))}
         self.rank = {p: score[model.get_score(i)] for i, p in named}
-        self.byte = {bytes([int(model.id_to_piece(i)[3:5], 16)]): i for i in range(n) if model.is_byte(i)}
+        self.byte = np.zeros(256, np.int32)
+        for i in range(n):
+            if model.is_byte(i):
+                self.byte[int(model.id_to_piece(i)[3:5], 16)] = i
         self.text = [b""] * n
         for i, p in named:
             self.text[i] = p.replace(_BLANK, " ").encode()
-        for b, i in self.byte.items():
-            self.text[i] = b
-
-    def cut(self, chunk: str, key: int, skip: int) -> list[str]:
-        """The chunk's pieces; a candidate is skipped if its hash of 32 bits is under skip."""
-        part = list(chunk)
+        for b in range(256):
+            self.text[self.byte[b]] = bytes([b])
+        # Symbols: the ids of pieces, then characters that only stand inside pieces.
+        chars = sorted({c for p in self.ids for c in p} - set(self.ids))
+        self.symbols = n + len(chars)
+        place = {**self.ids, **{c: n + i for i, c in enumerate(chars)}}
+        known = sorted((ord(p), i) for p, i in place.items() if len(p) == 1)
+        self.points, self.point_symbol = (np.array(x, np.int64) for x in zip(*known))
+        pairs = sorted(
+            (place[p[:i]] * self.symbols + place[p[i:]], self.ids[p], self.rank[p])
+            for p in self.ids for i in range(1, len(p)) if p[:i] in place and p[i:] in place
+        )
+        self.pair, self.merged, self.pair_rank = (np.array(x, np.int64) for x in zip(*pairs))
+        self.size = np.ones(self.symbols, np.int64)
+        for p, i in place.items():
+            self.size[i] = len(p)
+
+    def cut(self, chunks: list[str], keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of the chunks, in turn; see cut_short for keys and skip."""
+        long = np.array([len(c) > _LONG for c in chunks], bool)
+        if not long.any():
+            return self.cut_short(chunks, keys, skip)
+        sizes = np.zeros(len(chunks), np.int64)
+        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(chunks)
+        short = np.flatnonzero(~long)
+        if len(short):
+            sizes[short], ids = self.cut_short([chunks[i] for i in short], keys[short], skip)
+            for i, part in zip(short.tolist(), np.split(ids, np.cumsum(sizes[short])[:-1])):
+                parts[i] = part
+        for i in np.flatnonzero(long).tolist():
+            parts[i] = self.cut_long(chunks[i], int(keys[i]), skip)
+            sizes[i] = len(parts[i])
+        return sizes, np.concatenate(parts)
+
+    def cut_long(self, chunk: str, key: int, skip: int) -> np.ndarray:
+        """Ids of one chunk of any length: as cut_short, with a heap for its agenda."""
+        part = list(chunk.replace(" ", _BLANK))
         n, rank = len(part), self.rank
-        if n == 1:
-            return part
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(r, i, i + 1, part[i] + part[i + 1]) for i in range(n - 1) if (r := rank.get(part[i] + part[i + 1])) is not None]
         heapq.heapify(agenda)
@@ -69,35 +107,100 @@ class Pieces:
             _, i, j, piece = heapq.heappop(agenda)
             if after[i] != j or part[i] + part[j] != piece:
                 continue
-            if skip:
-                x = (key + i * 0x9E3779B1 + j * 0x85EBCA77 + len(piece) * 0xC2B2AE3D) & _MASK
-                x = ((x ^ (x >> 15)) * 0x2C1B3C6D) & _MASK
-                x = ((x ^ (x >> 12)) * 0x297A2D39) & _MASK
-                if x ^ (x >> 15) < skip:
-                    continue
+            if skip and self._hash(*(np.array([x], np.int64) for x in (key, i, j, len(piece))))[0] < skip:
+                continue
             part[i] = piece
             k = after[i] = after[j]
             part[j], after[j] = "", -2
             if k >= 0:
                 before[k] = i
-                r = rank.get(piece + part[k])
+            for h, left, right in ((before[i], before[i], i), (k, i, k)):
+                r = rank.get(part[left] + part[right]) if h >= 0 else None
                 if r is not None:
-                    heapq.heappush(agenda, (r, i, k, piece + part[k]))
-            h = before[i]
-            if h >= 0:
-                r = rank.get(part[h] + piece)
-                if r is not None:
-                    heapq.heappush(agenda, (r, h, i, part[h] + piece))
-        return [p for p in part if p]
-
-    def ids_of(self, chunk: str, key: int, skip: int) -> list[int]:
-        if chunk == _BLANK:
-            return [self.byte[bytes([b])] for b in _BLANK.encode()]
+                    heapq.heappush(agenda, (r, left, right, part[left] + part[right]))
         out: list[int] = []
-        for p in self.cut(chunk.replace(" ", _BLANK), key, skip):
-            i = self.ids.get(p)
-            out.extend([i] if i is not None else [self.byte[bytes([b])] for b in p.encode()])
-        return out
+        for p in part:
+            out.extend([self.ids[p]] if p in self.ids else self.byte[list(p.encode())].tolist())
+        return np.array(out, np.int32)
+
+    def cut_short(self, chunks: list[str], keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        """(lengths, ids) of the chunks; a candidate is skipped if its 32-bit hash is under skip.
+
+        keys: one for each chunk. A chunk's agenda is its neighbouring pairs that make a
+        piece; of equal rank the first comes first. A skipped pair comes back only if one
+        of its sides has changed.
+        """
+        lengths = np.array([len(c) for c in chunks], np.int64)
+        point = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
+        literal = point == ord(_BLANK)
+        point[point == ord(" ")] = ord(_BLANK)
+        at = np.minimum(np.searchsorted(self.points, point), len(self.points) - 1)
+        known = (self.points[at] == point) & ~literal
+        symbol = np.where(known, self.point_symbol[at], -1)
+
+        n, first = len(point), np.cumsum(lengths) - lengths
+        owner = np.repeat(np.arange(len(chunks)), lengths)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[first + lengths - 1] = -1
+        before[first] = -1
+        best, made = np.full(n, _NONE), np.zeros(n, np.int64)
+
+        def look(left: np.ndarray) -> None:
+            """Put the pairs that begin at these places on the agenda, or take them off."""
+            right = after[left]
+            pair = symbol[left] * self.symbols + symbol[right]
+            spot = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+            good = (right >= 0) & (symbol[left] >= 0) & (symbol[right] >= 0) & (self.pair[spot] == pair)
+            best[left] = np.where(good, (self.pair_rank[spot] << 32) | left, _NONE)
+            made[left] = self.merged[spot]
+
+        look(np.arange(n))
+        alive = np.ones(n, bool)
+        active = np.arange(len(chunks))
+        begin = first
+        pool = best
+        places = np.arange(n)
+        while len(active):
+            top = np.minimum.reduceat(pool, begin)
+            open_ = top != _NONE
+            i = top[open_] & 0xFFFFFFFF
+            if not len(i):
+                break
+            if skip:
+                passed = self._hash(keys[owner[i]], i - first[owner[i]], after[i] - first[owner[i]], self.size[made[i]]) >= skip
+                best[i[~passed]] = _NONE
+                i = i[passed]
+            j = after[i]
+            k = after[j]
+            symbol[i], after[i], alive[j], best[j] = made[i], k, False, _NONE
+            before[k[k >= 0]] = i[k >= 0]
+            look(i)
+            h = before[i]
+            look(h[h >= 0])
+            # Go on with the chunks that have candidates, and their symbols that are left.
+            keep = np.zeros(len(chunks), bool)
+            keep[active[open_]] = True
+            places = places[alive[places] & keep[owner[places]]]
+            active = active[open_]
+            pool = best[places]
+            begin = np.flatnonzero(np.diff(owner[places], prepend=-1))
+        symbol, point, owner, literal = symbol[alive], point[alive], owner[alive], literal[alive]
+        whole = (symbol >= 0) & (symbol < len(self.text))
+        raw = [b"" if w else chr(c).encode() for w, c in zip(whole.tolist(), point.tolist())] if not whole.all() else []
+        width = np.array([len(r) or 1 for r in raw], np.int64) if raw else np.ones(len(symbol), np.int64)
+        ids = np.repeat(symbol, width)
+        if raw:
+            ids[np.repeat(~whole, width)] = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
+        return np.bincount(owner, width, minlength=len(chunks)).astype(np.int64), ids.astype(np.int32)
+
+    @staticmethod
+    def _hash(key: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """32 keyed bits of a candidate: its places in the chunk and its length."""
+        part = [x.astype(np.uint64) * np.uint64(m) for x, m in ((i, 0x9E3779B1), (j, 0x85EBCA77), (size, 0xC2B2AE3D))]
+        x = (key.astype(np.uint64) + part[0] + part[1] + part[2]) & _MASK
+        x = ((x ^ (x >> np.uint64(15))) * np.uint64(0x2C1B3C6D)) & _MASK
+        x = ((x ^ (x >> np.uint64(12))) * np.uint64(0x297A2D39)) & _MASK
+        return (x ^ (x >> np.uint64(15))).astype(np.int64)
 
     def decode(self, ids: list[int]) -> str:
         text = self.text
@@ -110,36 +213,25 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-class Encoder:
-    """Ids of texts with dropout; what it has encoded is kept by draw, up to a bound."""
-
-    def __init__(self, model: Pieces, dropout: float, seed: int) -> None:
-        self.model, self.seed, self.skip = model, seed, int(dropout * (1 << 32))
-        self.draws = DRAWS if dropout else 1
-        self._kept: list[dict[str, list[int]]] = [{} for _ in range(self.draws)]
-        self._n = 0
-
-    def __call__(self, text: str, doc: str) -> list[int]:
-        if not text:
-            return []
-        chunks = _CHUNK.findall(" " + text)
-        start = xxhash.xxh64_intdigest(doc, self.seed) % (1 << 32)
-        mixed = (np.arange(len(chunks), dtype=np.uint64) + np.uint64(start)) * np.uint64(0x9E3779B97F4A7C15)
-        out: list[int] = []
-        for chunk, draw in zip(chunks, ((mixed >> np.uint64(40)) % np.uint64(self.draws)).tolist()):
-            ids = self._kept[draw].get(chunk)
-            if ids is None:
-                ids = self.model.ids_of(chunk, xxhash.xxh32_intdigest(chunk, self.seed + draw), self.skip)
-                if self._n >= _KEPT:
-                    self._kept, self._n = [{} for _ in range(self.draws)], 0
-                if len(chunk) <= 64:
-                    self._kept[draw][chunk] = ids
-                    self._n += 1
-            out.extend(ids)
-        return out
-
-
-_ENCODERS: dict[tuple, Encoder] = {}
+def encode_texts(model: Pieces, texts: list[str | None], docs: list[str], dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, ids) of whole texts; docs name their documents."""
+    chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
+    count = np.array([len(c) for c in chunks], np.int64)
+    coded = pa.array([c for x in chunks for c in x], pa.large_string()).dictionary_encode()
+    different, draws = coded.dictionary.to_pylist(), DRAWS if dropout else 1
+    if not different:
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
+    start = np.array([xxhash.xxh32_intdigest(d, seed) for d in docs], np.uint64)
+    number = np.arange(int(count.sum()), dtype=np.uint64) - np.repeat(np.cumsum(count) - count, count).astype(np.uint64)
+    draw = (((np.repeat(start, count) + number) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(draws)
+    both, code = np.unique(coded.indices.to_numpy().astype(np.int64) * draws + draw.astype(np.int64), return_inverse=True)
+    own = [different[b // draws] for b in both.tolist()]
+    keys = np.array([xxhash.xxh32_intdigest(c, seed + d) for c, d in zip(own, (both % draws).tolist())], np.int64)
+    size, flat = model.cut(own, keys, int(dropout * (1 << 32)))
+    lengths, at = size[code], (np.cumsum(size) - size)[code]
+    ids = flat[np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+    doc = np.repeat(np.arange(len(texts)), count)
+    return np.bincount(doc, lengths, minlength=len(texts)).astype(np.int64), ids
 
 
 def encode(text: Column, doc: Column, model: str, dropout: float = 0.1, seed: int = 0) -> Column:
@@ -151,26 +243,28 @@ def encode(text: Column, doc: Column, model: str, dropout: float = 0.1, seed: in
 
     @F.arrow_udf("array<int>")
     def ids_of(texts: pa.Array, docs: pa.Array) -> pa.Array:
-        key = (model, dropout, seed)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = Encoder(pieces(model), dropout, seed)
-        found = [np.array(_ENCODERS[key](t, repr(d)), np.int32) for t, d in zip(_strings(texts), _strings(docs))]
-        ends = np.cumsum([0, *(len(x) for x in found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+        sizes, ids, at = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], 0
+        for part in slices(pc.fill_null(texts.cast(pa.large_string()), ""), _BYTES):
+            names = [repr(d) for d in docs.slice(at, len(part)).to_pylist()]
+            at += len(part)
+            found = encode_texts(pieces(model), part.to_pylist(), names, dropout, seed)
+            sizes.append(found[0])
+            ids.append(found[1])
+        ends = np.cumsum(np.concatenate(sizes)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
     return ids_of(text, doc.cast("string"))
 
 
-def _strings(column: pa.Array) -> Iterator[str | None]:
-    return (x.as_py() for x in column)
-
-
 def decode(ids: Column, model: str) -> Column:
     """The text of an array of ids; of none or null the empty text."""
 
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
-        return pa.array([pieces(model).decode(x.as_py() or []) for x in lists], pa.string())
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(size).tolist()
+        flat = lists.flatten().to_numpy()
+        return pa.array([pieces(model).decode(flat[e - n : e].tolist()) for n, e in zip(size.tolist(), ends)], pa.string())
 
     return text_of(ids)
 
@@ -179,4 +273,5 @@ def encoded(
     docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", dropout: float = 0.1, seed: int = 0
 ) -> DataFrame:
     """docs with ids (a column of that name is replaced). Repeated rows stay."""
-    return docs.withColumn("ids", encode(F.col(text_col), F.col(id_col), model, dropout, seed))
+    # As generated rows the ids are made once, whatever asks for them.
+    return docs.withColumn("ids", F.explode(F.array(encode(F.col(text_col), F.col(id_col), model, dropout, seed))))

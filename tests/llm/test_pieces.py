@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -20,17 +21,21 @@ def texts():
     return ["", " ", "\n", "a", "the threshold of whhaing", *made]
 
 
+def encode(some, dropout, seed=3):
+    sizes, ids = P.encode_texts(P.pieces(MODEL), some, [str(i) for i in range(len(some))], dropout, seed)
+    ends = sizes.cumsum().tolist()
+    return [ids[e - n : e].tolist() for n, e in zip(sizes.tolist(), ends)]
+
+
 def test_without_dropout_the_ids_are_the_librarys():
-    encoder = P.Encoder(P.pieces(MODEL), 0.0, 0)
-    for t in texts():
-        assert encoder(t, "x") == LIBRARY.encode(t)
+    for some in (texts(), texts()[:1], ["a"]):
+        assert encode(some, 0.0) == [LIBRARY.encode(t) for t in some]
 
 
 @pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
 def test_every_segmentation_decodes(dropout):
-    encoder = P.Encoder(P.pieces(MODEL), dropout, 3)
-    for i, t in enumerate([*texts(), "a▁b ▁", "▁"]):
-        ids = encoder(t, str(i))
+    some = [*texts(), "a▁b ▁", "▁"]
+    for t, ids in zip(some, encode(some, dropout)):
         assert P.pieces(MODEL).decode(ids) == t
         if "▁" not in t:
             assert LIBRARY.decode(ids) == t
@@ -60,10 +65,13 @@ def plain_cut(word, key, skip, model):
 
 def test_agenda_matches_a_plain_search():
     model, rng = P.pieces(MODEL), random.Random(9)
-    for n in range(300):
-        word = "▁" + "".join(rng.choice(["the", "ing", "tion", "a", "e", "s", "éa", "▁"]) for _ in range(rng.randint(1, 9)))
-        for skip in (0, 1 << 29, 1 << 31):
-            assert model.cut(word, n * 7919, skip) == plain_cut(word, n * 7919, skip, model)
+    words = [" " + "".join(rng.choice(["the", "ing", "tion", "a", "e", "s", "éa", " "]) for _ in range(rng.choice([rng.randint(1, 9), 60]))) for _ in range(200)]
+    keys = np.array([rng.getrandbits(32) for _ in words])
+    for skip in (0, 1 << 29, 1 << 31, (1 << 32) + 1):
+        sizes, ids = model.cut(words, keys, skip)
+        ends = sizes.cumsum()
+        for w, k, n, e in zip(words, keys.tolist(), sizes, ends):
+            assert ids[e - n : e].tolist() == [model.ids[p] for p in plain_cut(w.replace(" ", "▁"), k, skip, model)]
 
 
 def test_segmentations_vary_and_repeat(spark):
