@@ -1,13 +1,12 @@
 """LM scoring with a probabilistic suffix tree over words.
 
-Root: every word's smoothed frequency; this part grows with the corpus and is joined, not
-broadcast. Contexts: sequences of up to DEPTH words whose share of all training tokens is
-SHARE or more (the least probability of the learning algorithm of Ron, Singer and Tishby),
-and of their continuations those with that share. So each length has at most 1 / SHARE
-entries however large the corpus is, which bounds what is broadcast (under 80 MB). A
-context is retained if its continuations differ enough from those after its suffix:
-count times divergence, in nats, of at least CUTOFF. A word is scored by the longest
-retained suffix of what stands before it, smoothed with the shorter ones.
+Root: every word's smoothed frequency. Contexts: sequences of up to DEPTH words, and their
+continuations, that stand LEAST times or more in the training texts, at any size: the
+tree grows with the corpus. It is a table keyed by hashes of sequences, counted, tested and
+smoothed by joins, and joined to the texts; it is never gathered or broadcast. A context
+is retained if its continuations differ enough from those after its suffix: count times
+divergence, in nats, of at least CUTOFF. A word is scored by the longest retained suffix
+of what stands before it, smoothed with the shorter ones.
 
 Texts are written once, in blocks: words as numbers into the block's own list of words.
 """
@@ -17,7 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +30,13 @@ from gridmill.llm.bpe import slices
 from gridmill.session import cut_lineage
 
 DEPTH = 3
-SHARE = 2e-6
+LEAST = 2
 CUTOFF = 6.0
 # Bytes of text in a block: what a task holds of texts, words and places at once.
 BLOCK = 4 << 20
 # Taken off each seen continuation, and the weight of the shorter context's view.
 DISCOUNT, MU = 0.75, 2.0
-_BITS = 20
+_MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # Holds a blank, so no word equals it. It also stands before the first word.
 _END = xxhash.xxh64_intdigest(b" end")
 _TEXTS = "block long, ids array<long>, sizes binary, held binary, codes binary, words binary, counts binary"
@@ -103,12 +102,11 @@ def _each(blocks: DataFrame, columns: list[str], schema: str, fn: Callable[...,
     return blocks.select(*columns).mapInArrow(run, schema)
 
 
-def word_counts(blocks: DataFrame, least: int) -> DataFrame:
-    """(block, code, word, c, held, lead) of words that stand in several blocks or `least` times.
+def word_counts(blocks: DataFrame) -> DataFrame:
+    """(block, code, c, held, lead) of words that stand in several blocks.
 
     c: count in all training texts; held: blocks that have the word in one; lead marks one
-    row of each word. A block knows the count of a word that no other block has; words
-    that stand `least` times or more have the lead row only, as the tree lists them.
+    row of each word. A block knows the count of a word that no other block has.
     """
 
     def asked(block: int, words: bytes, counts: bytes) -> dict[str, np.ndarray]:
@@ -121,54 +119,29 @@ def word_counts(blocks: DataFrame, least: int) -> DataFrame:
         F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks"), F.min("block").alias("first"), F.sum((F.col("n") > 0).cast("int")).alias("held")
     )
     lead = F.col("block") == F.col("first")
-    told = rows.join(sums.where((F.col("blocks") > 1) | (F.col("c") >= least)), "word").where(lead | (F.col("c") < least))
-    return cut_lineage(told.select("block", "code", "word", "c", F.when(lead, F.col("held")).alias("held"), lead.alias("lead")))
+    told = rows.join(sums.where(F.col("blocks") > 1), "word")
+    return cut_lineage(told.select("block", "code", "c", F.when(lead, F.col("held")).alias("held"), lead.alias("lead")))
 
 
-@dataclass
-class Tree:
-    """Per length k from 1: sorted codes of frequent sequences, and their counts.
+def _grams(words: np.ndarray, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, gram, context, there) for k = 1, 2, ...: per token, hashes of the k words that end
+    at it and of all but the last of them, and whether the text has so many.
 
-    A word's code is its hash; a longer sequence's is the place of its beginning in the
-    list before, and its last word's place in the first list. p: probability of the last
-    word after the others; weight: factor for words that are not listed after a context.
+    The token before a text's first is its end mark; no context reaches further.
     """
-
-    codes: list[np.ndarray]
-    counts: list[np.ndarray]
-    p: list[np.ndarray] = field(default_factory=list)
-    weight: list[np.ndarray] = field(default_factory=list)
-
-    def before(self, found: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
-        """Place of the k words before each token, or -1; found: of those that end at it.
-
-        The token before a text's first is its end mark; no context reaches further.
-        """
-        first = np.cumsum(size) - size
-        shifted = np.empty_like(found)
-        shifted[1:] = found[:-1]
-        if k == 1:
-            shifted[first] = _find(self.codes[0], np.array([_END], np.uint64))[0]
-        for i in range(k - 1):
-            shifted[first[size > i] + i] = -1
-        return shifted
-
-    def places(self, words: np.ndarray, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For k = 1, 2, ...: the sequence of k words that ends at each token, by its place in
-        the list or -1, and by its code or -1; at last the code alone of those of the next k.
-        """
-        last = _find(self.codes[0], words).astype(np.int32)[codes]
-        found = last
-        yield found, found
-        for k in range(1, len(self.codes) + 1):
-            context = self.before(found, size, k)
-            known = np.flatnonzero((context >= 0) & (last >= 0))
-            code = np.full(len(codes), -1)
-            code[known] = (context[known].astype(np.int64) << _BITS) | last[known]
-            found = np.full(len(codes), -1, np.int32)
-            if k < len(self.codes):
-                found[known] = _find(self.codes[k], code[known])
-            yield found, code
+    last, first = words[codes], np.cumsum(size) - size
+    at = np.arange(len(codes)) - np.repeat(first, size)
+    gram = last
+    yield 1, gram, gram, at >= 0
+    for k in range(2, DEPTH + 2):
+        context = np.empty_like(gram)
+        context[1:] = gram[:-1]
+        if k == 2:
+            context[first] = _END
+        x = (context ^ (context >> np.uint64(32))) * _MIX[0] + last
+        x = (x ^ (x >> np.uint64(29))) * _MIX[1]
+        gram = x ^ (x >> np.uint64(32))
+        yield k, gram, context, at >= k - 2
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -179,77 +152,90 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def grow(blocks: DataFrame, told: DataFrame, least: int, tokens: int, types: int) -> Tree:
-    """Count frequent sequences length by length, then test contexts and smooth."""
-    spark = blocks.sparkSession
-    frequent = told.where(F.col("lead") & (F.col("c") >= least)).select("word", "c").toArrow()
-    words, counts = frequent["word"].to_numpy().view(np.uint64), frequent["c"].to_numpy()
-    order = np.argsort(words)
-    tree = Tree([words[order]], [counts[order]])
-    for _ in range(DEPTH):
-        shared = spark.sparkContext.broadcast(tree)
-
-        def seen(own: bytes, codes: bytes, sizes: bytes, held: bytes) -> dict[str, np.ndarray]:
-            size = _unpack(sizes, "<u4").astype(np.int64)
-            *_, (_, found) = shared.value.places(_unpack(own, "<u8"), _unpack(codes, "<u4"), size)
-            found = found[~np.repeat(_unpack(held, "?"), size)]
-            gram, n = np.unique(found[found >= 0], return_counts=True)
-            return {"gram": gram, "n": n}
-
-        rows = _each(blocks, ["words", "codes", "sizes", "held"], "gram long, n long", seen)
-        kept = rows.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-        gram, n = kept["gram"].to_numpy(), kept["n"].to_numpy()
-        order = np.argsort(gram)
-        tree.codes.append(gram[order])
-        tree.counts.append(n[order])
-        shared.unpersist()
-    _settle(tree, tokens, types)
-    return tree
-
-
-def _settle(tree: Tree, tokens: int, types: int) -> None:
-    """Divergence tests, then probabilities and weights of what is retained."""
-    mask = (1 << _BITS) - 1
-    root = (tree.counts[0] + 1) / (tokens + types + 1)
-    # suffix[k]: place of a sequence without its first word in the list before.
-    suffix = [np.zeros(len(tree.codes[0]), np.int64)]
-    for k in range(1, DEPTH + 1):
-        before, last = tree.codes[k] >> _BITS, tree.codes[k] & mask
-        suffix.append(last if k == 1 else _find(tree.codes[k - 1], (suffix[k - 1][before] << _BITS) | last))
-
-    def smooth(retained: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-        p, weight, gain = [root], [], []
-        for k in range(1, DEPTH + 1):
-            context, n = tree.codes[k] >> _BITS, tree.counts[k]
-            total, size = tree.counts[k - 1], len(tree.counts[k - 1])
-            seen, kinds = np.bincount(context, n, minlength=size), np.bincount(context, minlength=size)
-            left = (total - seen + DISCOUNT * kinds + MU) / (total + MU)
-            other = p[k - 1][suffix[k]]
-            own = (n - DISCOUNT) / (total[context] + MU) + left[context] * other
-            rest = 1 - np.bincount(context, own, minlength=size)
-            rest_other = 1 - np.bincount(context, other, minlength=size)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                each = np.bincount(context, own * np.log(own / other), minlength=size)
-                gain.append(total * (each + np.where((rest > 0) & (rest_other > 0), rest * np.log(rest / rest_other), 0)))
-            p.append(np.where(retained[k - 1][context], own, other))
-            weight.append(np.where(retained[k - 1], left, 1.0))
-        return p, weight, gain
-
-    every = [np.ones(len(c), bool) for c in tree.codes[:DEPTH]]
-    gain = smooth(every)[2]
-    retained = [(g >= CUTOFF) & (np.bincount(tree.codes[k + 1] >> _BITS, minlength=len(g)) > 0) for k, g in enumerate(gain)]
-    for k in range(DEPTH - 1, 0, -1):  # a retained context keeps its suffixes
-        retained[k - 1][suffix[k][retained[k]]] = True
-    tree.p, tree.weight, _ = smooth(retained)
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+def sequences(blocks: DataFrame, least: int) -> DataFrame:
+    """(g, k, context, suffix, n) of the sequences of k words that stand `least` times or more."""
+
+    def seen(words: bytes, codes: bytes, sizes: bytes, held: bytes) -> dict[str, np.ndarray]:
+        size = _unpack(sizes, "<u4").astype(np.int64)
+        train = ~np.repeat(_unpack(held, "?"), size)
+        parts, suffix = [], None
+        for k, gram, context, there in _grams(_unpack(words, "<u8"), _unpack(codes, "<u4"), size):
+            own = np.flatnonzero(there & train)
+            g, at, n = np.unique(gram[own], return_index=True, return_counts=True)
+            parts.append((g, np.full(len(g), k, np.int8), context[own[at]], (gram if k == 1 else suffix)[own[at]], n))
+            suffix = gram
+        g, k, context, suffix, n = (np.concatenate(x) for x in zip(*parts))
+        return {"g": g.view(np.int64), "k": k, "context": context.view(np.int64), "suffix": suffix.view(np.int64), "n": n.astype(np.int64)}
+
+    rows = _each(blocks, ["words", "codes", "sizes", "held"], "g long, k byte, context long, suffix long, n long", seen)
+    one = [F.first(c).alias(c) for c in ("k", "context", "suffix")]
+    return cut_lineage(rows.groupBy("g").agg(F.sum("n").alias("n"), *one).where(F.col("n") >= least))
+
+
+def grow(grams: DataFrame, scale: int) -> DataFrame:
+    """(g, p, weight): one row for each continuation of a retained context, with its
+    probability, and one for each retained context, with the factor for words that are not
+    listed after it.
+
+    Retained contexts keep their suffixes, so what is smoothed below a retained context is
+    retained too: one pass gives the divergences and the probabilities.
+    """
+    longer = grams.where("k > 1")
+    after = longer.groupBy(F.col("context").alias("c")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
+    whole = grams.select(F.col("g").alias("c"), F.col("k").alias("length"), F.col("suffix").alias("shorter"), F.col("n").alias("total"))
+    left = (F.col("total") - F.col("seen") + DISCOUNT * F.col("kinds") + MU) / (F.col("total") + MU)
+    contexts = cut_lineage(after.join(whole, "c").select("c", "length", "shorter", "total", left.alias("left")))
+    seen = (F.col("n") - DISCOUNT) / (F.col("total") + MU)
+    base = cut_lineage(longer.join(contexts.withColumnRenamed("c", "context").drop("shorter"), "context").select("g", "k", "context", "suffix", "left", seen.alias("seen")))
+
+    lower = grams.where("k = 1").select(F.col("g").alias("suffix"), ((F.col("n") + 1) / scale).alias("other"))
+    levels = []
+    for k in range(2, DEPTH + 2):
+        level = base.where(F.col("k") == k).join(lower, "suffix")
+        levels.append(cut_lineage(level.select("g", "context", "other", (F.col("seen") + F.col("left") * F.col("other")).alias("own"))))
+        lower = levels[-1].select(F.col("g").alias("suffix"), F.col("own").alias("other"))
+    every = reduce(DataFrame.unionByName, levels)
+
+    own, other = F.col("own"), F.col("other")
+    sums = every.groupBy(F.col("context").alias("c")).agg(
+        F.sum(own * F.log(own / other)).alias("each"), (1 - F.sum(own)).alias("rest"), (1 - F.sum(other)).alias("rest_other")
+    )
+    rest = F.when((F.col("rest") > 0) & (F.col("rest_other") > 0), F.col("rest") * F.log(F.col("rest") / F.col("rest_other"))).otherwise(0)
+    tested = cut_lineage(contexts.join(sums, "c").select("c", "length", "shorter", "left", (F.col("total") * (F.col("each") + rest) >= CUTOFF).alias("good")))
+    kept = []
+    for k in range(DEPTH, 0, -1):
+        here = tested.where(F.col("length") == k)
+        if kept:
+            asked = kept[-1].select(F.col("shorter").alias("c")).distinct().withColumn("asked", F.lit(True))
+            here = here.join(asked, "c", "left").where(F.col("good") | F.col("asked"))
+        else:
+            here = here.where("good")
+        kept.append(cut_lineage(here.select("c", "shorter", "left")))
+    retained = reduce(DataFrame.unionByName, kept)
+    told = every.join(retained.select(F.col("c").alias("context")), "context", "left_semi").select("g", F.col("own").alias("p"), F.lit(None).cast("double").alias("weight"))
+    return told.unionByName(retained.select(F.col("c").alias("g"), F.lit(None).cast("double").alias("p"), F.col("left").alias("weight")))
+
+
+def _asked(blocks: DataFrame) -> DataFrame:
+    """(g, block) of the different sequences of each block, in all its texts."""
+
+    def asked(block: int, words: bytes, codes: bytes, sizes: bytes) -> dict[str, np.ndarray]:
+        size = _unpack(sizes, "<u4").astype(np.int64)
+        parts = [np.unique(gram[there]) for _, gram, _, there in _grams(_unpack(words, "<u8"), _unpack(codes, "<u4"), size)]
+        g = np.concatenate(parts)
+        return {"g": g.view(np.int64), "block": np.full(len(g), block)}
+
+    return _each(blocks, ["block", "words", "codes", "sizes"], "g long, block long", asked)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row.
 
     Learns from rows whose crc32 of the id as text leaves another remainder than 2 by 7;
     a null id counts as empty text. Words lie between ASCII white space, A-Z in lower
     case; each text ends with one more token, so a null or empty text has one. score is
-    the log10 probability of the text. Repeated rows are texts of their own.
+    the log10 probability of the text. Repeated rows are texts of their own. share: least
+    share of the training tokens that a sequence must hold besides standing LEAST times.
     """
     blocks = coded(docs, id_col, text_col)
 
@@ -259,33 +245,40 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
 
     own = _each(blocks, ["counts"], "tokens long, types long", totals).agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
     tokens = own["tokens"] or 0
-    least = max(2, math.ceil(share * tokens))
-    told = word_counts(blocks, least)
+    least = max(LEAST, math.ceil(share * tokens))
+    told = word_counts(blocks)
     # Words of several blocks are counted once.
     more = told.where("lead").agg(F.sum("held").alias("held"), F.sum((F.col("c") > 0).cast("long")).alias("words")).first()
     types = (own["types"] or 0) - (more["held"] or 0) + (more["words"] or 0)
-    tree = docs.sparkSession.sparkContext.broadcast(grow(blocks, told, least, tokens, types))
     scale = tokens + types + 1
+    tree = _asked(blocks).join(grow(sequences(blocks, least), scale), "g")
+    answers = told.select("block", "code", "c").unionByName(tree, allowMissingColumns=True)
 
-    def scored(texts: pa.Table, counts: pa.Table) -> pa.Table:
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
+        counts = answers.filter(pc.is_valid(answers["code"]))
+        named = answers.filter(pc.is_valid(answers["g"]))
+        model = {}
+        for kind in ("p", "weight"):
+            part = named.filter(pc.is_valid(named[kind]))
+            keys = part["g"].to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            model[kind] = keys[order], part[kind].to_numpy()[order]
         for row in texts.to_pylist():
             size, codes = _unpack(row["sizes"], "<u4").astype(np.int64), _unpack(row["codes"], "<u4")
             count = _unpack(row["counts"], "<u4").astype(np.int64)
             count[counts["code"].to_numpy()] = counts["c"].to_numpy()
-            listed = _find(tree.value.codes[0], _unpack(row["words"], "<u8"))
-            count[listed >= 0] = tree.value.counts[0][listed[listed >= 0]]
             p = ((count + 1) / scale)[codes]
             base = np.log10(count + 1.0)[codes]
             known = (count > 0)[codes]
-            model, context = tree.value, None
-            for k, (found, _) in enumerate(model.places(_unpack(row["words"], "<u8"), codes, size)):
-                if k > DEPTH:
-                    break
-                if k:
-                    p[context >= 0] *= model.weight[k - 1][context[context >= 0]]
-                    p[found >= 0] = model.p[k][found[found >= 0]]
-                context = model.before(found, size, k + 1)
+            for k, gram, context, there in _grams(_unpack(row["words"], "<u8"), codes, size):
+                if k == 1:
+                    continue
+                own = np.flatnonzero(there)
+                found = _find(model["weight"][0], context[own])
+                p[own[found >= 0]] *= model["weight"][1][found[found >= 0]]
+                found = _find(model["p"][0], gram[own])
+                p[own[found >= 0]] = model["p"][1][found[found >= 0]]
             first = np.cumsum(size) - size
             held = _unpack(row["held"], "?")
             sums = lambda x: np.add.reduceat(x, first)
@@ -300,5 +293,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
         return pa.concat_tables(out)
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(told.select("block", "code", "c").groupBy("block")).applyInArrow(scored, schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
 

@@ -114,3 +114,12 @@ def test_nothing_to_learn_from(spark):
     r = S.score(docs).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.score) == (3, 0, 0, 0.0)
     assert S.score(docs.limit(0)).count() == 0
+
+
+def test_rare_contexts_are_learned_from_many_tokens(spark):
+    free = [i for i in range(100) if not held(i)]
+    asked = next(i for i in range(100) if held(i))
+    data = [(free[0], "x " * 2_500_000), (free[1], "rare pair"), (free[2], "rare pair"), (asked, "rare pair")]
+    r = S.score(spark.createDataFrame(data, "doc_id long, text string")).where(f"id = {asked}").first()
+    assert r.train_tokens > 2_500_000
+    assert r.score > r.base_score + 4  # "pair" after "rare" is common, by itself it is not
