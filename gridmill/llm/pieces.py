@@ -1,11 +1,12 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Merges are taken from an agenda, best first; each candidate that comes up is skipped if a
-keyed hash of it says so. The key is the seed, one of DRAWS draws, the chunk and the
-candidate's place; the draw follows from the document and the chunk's number, so the same
-word is cut in different ways, and a rerun cuts it the same. A chunk is a run of blanks
-and what follows it: no piece reaches over its start, so each different chunk and draw of
-a batch is cut once, all side by side: a round takes the best candidate of every chunk.
+keyed hash of it says so. The key is the seed, the document and the chunk's number in it,
+with the candidate's place: every occurrence of a word is cut by its own draws, and a rerun
+cuts it the same. A chunk is a run of blanks and what follows it: no piece reaches over its
+start. Each different chunk of a batch is cut once without dropout; an occurrence whose
+draws skip none of the merges made there has the same ids, and only the others are cut by
+themselves, all side by side: a round takes the best candidate of every chunk.
 With dropout 0 the ids are the library's, but for the character that the model uses for
 blanks: it is written as bytes, as no text could be read back otherwise.
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 
 from gridmill.llm.bpe import slices
 
-DRAWS = 4
 _BLANK = "▁"
 _CHUNK = re.compile(f"[\n{_BLANK}]| *[^ \n{_BLANK}]+| +")
 _BYTES = 4 << 20
 # Chunks of more characters would take as many rounds, and are cut one by one.
 _LONG = 96
+# Occurrences that are drawn and cut side by side.
+_AT_ONCE = 65_536
 _NONE = np.iinfo(np.int64).max
 _MASK = np.uint64(0xFFFFFFFF)
 
@@ -123,12 +126,20 @@ class Pieces:
             out.extend([self.ids[p]] if p in self.ids else self.byte[list(p.encode())].tolist())
         return np.array(out, np.int32)
 
-    def cut_short(self, chunks: list[str], keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
+    def merges(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, row for _hash) of the merges that short chunks take without dropout, by owner."""
+        steps: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros((3, 0), np.int64))]
+        self.cut_short(chunks, np.zeros(len(chunks), np.int64), 0, steps)
+        owner = np.concatenate([o for o, _ in steps])
+        order = np.argsort(owner, kind="stable")
+        return owner[order], np.concatenate([r for _, r in steps], axis=1)[:, order]
+
+    def cut_short(self, chunks: list[str], keys: np.ndarray, skip: int, steps: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the chunks; a candidate is skipped if its 32-bit hash is under skip.
 
         keys: one for each chunk. A chunk's agenda is its neighbouring pairs that make a
         piece; of equal rank the first comes first. A skipped pair comes back only if one
-        of its sides has changed.
+        of its sides has changed. steps: takes the merges made, round by round.
         """
         lengths = np.array([len(c) for c in chunks], np.int64)
         point = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
@@ -171,6 +182,8 @@ class Pieces:
                 best[i[~passed]] = _NONE
                 i = i[passed]
             j = after[i]
+            if steps is not None:
+                steps.append((owner[i], np.stack([i - first[owner[i]], j - first[owner[i]], self.size[made[i]]])))
             k = after[j]
             symbol[i], after[i], alive[j], best[j] = made[i], k, False, _NONE
             before[k[k >= 0]] = i[k >= 0]
@@ -213,22 +226,57 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _keys(docs: list[str], count: np.ndarray, seed: int) -> np.ndarray:
+    """32 bits for each chunk: a hash of the seed, the document and the chunk's number."""
+    start = np.array([xxhash.xxh64_intdigest(f"{seed} {d}") for d in docs], np.uint64)
+    number = np.arange(int(count.sum()), dtype=np.uint64) - np.repeat(np.cumsum(count) - count, count).astype(np.uint64)
+    x = np.repeat(start, count) + number * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(32)).astype(np.int64)
+
+
+def _varied(model: Pieces, different: list[str], code: np.ndarray, keys: np.ndarray, skip: int) -> Iterator[np.ndarray]:
+    """Places of the occurrences that dropout may cut otherwise, some at a time.
+
+    As long as no merge is skipped the agenda is the one without dropout.
+    """
+    short = np.array([len(c) <= _LONG for c in different], bool)
+    owner, steps = model.merges([c for c, s in zip(different, short.tolist()) if s])
+    owner = np.flatnonzero(short)[owner]
+    taken = np.bincount(owner, minlength=len(different))
+    begin = np.cumsum(taken) - taken
+    for at in range(0, len(code), _AT_ONCE):
+        part = code[at : at + _AT_ONCE]
+        n = taken[part]
+        step = np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        skipped = model._hash(np.repeat(keys[at : at + _AT_ONCE], n), *steps[:, step]) < skip
+        hit = np.bincount(np.repeat(np.arange(len(part)), n), skipped, minlength=len(part)) > 0
+        own = np.flatnonzero(hit | ~short[part]) + at
+        if len(own):
+            yield own
+
+
 def encode_texts(model: Pieces, texts: list[str | None], docs: list[str], dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, ids) of whole texts; docs name their documents."""
     chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
     count = np.array([len(c) for c in chunks], np.int64)
     coded = pa.array([c for x in chunks for c in x], pa.large_string()).dictionary_encode()
-    different, draws = coded.dictionary.to_pylist(), DRAWS if dropout else 1
+    different, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
     if not different:
         return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
-    start = np.array([xxhash.xxh32_intdigest(d, seed) for d in docs], np.uint64)
-    number = np.arange(int(count.sum()), dtype=np.uint64) - np.repeat(np.cumsum(count) - count, count).astype(np.uint64)
-    draw = (((np.repeat(start, count) + number) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(draws)
-    both, code = np.unique(coded.indices.to_numpy().astype(np.int64) * draws + draw.astype(np.int64), return_inverse=True)
-    own = [different[b // draws] for b in both.tolist()]
-    keys = np.array([xxhash.xxh32_intdigest(c, seed + d) for c, d in zip(own, (both % draws).tolist())], np.int64)
-    size, flat = model.cut(own, keys, int(dropout * (1 << 32)))
+    size, flat = model.cut(different, np.zeros(len(different), np.int64), 0)
     lengths, at = size[code], (np.cumsum(size) - size)[code]
+    skip = int(dropout * (1 << 32))
+    if skip:
+        keys = _keys(docs, count, seed)
+        more, total = [flat], len(flat)
+        for own in _varied(model, different, code, keys, skip):
+            sizes, ids = model.cut([different[c] for c in code[own].tolist()], keys[own], skip)
+            lengths[own], at[own] = sizes, total + np.cumsum(sizes) - sizes
+            more.append(ids)
+            total += len(ids)
+        flat = np.concatenate(more)
     ids = flat[np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
     doc = np.repeat(np.arange(len(texts)), count)
     return np.bincount(doc, lengths, minlength=len(texts)).astype(np.int64), ids

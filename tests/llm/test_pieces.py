@@ -86,3 +86,29 @@ def test_segmentations_vary_and_repeat(spark):
     back = out.select("text", P.decode(F.col("ids"), MODEL).alias("back")).collect()
     assert all(r.back == (r.text or "") for r in back)
     assert P.encoded(docs.limit(0), MODEL).count() == 0
+
+
+def test_every_occurrence_has_draws_of_its_own():
+    n, model = 20_000, P.pieces(MODEL)
+    one = {seed: P.encode_texts(model, ["a " * n], ["1"], 0.1, seed)[1].tolist() for seed in (0, 1)}
+    varied = {}
+    for seed, ids in one.items():  # a skipped merge leaves the blank and the letter
+        texts, varied[seed], number = [model.text[i] for i in ids], set(), 0
+        for t in texts:
+            varied[seed] |= {number} if t == b" " else set()
+            number += t.endswith(b"a")
+        assert 0.09 * n < len(varied[seed]) < 0.11 * n
+    assert len(varied[0] & varied[1]) < 0.015 * n
+    whole = model.decode(encode(["abstraction " * 2000], 0.3)[0])
+    assert whole == "abstraction " * 2000
+    sizes, ids = P.encode_texts(model, ["abstraction"] * 2000, [str(i) for i in range(2000)], 0.3, 0)
+    assert len({tuple(x) for x in np.split(ids, sizes.cumsum()[:-1])}) > 20
+
+
+def test_shared_merges_match_cutting_each_occurrence():
+    model, some = P.pieces(MODEL), [*texts(), "the nation of the " * 50, "x" * 300]
+    names = [str(i) for i in range(len(some))]
+    sizes, ids = P.encode_texts(model, some, names, 0.2, 5)
+    chunks = [P._CHUNK.findall(" " + t) if t else [] for t in some]
+    keys = P._keys(names, np.array([len(c) for c in chunks]), 5)
+    assert ids.tolist() == model.cut([c for x in chunks for c in x], keys, int(0.2 * (1 << 32)))[1].tolist()
