@@ -1,6 +1,6 @@
 """Line dedup over all documents: exact copies, and lines one word away, after the first go.
 
-Native functions only. A line is its words; lines of NEAR words and more are also near
+Native functions only. A line is its words; lines of `near` words and more are also near
 copies if one word is changed, added or left out. Such pairs meet under the hash of what
 remains when one word is left out. As few lines have a near copy, a line emits these
 variants only if it shares its first or its last half with a different line, which every
@@ -29,7 +29,7 @@ def _place(id_col: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "th", "line")
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int, near: int = NEAR) -> DataFrame:
     """(place, h1, h2, n, halves) of every line with at least min_words words.
 
     halves: hashes of the halves that a line one word away shares, as the shorter or
@@ -50,7 +50,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> D
 
     halves = F.array(half(n, "head"), half(n, "tail"), half(n - 1, "head"), half(n - 1, "tail"))
     return worded.where(n >= min_words).select(
-        "place", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("second"), "w").alias("h2"), "n", F.when(n >= NEAR, halves).alias("halves")
+        "place", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("second"), "w").alias("h2"), "n", F.when(n >= near, halves).alias("halves")
     )
 
 
@@ -120,19 +120,19 @@ def near_lines(lines: DataFrame) -> DataFrame:
     return chosen.join(texts, _KEY).join(other, ["o1", "o2"]).where(same).select(*_KEY)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, near: int = NEAR) -> DataFrame:
     """docs with text without repeated lines, and n_lines, n_removed and n_near.
 
     A line goes if the same words stand in an earlier line of any document, or if an
     earlier line is within one word of it (n_near counts those that have no exact copy
-    before them). Lines of under min_words words stay. Rows equal in id and text are one
+    before them; both lines have `near` words or more). Lines of under min_words words stay. Rows equal in id and text are one
     document and keep the same lines. Null text stays null, with no lines; a text that
     loses every line becomes empty. All columns stay; n_lines, n_removed, n_near replace
     columns of those names.
     """
-    lines = cut_lineage(line_table(docs, id_col, text_col, min_words))
+    lines = cut_lineage(line_table(docs, id_col, text_col, min_words, near))
     firsts = cut_lineage(lines.groupBy(*_KEY).agg(F.min("place").alias("first"), F.max("n").alias("n")))
-    wanted = firsts.where(F.col("n") >= NEAR).join(_candidates(lines), "h1", "left_semi")
+    wanted = firsts.where(F.col("n") >= near).join(_candidates(lines), "h1", "left_semi")
     by_doc = wanted.groupBy("first.id", "first.th").agg(F.collect_list(F.struct("first.line", "first", *_KEY, "n")).alias("wanted"))
     named = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
     held = (
@@ -141,8 +141,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("x.h1", "x.h2", "x.first", "x.n", _words(F.get("all", F.col("x.line"))).alias("w"))
         .dropDuplicates(_KEY)
     )
-    near = cut_lineage(near_lines(cut_lineage(held)).withColumn("near", F.lit(True)))
-    told = firsts.select(*_KEY, "first").join(near, _KEY, "left")
+    close = cut_lineage(near_lines(cut_lineage(held)).withColumn("near", F.lit(True)))
+    told = firsts.select(*_KEY, "first").join(close, _KEY, "left")
     late = F.col("place") > F.col("first")
     gone = (
         lines.select(*_KEY, "place")

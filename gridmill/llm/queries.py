@@ -99,7 +99,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that each document loses, and a digest of what is left of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.line_dedup(docs).select(
+    return lines.line_dedup(docs, min_words=1, near=5).select(
         "doc_id", "n_lines", "n_removed", "n_near", F.length("text").cast("long").alias("n_chars_left"), F.crc32("text").alias("text_crc32")
     )
 

@@ -83,3 +83,13 @@ def test_one_template_many_lines(spark):
 
 def test_empty_table(spark):
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_take_part(spark, tmp_path):
+    from gridmill.llm.queries import op9_line_dedup
+
+    rows = [(1, "one\na b c d\nthe cat sat down here\nq w e r t y u"), (2, "one\n\nA b c d\na b c d\nthe dog sat down here\nq w e r t y u i\nx b c d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.n_near, r.n_chars_left) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
+    # Lines of under 5 words go as exact copies only; empty lines stay.
+    assert got == {1: (4, 0, 0, len(rows[0][1])), 2: (7, 4, 2, len("\nA b c d\nx b c d"))}
