@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridmill.llm import ann, huffman, lines, mixing, pieces, quality, simhash, suffix_tree, token_cache, urls
+from gridmill.llm import (
+    ann, hard_negatives, huffman, lines, mixing, pieces, quality, simhash, suffix_tree, token_cache, urls,
+)
 from gridmill.llm.registry import query, table
 from gridmill.session import work_path
 
@@ -137,3 +139,35 @@ def op3_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("ids").alias("ids_hash"),
         (pieces.decode(F.col("ids"), PIECE_BPE) == F.coalesce("text", F.lit(""))).alias("lossless"),
     )
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH used AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+             CAST(list_inner_product(a.vec, r.vec) AS BIGINT) AS score
+      FROM used a JOIN used r ON a.vec_id <> r.vec_id
+      WHERE a.vec_id % 100 = 0),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id,
+           CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+           vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN scored s
+      ON s.anchor_id = p.anchor_id AND NOT same
+     AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) <= 5
+    """,
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose id is divisible by 100."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
