@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm import (
-    ann, hard_negatives, huffman, lines, mixing, pieces, quality, simhash, suffix_tree, token_cache, urls,
+    ann, hard_negatives, huffman, lines, mixing, pieces, quality, simhash, spelling, suffix_tree,
+    token_cache, urls, warc,
 )
 from gridmill.llm.registry import query, table
-from gridmill.session import work_path
+from gridmill.session import cut_lineage, work_path
 
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -171,3 +172,88 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every vector whose id is divisible by 100."""
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+@query(
+    "op11_warc",
+    """
+    WITH known AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    sized AS (SELECT page_id, html, strlen(html) AS payload_bytes,
+                     CASE WHEN strlen(html) >= 1000 THEN max(page_id) OVER (PARTITION BY html) ELSE page_id END AS head
+              FROM known)
+    SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+           CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> head THEN head END AS refers_to
+    FROM sized
+    """,
+)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives hold of every page, once they are read back and assembled."""
+    path = work_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    read = warc.read_warc(spark, path).withColumns({"n_bytes": F.octet_length("payload").cast("long"), "sha": F.sha1("payload")})
+    captures = warc.assemble(cut_lineage(read.drop("payload", "date", "content_type")))
+    whole_length = F.regexp_extract("http", r"(?i)\nContent-Length: (\d+)", 1).cast("long")
+    page = lambda metadata: F.get_json_object(F.get(metadata, F.lit(0))["content"], "$.id").cast("long")
+    rows = captures.select(
+        page(F.col("metadata")).alias("page_id"),
+        F.coalesce("n_bytes", whole_length).alias("payload_bytes"),
+        F.coalesce("sha", "payload_digest").alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        page(F.col("refers.metadata")).alias("refers_to"),
+        "copies",
+    )
+    return warc.repeated(rows)
+
+
+@query(
+    "op12_spelling",
+    r"""
+    WITH RECURSIVE tab AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+               lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+    runs AS (
+      SELECT coalesce(doc_id::VARCHAR, '') AS id,
+             translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+      FROM documents),
+    hashed AS (
+      SELECT run, xor(4294967295, list_reduce(
+               list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda h: ('0x' || h)::BIGINT),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) AS h
+      FROM runs, tab),
+    words AS (
+      SELECT word, count(*) AS n
+      FROM (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+            FROM hashed)
+      WHERE length(word) >= 7 GROUP BY 1 HAVING count(*) >= 2),
+    cut AS (
+      SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+      FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+    shorter AS (SELECT DISTINCT c.word, c.n, w.word AS other, w.n AS other_n FROM cut c JOIN words w ON c.rest = w.word),
+    near AS (
+      SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION ALL SELECT word, other, other_n FROM shorter
+      UNION ALL SELECT other, word, n FROM shorter),
+    best AS (
+      SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+      QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+    told AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+             CASE WHEN other_n >= 10 * w.n THEN other END AS form, CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+      FROM words w LEFT JOIN best b ON b.word = w.word),
+    way AS (
+      SELECT word, word AS root, 0 AS steps FROM told
+      UNION ALL SELECT way.word, told.form, steps + 1 FROM way JOIN told ON told.word = way.root WHERE told.form IS NOT NULL)
+    SELECT t.word, form, (SELECT arg_max(root, steps) FROM way WHERE way.word = t.word) AS root, n, n_near, form_n FROM told t
+    """,
+)
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    found = spelling.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    run, length = F.col("run"), F.length("run")
+    h = F.crc32(F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), run).cast("binary"))
+    at = (h % length).cast("int")
+    cut = F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, length))
+    words = found.select(F.when(h % 31 == 0, cut).otherwise(run).alias("word"))
+    return spelling.variants(spelling.word_counts(words)).select("word", "form", "root", "n", "n_near", "form_n")
