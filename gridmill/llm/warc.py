@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridmill.session import cut_lineage
+
 VERSION = b"WARC/1.1"
 # Fixed value: the profile of a revisit whose payload is the same.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -265,8 +267,12 @@ def assemble(records: DataFrame) -> DataFrame:
     whole = captures.join(tied, F.col("record_id") == F.col("capture"), "left").select(
         "record_id", "r.*", "copies", F.coalesce("requests", none).alias("requests"), F.coalesce("metadata", none).alias("metadata")
     )
-    target = whole.where(F.col("type") != "revisit").select(
-        F.col("record_id").alias("found"), F.struct("record_id", "target_uri", "payload_digest", "metadata").alias("refers")
+    asked = mains.where(F.col("type") == "revisit").select(F.col("refers_to").alias("record_id")).distinct()
+    # Written, so that Spark can split the join where one capture has most of the revisits.
+    target = cut_lineage(
+        whole.where(F.col("type") != "revisit")
+        .join(asked, "record_id", "left_semi")
+        .select(F.col("record_id").alias("found"), F.struct("record_id", "target_uri", "payload_digest", "metadata").alias("refers"))
     )
     return whole.join(target, F.col("refers_to") == F.col("found"), "left").drop("found")
 
