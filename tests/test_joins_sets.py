@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from conftest import at, rows
+from gridmill.operators import graph
 from gridmill.operators.aggregates import (
     active_items,
     capacity_report,
@@ -11,7 +14,7 @@ from gridmill.operators.aggregates import (
     over_threshold,
     watermark,
 )
-from gridmill.operators.graph import create_order, dependency_closure, drop_order
+from gridmill.operators.graph import DependencyCycle, create_order, dependency_closure, drop_order
 from gridmill.operators.joins import (
     eligible_output,
     exclude,
@@ -163,8 +166,39 @@ def test_closure_takes_the_longest_way(spark):
 
 def test_closure_reports_a_cycle(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
-    with pytest.raises(ValueError, match="cycle"):
+    with pytest.raises(DependencyCycle, match="cycle"):
         dependency_closure(edges, spark.createDataFrame([("a",)], "node string"))
+    # A cycle that the roots do not reach does not matter.
+    more = edges.unionByName(spark.createDataFrame([("a", "x"), ("r", "x"), ("x", "y"), (None, "y"), ("x", None)], edges.schema))
+    got = dependency_closure(more, spark.createDataFrame([("r",), (None,)], "node string"))
+    assert rows(got) == [("x", 1), ("y", 2)]
+
+
+def test_closure_names_a_small_cycle_in_a_large_graph(spark, monkeypatch):
+    # Two nodes that lead to each other below a tree of 100,000 edges, and a long tail behind them.
+    tree = spark.range(1, 100_001).selectExpr("(id - 1) div 50 AS parent", "id AS child")
+    loop = spark.createDataFrame([(70_000, 200_000), (200_000, 200_001), (200_001, 200_000), (200_001, 200_002)], "parent long, child long")
+    tail = spark.range(200_002, 200_010).selectExpr("id AS parent", "id + 1 AS child")
+    begun = []
+    path = graph.work_path
+    monkeypatch.setattr(graph, "work_path", lambda spark, label: begun.append(path(spark, label)) or begun[-1])
+    with pytest.raises(DependencyCycle) as found:
+        dependency_closure(tree.unionByName(loop).unionByName(tail), spark.createDataFrame([(0,)], "node long"))
+    assert found.value.node in (200_000, 200_001)
+    # Three rounds down and as many to take off the tree, not one for each of its nodes.
+    assert all(len([f for f in os.listdir(at.removeprefix("file:")) if "=" in f]) < 12 for at in begun) and len(begun) == 2
+
+
+def test_closure_of_a_hot_parent_and_many_ways(spark):
+    # Every node of a layer leads to every node of the next, and one node to all.
+    layered = [((i, a), (i + 1, b)) for i in range(6) for a in range(8) for b in range(8)]
+    name = lambda n: f"{n[0]}-{n[1]}"
+    edges = [(name(a), name(b)) for a, b in layered] + [("0-0", name(b)) for _, b in layered]
+    got = dependency_closure(ints(spark, *edges, schema="parent string, child string"), ints(spark, *[(f"0-{a}",) for a in range(8)], schema="node string"))
+    assert rows(got) == sorted((f"{i}-{a}", i) for i in range(1, 7) for a in range(8))
+    # A root below another root is a dependant, too.
+    got = dependency_closure(ints(spark, ("a", "b"), ("b", "c"), schema="parent string, child string"), ints(spark, "a", "b", schema="node string"))
+    assert rows(got) == [("b", 1), ("c", 2)]
 
 
 def test_closure_has_no_depth_limit(spark):
