@@ -28,8 +28,10 @@ from gridmill.functions.times import day_window, hour_bucket
 from gridmill.operators.intervals import (
     lead_segments,
     minute_grid,
+    moment_slices,
     nonneg_levels,
     override_energy,
+    point_slices,
 )
 from gridmill.operators.joins import (
     densify,
@@ -38,7 +40,7 @@ from gridmill.operators.joins import (
     selected_units,
 )
 from gridmill.operators.latest import dedup, last_by
-from gridmill.operators.slices import chunk_width
+from gridmill.operators.slices import Slices
 from gridmill.operators.tablesync import reload_day, zero_fill
 from gridmill.operators.trailing import trailing_hours_avg, trailing_months_avg, trailing_rows_avg
 from gridmill.plans.market import fuel_ratios, hourly_output, minute_output, unit_averages
@@ -46,7 +48,6 @@ from gridmill.plans.market import fuel_ratios, hourly_output, minute_output, uni
 CARRY = ["acceptance_id", "acceptance_time", "ad", "np"]
 COLS = ["acceptance_id", "ad", "np", "from_time", "from_level", "to_time", "to_level"]
 AS_OF = datetime(2024, 1, 31)
-DAY = 86_400
 
 # Fixed value: the unit that the daily figures leave out.
 SKIPPED = ("T_BPGRD-1",)
@@ -57,7 +58,8 @@ def unique_points(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
-    return lead_segments(unique_points(spark, sf), ["bm_unit_id"], "time_gmt", "va_level", CARRY, DAY)
+    slices = point_slices(points(spark, sf), "time_gmt", "va_level", CARRY)
+    return lead_segments(unique_points(spark, sf), ["bm_unit_id"], "time_gmt", "va_level", CARRY, slices)
 
 
 def doubles(df: DataFrame, *cols: str) -> DataFrame:
@@ -78,9 +80,7 @@ def rounded(df: DataFrame, *cols: str) -> DataFrame:
     WHERE to_time IS NOT NULL""",
 )
 def _lead_segments(spark, sf):
-    events = table(spark, sf, "events")
-    width = chunk_width(events, "ts")
-    return lead_segments(events, ["user_id"], "ts", "value", ["event_id"], width)
+    return lead_segments(table(spark, sf, "events"), ["user_id"], "ts", "value", ["event_id"])
 
 
 @query(
@@ -198,18 +198,18 @@ def minute_output_query(spark, sf):
     )
 
 
-def width(spark: SparkSession, sf: str) -> float:
-    return chunk_width(table(spark, sf, "events"), "ts")
+def moments(spark: SparkSession, sf: str) -> Slices:
+    return moment_slices(table(spark, sf, "events"), "ts")
 
 
-def schedule(spark: SparkSession, sf: str, seconds: float) -> DataFrame:
+def schedule(spark: SparkSession, sf: str) -> DataFrame:
     """Segments between the `view` events of a user."""
     views = table(spark, sf, "events").where(F.col("event_type") == "view").select(
         F.col("user_id").alias("bm_unit_id"),
         "ts",
         F.col("value").cast("decimal(18,4)").alias("level"),
     )
-    return lead_segments(views, ["bm_unit_id"], "ts", "level", chunk_seconds=seconds)
+    return lead_segments(views, ["bm_unit_id"], "ts", "level")
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
@@ -256,11 +256,10 @@ hour_out AS (
 )
 def _override(spark, sf):
     energy = segment_energy("from_level", "to_level", "from_time", "to_time")
-    seconds = width(spark, sf)
-    planned = nonneg_levels(schedule(spark, sf, seconds)).withColumn("energy", energy)
+    planned = nonneg_levels(schedule(spark, sf)).withColumn("energy", energy)
     out = override_energy(
         planned, readings(spark, sf), "bm_unit_id", "from_time", "to_time", "energy",
-        "avg_time", "avg_level", chunk_seconds=seconds,
+        "avg_time", "avg_level", slices=moments(spark, sf),
     )
     return rounded(out, "energy", "matched", "output")
 
@@ -270,10 +269,7 @@ def _override(spark, sf):
     with_(SCHEDULE) + " SELECT avg_datehour, bm_unit_id, round(output, 6) AS output FROM hour_out",
 )
 def _hourly_sum(spark, sf):
-    seconds = width(spark, sf)
-    out = hourly_output(
-        schedule(spark, sf, seconds), readings(spark, sf), group=[], chunk_seconds=seconds
-    )
+    out = hourly_output(schedule(spark, sf), readings(spark, sf), group=[], slices=moments(spark, sf))
     return rounded(out, "output")
 
 
@@ -328,10 +324,8 @@ def _not_exists(spark, sf):
     WHERE b.bm_unit_id IS NULL""",
 )
 def _left_is_null(spark, sf):
-    seconds = width(spark, sf)
     out = hourly_output(
-        schedule(spark, sf, seconds), readings(spark, sf), loaded(spark, sf), group=[],
-        chunk_seconds=seconds,
+        schedule(spark, sf), readings(spark, sf), loaded(spark, sf), group=[], slices=moments(spark, sf)
     )
     return rounded(out.select("avg_datehour", "bm_unit_id", "output"), "output")
 

@@ -1,7 +1,7 @@
 """Points, segments and the sums between them.
 
 No operator here puts all rows of one key into one task: rows are grouped by key and
-time slice, and slices are joined up level by level.
+slice, and slices are joined up.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridmill.functions.times import time_chunk, trunc_ntz
-from gridmill.operators.slices import levels_of, link_neighbours, sums_before
+from gridmill.functions.times import trunc_ntz
+from gridmill.operators.slices import ROWS, Slices, cut_slices, link_neighbours, sums_before
 
-_CHUNK = "_chunk"
+_SLICE = "_slice"
+_FIRST = "_first"
 
 
 def lead_segments(
@@ -26,33 +27,39 @@ def lead_segments(
     time: str,
     level: str,
     carry: Sequence[str] = (),
-    chunk_seconds: float = 3600,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Join every point to the next one of its key; the open last point is dropped.
 
     Columns: keys, from_time, from_level, carry (of the from point), to_time, to_level.
-    Points at the same time follow in order of level, then carry. One key's points of
-    chunk_seconds are ordered in one task; chunk_width() finds a span that fits.
+    Points at the same time follow in order of level, then carry. One key's points of one
+    slice are ordered in one task; point_slices() cuts them, on points unless given.
     """
+    if slices is None:
+        slices = point_slices(points, time, level, carry)
+    row = ["from_time", "from_level", *carry]
     # A point with no time sorts last: it starts no segment and ends none.
-    p = points.where(F.col(time).isNotNull()).select(
-        *keys,
-        F.col(time).alias("from_time"),
-        F.col(level).alias("from_level"),
-        *carry,
-        time_chunk(time, chunk_seconds).alias(_CHUNK),
+    timed = points.where(F.col(time).isNotNull()).select(
+        *keys, F.col(time).alias("from_time"), F.col(level).alias("from_level"), *carry
     )
-    row = ["from_time", "from_level", *carry]
-    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*[F.col(c).asc_nulls_first() for c in row])
-    inner = (
-        p.withColumn("to_time", F.lead("from_time").over(inside))
-        .withColumn("to_level", F.lead("from_level").over(inside))
-        .where(F.col("to_time").isNotNull())
-        .drop(_CHUNK)
+    p = slices.numbered(timed, F.struct(*row), _SLICE)
+    inside = Window.partitionBy(*keys, _SLICE).orderBy(*[F.col(c).asc_nulls_first() for c in row])
+    led = p.withColumns(
+        {
+            "to_time": F.lead("from_time").over(inside),
+            "to_level": F.lead("from_level").over(inside),
+            _FIRST: F.row_number().over(inside) == 1,
+        }
     )
+    inner = led.where(F.col("to_time").isNotNull()).drop(_SLICE, _FIRST)
+    if slices.count == 1:
+        return inner
     # The last point of a slice joins the first point of the key's next slice.
-    ends = p.groupBy(*keys, _CHUNK).agg(
-        F.min(F.struct(*row)).alias("head"), F.max(F.struct(*row)).alias("tail")
+    point, last = F.struct(*row), F.col("to_time").isNull()
+    ends = (
+        led.where(F.col(_FIRST) | last)
+        .groupBy(*keys, _SLICE)
+        .agg(F.max(F.when(F.col(_FIRST), point)).alias("head"), F.max(F.when(last, point)).alias("tail"))
     )
     links = [
         pairs.select(
@@ -61,11 +68,18 @@ def lead_segments(
             F.col("next.from_time").alias("to_time"),
             F.col("next.from_level").alias("to_level"),
         )
-        for pairs in link_neighbours(ends, keys, _CHUNK, levels_of(chunk_seconds))
+        for pairs in link_neighbours(ends, keys, _SLICE, 1)
     ]
     return reduce(DataFrame.unionByName, links, inner)
 
 
+def point_slices(
+    points: DataFrame, time: str, level: str, carry: Sequence[str] = (), per_slice: int = ROWS
+) -> Slices:
+    """Slices of points for lead_segments; points before or after dedup do."""
+    return cut_slices(points.where(F.col(time).isNotNull()), F.struct(time, level, *carry), per_slice)
+
+
 def nonneg_levels(
     df: DataFrame, from_level: str = "from_level", to_level: str = "to_level"
 ) -> DataFrame:
@@ -122,7 +136,7 @@ def override_energy(
     reading_time: str,
     reading_level: str,
     group: Sequence[str] = (),
-    chunk_seconds: float = 3600,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Scheduled energy replaced by the sum of the unit's readings in [from, to].
 
@@ -132,7 +146,7 @@ def override_energy(
 
     The sum between two moments is the difference of two running sums, so readings
     and segments are never paired and the work stays linear for a hot unit. Sums are
-    exact decimals.
+    exact decimals. moment_slices() cuts the moments, those of both inputs unless given.
     """
     keys = list(dict.fromkeys([unit, from_time, to_time, energy, *group]))
     groups = schedule.groupBy(*keys).agg(F.count(F.lit(1)).alias("_copies"))
@@ -144,6 +158,10 @@ def override_energy(
             F.count(reading_level).alias("_n"),
         )
     )
+    if slices is None:
+        starts_and_ends = schedule.select(F.explode(F.array(from_time, to_time)).alias("_t"))
+        both = starts_and_ends.unionByName(readings.select(F.col(reading_time).alias("_t")))
+        slices = moment_slices(both, "_t")
     # At one moment: segment starts (0), readings (1), segment ends (2).
     probes = groups.select(
         *keys,
@@ -154,47 +172,32 @@ def override_energy(
                 F.struct(F.col(to_time).alias("_t"), F.lit(2).alias("_side")),
             )
         ).alias("_p"),
-    ).select(*keys, "_copies", "_p.*")
-    stream = probes.unionByName(
-        reads.withColumn("_side", F.lit(1)), allowMissingColumns=True
-    ).withColumn(_CHUNK, time_chunk("_t", chunk_seconds))
+    ).select(*keys, "_copies", "_p.*", F.xxhash64(*keys).alias("_tie"))
+    both = probes.unionByName(
+        reads.withColumns({"_side": F.lit(1), "_tie": F.xxhash64(unit)}), allowMissingColumns=True
+    )
+    stream = slices.numbered(both, _moment(F.col("_t"), F.col("_side"), F.col("_tie")), _SLICE)
 
     inside = (
-        Window.partitionBy(unit, _CHUNK)
+        Window.partitionBy(unit, _SLICE)
         .orderBy("_t", "_side")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    # Slices of either side with their readings: straight from the inputs, combined
-    # before the shuffle.
-    touched = schedule.select(
-        unit, F.explode(F.array(from_time, to_time)).alias("_t")
-    ).select(
-        unit,
-        time_chunk("_t", chunk_seconds).alias(_CHUNK),
-        F.lit(None).cast("decimal(38,18)").alias("_s"),
-    )
-    read = readings.select(
-        unit,
-        time_chunk(reading_time, chunk_seconds).alias(_CHUNK),
-        exact(readings, reading_level).alias("_s"),
-    )
-    totals = (
-        touched.unionByName(read)
-        .where(F.col(unit).isNotNull() & F.col(_CHUNK).isNotNull())
-        .groupBy(unit, _CHUNK)
-        .agg(F.sum("_s").alias("_s0"), F.count("_s").alias("_n0"))
-    )
-    offsets = sums_before(totals, [unit], _CHUNK, ["_s0", "_n0"], levels_of(chunk_seconds))
     running = (
         stream.withColumn("_s", F.sum("_s").over(inside))
         .withColumn("_n", F.sum("_n").over(inside))
         .where(F.col("_side") != 1)
-        .join(offsets, [unit, _CHUNK], "left")
     )
     zero = F.lit(0).cast("decimal(38,18)")
+    total_s, total_n = F.coalesce("_s", zero), F.coalesce("_n", F.lit(0))
+    if slices.count > 1:
+        running = running.join(
+            _read_before(schedule, readings, slices, unit, from_time, to_time, reading_time, reading_level, keys),
+            [unit, _SLICE],
+            "left",
+        )
+        total_s, total_n = total_s + F.coalesce("_s0", zero), total_n + F.coalesce("_n0", F.lit(0))
     sign = F.when(F.col("_side") == 2, 1).otherwise(-1)
-    total_s = F.coalesce("_s", zero) + F.coalesce("_s0", zero)
-    total_n = F.coalesce("_n", F.lit(0)) + F.coalesce("_n0", F.lit(0))
     summed = running.groupBy(*keys, "_copies").agg(
         F.sum(F.when(F.col("_side") == 2, total_s).otherwise(-total_s)).alias("_s"),
         F.sum(sign * total_n).alias("_n"),
@@ -205,6 +208,49 @@ def override_energy(
     ).select(*keys, "matched", F.coalesce("matched", energy).alias("output"))
 
 
+def _read_before(
+    schedule: DataFrame,
+    readings: DataFrame,
+    slices: Slices,
+    unit: str,
+    from_time: str,
+    to_time: str,
+    reading_time: str,
+    reading_level: str,
+    keys: Sequence[str],
+) -> DataFrame:
+    """(unit, slice, _s0, _n0): sum and count of the unit's readings in earlier slices.
+
+    Straight from the inputs, combined before the shuffle; a unit has at most as many
+    rows as there are slices.
+    """
+    none, tie = F.lit(None).cast("decimal(38,18)"), F.xxhash64(*keys)
+    ends = F.array(_moment(F.col(from_time), F.lit(0), tie), _moment(F.col(to_time), F.lit(2), tie))
+    touched = schedule.select(unit, F.explode(ends).alias("_at"), none.alias("_s"))
+    read = readings.where(F.col(reading_time).isNotNull()).select(
+        unit,
+        _moment(F.col(reading_time), F.lit(1), F.xxhash64(unit)).alias("_at"),
+        exact(readings, reading_level).alias("_s"),
+    )
+    totals = (
+        slices.numbered(touched.unionByName(read), F.col("_at"), _SLICE)
+        .where(F.col(unit).isNotNull())
+        .groupBy(unit, _SLICE)
+        .agg(F.sum("_s").alias("_s0"), F.count("_s").alias("_n0"))
+    )
+    return sums_before(totals, [unit], _SLICE, ["_s0", "_n0"], 1)
+
+
+def moment_slices(df: DataFrame, time: str, per_slice: int = ROWS) -> Slices:
+    """Slices of moments for override_energy, by the times of df, its other columns as ties."""
+    known = df.where(F.col(time).isNotNull())
+    return cut_slices(known, _moment(F.col(time), F.lit(0), F.xxhash64(*df.columns)), per_slice)
+
+
+def _moment(time: Column, side: Column, tie: Column) -> Column:
+    return F.struct(time.alias("t"), side.alias("side"), tie.alias("tie"))
+
+
 def hourly_sum(df: DataFrame, hour: Column, unit: str, value: str) -> DataFrame:
     """Sum per hour and unit; sums of exactly zero are left out."""
     total = F.sum(exact(df, value))

@@ -15,12 +15,14 @@ from gridmill.operators.intervals import (
     hourly_sum,
     lead_segments,
     minute_grid,
+    moment_slices,
     nonneg_levels,
     override_energy,
+    point_slices,
 )
 from gridmill.operators.joins import eligible_output, not_yet_loaded
 from gridmill.operators.latest import dedup, last_by
-from gridmill.operators.slices import chunk_width
+from gridmill.operators.slices import Slices
 from gridmill.operators.trailing import HOURS, trailing_hours_avg, trailing_months_avg
 from gridmill.sources.messages import parse_acceptance_messages
 
@@ -36,21 +38,21 @@ def minute_output(
     carry: Sequence[str] = (),
     start: datetime | None = None,
     end: datetime | None = None,
-    chunk_seconds: float | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Per unit and minute, the latest acceptance in force and the energy of the minute.
 
     points: keys, carry, time_gmt, va_level; unit and the acceptance columns are among
-    keys and carry. The width of the slices is measured, unless it is given.
+    keys and carry. The slices are cut on the points, unless they are given.
     """
     if start is not None:
         points = points.where(F.col("time_gmt") >= F.lit(start - timedelta(days=1)).cast("timestamp_ntz"))
     if end is not None:
         points = points.where(F.col("time_gmt") < F.lit(end + timedelta(days=1)).cast("timestamp_ntz"))
-    if chunk_seconds is None:
-        chunk_seconds = chunk_width(points, "time_gmt")
+    if slices is None:
+        slices = point_slices(points, "time_gmt", "va_level", carry)
     unique = dedup(points, [*keys, "time_gmt"], "va_level", carry)
-    segments = lead_segments(unique, keys, "time_gmt", "va_level", carry, chunk_seconds)
+    segments = lead_segments(unique, keys, "time_gmt", "va_level", carry, slices)
     grid = minute_grid(nonneg_levels(segments), start=start, end=end)
     cols = [
         "acceptance_id", "ad", "np", "from_time", "from_level", "to_time", "to_level",
@@ -65,22 +67,21 @@ def hourly_output(
     loaded: DataFrame | None = None,
     unit: str = "bm_unit_id",
     group: Sequence[str] = ("sett_period", "fpn_date"),
-    chunk_seconds: float | None = None,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Scheduled energy, overridden by accepted minutes, per unit and hour of its start.
 
     schedule: unit, from_time, from_level, to_time, to_level and the group columns;
     minutes: unit, avg_time, avg_level, one row a minute at most. Hours already in
-    `loaded` are left out. The width of the slices is measured on the schedule, unless
-    it is given, and is an hour at most.
+    `loaded` are left out. The slices are cut on the schedule, unless they are given.
     """
-    if chunk_seconds is None:
-        chunk_seconds = min(3600.0, chunk_width(schedule, "from_time"))
+    if slices is None:
+        slices = moment_slices(schedule, "from_time")
     energy = segment_energy("from_level", "to_level", "from_time", "to_time")
     planned = nonneg_levels(schedule).withColumn("energy", energy)
     done = override_energy(
         planned, minutes, unit, "from_time", "to_time", "energy", "avg_time", "avg_level",
-        group, chunk_seconds,
+        group, slices,
     )
     hourly = hourly_sum(done, hour_bucket("from_time"), unit, "output")
     if loaded is not None:

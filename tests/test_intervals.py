@@ -12,10 +12,12 @@ from gridmill.operators.intervals import (
     hourly_sum,
     lead_segments,
     minute_grid,
+    moment_slices,
     nonneg_levels,
     override_energy,
+    point_slices,
 )
-from gridmill.operators.slices import chunk_width, levels_of, sums_before
+from gridmill.operators.slices import cut_slices, sums_before
 
 POINT = "u string, t timestamp_ntz, v double"
 
@@ -30,7 +32,7 @@ def test_segments_cross_slices(spark):
         [("a", at("10:00"), 1.0), ("a", at("10:30"), 2.0), ("a", at("15:10"), 3.0), ("b", at("10:10"), 9.0)],
         POINT,
     )
-    got = rows(lead_segments(df, ["u"], "t", "v", chunk_seconds=3600))
+    got = rows(lead_segments(df, ["u"], "t", "v", slices=point_slices(df, "t", "v", per_slice=1)))
     assert got == [
         ("a", at("10:00"), 1.0, at("10:30"), 2.0),
         ("a", at("10:30"), 2.0, at("15:10"), 3.0),
@@ -42,8 +44,8 @@ def test_point_without_time_is_no_end(spark):
     assert lead_segments(df, ["u"], "t", "v").count() == 0
 
 
-@pytest.mark.parametrize("seconds", [0.001, 0.5, 60, 3600, 86_400])
-def test_segments_match_plain_order_with_hot_key_and_ties(spark, seconds):
+@pytest.mark.parametrize("per_slice", [1, 10, 100, 1000])
+def test_segments_match_plain_order_with_hot_key_and_ties(spark, per_slice):
     rnd = random.Random(7)
     base = datetime(2024, 1, 10)
     data = [
@@ -56,14 +58,10 @@ def test_segments_match_plain_order_with_hot_key_and_ties(spark, seconds):
         own = sorted((t, v, i) for k, t, v, i in data if k == key)
         want += [(key, a[0], a[1], a[2], b[0], b[1]) for a, b in zip(own, own[1:])]
     df = spark.createDataFrame(data, "u string, t timestamp_ntz, v double, i int")
-    got = lead_segments(df, ["u"], "t", "v", ["i"], seconds)
+    got = lead_segments(df, ["u"], "t", "v", ["i"], point_slices(df, "t", "v", ["i"], per_slice))
     assert rows(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-def test_levels():
-    assert [levels_of(s) for s in (86_400, 60, 0.001)] == [1, 2, 3]
-
-
 @pytest.mark.parametrize("levels", [1, 2, 3])
 def test_sums_before_in_levels(spark, levels):
     rnd = random.Random(5)
@@ -78,17 +76,36 @@ def test_sums_before_in_levels(spark, levels):
     assert rows(got) == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
-def test_chunk_width_follows_density(spark):
-    base = datetime(2024, 1, 10)
-    df = spark.createDataFrame(
-        [(base + timedelta(seconds=i % 60),) for i in range(600)], "t timestamp_ntz"
-    )
-    assert chunk_width(df, "t", rows=100) == 10.0
-    assert chunk_width(df, "t") == 86_400.0
-    burst = df.unionByName(spark.range(3000).select((F.lit(base).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") / 10_000)).alias("t")))
-    # 3,000 rows in 300 milliseconds: a tenth of a second would hold 1,000.
-    assert chunk_width(burst, "t", rows=400) == 0.01
-    assert chunk_width(df.limit(0), "t") == 86_400.0
+def test_slices_hold_about_the_same_and_cut_a_burst(spark):
+    base = F.lit(datetime(2024, 1, 10)).cast("timestamp_ntz")
+    calm = spark.range(2000).select((base + F.make_dt_interval(secs=F.col("id"))).alias("t"), F.col("id").alias("v"))
+    # As many rows again in one and the same moment.
+    burst = calm.unionByName(spark.range(2000).select((base + F.expr("INTERVAL 5 MINUTES")).alias("t"), F.col("id").alias("v")))
+    order = F.struct("t", "v")
+    assert cut_slices(burst, order).count == 1 and cut_slices(burst.limit(0), order).count == 1
+    slices = cut_slices(burst, order, per_slice=200)
+    held = slices.numbered(burst, order, "s")
+    sizes = [r["count"] for r in held.groupBy("s").count().collect()]
+    assert slices.count == 20 and len(sizes) == 20 and max(sizes) < 400
+    # Slices follow the order.
+    found = [r.s for r in held.orderBy("t", "v").collect()]
+    assert found == sorted(found) and found[0] == 0 and found[-1] == 19
+    assert held.where("t = TIMESTAMP_NTZ '2024-01-10 00:05:00'").select("s").distinct().count() > 8
+
+
+def test_rows_that_cannot_be_cut_share_a_slice(spark):
+    same = spark.range(500).select(F.lit(1).alias("t"), F.lit(None).cast("string").alias("v"))
+    order = F.struct("t", "v")
+    slices = cut_slices(same, order, per_slice=10)
+    assert slices.numbered(same, order, "s").select("s").distinct().count() == 1
+
+
+def test_no_shuffle_grows_with_different_times(spark):
+    df = spark.range(1000).select(F.lit("a").alias("u"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"), F.lit(1.0).alias("v"))
+    slices = point_slices(df, "t", "v", per_slice=100)
+    assert slices.cuts.count() == 1
+    plan = lead_segments(df, ["u"], "t", "v", slices=slices)._jdf.queryExecution().toString()
+    assert "hashpartitioning(u" in plan and "hashpartitioning(_at" not in plan
 
 
 SEGMENT = "u string, from_time timestamp_ntz, from_level double, to_time timestamp_ntz, to_level double"
@@ -157,8 +174,8 @@ def test_no_reading_falls_back(spark):
     assert rows(override(plan, reads)) == [("a", at("10:00"), at("10:30"), 5.0, None, 5.0)]
 
 
-@pytest.mark.parametrize("seconds", [0.001, 30, 3600])
-def test_override_matches_pairwise_join(spark, seconds):
+@pytest.mark.parametrize("per_slice", [3, 50, 10_000])
+def test_override_matches_pairwise_join(spark, per_slice):
     rnd = random.Random(3)
     base = datetime(2024, 1, 10)
 
@@ -180,7 +197,8 @@ def test_override_matches_pairwise_join(spark, seconds):
                   coalesce(sum(CASE WHEN at BETWEEN f AND t THEN lv END), e) AS output
            FROM p_ LEFT JOIN r_ ON p_.u = r_.u GROUP BY p_.u, f, t, e, g"""
     )
-    got = override(p, r, group=["g"], chunk_seconds=seconds)
+    slices = moment_slices(p.select(F.explode(F.array("f", "t")).alias("t")), "t", per_slice)
+    got = override(p, r, group=["g"], slices=slices)
     assert rows(got) == rows(want)
 
 
