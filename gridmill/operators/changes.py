@@ -12,18 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.operators.latest import latest_changes
-from gridmill.operators.slices import sums_before
+from gridmill.operators.slices import ROWS, cut_slices, sums_before
 
 # Fixed value: the status that marks a deleted row in the track log.
 DELETED = "D"
-# Bits of a sequence number that one slice spans (about a million numbers).
-SLICE_BITS = 20
 LOG_SCHEMA = (
     "source_tablename string, target_tablename string, last_row_replicated long,"
     " last_row_replicated_timestamp timestamp_ntz, batch_elapsed_seconds long"
 )
-# Above every slice of a long.
-_NO_SLICE = 1 << (63 - SLICE_BITS)
 
 
 def acknowledge(
@@ -34,29 +30,29 @@ def acknowledge(
     ack_time: str,
     last: int,
     as_of: datetime,
+    per_slice: int = ROWS,
 ) -> DataFrame:
     """Number the rows not yet acknowledged last+1, last+2, .. in order of seq.
 
-    seq is a database sequence, so a slice of it holds a bounded number of rows: rows are
-    ranked inside their slice, and slices are offset by the counts before them. No task
-    sees more than one slice or one group of slices. Rows without a sequence come last,
-    in order of the keys, as one slice.
+    Rows without a sequence come last, in order of the keys, as do rows of one sequence.
+    The order is cut into slices of about per_slice rows at splitters from a sample; rows
+    are ranked inside their slice, and slices are offset by the counts before them. So no
+    task ranks more than one slice, whether rows have a sequence or not.
     """
-    slice_no = F.shiftright(F.col(seq).cast("long"), SLICE_BITS)
-    rows = track.withColumn("_slice", F.coalesce(slice_no, F.lit(_NO_SLICE)))
-    fresh = F.col(ack).isNull()
-    counts = rows.where(fresh).groupBy("_slice").agg(F.count(F.lit(1)).alias("_before"))
-    offsets = sums_before(counts, [], "_slice", ["_before"], levels=2)
-    inside = Window.partitionBy("_slice").orderBy(seq, *keys)
+    fresh = track.where(F.col(ack).isNull())
+    order = [F.col(seq).isNull().alias("_late"), F.col(seq), *[F.col(k) for k in keys]]
+    rows = cut_slices(fresh, F.struct(*order), per_slice).numbered(fresh, F.struct(*order), "_slice")
+    counts = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_before"))
+    offsets = sums_before(counts, [], "_slice", ["_before"], levels=1)
+    inside = Window.partitionBy("_slice").orderBy(F.col(seq).isNull(), seq, *keys)
     numbered = (
-        rows.where(fresh)
-        .withColumn("_rn", F.row_number().over(inside))
+        rows.withColumn("_rn", F.row_number().over(inside))
         .join(offsets, "_slice")
         .withColumn(ack, F.lit(last) + F.coalesce("_before", F.lit(0)) + F.col("_rn"))
         .withColumn(ack_time, F.lit(as_of).cast("timestamp_ntz"))
         .select(*track.columns)
     )
-    return track.where(~fresh).unionByName(numbered)
+    return track.where(F.col(ack).isNotNull()).unionByName(numbered)
 
 
 @dataclass(frozen=True)

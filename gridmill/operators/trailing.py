@@ -1,7 +1,8 @@
 """Trailing averages.
 
-Values are first summed per key and time, so a key's window holds at most one row per
-hour (or month) however many rows the key has.
+By hour or month, values are first summed per key and time, so a key's window holds at
+most one row per hour (or month) however many rows the key has. By rows, a key's rows are
+cut into slices.
 """
 
 from __future__ import annotations
@@ -12,10 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.functions.times import micros, month_index
+from gridmill.operators.slices import ROWS, Slices, cut_slices
 
 # The hours and months of the trailing averages.
 HOURS = (3, 12, 72)
 MONTHS_BACK = 5
+_SLICE = "_slice"
+_HALO = "_halo"
 
 
 def trailing_hours_avg(
@@ -51,20 +55,66 @@ def trailing_hours_avg(
 
 
 def trailing_rows_avg(
-    df: DataFrame, keys: Sequence[str], order: str, value: str, rows: Sequence[int] = HOURS
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    rows: Sequence[int] = HOURS,
+    slices: Slices | None = None,
 ) -> DataFrame:
     """Average over the last N rows of the key for each N; decimals are summed exactly.
 
-    Needs one row per key and order value, which also bounds the window of a key.
+    Needs one row per key and order value. A key's rows of one slice are one window, to
+    which the last N - 1 rows of the key's slices before it are added, so a key with all
+    rows is spread over all slices. row_slices() cuts them, on df unless given.
     """
-    frame = Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last())
+    if slices is None:
+        slices = row_slices(df, order)
+    own = slices.numbered(df, _late(order), _SLICE)
+    sliced = own if slices.count == 1 else own.withColumn(_HALO, F.lit(False)).unionByName(
+        _halo(own, keys, order, value, max(rows) - 1), allowMissingColumns=True
+    )
+    frame = Window.partitionBy(*keys, _SLICE).orderBy(F.col(order).asc_nulls_last())
 
     def mean(n: int) -> Column:
         last = frame.rowsBetween(1 - n, 0)
         total, seen = F.sum(value).over(last).cast("double"), F.count(value).over(last)
         return total / F.nullif(seen, F.lit(0))
 
-    return df.select("*", *[mean(n).alias(f"avg{n}rows") for n in rows])
+    out = sliced.select("*", *[mean(n).alias(f"avg{n}rows") for n in rows])
+    if slices.count > 1:
+        out = out.where(~F.col(_HALO)).drop(_HALO)
+    return out.drop(_SLICE)
+
+
+def row_slices(df: DataFrame, order: str, per_slice: int = ROWS) -> Slices:
+    """Slices for trailing_rows_avg; any table with like values of the order does."""
+    return cut_slices(df, _late(order), per_slice)
+
+
+def _late(order: str) -> Column:
+    """The order with NULL last."""
+    return F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("at"))
+
+
+def _halo(own: DataFrame, keys: Sequence[str], order: str, value: str, n: int) -> DataFrame:
+    """The last n rows of a key before each of its slices, numbered as rows of that slice.
+
+    A slice gives its last n rows; those of the n slices of the key before a slice hold
+    the n rows before it, as none is empty. So no window holds more than n * n rows.
+    """
+    if n < 1:
+        return own.limit(0).withColumn(_HALO, F.lit(True))
+    at = F.struct(F.col(order).isNull().alias("late"), F.col(order).alias("at"), F.col(value).alias("v"))
+    backwards = Window.partitionBy(*keys, _SLICE).orderBy(F.col(order).desc_nulls_first())
+    last = own.select(*keys, _SLICE, at.alias("r"), F.row_number().over(backwards).alias("back")).where(F.col("back") <= n)
+    ends = last.groupBy(*keys, _SLICE).agg(F.sort_array(F.collect_list("r")).alias("ends"))
+    before = Window.partitionBy(*keys).orderBy(_SLICE).rowsBetween(-n, -1)
+    rows = F.flatten(F.collect_list("ends").over(before))
+    given = ends.select(*keys, _SLICE, rows.alias("rows"))
+    return given.select(
+        *keys, _SLICE, F.explode(F.slice("rows", F.greatest(F.size("rows") - n, F.lit(0)) + 1, n)).alias("r")
+    ).select(*keys, _SLICE, F.col("r.at").alias(order), F.col("r.v").alias(value), F.lit(True).alias(_HALO))
 
 
 def trailing_months_avg(

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import at, rows
@@ -14,6 +15,7 @@ from gridmill.operators.latest import (
     latest_rank_rows,
 )
 from gridmill.operators.trailing import (
+    row_slices,
     trailing_hours_avg,
     trailing_months_avg,
     trailing_rows_avg,
@@ -72,6 +74,27 @@ def test_trailing_rows(spark):
     assert got == [1.0, 1.5, 2.0, 3.0]
 
 
+@pytest.mark.parametrize("per_slice", [1, 7, 40, 1000])
+def test_trailing_rows_of_a_hot_key_are_spread_and_exact(spark, per_slice):
+    from decimal import Decimal
+
+    data = [("hot", i, Decimal(i * i % 97) / 10 if i % 11 else None) for i in range(300)]
+    data += [(k, i, Decimal(i)) for k in ("b", None) for i in (5, 90, 250)] + [("b", None, Decimal(7)), (None, None, Decimal(1))]
+    df = spark.createDataFrame(data, "k string, t int, v decimal(18,4)").repartition(3)
+    slices = row_slices(df, "t", per_slice)
+    assert slices.count == -(-len(data) // per_slice)
+    got = trailing_rows_avg(df, ["k"], "t", "v", [1, 3, 12], slices)
+    assert got.columns == ["k", "t", "v", "avg1rows", "avg3rows", "avg12rows"]
+    df.createOrReplaceTempView("trailing_")
+    frame = "OVER (PARTITION BY k ORDER BY t NULLS LAST ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
+    mean = f"CAST(sum(v) {frame} AS DOUBLE) / nullif(count(v) {frame}, 0)"
+    want = spark.sql(f"SELECT k, t, v, {', '.join(mean.format(n=n - 1) for n in (1, 3, 12))} FROM trailing_")
+    assert rows(got) == rows(want)
+    if per_slice == 7:
+        spread = slices.numbered(df, F.struct(F.col("t").isNull(), F.col("t")), "s").where("k = 'hot'").groupBy("s").count()
+        assert spread.count() > 30 and spread.agg(F.max("count")).first()[0] < 20
+
+
 def test_trailing_months_follow_the_calendar(spark):
     df = spark.createDataFrame(
         [(1, "2024-01", 1.0), (1, "2024-08", 5.0), (1, "2024-06", 3.0), (1, "2024-06", 5.0),
