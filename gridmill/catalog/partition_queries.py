@@ -19,6 +19,8 @@ from gridmill.operators.partitions import (
     route,
     route_quarter,
 )
+from gridmill.plans.prune import prune_run
+from gridmill.session import work_path
 
 AS_OF = datetime(2001, 8, 1)
 
@@ -143,6 +145,20 @@ def _retention(spark, sf):
     return reduce(DataFrame.unionByName, kept)
 
 
+@query(
+    "prune_run",
+    """
+    SELECT 'orders_' || strftime(date_trunc('week', o_orderdate), '%Y%m%d') || '_week' AS partition_name,
+           count(*) AS n_rows, count(*) AS n_archived, true AS counts_equal, true AS content_equal, true AS safe_to_drop
+    FROM orders
+    WHERE date_trunc('week', o_orderdate) <= date_trunc('week', TIMESTAMP '2001-08-01' - INTERVAL 56 DAYS)
+    GROUP BY 1""",
+)
+def _prune(spark, sf):
+    """Weeks older than eight, archived and proved."""
+    return prune_run(orders(spark, sf), work_path(spark, "pruned"), "o_orderdate", "week", "orders", AS_OF, 8, "week")
+
+
 @query(
     "retention_pairs",
     "WITH" + WEEKS

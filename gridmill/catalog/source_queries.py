@@ -272,7 +272,7 @@ def _email(spark, sf):
     "mask_secret",
     """
     SELECT c_custkey, CASE WHEN c_name IN ('Customer#000000003') THEN c_mktsegment
-      ELSE sha256('salt' || c_name || c_mktsegment) END AS secret FROM customer""",
+      ELSE sha256('4:salt' || strlen(c_name) || ':' || c_name || c_mktsegment) END AS secret FROM customer""",
 )
 def _secret(spark, sf):
     masked = mask_secret("c_name", "c_mktsegment", "salt", allow=["Customer#000000003"])

@@ -22,10 +22,12 @@ def mask_secret(
 ) -> Column:
     """One-way keyed hash of the secret unless the user is on the allow list.
 
-    A random salt could never repeat its result, so the salt is a parameter.
+    A random salt could never repeat its result, so the salt is a parameter. Salt and user
+    are led by their lengths: no other user and secret run together to the same text.
     """
     u, s = _col(user), _col(secret)
-    hashed = F.sha2(F.concat(F.lit(salt), u, s), 256)
+    led = lambda c: F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)
+    hashed = F.sha2(F.concat(led(F.lit(salt)), led(u), s), 256)
     return F.when(u.isin(list(allow)), s).otherwise(hashed) if allow else hashed
 
 

@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 
 def row_digest(cols: Sequence[str]) -> Column:
-    """md5 of a row; NULL and the empty string differ."""
-    parts = [F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in cols]
-    return F.md5(F.concat_ws("\u0001", *parts))
+    """md5 of a row; NULL and the empty string differ.
+
+    Each value is led by its length, so no text in one column can pass for the end of it
+    and the start of the next.
+    """
+
+    def part(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+    return F.md5(F.concat(F.lit(""), *[part(c) for c in cols]))
 
 
 def rows_hash(cols: Sequence[str]) -> Column:

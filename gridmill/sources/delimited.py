@@ -98,15 +98,19 @@ def load_delimited(
     )
 
 
+def line_of(cols: Sequence[str], sep: str = "|", null: str = NULL) -> Column:
+    """A row as one line: values as they are, with the separator, the backslash and line
+    breaks escaped, and NULL apart from the empty string. Different rows have different lines."""
+    if len(sep) != 1 or sep in "\\\n\rntNr":
+        raise ValueError("the separator is one character that no escape uses")
+    return F.concat_ws(sep, *[F.coalesce(_escaped(F.col(c).cast("string"), sep), F.lit(null)) for c in cols])
+
+
 def export_delimited(
     df: DataFrame, path: str, sep: str = "|", null: str = NULL, compression: str | None = None
 ) -> None:
-    """Write a line for each row: values as they are, with the separator, the backslash
-    and line breaks escaped, and NULL apart from the empty string."""
-    if len(sep) != 1 or sep in "\\\n\rntNr":
-        raise ValueError("the separator is one character that no escape uses")
-    parts = [F.coalesce(_escaped(F.col(c).cast("string"), sep), F.lit(null)) for c in df.columns]
-    writer = df.select(F.concat_ws(sep, *parts).alias("value")).write
+    """Write the line_of each row."""
+    writer = df.select(line_of(df.columns, sep, null).alias("value")).write
     if compression:
         writer = writer.option("compression", compression)
     writer.text(path)

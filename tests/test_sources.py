@@ -138,6 +138,9 @@ def test_masks(spark):
     secret = df.select(mask_secret("u", F.lit("pw"), "salt", ["v"])).collect()
     assert secret[1][0] == "pw" and len(secret[0][0]) == 64 and secret[0][0] != secret[2][0]
     assert df.select(md5_pair(F.lit("pw"), F.lit("me"))).first()[0].startswith("md5")
+    # User and secret do not run together.
+    near = spark.createDataFrame([("ab", "c"), ("a", "bc")], "u string, s string").select(mask_secret("u", "s", "salt")).collect()
+    assert near[0][0] != near[1][0]
 
 
 def alloc(ship, qty):
