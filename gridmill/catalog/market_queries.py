@@ -42,8 +42,14 @@ from gridmill.operators.joins import (
 from gridmill.operators.latest import dedup, last_by
 from gridmill.operators.slices import Slices
 from gridmill.operators.tablesync import reload_day, zero_fill
-from gridmill.operators.trailing import trailing_hours_avg, trailing_months_avg, trailing_rows_avg
-from gridmill.plans.market import fuel_ratios, hourly_output, minute_output, unit_averages
+from gridmill.operators.trailing import (
+    row_slices,
+    trailing_hours_avg,
+    trailing_months_avg,
+    trailing_rows_avg,
+)
+from gridmill.plans.market import daily_run, fuel_ratios, hourly_output, minute_output, unit_averages
+from gridmill.session import cut_lineage
 
 CARRY = ["acceptance_id", "acceptance_time", "ad", "np"]
 COLS = ["acceptance_id", "ad", "np", "from_time", "from_level", "to_time", "to_level"]
@@ -365,7 +371,9 @@ def _trailing_hours(spark, sf):
     FROM hourly WINDOW w AS (PARTITION BY bm_unit_id ORDER BY avg_datehour)""",
 )
 def _trailing_rows(spark, sf):
-    out = trailing_rows_avg(hourly(spark, sf), ["bm_unit_id"], "avg_datehour", "output")
+    hours = table(spark, sf, "events").select(hour_bucket("ts").alias("avg_datehour"))
+    slices = row_slices(hours, "avg_datehour")
+    out = trailing_rows_avg(hourly(spark, sf), ["bm_unit_id"], "avg_datehour", "output", slices=slices)
     return out.drop("output")
 
 
@@ -471,6 +479,75 @@ def _replace_day(spark, sf):
     return reload_day(d.withColumn("co2", F.col("co2") * 2), old, "avg_date", date(2024, 1, 28))
 
 
+def figures_of(averages: DataFrame) -> DataFrame:
+    """Output times the unit's factor, for every hour."""
+    co2 = F.round(F.col("output") * F.col("ef_co2"), 4).cast("decimal(28,4)")
+    return averages.select("bm_unit_id", "parent_name", "station_name", "avg_datehour", co2.alias("co2"))
+
+
+def days_of(figures: DataFrame) -> DataFrame:
+    day = F.date_trunc("day", "avg_datehour").cast("timestamp_ntz")
+    days = figures.groupBy("bm_unit_id", "parent_name", "station_name", day.alias("avg_date")).agg(F.sum("co2").alias("co2"))
+    return days.withColumns({"year": F.year("avg_date").cast("bigint"), "week": F.weekofyear("avg_date").cast("bigint")})
+
+
+# The tables as a run at noon of the 30th has left them: hours before noon, and that day's
+# figures up to there. The next run is on the 31st.
+RUN = """
+zeros AS (
+  SELECT a.bm_unit_id, b.avg_datehour, CAST(0 AS DECIMAL(38,4)) AS output
+  FROM (SELECT DISTINCT bm_unit_id FROM units WHERE include = 1) a,
+       (SELECT (SELECT max(avg_datehour) FROM hourly) - INTERVAL 72 HOURS + to_hours(CAST(x AS INTEGER)) AS avg_datehour
+        FROM range(73) r(x)) b
+  WHERE NOT EXISTS (SELECT 1 FROM hourly h WHERE h.bm_unit_id = a.bm_unit_id
+    AND h.avg_datehour = b.avg_datehour AND h.avg_datehour >= TIMESTAMP '2024-01-28')),
+before AS (
+  SELECT h.bm_unit_id, h.avg_datehour, u.station_name, u.parent_name, CAST(output AS DOUBLE) AS output, u.ef_co2
+  FROM hourly h JOIN units u ON h.bm_unit_id = u.bm_unit_id AND h.avg_datehour >= u.online_date
+  WHERE h.avg_datehour < TIMESTAMP '2024-01-30 12:00:00'),
+fresh AS (
+  SELECT h.bm_unit_id, h.avg_datehour, u.station_name, u.parent_name, h.output, u.ef_co2
+  FROM (SELECT bm_unit_id, avg_datehour, avg(CAST(output AS DOUBLE)) AS output
+        FROM (SELECT * FROM hourly UNION ALL SELECT * FROM zeros) GROUP BY 1, 2) h
+  JOIN units u ON h.bm_unit_id = u.bm_unit_id AND h.avg_datehour >= u.online_date
+  WHERE h.avg_datehour > TIMESTAMP '2024-01-26'
+    AND NOT EXISTS (SELECT 1 FROM before b WHERE b.bm_unit_id = h.bm_unit_id AND b.avg_datehour = h.avg_datehour)),
+figures AS (
+  SELECT bm_unit_id, parent_name, station_name, avg_datehour, CAST(round(output * ef_co2, 4) AS DECIMAL(28,4)) AS co2
+  FROM (SELECT * FROM before
+        UNION ALL SELECT * FROM fresh WHERE avg_datehour > (SELECT max(avg_datehour) FROM before))),
+days AS (
+  SELECT bm_unit_id, parent_name, station_name, date_trunc('day', avg_datehour)::TIMESTAMP AS avg_date, sum(co2) AS co2
+  FROM figures GROUP BY 1, 2, 3, 4),
+filled AS (
+  SELECT * FROM days UNION ALL
+  SELECT u.bm_unit_id, u.parent_name, u.station_name, n.avg_date, 0
+  FROM units u, (SELECT max(avg_date) AS avg_date FROM days) n
+  WHERE u.include = 1 AND NOT EXISTS (
+    SELECT 1 FROM days d WHERE d.avg_date = n.avg_date AND d.bm_unit_id = u.bm_unit_id))"""
+
+
+@query(
+    "daily_run",
+    with_(HOURLY, UNITS, RUN)
+    + """
+    SELECT bm_unit_id, parent_name, station_name, avg_date, CAST(co2 AS DOUBLE) AS co2,
+           CAST(year(avg_date) AS BIGINT) AS year, CAST(weekofyear(avg_date) AS BIGINT) AS week
+    FROM filled""",
+)
+def _daily_run(spark, sf):
+    """Daily figures after the run of the 31st."""
+    noon = F.col("avg_datehour") < F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
+    hours, known, cols = hourly(spark, sf), units(spark, sf), ["station_name", "parent_name"]
+    averages = cut_lineage(unit_averages(hours, known, None, "bm_unit_id", cols, ["ef_co2"]).where(noon))
+    figures = cut_lineage(figures_of(averages))
+    run = daily_run(
+        hours, known, averages, figures, days_of(figures), AS_OF, figures_of, days_of,
+        "bm_unit_id", cols, ["ef_co2"], ["year", "week"], "co2", cols, SKIPPED,
+    )
+    return doubles(run.daily, "co2")
+
+
 @query(
     "banded_ratio",
     with_(COAL) + " SELECT entity_id, period, coal_ratio FROM rated",
@@ -537,5 +614,7 @@ def _fuel_ratios(spark, sf):
     FROM rated""",
 )
 def _six_rows(spark, sf):
-    out = trailing_rows_avg(coal(spark, sf), ["entity_id"], "period", "mwh_coal", rows=[6])
+    months = table(spark, sf, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("period"))
+    slices = row_slices(months, "period")
+    out = trailing_rows_avg(coal(spark, sf), ["entity_id"], "period", "mwh_coal", [6], slices)
     return rounded(out.select("entity_id", "period", "avg6rows"), "avg6rows")

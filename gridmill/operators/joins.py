@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -19,8 +20,38 @@ def eligible_output(
     return hourly.join(units, unit).where(F.col(hour) >= F.col(online))
 
 
-def not_yet_loaded(df: DataFrame, target: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows with no partner in target; a NULL key never has one."""
+@dataclass(frozen=True)
+class Within:
+    """Lowest and highest value of a key column in the incoming rows, as one-row subqueries."""
+
+    col: str
+    low: Column
+    high: Column
+
+
+def within(rows: DataFrame, value: Column | str, col: str) -> Within:
+    """The range of value over rows, for the key column col; two passes over one column.
+
+    Two minima, or two maxima, Spark would compute in one and then take apart, and a part
+    of a result does not reach a scan; so the low end is the first row in order.
+    """
+    at = (F.col(value) if isinstance(value, str) else value).alias("_at")
+    first = rows.select(at).where(F.col("_at").isNotNull()).orderBy("_at").limit(1)
+    return Within(col, first.scalar(), rows.agg(F.max(at)).scalar())
+
+
+def not_yet_loaded(
+    df: DataFrame, target: DataFrame, keys: Sequence[str], near: Within | None = None
+) -> DataFrame:
+    """Rows with no partner in target; a NULL key never has one.
+
+    near: a range that holds the rows' values of one key column. Only that part of the
+    target is read: the range is a subquery whose result prunes the scan, by partition or
+    by file statistics, so a long history costs what its recent part does. A row outside
+    the range has no partner in it and would be kept, so near must cover all of df.
+    """
+    if near is not None:
+        target = target.where(F.col(near.col).between(near.low, near.high))
     return df.join(target.select(*keys), list(keys), "left_anti")
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -20,10 +21,12 @@ from gridmill.operators.intervals import (
     override_energy,
     point_slices,
 )
-from gridmill.operators.joins import eligible_output, not_yet_loaded
+from gridmill.operators.joins import densify, eligible_output, not_yet_loaded, selected_units, within
 from gridmill.operators.latest import dedup, last_by
 from gridmill.operators.slices import Slices
+from gridmill.operators.tablesync import append_if_newer, reload_day, zero_fill
 from gridmill.operators.trailing import HOURS, trailing_hours_avg, trailing_months_avg
+from gridmill.session import cut_lineage
 from gridmill.sources.messages import parse_acceptance_messages
 
 # Fixed value: days of hourly output that a run of the averages looks back over.
@@ -85,7 +88,8 @@ def hourly_output(
     )
     hourly = hourly_sum(done, hour_bucket("from_time"), unit, "output")
     if loaded is not None:
-        hourly = not_yet_loaded(hourly, loaded, ["avg_datehour", unit])
+        hours = within(schedule, hour_bucket("from_time"), "avg_datehour")
+        hourly = not_yet_loaded(hourly, loaded, ["avg_datehour", unit], hours)
     return hourly
 
 
@@ -117,8 +121,10 @@ def unit_averages(
 ) -> DataFrame:
     """Output and trailing averages of eligible unit hours that are not yet loaded.
 
-    as_of limits the result to the last days; the frames still reach back behind it.
+    as_of limits the result to the last days; the frames still reach back behind it. Of
+    what is loaded only the hours in question are read.
     """
+    known = within(hourly, "avg_datehour", "avg_datehour") if loaded is not None else None
     if as_of is not None:
         since = as_of - timedelta(days=AVERAGE_DAYS)
         oldest = since - timedelta(hours=max(hours))
@@ -131,11 +137,61 @@ def unit_averages(
         rows = rows.where(F.col("avg_datehour") > F.lit(since).cast("timestamp_ntz"))
     rows = eligible_output(rows, units, unit, "avg_datehour", "online_date")
     if loaded is not None:
-        rows = not_yet_loaded(rows, loaded, [unit, "avg_datehour"])
+        rows = not_yet_loaded(rows, loaded, [unit, "avg_datehour"], known)
     values = ["output", *[f"avg{n}hour" for n in hours], *factors]
     return group_avg(rows, [unit, "avg_datehour", *unit_cols], values)
 
 
+@dataclass(frozen=True)
+class DailyRun:
+    """The tables as a run leaves them."""
+
+    hourly: DataFrame
+    averages: DataFrame
+    figures: DataFrame
+    daily: DataFrame
+
+
+def daily_run(
+    hourly: DataFrame,
+    units: DataFrame,
+    averages: DataFrame,
+    figures: DataFrame,
+    daily: DataFrame,
+    as_of: datetime,
+    to_figures: Callable[[DataFrame], DataFrame],
+    to_daily: Callable[[DataFrame], DataFrame],
+    unit: str,
+    unit_cols: Sequence[str],
+    factors: Sequence[str],
+    period_cols: Sequence[str],
+    value: str,
+    fill_cols: Sequence[str] = (),
+    skip: Sequence[str] = (),
+) -> DailyRun:
+    """From hourly output to daily figures, the run of one day.
+
+    Included units get zero output for the last hours that they lack. Averages of hours
+    that `averages` lacks are added to it. Of the hourly figures, those later than the
+    newest are added. Yesterday's daily figures are taken out and all later than what is
+    left put in, and included units without a figure on the newest day get zero.
+
+    to_figures makes hourly figures of averages and to_daily daily ones of those (views of
+    the database: their columns are those of figures and daily). Averages, figures and what
+    comes of them are written once each to the shared folder, as later steps read them more
+    than once; nothing else is kept, and the caller publishes the tables.
+    """
+    chosen = selected_units(units, unit, skip)
+    zeros = densify(hourly, chosen, unit, "avg_datehour", "output", as_of)
+    hours = cut_lineage(hourly.unionByName(zeros.select(*hourly.columns)))
+    fresh = unit_averages(hours, units, averages, unit, unit_cols, factors, as_of)
+    known = cut_lineage(averages.unionByName(fresh.select(*averages.columns)))
+    figured = cut_lineage(append_if_newer(to_figures(known), figures, "avg_datehour"))
+    days = cut_lineage(reload_day(to_daily(figured), daily, "avg_date", (as_of - timedelta(days=1)).date()))
+    filled = zero_fill(days, units, unit, "avg_date", value, period_cols, fill_cols, skip)
+    return DailyRun(hours, known, figured, days.unionByName(filled.select(*days.columns)))
+
+
 def fuel_ratios(df: DataFrame, entity: str = "entity_id", period: str = "period") -> DataFrame:
     """Burn ratio, coal share and their averages over six calendar months."""
     rated = df.withColumn("coal_ratio", banded_ratio("coal_burns", "mwh_coal")).withColumn(

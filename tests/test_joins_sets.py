@@ -23,6 +23,7 @@ from gridmill.operators.joins import (
     not_yet_loaded,
     selected_units,
     semi,
+    within,
 )
 from gridmill.operators.sets import (
     manifest_mismatch,
@@ -33,6 +34,7 @@ from gridmill.operators.sets import (
     ordered_union,
     require_all,
 )
+from gridmill.session import work_path
 
 
 def ints(spark, *data, schema="k int"):
@@ -206,3 +208,39 @@ def test_closure_has_no_depth_limit(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "parent int, child int")
     got = dependency_closure(edges, spark.createDataFrame([(0,)], "node int"))
     assert rows(got) == sorted((i, i) for i in range(1, n + 1)) or got.agg({"depth": "max"}).first()[0] == n
+
+
+def scanned(df):
+    """Rows that the scans of an executed plan gave out, largest last."""
+    df.collect()
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "FileSourceScanExec":
+            found.append(node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if name == "AdaptiveSparkPlanExec" else node.plan() if name.endswith("QueryStageExec") else None
+        if inner is not None:
+            return walk(inner)
+        children = node.children().iterator()
+        while children.hasNext():
+            walk(children.next())
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return sorted(found)
+
+
+def test_only_the_range_in_question_of_a_long_history_is_read(spark):
+    path = work_path(spark, "history")
+    spark.range(400_000).selectExpr("id AS k", "id * 2 AS h").repartitionByRange(8, "h").sortWithinPartitions("h").write.parquet(path)
+    history = spark.read.parquet(path).where("k <> 399000 OR k IS NULL")
+    df = spark.range(398_900, 399_100).selectExpr("id AS k", "IF(id = 398950, NULL, id * 2) AS h")
+    plain = not_yet_loaded(df, history, ["k", "h"])
+    near = not_yet_loaded(df, history, ["k", "h"], within(df, "h", "h"))
+    assert rows(near) == rows(plain) == [(398_950, None), (399_000, 798_000)]
+    # One file of eight at most; the whole history without the range.
+    assert scanned(near)[-1] <= 50_000 and scanned(plain)[-1] == 400_000
+    # No incoming rows, or none with a value: nothing is read, nothing is lost.
+    assert not_yet_loaded(df.limit(0), history, ["k", "h"], within(df.limit(0), "h", "h")).count() == 0
+    nulls = df.where("h IS NULL")
+    assert not_yet_loaded(nulls, history, ["k", "h"], within(nulls, "h", "h")).count() == 1
