@@ -25,16 +25,23 @@ from gridmill.operators.inventory import mark_absent, mark_superseded, scd_upser
 from gridmill.operators.latest import latest_changes
 from gridmill.operators.runs import run_history
 from gridmill.plans.inventory import inventory_run, read_inventory
+from gridmill.plans.replication import create_buckets, merge_buckets, read_buckets
 from gridmill.session import work_path
+from gridmill.streaming.merge import merge_stream
 
 KEY = ["user_id"]
 SEQ = "event_id"
 TARGET = "target.users"
+BUCKETS = 16
 
 
 def track(spark: SparkSession, sf: str) -> DataFrame:
     """Events as changes of their user."""
-    return table(spark, sf, "events").select(
+    return as_track(table(spark, sf, "events"))
+
+
+def as_track(events: DataFrame) -> DataFrame:
+    return events.select(
         "user_id",
         "event_id",
         "value",
@@ -151,6 +158,33 @@ def _merge(spark, sf):
     )
 
 
+MERGED = """
+    SELECT * FROM target WHERE user_id NOT IN (SELECT user_id FROM latest)
+    UNION ALL SELECT user_id, event_id, value FROM latest WHERE status <> 'D'"""
+
+
+@query("cdc_merge_buckets", with_(TRACK) + MERGED)
+def _merge_buckets(spark, sf):
+    """The same merge into a table of buckets, of which only those of changed keys are rewritten."""
+    b, path = bounds(spark, sf), work_path(spark, "users")
+    create_buckets(target(spark, sf, b), path, KEY, BUCKETS)
+    merge_buckets(track(spark, sf), path, KEY, SEQ, BUCKETS, b.last_replicated, b.high)
+    return read_buckets(spark, path)
+
+
+@query("cdc_merge_stream", with_(TRACK) + MERGED)
+def _merge_stream(spark, sf):
+    """The same merge as a stream over the track table's file."""
+    b = bounds(spark, sf)
+    path, checkpoint = work_path(spark, "users"), work_path(spark, "progress")
+    create_buckets(target(spark, sf, b), path, KEY, BUCKETS)
+    events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    changes = as_track(events).where(F.col(SEQ) > b.last_replicated)
+    run = merge_stream(changes, path, KEY, SEQ, checkpoint, buckets=BUCKETS)
+    run.awaitTermination()
+    return read_buckets(spark, path)
+
+
 @query(
     "merge_reconcile",
     with_(TRACK)

@@ -7,9 +7,13 @@ half-written table and a lost executor only repeats its own tasks.
 
 from __future__ import annotations
 
+import random
+import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
+from itertools import count
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from gridmill.functions.times import day_window
 from gridmill.operators.aggregates import watermark_value
 from gridmill.operators.joins import selected_units
+from gridmill.session import create_empty, names_in, remove_path
 
 _LOG = "version long, rows long, published timestamp_ntz"
 
@@ -104,6 +109,22 @@ class CountMismatch(RuntimeError):
     pass
 
 
+class PublishConflict(RuntimeError):
+    """Another writer has published since the version that the change is based on."""
+
+
+def logged_versions(spark: SparkSession, root: str) -> list[int]:
+    """Published versions that still can be read, oldest first. Few: `expire` bounds them."""
+    try:
+        log = spark.read.schema(_LOG).parquet(f"{root}/log")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    there = set(_written(spark, root))
+    return sorted(v for v in {r.version for r in log.select("version").distinct().collect()} if v in there)
+
+
 def current_version(spark: SparkSession, root: str) -> int | None:
     try:
         log = spark.read.schema(_LOG).parquet(f"{root}/log")
@@ -127,16 +148,20 @@ def publish(
     root: str,
     as_of: datetime,
     partition_by: Sequence[str] = (),
+    based_on: int | None = None,
 ) -> Published:
-    """Write df as the next version, compare counts, and only then switch to it.
+    """Write df as a new version, compare counts, and only then switch to it.
 
-    The source count is observed while writing, so df runs once. A version left by a
-    failed try is overwritten, never read.
+    The version number is claimed first, so two writers never write one version; a number
+    once claimed is never used again, and what a failed try has written is never read. The highest published number is current.
+    based_on names the version that df was made from: if another has been published by the
+    time df is written, nothing is switched and PublishConflict is raised, so the change can
+    be made again. The source count is observed while writing, so df runs once.
     """
     spark = df.sparkSession
     # The first publication starts an empty log; later ones leave it alone.
     spark.createDataFrame([], _LOG).write.mode("ignore").parquet(f"{root}/log")
-    version = (current_version(spark, root) or 0) + 1
+    version = _claim(spark, root)
     path = f"{root}/version={version}"
     seen = Observation()
     writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite")
@@ -146,11 +171,57 @@ def publish(
     source, target = seen.get["n"], spark.read.parquet(path).count()
     if source != target:
         raise CountMismatch(f"{source} source rows, {target} in {path}")
+    now = current_version(spark, root)
+    if based_on is not None and now != based_on:
+        raise PublishConflict(f"{root} is at version {now}, the change is based on {based_on}")
     entry = spark.createDataFrame([(version, target, as_of)], _LOG)
     entry.write.mode("append").parquet(f"{root}/log")
     return Published(version, source, target)
 
 
+def _claim(spark: SparkSession, root: str) -> int:
+    """A number that no other writer has: claimed by a file of its own name, and held only
+    if no other claim for the number is there once it is written.
+
+    Of two writers at least the later to look sees the other, so never both hold a number,
+    on any file system that lists what has been written; both may let it go and try again.
+    """
+    for attempt in count():
+        version = max([current_version(spark, root) or 0, *_claimed(spark, root)]) + 1
+        create_empty(spark, f"{root}/claims/{version}.{uuid.uuid4().hex}")
+        if _claimed(spark, root).count(version) == 1:
+            return version
+        time.sleep(random.random() * min(2**attempt, 32) / 32)
+    raise AssertionError
+
+
+def _claimed(spark: SparkSession, root: str) -> list[int]:
+    return [int(n.partition(".")[0]) for n in names_in(spark, f"{root}/claims")]
+
+
+def _written(spark: SparkSession, root: str) -> list[int]:
+    return [int(n.removeprefix("version=")) for n in names_in(spark, root) if n.startswith("version=")]
+
+
+def expire(spark: SparkSession, root: str, keep: int) -> list[int]:
+    """Remove the versions before the `keep` newest published ones; return their numbers.
+
+    keep: as many as readers may still be reading, the current one among them. What failed
+    tries have left below the oldest kept version goes, too; anything above it may be a
+    try that still runs and stays.
+    """
+    if keep < 1:
+        raise ValueError("keep must be 1 or more")
+    kept = logged_versions(spark, root)[-keep:]
+    old = sorted(v for v in _written(spark, root) if kept and v < kept[0])
+    for version in old:
+        remove_path(spark, f"{root}/version={version}")
+    for name in names_in(spark, f"{root}/claims"):
+        if kept and int(name.partition(".")[0]) < kept[0]:
+            remove_path(spark, f"{root}/claims/{name}")
+    return old
+
+
 def full_refresh(src: DataFrame, root: str, as_of: datetime) -> Published:
     """Replace the target by the source and report both counts."""
     return publish(src, root, as_of)

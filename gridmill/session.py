@@ -52,6 +52,21 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def create_empty(spark: SparkSession, path: str) -> None:
+    """Create an empty file, and the folders above it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, False).close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders in a folder; none if there is no such folder."""
+    if not path_exists(spark, path):
+        return []
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return [f.getPath().getName() for f in found]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: survives lost executors."""
     path = work_path(df.sparkSession, "cut")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import at, rows
+from gridmill.operators import changes
 from gridmill.operators.changes import (
     acknowledge,
     apply_deletes,
@@ -21,9 +22,17 @@ from gridmill.operators.changes import (
 )
 from gridmill.operators.inventory import mark_absent, mark_superseded, scd_upsert
 from gridmill.operators.runs import run_history
-from gridmill.operators.tablesync import publish, read_current
+from gridmill.operators.tablesync import PublishConflict, publish, read_current
 from gridmill.plans import replication
-from gridmill.plans.replication import merge_partitions, replicate
+from gridmill.plans.replication import (
+    create_buckets,
+    merge_buckets,
+    merge_partitions,
+    read_buckets,
+    replicate,
+    touched_buckets,
+    upsert_buckets,
+)
 from gridmill.session import path_exists, work_path
 from gridmill.streaming.merge import merge_stream
 
@@ -266,3 +275,147 @@ def test_replication_log_is_read_and_appended_to(spark):
     assert run(t) is not None and run(t) is None
     assert run(t.unionByName(track(spark, (2, 4, "b", "I")))).bounds.low == 2
     assert [r.last_row_replicated for r in replication.read_log(spark, log).orderBy("last_row_replicated").collect()] == [1, 4]
+
+
+@pytest.mark.parametrize("per_slice", [3, 1_000_000])
+def test_rows_without_sequence_are_numbered_in_slices(spark, per_slice, monkeypatch):
+    # A third of the rows share one sequence, a third have none.
+    data = [(i, None if i % 3 == 0 else (5 if i % 3 == 1 else 1000 - i), None, None) for i in range(120)] + [(500, 2, 9, None)]
+    df = spark.createDataFrame(data, "k int, s long, ack long, t timestamp_ntz").repartition(4)
+    cut = []
+    real = changes.cut_slices
+    monkeypatch.setattr(changes, "cut_slices", lambda *a: cut.append(real(*a)) or cut[-1])
+    got = acknowledge(df, ["k"], "s", "ack", "t", 100, at("10:00"), per_slice).collect()
+    want = {k: 101 + i for i, (k, *_) in enumerate(sorted(data[:-1], key=lambda r: (r[1] is None, r[1] or 0, r[0])))}
+    assert {r.k: r.ack for r in got} == {**want, 500: 9}
+    assert cut[0].count == (40 if per_slice == 3 else 1)
+
+
+def test_a_million_rows_without_sequence_are_numbered_in_many_tasks(spark):
+    df = spark.range(1_000_000).select("id", F.lit(None).cast("long").alias("s"), F.lit(None).cast("long").alias("ack"), F.lit(None).cast("timestamp_ntz").alias("t"))
+    got = acknowledge(df, ["id"], "s", "ack", "t", 0, at("10:00"), per_slice=50_000)
+    assert got.where("ack = id + 1").count() == 1_000_000
+
+
+def bucket_files(spark, path):
+    table = spark.read.parquet(path)
+    return {r.f for r in table.select(F.input_file_name().alias("f")).distinct().collect()}
+
+
+def test_merge_buckets_rewrites_the_buckets_of_changed_keys_only(spark):
+    path = work_path(spark, "buckets")
+    create_buckets(spark.range(2000).selectExpr("CAST(id AS INT) AS k", "'old' AS v"), path, ["k"], 64)
+    before = bucket_files(spark, path)
+    t = track(spark, *[(i, 10 + i, "new", "U") for i in range(8)], (1999, 50, None, "D"), (5000, 51, "in", "I"), (7, 3, "early", "U"))
+    want = sorted([(i, "new") for i in range(8)] + [(i, "old") for i in range(8, 1999)] + [(5000, "in")])
+    for _ in range(2):
+        merge_buckets(t, path, ["k"], "s", 64)
+        got = read_buckets(spark, path)
+        assert got.columns == ["k", "v"] and sorted(map(tuple, got.collect())) == want
+    # Ten keys: ten of the 64 buckets at most are written anew.
+    kept = before & bucket_files(spark, path)
+    assert len({f.split("/")[-2] for f in before}) == 64 and len({f.split("/")[-2] for f in kept}) >= 54
+    with pytest.raises(ValueError):
+        merge_buckets(t, path, ["k"], "s", 32)
+
+
+def test_buckets_with_null_keys_no_rows_and_another_status(spark):
+    path = work_path(spark, "buckets")
+    empty = spark.createDataFrame([], TARGET)
+    create_buckets(empty, path, ["k"], 4)
+    assert read_buckets(spark, path).columns == ["k", "v"] and read_buckets(spark, path).count() == 0
+    t = track(spark, (None, 1, "n", "I"), (1, 2, "a", "I"), (2, 3, "b", "I")).withColumnRenamed("status", "op")
+    merge_buckets(t, path, ["k"], "s", 4, status="op")
+    assert rows(read_buckets(spark, path)) == [(1, "a"), (2, "b"), (None, "n")]
+    gone = track(spark, (None, 4, None, "D"), (1, 5, None, "D"), (2, 6, None, "D"))
+    merge_buckets(gone, path, ["k"], "s", 4)
+    assert read_buckets(spark, path).count() == 0
+    merge_buckets(track(spark, (3, 7, "c", "I")), path, ["k"], "s", 4)
+    assert rows(read_buckets(spark, path)) == [(3, "c")]
+
+
+def test_failed_bucket_merge_is_finished_by_the_next(spark, monkeypatch):
+    path = work_path(spark, "buckets")
+    create_buckets(spark.createDataFrame([(i, "old") for i in range(40)], TARGET), path, ["k"], 8)
+    real = replication.overwrite_partitions
+    monkeypatch.setattr(replication, "overwrite_partitions", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        merge_buckets(track(spark, (1, 1, "new", "U")), path, ["k"], "s", 8)
+    monkeypatch.setattr(replication, "overwrite_partitions", real)
+    merge_buckets(track(spark, (2, 2, "new", "U")), path, ["k"], "s", 8)
+    assert [r.k for r in read_buckets(spark, path).where("v = 'new'").orderBy("k").collect()] == [1, 2]
+
+
+def test_status_column_of_another_name(spark):
+    path = work_path(spark, "days")
+    spark.createDataFrame([(1, "x", "a"), (2, "x", "b")], "k int, d string, v string").write.partitionBy("d").parquet(path)
+    t = spark.createDataFrame([(1, "x", 1, "new", "U"), (2, "x", 2, None, "D")], "k int, d string, s long, v string, op string")
+    merge_partitions(t, path, ["k", "d"], "s", "d", status="op")
+    assert rows(spark.read.parquet(path).select("k", "v")) == [(1, "new")]
+    src = work_path(spark, "src")
+    spark.createDataFrame([(1, "x", 3, None, "D"), (3, "y", 4, "c", "I")], t.schema).write.parquet(src)
+    stream = spark.readStream.schema(t.schema).parquet(src)
+    merge_stream(stream, path, ["k", "d"], "s", work_path(spark, "ckpt"), status="op", partition="d").awaitTermination(120)
+    assert rows(spark.read.parquet(path).select("d", "k", "v")) == [("y", 3, "c")]
+    root = work_path(spark, "root")
+    publish(spark.createDataFrame([(1, "old")], TARGET), root, at("09:00"))
+    log = spark.createDataFrame([], changes.LOG_SCHEMA)
+    batch = replicate(track(spark, (1, 1, None, "D"), (2, 2, "b", "I")).withColumnRenamed("status", "op"), log, root, ["k"], "s", "a", "b", at("10:00"), status="op")
+    assert (batch.inserts, batch.updates) == (1, 0) and rows(read_current(spark, root)) == [(2, "b")]
+
+
+def test_stream_state_is_rewritten_in_proportion_to_the_batch(spark):
+    path, src, ckpt = (work_path(spark, n) for n in ("tab", "src", "ckpt"))
+    create_buckets(spark.createDataFrame([], TARGET), path, ["k"], 32)
+
+    def arrive(*data):
+        track(spark, *data).write.mode("append").parquet(src)
+        merge_stream(spark.readStream.schema(TRACK).parquet(src), path, ["k"], "s", ckpt, buckets=32).awaitTermination(120)
+
+    arrive(*[(i, 100 + i, "first", "I") for i in range(600)])
+    state, table = bucket_files(spark, f"{path}.applied"), bucket_files(spark, path)
+    # Late, deleted, repeated and new.
+    arrive((1, 5, "late", "U"), (2, 900, None, "D"), (3, 901, "next", "U"), (3, 901, "next", "U"))
+    arrive((2, 899, "back", "I"))
+    got = {r.k: r.v for r in read_buckets(spark, path).where("k < 5").collect()}
+    assert got == {0: "first", 1: "first", 3: "next", 4: "first"}
+    assert len(state - bucket_files(spark, f"{path}.applied")) <= 2 and len(table - bucket_files(spark, path)) <= 2
+    assert {r.k: r.s for r in read_buckets(spark, f"{path}.applied").where("k < 4").collect()} == {0: 100, 1: 101, 2: 900, 3: 901}
+
+
+def test_touched_buckets_and_upsert(spark):
+    path = work_path(spark, "state")
+    upsert_buckets(track(spark, *[(i, i, "a", "U") for i in range(100)]).select("k", "s"), path, ["k"], 16)
+    asked = track(spark, (7, 0, "", "U"))
+    near = touched_buckets(asked, path, ["k"], 16)
+    assert 1 <= near.count() < 40 and near.where("k = 7").count() == 1
+    upsert_buckets(track(spark, (7, 70, "", "U"), (200, 1, "", "U")).select("k", "s"), path, ["k"], 16)
+    got = read_buckets(spark, path)
+    assert got.count() == 101 and got.where("k = 7").first().s == 70
+
+
+def test_a_merge_on_an_outdated_version_is_refused(spark, monkeypatch):
+    root = work_path(spark, "r")
+    publish(spark.createDataFrame([(1, "old")], TARGET), root, at("09:00"))
+    log = spark.createDataFrame([], changes.LOG_SCHEMA)
+    real = replication.merge_latest
+
+    def meanwhile(*a):
+        publish(spark.createDataFrame([(9, "other")], TARGET), root, at("09:30"))
+        return real(*a)
+
+    monkeypatch.setattr(replication, "merge_latest", meanwhile)
+    with pytest.raises(PublishConflict):
+        replicate(track(spark, (1, 1, "new", "U")), log, root, ["k"], "s", "a", "b", at("10:00"))
+    assert rows(read_current(spark, root)) == [(9, "other")]
+    monkeypatch.undo()
+    replicate(track(spark, (1, 1, "new", "U")), log, root, ["k"], "s", "a", "b", at("10:00"))
+    assert rows(read_current(spark, root)) == [(1, "new"), (9, "other")]
+
+
+def test_digest_tells_apart_what_runs_together(spark):
+    from gridmill.functions.rows import row_digest
+
+    pairs = [("a\u0001vb", "c"), ("a", "b\u0001vc"), ("a1:", "c"), ("a", "1:c"), (None, ""), ("", None), ("n", ""), ("", "n")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.select(row_digest(["a", "b"])).distinct().count() == len(pairs)

@@ -26,6 +26,8 @@ from gridmill.operators.partitions import (
     write_routed,
 )
 from gridmill.operators.tablesync import (
+    expire,
+    logged_versions,
     append_if_newer,
     append_newer,
     append_to_table,
@@ -38,7 +40,9 @@ from gridmill.operators.tablesync import (
     zero_fill,
 )
 from gridmill.functions.times import quarter_label
-from gridmill.session import work_path
+from gridmill.plans.prune import droppable, expired_rows, prune_run
+from gridmill.session import create_empty, path_exists, remove_path, work_path
+from gridmill.sources.archive import archive_partitions, audit_partitions
 
 ROW = "t timestamp_ntz, v int"
 
@@ -236,3 +240,78 @@ def test_orphans_look_in_the_same_partition(spark):
     require_parents(child, parent, "b")
     with pytest.raises(CheckFailed):
         require_parents(child, parent, "b", ["w"])
+
+
+def test_two_writers_get_two_versions(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = work_path(spark, "r")
+    full_refresh(table(spark, ("10:00", 1)), root, at("10:00"))
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda i: full_refresh(table(spark, *[("10:00", i)] * i), root, at("11:00")), [2, 3, 4]))
+    assert len({d.version for d in done}) == 3
+    last = max(done, key=lambda d: d.version)
+    assert read_current(spark, root).count() == last.target_count
+    # A number that another writer has claimed is left to it.
+    create_empty(spark, f"{root}/claims/50.other")
+    assert full_refresh(table(spark, ("10:00", 1)), root, at("12:00")).version == 51
+
+
+def test_expire_keeps_the_newest_and_what_still_runs(spark):
+    root = work_path(spark, "r")
+    for i in range(1, 6):
+        full_refresh(table(spark, *[("10:00", 1)] * i), root, at("10:00"))
+    table(spark).write.parquet(f"{root}/version=0")
+    table(spark).write.parquet(f"{root}/version=9")
+    assert expire(spark, root, 2) == [0, 1, 2, 3]
+    assert logged_versions(spark, root) == [4, 5] and read_current(spark, root).count() == 5
+    assert path_exists(spark, f"{root}/version=9") and not path_exists(spark, f"{root}/version=3")
+    assert expire(spark, root, 2) == []
+    with pytest.raises(ValueError):
+        expire(spark, root, 0)
+    assert full_refresh(table(spark, ("10:00", 1)), root, at("11:00")).version == 6
+    assert expire(spark, work_path(spark, "none"), 1) == []
+
+
+WEEKLY = "k int, t timestamp_ntz, v string"
+
+
+def weekly(spark):
+    data = [(i, at(f"2024-01-{1 + i % 28:02d} 10:00"), None if i % 5 == 0 else f"v|{i}\\ \n") for i in range(200)]
+    return spark.createDataFrame(data + [(-1, None, "no time")], WEEKLY)
+
+
+def test_prune_run_proves_each_partition(spark):
+    path = work_path(spark, "old")
+    audit = prune_run(weekly(spark), path, "t", "week", "msg", at("2024-01-29 00:00"), 1, "week")
+    got = audit.orderBy("partition_name").collect()
+    assert [r.partition_name for r in got] == ["msg_20240101_week", "msg_20240108_week", "msg_20240115_week", "msg_20240122_week"]
+    assert all(r.safe_to_drop and r.n_rows == r.n_archived > 40 for r in got)
+    assert [r[0] for r in droppable(audit).collect()] == [r.partition_name for r in got]
+    early = prune_run(weekly(spark), work_path(spark, "old"), "t", "week", "msg", at("2024-01-16 00:00"), 7, "day")
+    assert [r.partition_name for r in early.orderBy("partition_name").collect()] == ["msg_20240101_week", "msg_20240108_week"]
+
+
+def test_a_spoiled_partition_is_not_safe_to_drop(spark):
+    path = work_path(spark, "old")
+    old = expired_rows(weekly(spark), "t", "week", "msg", at("2024-01-29 00:00"), 1, "week")
+    archive_partitions(old, path, "partition_name")
+    changed, lost, added = (f"{path}/partition_name=msg_202401{d}_week" for d in ("01", "08", "15"))
+    # One line changed, one partition lost, one line too many, and a partition no one asked for.
+    lines = [r.value for r in spark.read.text(changed).collect()]
+    spark.createDataFrame([(x,) for x in [lines[0] + "x", *lines[1:]]], "value string").coalesce(1).write.mode("overwrite").text(changed)
+    remove_path(spark, lost)
+    spark.createDataFrame([("1|2|3",)], "value string").coalesce(1).write.mode("append").text(added)
+    spark.createDataFrame([("1|2|3",)], "value string").write.text(f"{path}/partition_name=other")
+    got = {r.partition_name: r for r in audit_partitions(old, path, "partition_name").collect()}
+    assert {k: (r.counts_equal, r.content_equal, r.safe_to_drop) for k, r in got.items()} == {
+        "msg_20240101_week": (True, False, False), "msg_20240108_week": (False, False, False),
+        "msg_20240115_week": (False, False, False), "msg_20240122_week": (True, True, True), "other": (False, False, False),
+    }
+
+
+def test_expired_rows_limit_the_scan(spark):
+    path = work_path(spark, "rows")
+    weekly(spark).write.parquet(path)
+    plan = expired_rows(spark.read.parquet(path), "t", "week", "msg", at("2024-01-16 00:00"), 1, "week")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(t," in plan
