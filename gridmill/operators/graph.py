@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from gridmill.session import cut_lineage, path_exists, work_path
 
-# Levels that one round goes down from what is newly reached.
+# Levels that one round goes down from what is newly reached: one at first, as most graphs
+# are shallow, more of them after so many rounds.
 _STEPS = 4
+_SHALLOW = 8
 
 
 class DependencyCycle(ValueError):
@@ -54,7 +56,7 @@ def _reached(links: DataFrame, roots: DataFrame) -> DataFrame:
         if not seen.get["n"]:
             return known
         steps = [spark.read.schema(fresh.schema).parquet(f"{base}/at={at}")]
-        for _ in range(_STEPS):
+        for _ in range(1 if at < _SHALLOW else _STEPS):
             below = links.join(steps[-1], F.col("parent") == F.col("node"), "left_semi")
             steps.append(below.select(F.col("child").alias("node")).distinct())
         fresh = reduce(DataFrame.unionByName, steps[1:]).distinct().join(known, "node", "left_anti")

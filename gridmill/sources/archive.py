@@ -21,7 +21,7 @@ def archive_partition(df: DataFrame, path: str, sep: str = "|") -> DataFrame:
     they are read back: escapes keep a row on a line, so equal lines are equal rows.
     """
     seen, count = Observation(), F.count(F.lit(1))
-    lines = df.select(line_of(df.columns, sep).alias("value"))
+    lines = df.select(line_of(df, sep).alias("value"))
     lines.observe(seen, count.alias("n"), lines_hash().alias("h")).write.option("compression", "gzip").text(path)
     source = seen.get
     back = df.sparkSession.read.text(path).agg(count.alias("n_archived"), lines_hash().alias("_h"))
@@ -66,8 +66,8 @@ def _verdict(wanted: Column, found: Column) -> list[Column]:
 
 
 def _lines(df: DataFrame, partition: str, sep: str) -> DataFrame:
-    rest = [c for c in df.columns if c != partition]
-    return df.select(F.col(partition).cast("string").alias(partition), line_of(rest, sep).alias("value"))
+    line = line_of(df.drop(partition), sep)
+    return df.select(F.col(partition).cast("string").alias(partition), line.alias("value"))
 
 
 def _read(spark: SparkSession, path: str, partition: str) -> DataFrame:

@@ -34,6 +34,7 @@ class Load:
 
 # Escapes of the text form of a database's COPY, and its NULL.
 NULL = r"\N"
+_BARE = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _ESCAPES = {"\n": r"\n", "\r": r"\r", "\t": r"\t"}
 # Stands for escaped characters while a line is split; doubled by a letter where it is text.
 _HELD = "\u0001"
@@ -98,19 +99,26 @@ def load_delimited(
     )
 
 
-def line_of(cols: Sequence[str], sep: str = "|", null: str = NULL) -> Column:
-    """A row as one line: values as they are, with the separator, the backslash and line
+def line_of(df: DataFrame, sep: str = "|", null: str = NULL) -> Column:
+    """A row of df as one line: values as they are, with the separator, the backslash and line
     breaks escaped, and NULL apart from the empty string. Different rows have different lines."""
     if len(sep) != 1 or sep in "\\\n\rntNr":
         raise ValueError("the separator is one character that no escape uses")
-    return F.concat_ws(sep, *[F.coalesce(_escaped(F.col(c).cast("string"), sep), F.lit(null)) for c in cols])
+
+    def text(field: T.StructField) -> Column:
+        value = F.col(f"`{field.name}`").cast("string")
+        # Numbers and times are written in digits, letters and a few marks: nothing to escape.
+        bare = isinstance(field.dataType, _BARE) and not sep.isalnum() and sep not in "+-.: "
+        return F.coalesce(value if bare else _escaped(value, sep), F.lit(null))
+
+    return F.concat_ws(sep, *[text(f) for f in df.schema.fields])
 
 
 def export_delimited(
     df: DataFrame, path: str, sep: str = "|", null: str = NULL, compression: str | None = None
 ) -> None:
     """Write the line_of each row."""
-    writer = df.select(line_of(df.columns, sep, null).alias("value")).write
+    writer = df.select(line_of(df, sep, null).alias("value")).write
     if compression:
         writer = writer.option("compression", compression)
     writer.text(path)

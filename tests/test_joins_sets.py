@@ -187,8 +187,8 @@ def test_closure_names_a_small_cycle_in_a_large_graph(spark, monkeypatch):
     with pytest.raises(DependencyCycle) as found:
         dependency_closure(tree.unionByName(loop).unionByName(tail), spark.createDataFrame([(0,)], "node long"))
     assert found.value.node in (200_000, 200_001)
-    # Three rounds down and as many to take off the tree, not one for each of its nodes.
-    assert all(len([f for f in os.listdir(at.removeprefix("file:")) if "=" in f]) < 12 for at in begun) and len(begun) == 2
+    # A round for each level, not for each node.
+    assert all(len([f for f in os.listdir(at.removeprefix("file:")) if "=" in f]) < 20 for at in begun) and len(begun) == 2
 
 
 def test_closure_of_a_hot_parent_and_many_ways(spark):
