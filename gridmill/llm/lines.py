@@ -152,17 +152,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .distinct()
         .groupBy("id", "th")
         .agg(F.collect_set("line").alias("gone"), F.sum(F.when(F.col("late"), 0).otherwise(1)).alias("near"))
-        .withColumnsRenamed({"id": "_id", "th": "_th", "gone": "_gone", "near": "_near"})
     )
-    split = F.split(text_col, "\n")
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    rest = docs.drop("n_lines", "n_removed", "n_near").withColumn("_h", F.xxhash64(text_col))
-    joined = rest.join(gone, F.col("_h").eqNullSafe(F.col("_th")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    return joined.withColumns(
-        {
-            "n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"),
-            "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            "n_near": F.coalesce("_near", F.lit(0)),
-            text_col: F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left),
-        }
-    ).drop("_h", "_id", "_th", "_gone", "_near")
+    made = ("n_lines", "n_removed", "n_near")
+    names = [c for c in docs.columns if c not in made]
+    rest = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    joined = rest.join(gone, F.col("h").eqNullSafe(F.col("th")) & F.col("i").eqNullSafe(F.col("id")), "left")
+    text = F.col("doc").getField(text_col)
+    split = F.split(text, "\n")
+    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return joined.select(
+        *[F.when(F.col("gone").isNull(), text).otherwise(left).alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in names],
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("near", F.lit(0)).alias("n_near"),
+    )

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridmill.llm.rows import identified
 from gridmill.operators.slices import sums_before
 from gridmill.session import cut_lineage
 
@@ -213,18 +214,19 @@ def mixed_blocks(
 
     ids: the documents that the block's words are from, in order.
     """
-    rows = cut_lineage(docs.select(id_col, text_col, source_col).withColumn("_row", F.monotonically_increasing_id()))
-    places, sizes = placed(rows, "_row", id_col, text_col, source_col, seed)
+    rows, row = identified(docs)
+    places, sizes = placed(rows, row, id_col, text_col, source_col, seed)
     sources = plan_sources(sizes, block)
-    pieces = _pieces(cut_lineage(numbered(places, sources)), block)
-    texts = rows.select("_row", F.col(id_col).alias("id"), F.regexp_extract_all(text_col, F.lit(f"({_WORD})")).alias("all"))
-    cut = F.slice("all", F.col("skip").cast("int") + 1, F.col("n").cast("int"))
-    part = F.struct("start", "id", cut.alias("words"))
+    stream = numbered(places, sources).select("key", "s", "source", "start")
+    texts = rows.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.regexp_extract_all(text_col, F.lit(f"({_WORD})")).alias("all"))
+    words = stream.hint("merge").join(texts, F.col("key") == F.col("row")).select("s", "source", "start", "id", F.posexplode("all").alias("i", "word"))
+    place = F.col("start") + F.col("i")
+    entry = F.struct(place.alias("at"), "start", "id", "word")
     packed = (
-        pieces.hint("merge").join(texts, F.col("key") == F.col("_row"))
-        .groupBy("s", "source", "block")
-        .agg(F.sort_array(F.collect_list(part)).alias("parts"))
-        .select("s", "source", "block", F.col("parts.id").alias("ids"), F.flatten("parts.words").alias("words"))
+        words.groupBy("s", "source", F.floor(place / block).alias("block"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("all"))
+        .select("s", "source", "block", F.array_distinct(F.transform("all", lambda x: F.struct(x["start"].alias("start"), x["id"].alias("id")))).alias("of"), F.col("all.word").alias("words"))
+        .select("s", "source", "block", F.col("of.id").alias("ids"), "words")
     )
     return slots(docs.sparkSession, sources, seed).hint("merge").join(packed, ["s", "block"]).select("shard", "slot", "source", "block", "ids", "words")
 
@@ -234,28 +236,33 @@ def mix_documents(
 ) -> DataFrame:
     """The mix as documents: for each pass over its source, the words a document is taken with.
 
-    All columns stay; text keeps its white space where all of it is taken, and otherwise
-    that before each word. A document whose words are not taken goes; one that is taken
-    twice is there twice.
+    All columns stay, whatever their names; text keeps its white space where all of it is
+    taken, and otherwise that before each word. A document whose words are not taken goes;
+    one that is taken twice is there twice.
     """
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    places, sizes = placed(rows, "_row", id_col, text_col, source_col, seed)
+    rows, row = identified(docs)
+    places, sizes = placed(rows, row, id_col, text_col, source_col, seed)
     sources = plan_sources(sizes, block)
     times = slots(docs.sparkSession, sources, seed).groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
+    # How often each of a document's blocks is taken, from its first on, without a gap.
+    entry = F.struct("block", F.coalesce("times", F.lit(0)).alias("times"))
     counts = (
         _pieces(cut_lineage(numbered(places, sources)), block)
-        .join(times.hint("merge"), ["s", "block"])
+        .join(times.hint("merge"), ["s", "block"], "left")
         .groupBy("key", "start")
-        .agg(F.map_from_entries(F.collect_list(F.struct("block", "times"))).alias("times"), F.sum("n").alias("n"), F.max("size").alias("size"), F.min("times").alias("least"))
+        .agg(F.sort_array(F.collect_list(entry)).alias("of"))
+        .select("key", F.struct("start", F.col("of")[0]["block"].alias("first"), F.col("of.times").alias("times")).alias("c"))
+        .where(F.array_max("c.times") > 0)
     )
-    parts = F.regexp_extract_all(text_col, F.lit(rf"([\x20\x09-\x0D]*{_WORD})"))
-    held = lambda w, i: F.coalesce(F.try_element_at("_c.times", F.floor((F.col("_c.start") + i) / block)), F.lit(0)) >= F.col("_pass")
-    whole = (F.col("_c.n") == F.col("_c.size")) & (F.col("_c.least") >= F.col("_pass"))
+    packed = rows.select(F.col(row).alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc").getField(text_col)
+    parts = F.regexp_extract_all(text, F.lit(rf"([\x20\x09-\x0D]*{_WORD})"))
+    held = lambda w, i: F.get("c.times", (F.floor((F.col("c.start") + i) / block) - F.col("c.first")).cast("int")) >= F.col("pass")
     some = F.array_join(F.filter(parts, held), "")
     return (
-        rows.join(counts.select("key", F.struct("start", "times", "n", "size", "least").alias("_c")).hint("merge"), F.col("_row") == F.col("key"))
-        .withColumn("_pass", F.explode(F.array(*[F.lit(i + 1) for i in range(MOST)])))
-        .withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some))
-        .where(F.length(text_col) > 0)
-        .select(*docs.columns)
+        packed.join(counts.hint("merge"), F.col("row") == F.col("key"))
+        .withColumn("pass", F.explode(F.array(*[F.lit(i + 1) for i in range(MOST)])))
+        .withColumn("left", F.when(F.array_min("c.times") >= F.col("pass"), text).otherwise(some))
+        .where(F.length("left") > 0)
+        .select(*[F.col("left").alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns])
     )

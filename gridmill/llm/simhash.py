@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.llm.components import components
+from gridmill.llm.rows import identified
 from gridmill.session import cut_lineage
 
 BLOCKS = 7
@@ -154,10 +155,11 @@ def near_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
     """One document of each near-duplicate group, all columns: the smallest id, null last.
 
-    Of rows with the same id the first as stored stays.
+    Of rows with the same id that with the smallest hash of
+    its text stays.
     """
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
+    rows, row = identified(docs)
+    place = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(row).alias("row"))
     groups = near_groups(rows.select(place.alias("place"), F.col(text_col).alias("text")), "place", "text", words, bits)
-    kept = groups.select(F.col("component_id.row").alias("_row")).distinct()
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    kept = groups.select(F.col("component_id.row").alias(row)).distinct()
+    return rows.join(kept, row, "left_semi").select(*docs.columns)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm.rows import free_name
+
 # A block is 256 bits, four longs: one probe touches one cache line.
 _PROBES = 8
 _MAX_BLOCKS = 1 << 21
@@ -93,9 +95,11 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
     entries = listed.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     bloom = BlockedBloom(entries)
     lengths = sorted(r[0] for r in entries.select(F.length("path")).distinct().collect())
+    # Suffixes of as many labels as an entry has; a long host has no more of them than a short one.
+    counts = sorted(r[0] for r in entries.select(F.size(F.split("host", "[.]"))).distinct().collect())
     told = pages.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    labels = F.split("host", "[.]")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    labels = F.size(F.split("host", "[.]"))
+    suffixes = F.array_compact(F.array(*[F.when(labels >= n, F.substring_index("host", ".", -n)) for n in counts or [1]]))
     starts = F.array(*[F.struct(F.lit(n).alias("n"), F.left("path", F.lit(n)).alias("of")) for n in lengths or [0]])
     asked = (
         told.select("host", "path")
@@ -113,9 +117,10 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", default: st
         .groupBy("host", "path")
         .agg(F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("h"), rule.alias("rule"), "verdict")).alias("best"))
     )
+    own = free_name("best", told)
     return (
         told.drop("rule", "verdict")
-        .join(best, ["host", "path"], "left")
-        .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.verdict", F.lit(default))})
-        .drop("best")
+        .join(best.withColumnRenamed("best", own), ["host", "path"], "left")
+        .withColumns({"rule": F.col(f"{own}.rule"), "verdict": F.coalesce(f"{own}.verdict", F.lit(default))})
+        .drop(own)
     )

@@ -93,3 +93,12 @@ def test_short_lines_take_part(spark, tmp_path):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.n_near, r.n_chars_left) for r in op9_line_dedup(spark, str(tmp_path)).collect()}
     # Lines of under 5 words go as exact copies only; empty lines stay.
     assert got == {1: (4, 0, 0, len(rows[0][1])), 2: (7, 4, 2, len("\nA b c d\nx b c d"))}
+
+
+def test_clashing_names_stay(spark):
+    text = "one line of more than eight words in all of it\nanother line that has no copy anywhere else at all"
+    rows = [(1, text, 1, "h", "t", 2, "n", "g", "i"), (2, text, 3, "h", "t", 4, "n", "g", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _near int, _h string, _th string, _id int, near string, gone string, h string")
+    got = {r.doc_id: r for r in L.line_dedup(docs).collect()}
+    assert got[1].text == text and got[2].text == "" and got[2].n_removed == 2
+    assert [got[2][c] for c in docs.columns[2:]] == list(rows[1][2:])

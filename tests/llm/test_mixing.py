@@ -99,3 +99,36 @@ def test_documents_keep_columns_and_whole_texts(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.taken_words(docs).count() == 0 and M.mix_documents(docs).count() == 0 and M.mixed_blocks(docs).count() == 0
+
+
+def test_clashing_names_and_tables_from_files(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(i % 150)), "ab"[i % 2], "own", 7, "k", 3, [1]) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key string, _row int, row string, pass int, c array<int>")
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    for frame in (docs, stored, stored.where("doc_id >= 0").groupBy(*stored.columns).count().drop("count")):
+        out = M.mix_documents(frame)
+        assert out.columns == docs.columns
+        words = Counter()
+        for r in out.collect():
+            assert (r.key, r["_row"], r.row, r["pass"], r.c) == ("own", 7, "k", 3, [1])
+            words[r.doc_id] += len(r.text.split())
+        assert words == Counter({r.key: r.taken for r in M.taken_words(frame).collect() if r.taken})
+        blocks = Counter()
+        for r in M.mixed_blocks(frame).collect():
+            blocks.update(int(w[1:].split("_")[0]) for w in r.words)
+            assert list(dict.fromkeys(int(w[1:].split("_")[0]) for w in r.words)) == r.ids
+        assert blocks == words
+
+
+def test_very_long_texts_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        docs = spark.createDataFrame([(i, " ".join(map(str, range(n))), "a") for i in range(2)], "doc_id long, text string, source string")
+        begun = time.perf_counter()
+        M.mix_documents(docs).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - begun
+
+    took(1000)
+    assert took(400_000) < 8 * max(took(100_000), 2)

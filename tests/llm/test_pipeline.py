@@ -5,10 +5,34 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 import corpus_pipeline as C
-from gridmill.llm import lines, mixing, pieces, quality, simhash
+from gridmill.llm import lines, mixing, pieces, quality, shingles
 from gridmill.llm.registry import table
 
 
+def kept_by_all_pairs(rows):
+    """Smallest ids of the groups that five-word shingles of similarity 0.8 or more connect, by all pairs."""
+    first = {}
+    for i, text in rows:
+        key = frozenset(shingles.shingles((text or "").encode(), 5).tolist())
+        first[key] = min(first.get(key, i), i)
+    keys, root = list(first), {k: k for k in first}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for n, x in enumerate(keys):
+        for y in keys[:n]:
+            small, large = sorted((len(x), len(y)))
+            if small >= 0.8 * large and len(x & y) >= 0.8 * len(x | y):
+                root[top(x)] = top(y)
+    groups = {}
+    for k in keys:
+        groups[top(k)] = min(groups.get(top(k), first[k]), first[k])
+    return sorted(groups.values())
+
+
 def test_stages_follow_their_operators(spark, sf, tmp_path):
     docs = table(spark, sf, "documents")
     columns, outs = docs.columns, []
@@ -24,7 +48,7 @@ def test_stages_follow_their_operators(spark, sf, tmp_path):
     (a, b), (_, c), (_, d), (_, e), (_, f) = outs
     assert keep(b.select("doc_id")) == keep(quality.quality(a).where("kept").select("id"))
     assert Counter(map(tuple, c.select("doc_id", "text").collect())) == Counter(map(tuple, lines.line_dedup(b).select("doc_id", "text").collect()))
-    assert keep(d.select("doc_id")) == keep(simhash.near_groups(c).select("component_id").distinct())
+    assert keep(d.select("doc_id")) == kept_by_all_pairs(c.select("doc_id", "text").collect())
     taken = Counter({r.key: r.taken for r in mixing.taken_words(d).collect() if r.taken})
     words = Counter()
     for r in e.collect():

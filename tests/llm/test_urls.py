@@ -44,3 +44,12 @@ def test_empty_tables(spark):
     assert [r.verdict for r in urls.judge(pages, none).collect()] == ["allow"]
     listed = spark.createDataFrame(LISTED, "host string, path string, verdict string")
     assert urls.judge(pages.limit(0), listed).count() == 0
+
+
+def test_clashing_names_and_long_hosts(spark):
+    listed = spark.createDataFrame(LISTED, "host string, path string, verdict string")
+    long_host = ".".join(["a"] * 20_000) + ".example.com"
+    pages = spark.createDataFrame([(1, f"http://{long_host}/en/x", 5, "h"), (2, "http://x.net/es/", 6, "p")], "page_id long, url string, best int, r_host string")
+    got = {r.page_id: r for r in urls.judge(pages, listed).collect()}
+    assert (got[1].rule, got[1].verdict, got[1].best, got[1].r_host) == ("example.com/en/", "block", 5, "h")
+    assert (got[2].rule, got[2].verdict, got[2].best) == ("net/es/", "block", 6)
