@@ -4,7 +4,9 @@ For a byte-level tokenizer without normalizer, no token and no special string cr
 place before a single blank, or either side of a single line break, between other
 characters. So a text is cut there and its ids are those of its chunks in turn. The
 library encodes each different chunk of a batch; the rest is gathering. Texts with
-white space in other forms, and other kinds of tokenizers, are encoded whole.
+white space in other forms, and other kinds of tokenizers, are encoded whole. A worker
+remembers the ids of the short chunks it met last, a bounded table of them, so a common
+word is encoded once and not with every batch.
 """
 
 from __future__ import annotations
@@ -24,6 +26,9 @@ _MARK = "\x01"
 _SPACE = r"[\x09-\x0D\x1C-\x20\x{85}\p{Z}]"
 _UNSAFE = rf"^ | $|[ \n]{_SPACE}|{_SPACE}[ \n]|{_MARK}"
 _BATCH = 20_000
+# Chunks that a worker remembers, and the longest of them in bytes: 50 MB at most.
+_KEEP = 400_000
+_SHORT = 48
 # One token pattern by itself: letters with at most a blank before them.
 _WORD = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
@@ -46,6 +51,11 @@ class Encoder:
         # A special string stands between chunks that are encoded in one go.
         self._mark = next(((t["content"], t["id"]) for t in spec["added_tokens"] if t["special"]), None)
 
+        # Different chunks, how many ids each has, the ids in turn, and when each was met last.
+        self._known = pa.array([], pa.large_string())
+        self._size, self._flat, self._met = np.zeros(0, np.int64), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self._now = 0
+
         # For chunks that are one word the pattern that looks for words is left out.
         self._bare = Tokenizer.from_file(path)
         self._bare.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
@@ -72,19 +82,46 @@ class Encoder:
         stem = pc.if_else(word, stem, chunks)
         cut = pc.not_equal(stem, chunks).to_numpy(zero_copy_only=False)
         coded = stem.dictionary_encode()
-        words = pc.match_substring_regex(coded.dictionary, _WORD).to_numpy(zero_copy_only=False)
-        order = np.concatenate([np.flatnonzero(words), np.flatnonzero(~words)])
-        plain = self._joined(coded.dictionary.filter(pa.array(words)).to_pylist(), True)
-        other = self._joined(coded.dictionary.filter(pa.array(~words)).to_pylist(), False)
-        size, place = np.concatenate([plain[0], other[0]]), np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        lengths, ids = _gather(size, np.concatenate([plain[1], other[1]]), place[coded.indices.to_numpy()])
+        place = self._places(coded.dictionary)
+        lengths, ids = _gather(self._size, self._flat, place[coded.indices.to_numpy()])
+        self._forget()
         if cut.any():
             comma, stop = (int(self._encode([m])[0][0]) for m in ",.")
             ends = pc.equal(tail, ",").to_numpy(zero_copy_only=False)[cut]
             ids = np.insert(ids, np.cumsum(lengths)[cut], np.where(ends, comma, stop).astype("<u4"))
         return lengths + cut, ids
 
+    def _places(self, chunks: pa.Array) -> np.ndarray:
+        """Where different chunks stand among the known ones; new ones are encoded and added."""
+        found = pc.index_in(chunks, value_set=self._known)
+        new = chunks.filter(found.is_null())
+        words = pc.match_substring_regex(new, _WORD)
+        added = [(new.filter(words), True), (new.filter(pc.invert(words)), False)]
+        encoded = [self._joined(part.to_pylist(), bare) for part, bare in added]
+        first = len(self._known)
+        kind = words.to_numpy(zero_copy_only=False)
+        places = np.empty(len(new), np.int64)
+        places[np.concatenate([np.flatnonzero(kind), np.flatnonzero(~kind)])] = first + np.arange(len(new))
+        self._known = pa.concat_arrays([self._known, *(part for part, _ in added)])
+        self._size = np.concatenate([self._size, *(n for n, _ in encoded)])
+        self._flat = np.concatenate([self._flat, *(ids for _, ids in encoded)])
+        out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        out[found.is_null().to_numpy(zero_copy_only=False)] = places
+        self._now += 1
+        self._met = np.concatenate([self._met, np.zeros(len(new), np.int64)])
+        self._met[out] = self._now
+        return out
+
+    def _forget(self) -> None:
+        """Long chunks go, and those not met for longest where there are too many."""
+        keep = pc.less_equal(pc.binary_length(self._known), _SHORT).to_numpy(zero_copy_only=False)
+        if len(keep) > _KEEP:
+            last = len(keep) - 1 - _KEEP // 2
+            keep &= self._met > np.partition(self._met, last)[last]
+        if not keep.all():
+            flat = self._flat[np.repeat(keep, self._size)]
+            self._known, self._size, self._met, self._flat = self._known.filter(pa.array(keep)), self._size[keep], self._met[keep], flat
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids): ids of all texts in turn, and how many each has; null is empty."""
         found = [self._some(part) for part in slices(pc.fill_null(texts.cast(pa.large_string()), ""))]

@@ -172,7 +172,7 @@ def write_ids(tokens: DataFrame, path: str) -> None:
 
     (
         tokens.mapInArrow(encoded, _CODED)
-        .repartition("part")
+        .repartitionById(len(bounds) + 1, F.col("part"))
         .sortWithinPartitions("part", "id", "mix", "row", "piece")
         .mapInArrow(_blocks, _BLOCKS)
         .write.option("compression", "none")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 import tokenizers
 
-from gridmill.llm import huffman, token_cache
+from gridmill.llm import bpe, huffman, token_cache
 from gridmill.llm.bpe import Encoder
 from gridmill.session import work_path
 
@@ -38,6 +38,21 @@ def test_encoder_gives_what_the_library_gives(name):
     assert ids.tolist() == [i for x in want for i in x]
 
 
+@pytest.mark.parametrize("keep, short", [(0, 48), (6, 48), (1000, 3)])
+def test_chunks_remembered_and_forgotten_change_nothing(monkeypatch, keep, short):
+    monkeypatch.setattr(bpe, "_KEEP", keep)
+    monkeypatch.setattr(bpe, "_SHORT", short)
+    encode, rng = Encoder(BPE), random.Random(2)
+    words = ["the", "of.", "and,", "Ünder", "x" * 60, "日本", "it's", "a1", "<|endoftext|>", "\n"]
+    for _ in range(8):
+        batch = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) for _ in range(20)]
+        sizes, ids = encode(pa.array(batch))
+        assert ids.tolist() == [i for t in batch for i in plain(t)]
+        assert sizes.tolist() == [len(plain(t)) for t in batch]
+        assert len(encode._known) == len(encode._size) == len(encode._met) <= keep
+        assert len(encode._flat) == encode._size.sum()
+
+
 @pytest.mark.parametrize("n, total", [(1, 10), (2, 50), (300, 1000), (5000, 200_000)])
 def test_codes_round_trip(n, total):
     rng = np.random.default_rng(n)
