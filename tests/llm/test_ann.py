@@ -59,3 +59,43 @@ def test_graph_walk_finds_the_nearest_lists():
         d = ((index.points - np.append(q, 0.0)) ** 2).sum(1)
         hit += len(set(np.argsort(d)[:10]) & set(index.nearest(q)))
     assert hit >= 475
+
+
+def recall(frame, rows):
+    want = plain(rows)
+    found = ann.neighbours(frame, F.col("id") % 20 == 0).select("query_id", "id").collect()
+    got = {(r.query_id, r.id) for r in found}
+    assert len(got) == len(found) == sum(map(len, want.values()))
+    return sum((q, i) in got for q, near in want.items() for i, _ in near) / len(got)
+
+
+def test_recall_where_most_lists_are_pruned(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(6000, 8)) * rng.choice([0.5, 1], size=(6000, 1)) + rng.integers(0, 4, size=(6000, 1))
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = ann.fit(x, 512, float((x**2).sum(1).max()))
+    searched = [len(index.nearest(q)) for q in x[:100]]
+    assert len(index.points) == 512 and np.mean(searched) < 256
+    monkeypatch.setattr(ann, "LIST", 12)
+    assert recall(frame, [(*r, "") for r in rows]) >= 0.9
+
+
+def test_lists_that_outgrow_the_centroids_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 8)) * rng.choice([0.5, 1, 2], size=(4000, 1))
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    for name, value in [("TOP", 8), ("PART", 50), ("CHUNK", 30), ("_ROUTE", 700)]:
+        monkeypatch.setattr(ann, name, value)
+    split = []
+    real = ann._split
+
+    def seen(*args):
+        listed, called = real(*args)
+        split.append((listed.agg(F.max("part")).first()[0], called.groupBy("list", "id").count().agg(F.max("count")).first()[0]))
+        return listed, called
+
+    monkeypatch.setattr(ann, "_split", seen)
+    assert recall(frame, [(*r, "") for r in rows]) >= 0.9
+    assert split[0][0] >= 7 and split[0][1] >= ann.LEAST_PARTS
