@@ -4,9 +4,11 @@ Merges are taken from an agenda, best first; each candidate that comes up is ski
 keyed hash of it says so. The key is the seed, the document and the chunk's number in it,
 with the candidate's place: every occurrence of a word is cut by its own draws, and a rerun
 cuts it the same. A chunk is a run of blanks and what follows it: no piece reaches over its
-start. Each different chunk of a batch is cut once without dropout; an occurrence whose
-draws skip none of the merges made there has the same ids, and only the others are cut by
-themselves, all side by side: a round takes the best candidate of every chunk.
+start. Each different chunk of a batch is cut once without dropout, and occurrences follow
+the candidates of that cut with their own draws. Those that skip the same candidate first
+share one cut without it, which they follow on from there, until none skips another: equal
+decisions are worked out once. Cuts are made side by side: a round takes the best
+candidate of every chunk.
 With dropout 0 the ids are the library's, but for the character that the model uses for
 blanks: it is written as bytes, as no text could be read back otherwise.
 """
@@ -15,7 +17,6 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,7 +33,7 @@ _CHUNK = re.compile(f"[\n{_BLANK}]| *[^ \n{_BLANK}]+| +")
 _BYTES = 4 << 20
 # Chunks of more characters would take as many rounds, and are cut one by one.
 _LONG = 96
-# Occurrences that are drawn and cut side by side.
+# Occurrences that are drawn side by side.
 _AT_ONCE = 65_536
 _NONE = np.iinfo(np.int64).max
 _MASK = np.uint64(0xFFFFFFFF)
@@ -77,30 +78,96 @@ class Pieces:
             (place[p[:i]] * self.symbols + place[p[i:]], self.ids[p], self.rank[p])
             for p in self.ids for i in range(1, len(p)) if p[:i] in place and p[i:] in place
         )
-        self.pair, self.merged, self.pair_rank = (np.array(x, np.int64) for x in zip(*pairs))
+        pair, merged, rank = (np.array(x, np.int64) for x in zip(*pairs))
+        # Addressed by hash; a slot that is taken sends on to the next one.
+        self._bits = int(len(pair)).bit_length() + 2
+        self.pair, self.merged, self.pair_rank = (np.full((1 << self._bits) + len(pair), -1, np.int64) for _ in range(3))
+        left = np.arange(len(pair))
+        slot = self._slot(pair)
+        while len(left):
+            free = self.pair[slot] < 0
+            one = np.unique(slot[free], return_index=True)[1]
+            put = np.flatnonzero(free)[one]
+            for table, values in ((self.pair, pair), (self.merged, merged), (self.pair_rank, rank)):
+                table[slot[put]] = values[left[put]]
+            left, slot = np.delete(left, put), np.delete(slot, put) + 1
         self.size = np.ones(self.symbols, np.int64)
         for p, i in place.items():
             self.size[i] = len(p)
 
+    def _slot(self, pair: np.ndarray) -> np.ndarray:
+        return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def _find(self, pair: np.ndarray) -> np.ndarray:
+        """Slots of the pairs, or slots that hold something else."""
+        slot = self._slot(pair)
+        held = self.pair[slot]
+        on = np.flatnonzero((held != pair) & (held >= 0))
+        while len(on):
+            slot[on] += 1
+            held = self.pair[slot[on]]
+            on = on[(held != pair[on]) & (held >= 0)]
+        return slot
+
     def cut(self, chunks: list[str], keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids) of the chunks, in turn; see cut_short for keys and skip."""
-        long = np.array([len(c) > _LONG for c in chunks], bool)
-        if not long.any():
-            return self.cut_short(chunks, keys, skip)
-        sizes = np.zeros(len(chunks), np.int64)
-        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(chunks)
-        short = np.flatnonzero(~long)
-        if len(short):
-            sizes[short], ids = self.cut_short([chunks[i] for i in short], keys[short], skip)
-            for i, part in zip(short.tolist(), np.split(ids, np.cumsum(sizes[short])[:-1])):
-                parts[i] = part
-        for i in np.flatnonzero(long).tolist():
-            parts[i] = self.cut_long(chunks[i], int(keys[i]), skip)
-            sizes[i] = len(parts[i])
-        return sizes, np.concatenate(parts)
+        """(lengths, ids) of the chunks, in turn, each with its key; see cut_long for skip."""
+        coded = pa.array(chunks, pa.large_string()).dictionary_encode()
+        different, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        short = np.array([len(c) <= _LONG for c in different], bool)
+        place, own = np.cumsum(short) - 1, short[code]
+        lengths, at = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        lengths[own], at[own], flat = self._cut_shared([c for c, s in zip(different, short.tolist()) if s], place[code[own]], keys[own], skip)
+        long = [self.cut_long(chunks[i], int(keys[i]), skip) for i in np.flatnonzero(~own).tolist()]
+        lengths[~own] = [len(x) for x in long]
+        at[~own] = len(flat) + np.cumsum(lengths[~own]) - lengths[~own]
+        flat = np.concatenate([flat, *long])
+        return lengths, flat[np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+
+    def _first_skipped(self, keys: np.ndarray, cut: np.ndarray, taken: np.ndarray, steps: np.ndarray, skip: int) -> np.ndarray:
+        """Of the candidates of its cut, the first that each occurrence skips; -1 for none."""
+        begin, out = np.cumsum(taken) - taken, np.full(len(cut), -1)
+        for at in range(0, len(cut), _AT_ONCE):
+            part = cut[at : at + _AT_ONCE]
+            n = taken[part]
+            ends = np.cumsum(n)
+            step = np.repeat(begin[part] - (ends - n), n) + np.arange(int(n.sum()))
+            hits = np.flatnonzero(self._hash(np.repeat(keys[at : at + _AT_ONCE], n), *steps[:, step]) < skip)
+            who = np.searchsorted(ends, hits, "right")
+            who, one = np.unique(who, return_index=True)
+            out[at + who] = hits[one] - (ends - n)[who]
+        return out
+
+    def _cut_shared(self, chunks: list[str], code: np.ndarray, keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(lengths, places, ids) of the occurrences code of short chunks, each under its key."""
+        lengths, places = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+        found, total = [np.zeros(0, np.int32)], 0
+        open_, cut, of = np.arange(len(code)), code, np.arange(len(chunks))
+        drops = np.zeros((len(chunks), 0), np.int64)
+        while len(open_):
+            size, ids, taken, steps = self.cut_short([chunks[c] for c in of.tolist()], drops)
+            lengths[open_], places[open_] = size[cut], (total + np.cumsum(size) - size)[cut]
+            found.append(ids)
+            total += len(ids)
+            if not skip:
+                break
+            at = self._first_skipped(keys[open_], cut, taken, steps, skip)
+            hit = at >= 0
+            open_, cut = open_[hit], cut[hit]
+            # Numbers of candidates go on after the last one skipped.
+            number = at[hit] + (drops[cut, -1] + 1 if drops.shape[1] else 0)
+            width = int(number.max(initial=0)) + 1
+            told, cut = np.unique(cut * width + number, return_inverse=True)
+            drops = np.column_stack([drops[told // width], told % width])
+            of = of[told // width]
+        return lengths, places, np.concatenate(found)
 
     def cut_long(self, chunk: str, key: int, skip: int) -> np.ndarray:
-        """Ids of one chunk of any length: as cut_short, with a heap for its agenda."""
+        """Ids of one chunk of any length, with a heap for its agenda.
+
+        A chunk's agenda is its neighbouring pairs that make a piece; of equal rank the
+        first comes first. A candidate is skipped if its 32-bit hash under the key is below
+        skip; it comes back only if one of its sides has changed.
+        """
         part = list(chunk.replace(" ", _BLANK))
         n, rank = len(part), self.rank
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -126,20 +193,12 @@ class Pieces:
             out.extend([self.ids[p]] if p in self.ids else self.byte[list(p.encode())].tolist())
         return np.array(out, np.int32)
 
-    def merges(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(owner, row for _hash) of the merges that short chunks take without dropout, by owner."""
-        steps: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros((3, 0), np.int64))]
-        self.cut_short(chunks, np.zeros(len(chunks), np.int64), 0, steps)
-        owner = np.concatenate([o for o, _ in steps])
-        order = np.argsort(owner, kind="stable")
-        return owner[order], np.concatenate([r for _, r in steps], axis=1)[:, order]
-
-    def cut_short(self, chunks: list[str], keys: np.ndarray, skip: int, steps: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(lengths, ids) of the chunks; a candidate is skipped if its 32-bit hash is under skip.
+    def cut_short(self, chunks: list[str], drops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each chunk, in turn: number of ids, ids, number of candidates, candidates.
 
-        keys: one for each chunk. A chunk's agenda is its neighbouring pairs that make a
-        piece; of equal rank the first comes first. A skipped pair comes back only if one
-        of its sides has changed. steps: takes the merges made, round by round.
+        drops: a row for each chunk, the numbers of the candidates to skip, rising, counted
+        from 0 as they come off its agenda (see cut_long). Told are the candidates after
+        the last of these, as rows for _hash.
         """
         lengths = np.array([len(c) for c in chunks], np.int64)
         point = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
@@ -160,12 +219,16 @@ class Pieces:
             """Put the pairs that begin at these places on the agenda, or take them off."""
             right = after[left]
             pair = symbol[left] * self.symbols + symbol[right]
-            spot = np.minimum(np.searchsorted(self.pair, pair), len(self.pair) - 1)
+            spot = self._find(pair)
             good = (right >= 0) & (symbol[left] >= 0) & (symbol[right] >= 0) & (self.pair[spot] == pair)
             best[left] = np.where(good, (self.pair_rank[spot] << 32) | left, _NONE)
             made[left] = self.merged[spot]
 
         look(np.arange(n))
+        skipped = np.zeros(len(chunks), bool)
+        told = drops[:, -1] if drops.shape[1] else np.full(len(chunks), -1)
+        steps: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros((3, 0), np.int64))]
+        number = 0
         alive = np.ones(n, bool)
         active = np.arange(len(chunks))
         begin = first
@@ -177,13 +240,16 @@ class Pieces:
             i = top[open_] & 0xFFFFFFFF
             if not len(i):
                 break
-            if skip:
-                passed = self._hash(keys[owner[i]], i - first[owner[i]], after[i] - first[owner[i]], self.size[made[i]]) >= skip
-                best[i[~passed]] = _NONE
-                i = i[passed]
+            skipped[:] = False
+            skipped[np.flatnonzero(drops == number) // max(drops.shape[1], 1)] = True
+            gone = skipped[owner[i]]
+            best[i[gone]] = _NONE
+            i = i[~gone]
             j = after[i]
-            if steps is not None:
-                steps.append((owner[i], np.stack([i - first[owner[i]], j - first[owner[i]], self.size[made[i]]])))
+            new = told[owner[i]] < number
+            at = first[owner[i]]
+            steps.append((owner[i][new], np.stack([i - at, j - at, self.size[made[i]]])[:, new]))
+            number += 1
             k = after[j]
             symbol[i], after[i], alive[j], best[j] = made[i], k, False, _NONE
             before[k[k >= 0]] = i[k >= 0]
@@ -204,7 +270,10 @@ class Pieces:
         ids = np.repeat(symbol, width)
         if raw:
             ids[np.repeat(~whole, width)] = self.byte[np.frombuffer(b"".join(raw), np.uint8)]
-        return np.bincount(owner, width, minlength=len(chunks)).astype(np.int64), ids.astype(np.int32)
+        by = np.concatenate([o for o, _ in steps])
+        taken = np.concatenate([r for _, r in steps], axis=1)[:, np.argsort(by, kind="stable")]
+        sizes = np.bincount(owner, width, minlength=len(chunks)).astype(np.int64)
+        return sizes, ids.astype(np.int32), np.bincount(by, minlength=len(chunks)), taken
 
     @staticmethod
     def _hash(key: np.ndarray, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -236,50 +305,13 @@ def _keys(docs: list[str], count: np.ndarray, seed: int) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.int64)
 
 
-def _varied(model: Pieces, different: list[str], code: np.ndarray, keys: np.ndarray, skip: int) -> Iterator[np.ndarray]:
-    """Places of the occurrences that dropout may cut otherwise, some at a time.
-
-    As long as no merge is skipped the agenda is the one without dropout.
-    """
-    short = np.array([len(c) <= _LONG for c in different], bool)
-    owner, steps = model.merges([c for c, s in zip(different, short.tolist()) if s])
-    owner = np.flatnonzero(short)[owner]
-    taken = np.bincount(owner, minlength=len(different))
-    begin = np.cumsum(taken) - taken
-    for at in range(0, len(code), _AT_ONCE):
-        part = code[at : at + _AT_ONCE]
-        n = taken[part]
-        step = np.repeat(begin[part] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        skipped = model._hash(np.repeat(keys[at : at + _AT_ONCE], n), *steps[:, step]) < skip
-        hit = np.bincount(np.repeat(np.arange(len(part)), n), skipped, minlength=len(part)) > 0
-        own = np.flatnonzero(hit | ~short[part]) + at
-        if len(own):
-            yield own
-
-
 def encode_texts(model: Pieces, texts: list[str | None], docs: list[str], dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, ids) of whole texts; docs name their documents."""
     chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
     count = np.array([len(c) for c in chunks], np.int64)
-    coded = pa.array([c for x in chunks for c in x], pa.large_string()).dictionary_encode()
-    different, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-    if not different:
-        return np.zeros(len(texts), np.int64), np.zeros(0, np.int32)
-    size, flat = model.cut(different, np.zeros(len(different), np.int64), 0)
-    lengths, at = size[code], (np.cumsum(size) - size)[code]
-    skip = int(dropout * (1 << 32))
-    if skip:
-        keys = _keys(docs, count, seed)
-        more, total = [flat], len(flat)
-        for own in _varied(model, different, code, keys, skip):
-            sizes, ids = model.cut([different[c] for c in code[own].tolist()], keys[own], skip)
-            lengths[own], at[own] = sizes, total + np.cumsum(sizes) - sizes
-            more.append(ids)
-            total += len(ids)
-        flat = np.concatenate(more)
-    ids = flat[np.repeat(at - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))]
+    sizes, ids = model.cut([c for x in chunks for c in x], _keys(docs, count, seed), int(dropout * (1 << 32)))
     doc = np.repeat(np.arange(len(texts)), count)
-    return np.bincount(doc, lengths, minlength=len(texts)).astype(np.int64), ids
+    return np.bincount(doc, sizes, minlength=len(texts)).astype(np.int64), ids
 
 
 def encode(text: Column, doc: Column, model: str, dropout: float = 0.1, seed: int = 0) -> Column:

@@ -112,3 +112,17 @@ def test_shared_merges_match_cutting_each_occurrence():
     chunks = [P._CHUNK.findall(" " + t) if t else [] for t in some]
     keys = P._keys(names, np.array([len(c) for c in chunks]), 5)
     assert ids.tolist() == model.cut([c for x in chunks for c in x], keys, int(0.2 * (1 << 32)))[1].tolist()
+
+
+def test_shared_cuts_match_a_heap_for_each_occurrence():
+    model, rng = P.pieces(MODEL), random.Random(4)
+    parts = ["the", "ing", "tion", "a", "é", "日", "\n"]
+    words = [" " + "".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    chunks = [rng.choice(words) for _ in range(4000)] + [" " + "the" * 40]
+    keys = np.array([rng.getrandbits(32) for _ in chunks])
+    for skip in (0, 1 << 28, 1 << 31):
+        sizes, ids = model.cut(chunks, keys, skip)
+        for c, k, got in zip(chunks, keys.tolist(), np.split(ids, sizes.cumsum()[:-1])):
+            assert got.tolist() == model.cut_long(c, k, skip).tolist()
+    sizes, ids = model.cut([], keys[:0], 1 << 28)
+    assert len(sizes) == len(ids) == 0
