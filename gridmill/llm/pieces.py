@@ -68,12 +68,15 @@ class Pieces:
             self.text[i] = p.replace(_BLANK, " ").encode()
         for b in range(256):
             self.text[self.byte[b]] = bytes([b])
+        self.text_array = pa.array(self.text, pa.large_binary())
         # Symbols: the ids of pieces, then characters that only stand inside pieces.
         chars = sorted({c for p in self.ids for c in p} - set(self.ids))
         self.symbols = n + len(chars)
         place = {**self.ids, **{c: n + i for i, c in enumerate(chars)}}
-        known = sorted((ord(p), i) for p, i in place.items() if len(p) == 1)
-        self.points, self.point_symbol = (np.array(x, np.int64) for x in zip(*known))
+        self.point_symbol = np.full(0x110000, -1, np.int64)
+        for p, i in place.items():
+            if len(p) == 1:
+                self.point_symbol[ord(p)] = i
         pairs = sorted(
             (place[p[:i]] * self.symbols + place[p[i:]], self.ids[p], self.rank[p])
             for p in self.ids for i in range(1, len(p)) if p[:i] in place and p[i:] in place
@@ -204,9 +207,7 @@ class Pieces:
         point = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
         literal = point == ord(_BLANK)
         point[point == ord(" ")] = ord(_BLANK)
-        at = np.minimum(np.searchsorted(self.points, point), len(self.points) - 1)
-        known = (self.points[at] == point) & ~literal
-        symbol = np.where(known, self.point_symbol[at], -1)
+        symbol = np.where(literal, -1, self.point_symbol[point])
 
         n, first = len(point), np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(chunks)), lengths)
@@ -284,9 +285,11 @@ class Pieces:
         x = ((x ^ (x >> np.uint64(12))) * np.uint64(0x297A2D39)) & _MASK
         return (x ^ (x >> np.uint64(15))).astype(np.int64)
 
-    def decode(self, ids: list[int]) -> str:
-        text = self.text
-        return b"".join([text[i] for i in ids])[1:].decode("utf-8")
+    def decode(self, ids: list[int] | pa.Array) -> str:
+        ids = ids if isinstance(ids, pa.Array) else pa.array(ids, pa.int32())
+        # The joined pieces are what a taken array holds; the first blank was added.
+        taken = self.text_array.take(ids)
+        return taken.buffers()[2].to_pybytes()[1:].decode("utf-8") if len(taken) else ""
 
 
 @lru_cache(maxsize=2)
@@ -342,9 +345,8 @@ def decode(ids: Column, model: str) -> Column:
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
         size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(size).tolist()
-        flat = lists.flatten().to_numpy()
-        return pa.array([pieces(model).decode(flat[e - n : e].tolist()) for n, e in zip(size.tolist(), ends)], pa.string())
+        flat = lists.flatten()
+        return pa.array([pieces(model).decode(flat.slice(e - n, n)) for n, e in zip(size.tolist(), np.cumsum(size).tolist())], pa.string())
 
     return text_of(ids)
 
