@@ -33,8 +33,9 @@ _CHUNK = re.compile(f"[\n{_BLANK}]| *[^ \n{_BLANK}]+| +")
 _BYTES = 4 << 20
 # Chunks of more characters would take as many rounds, and are cut one by one.
 _LONG = 96
-# Occurrences that are drawn side by side.
+# Occurrences that are drawn, and chunks that are cut, side by side.
 _AT_ONCE = 65_536
+_SIDE = 16_384
 _NONE = np.iinfo(np.int64).max
 _MASK = np.uint64(0xFFFFFFFF)
 
@@ -73,7 +74,7 @@ class Pieces:
         chars = sorted({c for p in self.ids for c in p} - set(self.ids))
         self.symbols = n + len(chars)
         place = {**self.ids, **{c: n + i for i, c in enumerate(chars)}}
-        self.point_symbol = np.full(0x110000, -1, np.int64)
+        self.point_symbol = np.full(0x110000, -1, np.int32)
         for p, i in place.items():
             if len(p) == 1:
                 self.point_symbol[ord(p)] = i
@@ -81,18 +82,15 @@ class Pieces:
             (place[p[:i]] * self.symbols + place[p[i:]], self.ids[p], self.rank[p])
             for p in self.ids for i in range(1, len(p)) if p[:i] in place and p[i:] in place
         )
-        pair, merged, rank = (np.array(x, np.int64) for x in zip(*pairs))
-        # Addressed by hash; a slot that is taken sends on to the next one.
-        self._bits = int(len(pair)).bit_length() + 2
-        self.pair, self.merged, self.pair_rank = (np.full((1 << self._bits) + len(pair), -1, np.int64) for _ in range(3))
-        left = np.arange(len(pair))
-        slot = self._slot(pair)
+        self.pair, self.merged, self.pair_rank = (np.array(x, np.int64) for x in zip(*pairs))
+        # Places of the pairs, addressed by hash; a slot that is taken sends on to the next.
+        self._bits = len(pairs).bit_length() + 1
+        self.slots = np.full((1 << self._bits) + len(pairs), -1, np.int32)
+        left, slot = np.arange(len(pairs)), self._slot(self.pair)
         while len(left):
-            free = self.pair[slot] < 0
-            one = np.unique(slot[free], return_index=True)[1]
-            put = np.flatnonzero(free)[one]
-            for table, values in ((self.pair, pair), (self.merged, merged), (self.pair_rank, rank)):
-                table[slot[put]] = values[left[put]]
+            free = np.flatnonzero(self.slots[slot] < 0)
+            put = free[np.unique(slot[free], return_index=True)[1]]
+            self.slots[slot[put]] = left[put]
             left, slot = np.delete(left, put), np.delete(slot, put) + 1
         self.size = np.ones(self.symbols, np.int64)
         for p, i in place.items():
@@ -101,16 +99,18 @@ class Pieces:
     def _slot(self, pair: np.ndarray) -> np.ndarray:
         return ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
 
-    def _find(self, pair: np.ndarray) -> np.ndarray:
-        """Slots of the pairs, or slots that hold something else."""
+    def _find(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the pairs, and which of them are known."""
         slot = self._slot(pair)
-        held = self.pair[slot]
-        on = np.flatnonzero((held != pair) & (held >= 0))
+        place = self.slots[slot]
+        known = self.pair[place] == pair
+        on = np.flatnonzero(~known & (place >= 0))
         while len(on):
             slot[on] += 1
-            held = self.pair[slot[on]]
-            on = on[(held != pair[on]) & (held >= 0)]
-        return slot
+            place[on] = at = self.slots[slot[on]]
+            known[on] = same = self.pair[at] == pair[on]
+            on = on[~same & (at >= 0)]
+        return place, known & (place >= 0)
 
     def cut(self, chunks: list[str], keys: np.ndarray, skip: int) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of the chunks, in turn, each with its key; see cut_long for skip."""
@@ -147,7 +147,8 @@ class Pieces:
         open_, cut, of = np.arange(len(code)), code, np.arange(len(chunks))
         drops = np.zeros((len(chunks), 0), np.int64)
         while len(open_):
-            size, ids, taken, steps = self.cut_short([chunks[c] for c in of.tolist()], drops)
+            parts = [self.cut_short([chunks[c] for c in of[i : i + _SIDE].tolist()], drops[i : i + _SIDE]) for i in range(0, len(of), _SIDE)]
+            size, ids, taken, steps = (np.concatenate(x, axis=-1) for x in zip(*parts))
             lengths[open_], places[open_] = size[cut], (total + np.cumsum(size) - size)[cut]
             found.append(ids)
             total += len(ids)
@@ -207,7 +208,7 @@ class Pieces:
         point = np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4").astype(np.int64)
         literal = point == ord(_BLANK)
         point[point == ord(" ")] = ord(_BLANK)
-        symbol = np.where(literal, -1, self.point_symbol[point])
+        symbol = np.where(literal, -1, self.point_symbol[point]).astype(np.int64)
 
         n, first = len(point), np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(chunks)), lengths)
@@ -220,15 +221,15 @@ class Pieces:
             """Put the pairs that begin at these places on the agenda, or take them off."""
             right = after[left]
             pair = symbol[left] * self.symbols + symbol[right]
-            spot = self._find(pair)
-            good = (right >= 0) & (symbol[left] >= 0) & (symbol[right] >= 0) & (self.pair[spot] == pair)
+            spot, known = self._find(pair)
+            good = (right >= 0) & (symbol[left] >= 0) & (symbol[right] >= 0) & known
             best[left] = np.where(good, (self.pair_rank[spot] << 32) | left, _NONE)
             made[left] = self.merged[spot]
 
         look(np.arange(n))
         skipped = np.zeros(len(chunks), bool)
         told = drops[:, -1] if drops.shape[1] else np.full(len(chunks), -1)
-        steps: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros((3, 0), np.int64))]
+        steps: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros((3, 0), np.int32))]
         number = 0
         alive = np.ones(n, bool)
         active = np.arange(len(chunks))
@@ -249,7 +250,7 @@ class Pieces:
             j = after[i]
             new = told[owner[i]] < number
             at = first[owner[i]]
-            steps.append((owner[i][new], np.stack([i - at, j - at, self.size[made[i]]])[:, new]))
+            steps.append((owner[i][new], np.stack([i - at, j - at, self.size[made[i]]])[:, new].astype(np.int32)))
             number += 1
             k = after[j]
             symbol[i], after[i], alive[j], best[j] = made[i], k, False, _NONE
