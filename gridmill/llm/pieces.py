@@ -30,7 +30,7 @@ from gridmill.llm.bpe import slices
 
 _BLANK = "▁"
 _CHUNK = re.compile(f"[\n{_BLANK}]| *[^ \n{_BLANK}]+| +")
-_BYTES = 4 << 20
+_BYTES = 2 << 20
 # Chunks of more characters would take as many rounds, and are cut one by one.
 _LONG = 96
 # Occurrences that are drawn, and chunks that are cut, side by side.
@@ -311,9 +311,13 @@ def _keys(docs: list[str], count: np.ndarray, seed: int) -> np.ndarray:
 
 def encode_texts(model: Pieces, texts: list[str | None], docs: list[str], dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, ids) of whole texts; docs name their documents."""
-    chunks = [_CHUNK.findall(" " + t) if t else [] for t in texts]
-    count = np.array([len(c) for c in chunks], np.int64)
-    sizes, ids = model.cut([c for x in chunks for c in x], _keys(docs, count, seed), int(dropout * (1 << 32)))
+    chunks: list[str] = []
+    ends = [len(chunks)]
+    for t in texts:
+        chunks += _CHUNK.findall(" " + t) if t else []
+        ends.append(len(chunks))
+    count = np.diff(np.array(ends, np.int64))
+    sizes, ids = model.cut(chunks, _keys(docs, count, seed), int(dropout * (1 << 32)))
     doc = np.repeat(np.arange(len(texts)), count)
     return np.bincount(doc, sizes, minlength=len(texts)).astype(np.int64), ids
 
