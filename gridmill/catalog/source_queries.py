@@ -15,7 +15,7 @@ from gridmill.operators.joins import find_instances
 from gridmill.session import work_path
 from gridmill.sources.archive import archive_partition
 from gridmill.sources.delimited import export_delimited, load_delimited, to_lines
-from gridmill.sources.documents import read_documents, split_documents
+from gridmill.sources.documents import read_documents, split_documents, write_documents
 from gridmill.sources.inventory_json import flatten_inventory
 from gridmill.sources.messages import parse_acceptance_messages
 from gridmill.sources.tables import scan
@@ -237,7 +237,7 @@ def order_documents(lines: DataFrame) -> DataFrame:
 def _idoc(spark, sf):
     """Written as files of documents and read back."""
     path = work_path(spark, "documents")
-    order_documents(table(spark, sf, "lineitem")).select("text").write.text(path)
+    write_documents(order_documents(table(spark, sf, "lineitem")), path)
     number = F.regexp_extract("text", "^EDI_DC40 ([0-9]+)", 1).cast("long")
     docs = read_documents(spark, path).drop("file")
     return split_documents(docs.select(number.alias("l_orderkey"), "text"))

@@ -1,7 +1,8 @@
 """Fixed-width order documents split by ship-to.
 
 A document is read as one row (the record separator is the line that starts the
-next one), so files of any size split over tasks and no shuffle is needed.
+next one), so plain files of any size split over tasks and no shuffle is needed. Written
+documents are compressed, in files short enough for one task each.
 """
 
 from __future__ import annotations
@@ -21,9 +22,21 @@ QTY_START, QTY_LEN = 211, 10
 SHIP_START, SHIP_LEN = 221, 17
 SLOT_START, SLOT_END, SLOT_LEN = 74, 89, 15
 
+# Documents in one written file: compressed, a file is read by one task.
+FILE_DOCUMENTS = 40_000
+
 _ITEM_MARK, _BLOCK_MARK = "\u0001", "\u0002"
 
 
+def write_documents(docs: DataFrame, path: str, col: str = "text") -> None:
+    """Write each text as a document, in compressed files of bounded length.
+
+    The layout is mostly padding: written plain, documents take many times their content.
+    """
+    files = docs.select(col).write.option("compression", "lz4").option("maxRecordsPerFile", FILE_DOCUMENTS)
+    files.text(path)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: `text`, lines parted by newlines, and its `file`."""
     raw = spark.read.option("lineSep", "\n" + HEADER).text(path)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conftest import at, rows
+from gridmill.catalog.source_queries import order_documents
 from gridmill.functions.rows import rows_hash
 from gridmill.functions.masking import mask_email, mask_secret, md5_pair
 from gridmill.session import work_path
@@ -18,7 +20,7 @@ from gridmill.sources.delimited import (
     to_lines,
     write_lines,
 )
-from gridmill.sources.documents import malformed_allocations, read_documents, split_documents
+from gridmill.sources.documents import malformed_allocations, read_documents, split_documents, write_documents
 from gridmill.sources.inventory_json import flatten_inventory
 from gridmill.sources.messages import parse_acceptance_messages, unfit_messages
 from gridmill.sources.tables import scan
@@ -200,3 +202,22 @@ def test_large_document_is_split_in_one_pass(spark):
     got = split_documents(documents(spark, "\n".join(["EDI_DC40 9", *items, "E2EDS01 s"]))).select("ship_to", "ship_to_no", F.size(F.split("text", "\n")).alias("n")).collect()
     want = {str(s): sum(s in range(i % 5, 500, 50) for i in range(1000)) for s in range(500) if s % 50 < 5}
     assert {r.ship_to: r.n - 2 for r in got} == want
+
+
+def test_written_documents_take_less_than_their_table(spark, sf, tmp_path):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    path = str(tmp_path / "docs")
+    write_documents(order_documents(lines), path)
+    held = sum(f.stat().st_size for f in (tmp_path / "docs").iterdir())
+    table = spark.read.parquet(f"{sf}/lineitem.parquet").inputFiles()
+    assert held < 8 * sum(os.path.getsize(f.removeprefix("file://")) for f in table)
+    back = read_documents(spark, path)
+    assert rows(back.select("text")) == rows(order_documents(lines).select("text"))
+
+
+def test_documents_are_written_in_short_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("gridmill.sources.documents.FILE_DOCUMENTS", 7)
+    docs = spark.createDataFrame([(f"EDI_DC40 {i}\nx",) for i in range(30)], "text string").coalesce(1)
+    write_documents(docs, str(tmp_path / "docs"))
+    assert len(list((tmp_path / "docs").glob("part-*"))) == 5
+    assert read_documents(spark, str(tmp_path / "docs")).count() == 30
