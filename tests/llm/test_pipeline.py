@@ -66,3 +66,13 @@ def test_odd_rows_go_through(spark, tmp_path):
         stage(spark, docs, "").write.parquet(str(tmp_path / str(i)))
         docs = spark.read.parquet(str(tmp_path / str(i)))
     assert docs.columns[0] == "doc_id"
+
+
+def test_stages_bound_the_bytes_of_a_batch(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(i, "word " * 20_000, "en", "a", 100_000) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.conf.unset(key)
+    C.STAGES[0][1](spark, docs, "")
+    sizes = docs.select("text").mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    assert max(r.n for r in sizes.collect()) < 8e6
