@@ -53,6 +53,25 @@ def test_chunks_remembered_and_forgotten_change_nothing(monkeypatch, keep, short
         assert len(encode._flat) == encode._size.sum()
 
 
+def test_marks_behind_a_word_share_the_word():
+    encode, rng = Encoder(BPE), random.Random(5)
+    tails = ["", ",", ".", "!!", "$$$", "%%%,", ".###", "***", ":;?", "&'s", "'", "|>", "...", "-!"]
+    words = ["ofereal", "QUEAUXÈ", "Über", "ñandu", "É", "a1", "日本", "don't", "<|endoftext|>", "x_"]
+    batch = [" ".join(rng.choice(words) + rng.choice(tails) for _ in range(40)) for _ in range(200)]
+    sizes, ids = encode(pa.array(batch))
+    assert ids.tolist() == [i for t in batch for i in plain(t)]
+    assert sizes.tolist() == [len(plain(t)) for t in batch]
+    known = set(encode._known.to_pylist())
+    assert " ofereal" in known and not {" ofereal" + t for t in ("!!", "$$$", "%%%,", ".###")} & known
+
+
+def test_slices_are_even():
+    texts = pa.array(["x" * 100] * 1001)
+    assert [len(p) for p in bpe.slices(texts, 50_000)] == [500, 501]
+    assert sum(len(p) for p in bpe.slices(pa.array(["a", "b" * 1000, None]), 10)) == 3
+    assert bpe.slices(pa.array([], pa.string())) == []
+
+
 @pytest.mark.parametrize("n, total", [(1, 10), (2, 50), (300, 1000), (5000, 200_000)])
 def test_codes_round_trip(n, total):
     rng = np.random.default_rng(n)
