@@ -2,20 +2,26 @@
 
 Root: every word's smoothed frequency. Contexts: sequences of up to DEPTH words, and their
 continuations, that stand LEAST times or more in the training texts, at any size: the
-tree grows with the corpus. It is a table keyed by hashes of sequences, counted, tested and
-smoothed by joins, and joined to the texts; it is never gathered or broadcast. A context
-is retained if its continuations differ enough from those after its suffix: count times
-divergence, in nats, of at least CUTOFF. A word is scored by the longest retained suffix
-of what stands before it, smoothed with the shorter ones.
-
-Texts are written once, in blocks: words as numbers into the block's own list of words.
+tree grows with the corpus. A context is retained if its continuations differ enough from
+those after its suffix: count times divergence, in nats, of at least CUTOFF. A word is
+scored by the longest retained suffix of what stands before it, smoothed with the shorter
+ones.
+
+Texts are written once, in blocks: words as numbers into the block's own list of words. The
+tree is never gathered or broadcast, nor written as a table: sequences are keyed by hashes,
+and in each round the blocks ask about theirs. What is asked is dealt out by ranges of
+hashes, each range adds up what all blocks tell of a sequence, and the answers go back in
+the order of the block's own list, so they need no keys. A sequence is asked about only if
+its first and its last words but one are known to stand often enough themselves.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -23,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm.bpe import slices
@@ -33,13 +39,27 @@ DEPTH = 3
 LEAST = 2
 CUTOFF = 6.0
 # Bytes of text in a block: what a task holds of texts, words and places at once.
-BLOCK = 4 << 20
+BLOCK = 8 << 20
+# Tokens for each range of hashes: what a task holds of sequences at once.
+RANGE = 4 << 20
 # Taken off each seen continuation, and the weight of the shorter context's view.
 DISCOUNT, MU = 0.75, 2.0
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # Holds a blank, so no word equals it. It also stands before the first word.
 _END = xxhash.xxh64_intdigest(b" end")
 _TEXTS = "block long, ids array<long>, sizes binary, held binary, codes binary, words binary, counts binary"
+_ASKED = "step string, part long, block long, keys binary, tells array<binary>"
+_TOLD = "block long, step string, part long, told array<binary>, types long"
+# What is asked in each round: n, counts of sequences of so many words; s, counts and number
+# of the continuations of contexts; r, whether contexts are retained, the longest first.
+_ROUNDS = [
+    ["n1"],
+    *[[f"n{k}", *([f"s{k - 2}"] if k > 2 else [])] for k in range(2, DEPTH + 2)],
+    [f"s{DEPTH}"],
+    *[[f"r{k}"] for k in range(DEPTH, 0, -1)],
+]
+_KINDS = {"n": ["<u8"], "s": ["<u8", "<u8"], "r": ["u1", "<u8", "<f8", "<f8", "<f8"]}
+_ANSWERS = {"n": ["<u8"], "s": ["<u8", "<u8"], "r": ["?"]}
 
 
 def _held_out(doc_id: int | None) -> bool:
@@ -47,11 +67,19 @@ def _held_out(doc_id: int | None) -> bool:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+    """First bytes of all values, then second bytes, and so on, each squeezed by itself."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    planes = [squeeze(p.tobytes()) for p in np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T]
+    return struct.pack(f"<{len(planes)}I", *map(len, planes)) + b"".join(planes)
 
 
 def _unpack(x: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+    width = np.dtype(kind).itemsize
+    at, open_, planes = 4 * width, zstandard.ZstdDecompressor().decompress, []
+    for n in struct.unpack_from(f"<{width}I", x):
+        planes.append(np.frombuffer(open_(x[at : at + n]), np.uint8))
+        at += n
+    return np.ascontiguousarray(np.stack(planes, axis=1)).view(kind).ravel()
 
 
 def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,7 +104,7 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 doc = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))[word.to_numpy(zero_copy_only=False)]
                 terms = flat.filter(word).dictionary_encode()
                 n = len(terms.dictionary)
-                hashes = np.array([xxhash.xxh64_intdigest(w.as_buffer()) for w in terms.dictionary] + [_END], np.uint64)
+                hashes = np.array([*map(xxhash.xxh64_intdigest, terms.dictionary.cast(pa.large_binary()).to_pylist()), _END], np.uint64)
                 size = np.bincount(doc, minlength=len(part)) + 1
                 ends = np.cumsum(size) - 1
                 codes = np.full(int(size.sum()), n, np.uint32)
@@ -102,27 +130,6 @@ def _each(blocks: DataFrame, columns: list[str], schema: str, fn: Callable[...,
     return blocks.select(*columns).mapInArrow(run, schema)
 
 
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """(block, code, c, held, lead) of words that stand in several blocks.
-
-    c: count in all training texts; held: blocks that have the word in one; lead marks one
-    row of each word. A block knows the count of a word that no other block has.
-    """
-
-    def asked(block: int, words: bytes, counts: bytes) -> dict[str, np.ndarray]:
-        own, n = _unpack(words, "<u8"), _unpack(counts, "<u4")
-        return {"word": own.view(np.int64), "block": np.full(len(own), block), "code": np.arange(len(own), dtype=np.int32), "n": n.astype(np.int32)}
-
-    # Dealt out once: the sums and the join find their rows where they are.
-    rows = _each(blocks, ["block", "words", "counts"], "word long, block long, code int, n int", asked).repartition("word")
-    sums = rows.groupBy("word").agg(
-        F.sum("n").alias("c"), F.count(F.lit(1)).alias("blocks"), F.min("block").alias("first"), F.sum((F.col("n") > 0).cast("int")).alias("held")
-    )
-    lead = F.col("block") == F.col("first")
-    told = rows.join(sums.where(F.col("blocks") > 1), "word")
-    return cut_lineage(told.select("block", "code", "c", F.when(lead, F.col("held")).alias("held"), lead.alias("lead")))
-
-
 def _grams(words: np.ndarray, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(k, gram, context, there) for k = 1, 2, ...: per token, hashes of the k words that end
     at it and of all but the last of them, and whether the text has so many.
@@ -144,88 +151,219 @@ def _grams(words: np.ndarray, codes: np.ndarray, size: np.ndarray) -> Iterator[t
         yield k, gram, context, at >= k - 2
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Place of each in the sorted keys, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, and the keys in it.
 
+    Their first bits and their places in one number sort several times faster than an
+    argsort, and mostly tell all keys apart.
+    """
+    bits = np.uint64(len(keys).bit_length())
+    both = keys >> bits
+    both <<= bits
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    both &= (np.uint64(1) << bits) - np.uint64(1)
+    order = both.view(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():
+        order = np.argsort(keys)
+        found = keys[order]
+    return order, found
+
+
+class _Level:
+    """What a block knows of its different sequences of k words, in the order of their hashes.
+
+    at: place in this list, for each token, of the sequence that ends there, or -1. context,
+    suffix: places in the list of the next shorter sequences. own: how often each stands in
+    the block's training texts, until it is told how often in all.
+    """
 
-def sequences(blocks: DataFrame, least: int) -> DataFrame:
-    """(g, k, context, suffix, n) of the sequences of k words that stand `least` times or more."""
+    n = lead = often = left = active = kept = p = own = context = suffix = None
 
-    def seen(words: bytes, codes: bytes, sizes: bytes, held: bytes) -> dict[str, np.ndarray]:
-        size = _unpack(sizes, "<u4").astype(np.int64)
-        train = ~np.repeat(_unpack(held, "?"), size)
-        parts, suffix = [], None
-        for k, gram, context, there in _grams(_unpack(words, "<u8"), _unpack(codes, "<u4"), size):
-            own = np.flatnonzero(there & train)
-            g, at, n = np.unique(gram[own], return_index=True, return_counts=True)
-            parts.append((g, np.full(len(g), k, np.int8), context[own[at]], (gram if k == 1 else suffix)[own[at]], n))
-            suffix = gram
-        g, k, context, suffix, n = (np.concatenate(x) for x in zip(*parts))
-        return {"g": g.view(np.int64), "k": k, "context": context.view(np.int64), "suffix": suffix.view(np.int64), "n": n.astype(np.int64)}
+    def __init__(self, keys: np.ndarray, at: np.ndarray):
+        self.keys, self.at = keys, at
 
-    rows = _each(blocks, ["words", "codes", "sizes", "held"], "g long, k byte, context long, suffix long, n long", seen)
-    one = [F.first(c).alias(c) for c in ("k", "context", "suffix")]
-    return cut_lineage(rows.groupBy("g").agg(F.sum("n").alias("n"), *one).where(F.col("n") >= least))
+    def learn(self, k: int, told: dict[str, list[np.ndarray]], least: int) -> None:
+        self.n, self.lead = (told[f"n{k}"][0] >> np.uint64(1)).view(np.int64), (told[f"n{k}"][0] & np.uint64(1)) > 0
+        self.often = self.n >= least
+        if f"s{k}" in told:
+            seen, kinds = (x.view(np.int64) for x in told[f"s{k}"])
+            self.active, self.left = np.zeros(len(self.keys), bool), np.ones(len(self.keys))
+            total = self.n[self.often]
+            self.active[self.often] = kinds > 0
+            self.left[self.often] = (total - seen + DISCOUNT * kinds + MU) / (total + MU)
+        if f"r{k}" in told:
+            self.kept = np.zeros(len(self.keys), bool)
+            self.kept[self.active] = told[f"r{k}"][0]
 
 
-def grow(grams: DataFrame, scale: int) -> DataFrame:
-    """(g, p, weight): one row for each continuation of a retained context, with its
-    probability, and one for each retained context, with the factor for words that are not
-    listed after it.
+def _after(x: np.ndarray, first: np.ndarray, start: object) -> np.ndarray:
+    """For each token, x of the one before it, or start for the first of a text."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[first] = start
+    return out
 
-    Retained contexts keep their suffixes, so what is smoothed below a retained context is
-    retained too: one pass gives the divergences and the probabilities.
+
+def _levels(row: dict, told: dict[str, list[np.ndarray]], least: int, scale: int, most: int = DEPTH + 1, rated: bool = True) -> list[_Level]:
+    """Levels 1, 2, ... of a block up to most, as far as counts of the shorter sequences are
+    told; rated: with probabilities.
     """
-    longer = grams.where("k > 1")
-    after = longer.groupBy(F.col("context").alias("c")).agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("kinds"))
-    whole = grams.select(F.col("g").alias("c"), F.col("k").alias("length"), F.col("suffix").alias("shorter"), F.col("n").alias("total"))
-    left = (F.col("total") - F.col("seen") + DISCOUNT * F.col("kinds") + MU) / (F.col("total") + MU)
-    contexts = cut_lineage(after.join(whole, "c").select("c", "length", "shorter", "total", left.alias("left")))
-    seen = (F.col("n") - DISCOUNT) / (F.col("total") + MU)
-    base = cut_lineage(longer.join(contexts.withColumnRenamed("c", "context").drop("shorter"), "context").select("g", "k", "context", "suffix", "left", seen.alias("seen")))
-
-    lower = grams.where("k = 1").select(F.col("g").alias("suffix"), ((F.col("n") + 1) / scale).alias("other"))
-    levels = []
-    for k in range(2, DEPTH + 2):
-        level = base.where(F.col("k") == k).join(lower, "suffix")
-        levels.append(cut_lineage(level.select("g", "context", "other", (F.col("seen") + F.col("left") * F.col("other")).alias("own"))))
-        lower = levels[-1].select(F.col("g").alias("suffix"), F.col("own").alias("other"))
-    every = reduce(DataFrame.unionByName, levels)
-
-    own, other = F.col("own"), F.col("other")
-    sums = every.groupBy(F.col("context").alias("c")).agg(
-        F.sum(own * F.log(own / other)).alias("each"), (1 - F.sum(own)).alias("rest"), (1 - F.sum(other)).alias("rest_other")
+    size, codes, words = _unpack(row["sizes"], "<u4").astype(np.int64), _unpack(row["codes"], "<u4"), _unpack(row["words"], "<u8")
+    first = np.cumsum(size) - size
+    order, own = _sorted(words)
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    levels = [_Level(own, rank[codes])]
+    if "n1" not in told:
+        levels[0].own = _unpack(row["counts"], "<u4")[order].astype(np.int64)
+    grams = _grams(words, codes, size)
+    next(grams)
+    for k in range(1, most + 1):
+        here = levels[-1]
+        if f"n{k}" not in told:
+            break
+        here.learn(k, told, least)
+        if k == 1:
+            here.p = (here.n + 1) / scale
+        elif rated and levels[-2].left is not None:
+            shorter = levels[-2]
+            here.p = (here.n - DISCOUNT) / (shorter.n[here.context] + MU) + shorter.left[here.context] * shorter.p[here.suffix]
+        if k == most:
+            break
+        # A place of -1 finds the one behind the last. A list of words ends with the end.
+        often = np.append(here.often, False)[here.at]
+        may = np.flatnonzero(often & _after(often, first, here.often[rank[-1]] if k == 1 else False))
+        order, keys = _sorted(next(grams)[1][may])
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        place = np.empty(len(keys), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        at = np.full(len(codes), -1, np.int32)
+        at[may] = place
+        one = may[order[new]]
+        level = _Level(keys[new], at)
+        if f"n{k + 1}" not in told:
+            train = ~np.repeat(_unpack(row["held"], "?"), size)
+            level.own = np.bincount(place[train[may]], minlength=len(one))
+        # Of longer sequences none ends at a text's first word.
+        level.context = (_after(here.at, first, rank[-1]) if k == 1 else here.at)[one - (k > 1)]
+        level.suffix = here.at[one]
+        levels.append(level)
+    return levels
+
+
+def _tells(step: str, levels: list[_Level]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sequences that a block asks about, by place, and what it tells of them."""
+    k = int(step[1:])
+    here = levels[k - 1]
+    if step[0] == "n":
+        return np.arange(len(here.keys)), [here.own.astype(np.uint64)]
+    longer = levels[k]
+    lead = np.flatnonzero(longer.lead & longer.often)
+    c = longer.context[lead]
+    sums = lambda x=None: np.bincount(c, x, len(here.keys))
+    if step[0] == "s":
+        asked = np.flatnonzero(here.often)
+        return asked, [sums(longer.n[lead])[asked].astype(np.uint64), sums()[asked].astype(np.uint64)]
+    asked, has = np.flatnonzero(here.active), sums() > 0
+    suffix = np.zeros(len(here.keys), np.uint8)
+    if longer.kept is not None:
+        suffix[longer.suffix[longer.kept]] = 1
+    own, other = longer.p[lead], here.p[longer.suffix[lead]]
+    some = asked[has[asked]]
+    parts = [sums(own * np.log(own / other)), sums(own), sums(other)]
+    return asked, [suffix[asked] | (has[asked].astype(np.uint8) << np.uint8(1)), here.n[some].astype(np.uint64), *[x[some] for x in parts]]
+
+
+def _answer(texts: pa.Table) -> pa.Table:
+    """What is known of one range of hashes, for each block that asks."""
+    rows = sorted(texts.to_pylist(), key=lambda r: r["block"])
+    step = rows[0]["step"]
+    lists = [np.cumsum(_unpack(r["keys"], "<u8"), dtype=np.uint64) for r in rows]
+    tells = [np.concatenate(x) for x in zip(*[[_unpack(t, k) for t, k in zip(r["tells"], _KINDS[step[0]])] for r in rows])]
+    cuts = np.cumsum([len(x) for x in lists])[:-1]
+    keys = np.concatenate(lists)
+    # Stable: what the blocks tell is added up in their order, at every run.
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
+    new[1:] = np.diff(keys[order]) != 0
+    starts = np.flatnonzero(new)
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    types = 0
+    if step[0] == "n":
+        n = np.add.reduceat(tells[0][order], starts)
+        types = int((n > 0).sum())
+        lead = np.zeros(len(keys), np.uint64)
+        lead[order[starts]] = 1
+        out = [n[place] << np.uint64(1) | lead]
+    elif step[0] == "s":
+        out = [np.add.reduceat(x[order], starts)[place] for x in tells]
+    else:
+        flags, total, *parts = tells
+        has = place[(flags & 2) > 0]
+        count, n = np.bincount(place, minlength=len(starts)), np.zeros(len(starts))
+        n[has] = total
+        each, own, other = (np.bincount(has, x, len(count)) for x in parts)
+        rest, rest_other = 1 - own, 1 - other
+        more = (rest > 0) & (rest_other > 0)
+        each[more] += rest[more] * np.log(rest[more] / rest_other[more])
+        kept = n * each >= CUTOFF
+        kept[place[(flags & 1) > 0]] = True
+        out = [kept[place]]
+    parts = zip(*[np.split(x, cuts) for x in out])
+    return pa.Table.from_pylist(
+        [{"block": r["block"], "step": step, "part": r["part"], "told": [_pack(x) for x in p], "types": types if i == 0 else 0} for i, (r, p) in enumerate(zip(rows, parts))],
+        pa.schema([("block", pa.int64()), ("step", pa.string()), ("part", pa.int64()), ("told", pa.list_(pa.binary())), ("types", pa.int64())]),
     )
-    rest = F.when((F.col("rest") > 0) & (F.col("rest_other") > 0), F.col("rest") * F.log(F.col("rest") / F.col("rest_other"))).otherwise(0)
-    tested = cut_lineage(contexts.join(sums, "c").select("c", "length", "shorter", "left", (F.col("total") * (F.col("each") + rest) >= CUTOFF).alias("good")))
-    kept = []
-    for k in range(DEPTH, 0, -1):
-        here = tested.where(F.col("length") == k)
-        if kept:
-            asked = kept[-1].select(F.col("shorter").alias("c")).distinct().withColumn("asked", F.lit(True))
-            here = here.join(asked, "c", "left").where(F.col("good") | F.col("asked"))
-        else:
-            here = here.where("good")
-        kept.append(cut_lineage(here.select("c", "shorter", "left")))
-    retained = reduce(DataFrame.unionByName, kept)
-    told = every.join(retained.select(F.col("c").alias("context")), "context", "left_semi").select("g", F.col("own").alias("p"), F.lit(None).cast("double").alias("weight"))
-    return told.unionByName(retained.select(F.col("c").alias("g"), F.lit(None).cast("double").alias("p"), F.col("left").alias("weight")))
-
-
-def _asked(blocks: DataFrame) -> DataFrame:
-    """(g, block) of the different sequences of each block, in all its texts."""
-
-    def asked(block: int, words: bytes, codes: bytes, sizes: bytes) -> dict[str, np.ndarray]:
-        size = _unpack(sizes, "<u4").astype(np.int64)
-        parts = [np.unique(gram[there]) for _, gram, _, there in _grams(_unpack(words, "<u8"), _unpack(codes, "<u4"), size)]
-        g = np.concatenate(parts)
-        return {"g": g.view(np.int64), "block": np.full(len(g), block)}
-
-    return _each(blocks, ["block", "words", "codes", "sizes"], "g long, block long", asked)
+
+
+def _told(answers: pa.Table, steps: list[str]) -> dict[str, list[np.ndarray]]:
+    """The answers to a block, by step; one that asked nothing in a step has empty ones."""
+    out = {step: [[np.empty(0, k) for k in _ANSWERS[step[0]]]] for step in steps}
+    for row in sorted(answers.to_pylist(), key=lambda r: r["part"]):
+        out[row["step"]].append([_unpack(x, k) for x, k in zip(row["told"], _ANSWERS[row["step"][0]])])
+    return {step: [np.concatenate(x) for x in zip(*parts)] for step, parts in out.items()}
+
+
+def _ask(blocks: DataFrame, told: DataFrame, done: list[str], steps: list[str], parts: int, least: int, scale: int) -> DataFrame:
+    """One round: answers to the steps after those done, written to the shared folder."""
+    most = max(int(step[1:]) + (step[0] != "n") for step in steps)
+    edges = np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64)
+    schema = pa.schema([("step", pa.string()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("tells", pa.list_(pa.binary()))])
+
+    def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        known, out = _told(answers, done), []
+        for row in texts.to_pylist():
+            levels = _levels(row, known, least, scale, most, steps[0][0] == "r")
+            for step in steps:
+                asked, tells = _tells(step, levels)
+                keys = levels[int(step[1:]) - 1].keys[asked]
+                cuts = np.searchsorted(keys, edges)
+                # Of contexts, only those with continuations of the block's own have all.
+                of = [np.searchsorted(np.flatnonzero(tells[0] & 2), cuts) if i and step[0] == "r" else cuts for i in range(len(tells))]
+                split = [np.split(x, c) for x, c in zip(tells, of)]
+                for part, own in enumerate(np.split(keys, cuts)):
+                    if len(own):
+                        out.append({"step": step, "part": part, "block": row["block"], "keys": _pack(np.diff(own, prepend=np.uint64(0))), "tells": [_pack(x[part]) for x in split]})
+        return pa.Table.from_pylist(out, schema)
+
+    rows = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, _ASKED)
+    return cut_lineage(rows.groupBy("step", "part").applyInArrow(_answer, _TOLD))
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Each round is written before the next; what it shuffled goes when it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0) -> DataFrame:
@@ -237,61 +375,49 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
     the log10 probability of the text. Repeated rows are texts of their own. share: least
     share of the training tokens that a sequence must hold besides standing LEAST times.
     """
-    blocks = coded(docs, id_col, text_col)
-
-    def totals(counts: bytes) -> dict[str, np.ndarray]:
-        n = _unpack(counts, "<u4").astype(np.int64)
-        return {"tokens": n.sum(keepdims=True), "types": (n > 0).sum(keepdims=True)}
-
-    own = _each(blocks, ["counts"], "tokens long, types long", totals).agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
-    tokens = own["tokens"] or 0
-    least = max(LEAST, math.ceil(share * tokens))
-    told = word_counts(blocks)
-    # Words of several blocks are counted once.
-    more = told.where("lead").agg(F.sum("held").alias("held"), F.sum((F.col("c") > 0).cast("long")).alias("words")).first()
-    types = (own["types"] or 0) - (more["held"] or 0) + (more["words"] or 0)
-    scale = tokens + types + 1
-    tree = _asked(blocks).join(grow(sequences(blocks, least), scale), "g")
-    answers = told.select("block", "code", "c").unionByName(tree, allowMissingColumns=True)
-
-    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        out = []
-        counts = answers.filter(pc.is_valid(answers["code"]))
-        named = answers.filter(pc.is_valid(answers["g"]))
-        model = {}
-        for kind in ("p", "weight"):
-            part = named.filter(pc.is_valid(named[kind]))
-            keys = part["g"].to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            model[kind] = keys[order], part[kind].to_numpy()[order]
+    spark = docs.sparkSession
+    with _tidy(spark):
+        blocks = coded(docs, id_col, text_col)
+
+        def totals(counts: bytes, sizes: bytes) -> dict[str, np.ndarray]:
+            own = [_unpack(x, "<u4").sum(dtype=np.int64, keepdims=True) for x in (counts, sizes)]
+            return {"tokens": own[0], "every": own[1]}
+
+        own = _each(blocks, ["counts", "sizes"], "tokens long, every long", totals).agg(F.sum("tokens").alias("tokens"), F.sum("every").alias("every")).first()
+        tokens, parts = own["tokens"] or 0, max(1, -(-(own["every"] or 0) // RANGE))
+        least = max(LEAST, math.ceil(share * tokens))
+        answers, done, scale = [spark.createDataFrame([], _TOLD)], [], 0
+        for steps in _ROUNDS:
+            answers.append(_ask(blocks, reduce(DataFrame.unionByName, answers), done, steps, parts, least, scale))
+            done = done + steps
+            if steps == ["n1"]:
+                scale = tokens + (answers[-1].agg(F.sum("types")).first()[0] or 0) + 1
+
+    def scored(texts: pa.Table, told: pa.Table) -> pa.Table:
+        known, out = _told(told, done), []
         for row in texts.to_pylist():
-            size, codes = _unpack(row["sizes"], "<u4").astype(np.int64), _unpack(row["codes"], "<u4")
-            count = _unpack(row["counts"], "<u4").astype(np.int64)
-            count[counts["code"].to_numpy()] = counts["c"].to_numpy()
-            p = ((count + 1) / scale)[codes]
-            base = np.log10(count + 1.0)[codes]
-            known = (count > 0)[codes]
-            for k, gram, context, there in _grams(_unpack(row["words"], "<u8"), codes, size):
-                if k == 1:
-                    continue
-                own = np.flatnonzero(there)
-                found = _find(model["weight"][0], context[own])
-                p[own[found >= 0]] *= model["weight"][1][found[found >= 0]]
-                found = _find(model["p"][0], gram[own])
-                p[own[found >= 0]] = model["p"][1][found[found >= 0]]
+            size = _unpack(row["sizes"], "<u4").astype(np.int64)
+            levels = _levels(row, known, least, scale)
+            root = levels[0]
+            p = root.p[root.at]
             first = np.cumsum(size) - size
-            held = _unpack(row["held"], "?")
+            for k, (shorter, level) in enumerate(zip(levels, levels[1:])):
+                # The end's place: it is the last token of every text.
+                before = _after(shorter.at, first, shorter.at[-1] if k == 0 else -1)
+                under = np.flatnonzero(np.append(shorter.kept, False)[before])
+                p[under] *= shorter.left[before[under]]
+                listed = under[np.append(level.often, False)[level.at[under]]]
+                p[listed] = level.p[level.at[listed]]
             sums = lambda x: np.add.reduceat(x, first)
             out.append(
                 pa.table(
                     {
-                        "id": pa.array(row["ids"], pa.int64()), "held_out": held, "n_tokens": size, "n_known": sums(known.astype(np.int64)),
-                        "train_tokens": np.full(len(size), tokens), "base_score": sums(base) - size * math.log10(scale), "score": sums(np.log10(p)),
+                        "id": pa.array(row["ids"], pa.int64()), "held_out": _unpack(row["held"], "?"), "n_tokens": size, "n_known": sums((root.n > 0)[root.at].astype(np.int64)),
+                        "train_tokens": np.full(len(size), tokens), "base_score": sums(np.log10(root.n + 1.0)[root.at]) - size * math.log10(scale), "score": sums(np.log10(p)),
                     }
                 )
             )
         return pa.concat_tables(out)
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)
-
+    return blocks.groupBy("block").cogroup(reduce(DataFrame.unionByName, answers).groupBy("block")).applyInArrow(scored, schema)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from gridmill import session
 from gridmill.llm import suffix_tree as S
 
 END = " end"
@@ -123,3 +125,19 @@ def test_rare_contexts_are_learned_from_many_tokens(spark):
     r = S.score(spark.createDataFrame(data, "doc_id long, text string")).where(f"id = {asked}").first()
     assert r.train_tokens > 2_500_000
     assert r.score > r.base_score + 4  # "pair" after "rare" is common, by itself it is not
+
+
+def test_takes_little_disk(spark):
+    """Sequences that all stand twice, every one of them told of and answered."""
+
+    def used():
+        shared = session.shared_folder(spark).removeprefix("file://")
+        local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+        return sum(os.path.getsize(os.path.join(d, f)) for top in (shared, *local) for d, _, names in os.walk(top) for f in names)
+
+    rng = random.Random(2)
+    texts = [" ".join(str(rng.randrange(20_000)) for _ in range(1_000)) for _ in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, text string")
+    before = used()
+    assert S.score(docs).count() == 200
+    assert used() - before < 4 * 2 * sum(map(len, texts))
