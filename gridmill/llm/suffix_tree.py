@@ -39,9 +39,9 @@ DEPTH = 3
 LEAST = 2
 CUTOFF = 6.0
 # Bytes of text in a block: what a task holds of texts, words and places at once.
-BLOCK = 8 << 20
+BLOCK = 6 << 20
 # Tokens for each range of hashes: what a task holds of sequences at once.
-RANGE = 4 << 20
+RANGE = 2 << 20
 # Taken off each seen continuation, and the weight of the shorter context's view.
 DISCOUNT, MU = 0.75, 2.0
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -179,7 +179,7 @@ class _Level:
     the block's training texts, until it is told how often in all.
     """
 
-    n = lead = often = left = active = kept = p = own = context = suffix = None
+    n = lead = often = left = kinds = kept = p = own = context = suffix = None
 
     def __init__(self, keys: np.ndarray, at: np.ndarray):
         self.keys, self.at = keys, at
@@ -189,13 +189,13 @@ class _Level:
         self.often = self.n >= least
         if f"s{k}" in told:
             seen, kinds = (x.view(np.int64) for x in told[f"s{k}"])
-            self.active, self.left = np.zeros(len(self.keys), bool), np.ones(len(self.keys))
+            self.kinds, self.left = np.zeros(len(self.keys), np.int32), np.ones(len(self.keys))
             total = self.n[self.often]
-            self.active[self.often] = kinds > 0
+            self.kinds[self.often] = kinds
             self.left[self.often] = (total - seen + DISCOUNT * kinds + MU) / (total + MU)
         if f"r{k}" in told:
             self.kept = np.zeros(len(self.keys), bool)
-            self.kept[self.active] = told[f"r{k}"][0]
+            self.kept[self.kinds > 0] = told[f"r{k}"][0]
 
 
 def _after(x: np.ndarray, first: np.ndarray, start: object) -> np.ndarray:
@@ -267,14 +267,28 @@ def _tells(step: str, levels: list[_Level]) -> tuple[np.ndarray, list[np.ndarray
     if step[0] == "s":
         asked = np.flatnonzero(here.often)
         return asked, [sums(longer.n[lead])[asked].astype(np.uint64), sums()[asked].astype(np.uint64)]
-    asked, has = np.flatnonzero(here.active), sums() > 0
-    suffix = np.zeros(len(here.keys), np.uint8)
+    kept = np.zeros(len(here.keys), bool)
     if longer.kept is not None:
-        suffix[longer.suffix[longer.kept]] = 1
+        kept[longer.suffix[longer.kept]] = True
     own, other = longer.p[lead], here.p[longer.suffix[lead]]
-    some = asked[has[asked]]
-    parts = [sums(own * np.log(own / other)), sums(own), sums(other)]
-    return asked, [suffix[asked] | (has[asked].astype(np.uint8) << np.uint8(1)), here.n[some].astype(np.uint64), *[x[some] for x in parts]]
+    parts, led = [sums(own * np.log(own / other)), sums(own), sums(other)], sums()
+    # A block that tells of all continuations of a context tests it by itself.
+    whole = np.flatnonzero((led > 0) & (led == here.kinds))
+    kept[whole] |= _differs(here.n[whole], *[x[whole] for x in parts])
+    led[whole] = 0
+    asked = np.flatnonzero(here.kinds > 0)
+    some = asked[led[asked] > 0]
+    flags = kept[asked].astype(np.uint8) | ((led[asked] > 0).astype(np.uint8) << np.uint8(1))
+    return asked, [flags, here.n[some].astype(np.uint64), *[x[some] for x in parts]]
+
+
+def _differs(total: np.ndarray, each: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether contexts are retained for themselves, by sums over their continuations."""
+    rest, rest_other = 1 - own, 1 - other
+    more = (rest > 0) & (rest_other > 0)
+    each = each.astype(float)
+    each[more] += rest[more] * np.log(rest[more] / rest_other[more])
+    return total * each >= CUTOFF
 
 
 def _answer(texts: pa.Table) -> pa.Table:
@@ -304,13 +318,9 @@ def _answer(texts: pa.Table) -> pa.Table:
     else:
         flags, total, *parts = tells
         has = place[(flags & 2) > 0]
-        count, n = np.bincount(place, minlength=len(starts)), np.zeros(len(starts))
+        n = np.zeros(len(starts))
         n[has] = total
-        each, own, other = (np.bincount(has, x, len(count)) for x in parts)
-        rest, rest_other = 1 - own, 1 - other
-        more = (rest > 0) & (rest_other > 0)
-        each[more] += rest[more] * np.log(rest[more] / rest_other[more])
-        kept = n * each >= CUTOFF
+        kept = _differs(n, *[np.bincount(has, x, len(starts)) for x in parts])
         kept[place[(flags & 1) > 0]] = True
         out = [kept[place]]
     parts = zip(*[np.split(x, cuts) for x in out])
@@ -342,7 +352,7 @@ def _ask(blocks: DataFrame, told: DataFrame, done: list[str], steps: list[str],
                 asked, tells = _tells(step, levels)
                 keys = levels[int(step[1:]) - 1].keys[asked]
                 cuts = np.searchsorted(keys, edges)
-                # Of contexts, only those with continuations of the block's own have all.
+                # Sums are told of some contexts only.
                 of = [np.searchsorted(np.flatnonzero(tells[0] & 2), cuts) if i and step[0] == "r" else cuts for i in range(len(tells))]
                 split = [np.split(x, c) for x, c in zip(tells, of)]
                 for part, own in enumerate(np.split(keys, cuts)):
