@@ -44,6 +44,7 @@ BLOCK = 6 << 20
 RANGE = 2 << 20
 # Taken off each seen continuation, and the weight of the shorter context's view.
 DISCOUNT, MU = 0.75, 2.0
+_SQUEEZE, _OPEN = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 # Holds a blank, so no word equals it. It also stands before the first word.
 _END = xxhash.xxh64_intdigest(b" end")
@@ -51,15 +52,16 @@ _TEXTS = "block long, ids array<long>, sizes binary, held binary, codes binary,
 _ASKED = "step string, part long, block long, keys binary, tells array<binary>"
 _TOLD = "block long, step string, part long, told array<binary>, types long"
 # What is asked in each round: n, counts of sequences of so many words; s, counts and number
-# of the continuations of contexts; r, whether contexts are retained, the longest first.
+# of the continuations of contexts, and whether they differ enough from those after the
+# suffix; c, whether contexts that do not are suffixes of ones that do.
 _ROUNDS = [
     ["n1"],
     *[[f"n{k}", *([f"s{k - 2}"] if k > 2 else [])] for k in range(2, DEPTH + 2)],
     [f"s{DEPTH}"],
-    *[[f"r{k}"] for k in range(DEPTH, 0, -1)],
+    [f"c{k}" for k in range(DEPTH - 1, 0, -1)],
 ]
-_KINDS = {"n": ["<u8"], "s": ["<u8", "<u8"], "r": ["u1", "<u8", "<f8", "<f8", "<f8"]}
-_ANSWERS = {"n": ["<u8"], "s": ["<u8", "<u8"], "r": ["?"]}
+_KINDS = {"n": ["<u8"], "s": ["<u8", "<u8", "<u8", "<f8"], "c": ["?"]}
+_ANSWERS = {"n": ["<u8"], "s": ["<u8", "<u8", "?"], "c": ["?"]}
 
 
 def _held_out(doc_id: int | None) -> bool:
@@ -67,19 +69,29 @@ def _held_out(doc_id: int | None) -> bool:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """First bytes of all values, then second bytes, and so on, each squeezed by itself."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    planes = [squeeze(p.tobytes()) for p in np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T]
-    return struct.pack(f"<{len(planes)}I", *map(len, planes)) + b"".join(planes)
+    """Number of values, then their first bytes, second bytes, and so on, each squeezed by
+    itself, if that makes them fewer, up to the last that is not zero in all of them.
+    """
+    width = x.itemsize
+    if x.dtype.kind == "u" and width > 1:
+        width = -(-int(x.max(initial=0)).bit_length() // 8)
+    planes = []
+    for i in range(width):
+        plane = np.ascontiguousarray(x).view(np.uint8)[i :: x.itemsize].tobytes()
+        squeezed = _SQUEEZE(plane)
+        planes.append(squeezed if len(squeezed) < len(plane) else plane)
+    return struct.pack(f"<{width + 2}I", len(x), width, *map(len, planes)) + b"".join(planes)
 
 
 def _unpack(x: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    at, open_, planes = 4 * width, zstandard.ZstdDecompressor().decompress, []
-    for n in struct.unpack_from(f"<{width}I", x):
-        planes.append(np.frombuffer(open_(x[at : at + n]), np.uint8))
-        at += n
-    return np.ascontiguousarray(np.stack(planes, axis=1)).view(kind).ravel()
+    n, width = struct.unpack_from("<2I", x)
+    at, out = 4 * (width + 2), np.zeros(n, kind)
+    bytes_ = out.view(np.uint8)
+    for i, size in enumerate(struct.unpack_from(f"<{width}I", x, 8)):
+        plane = x[at : at + size]
+        bytes_[i :: out.itemsize] = np.frombuffer(plane if size == n else _OPEN(plane), np.uint8)
+        at += size
+    return out
 
 
 def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,11 +116,14 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 doc = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))[word.to_numpy(zero_copy_only=False)]
                 terms = flat.filter(word).dictionary_encode()
                 n = len(terms.dictionary)
-                hashes = np.array([*map(xxhash.xxh64_intdigest, terms.dictionary.cast(pa.large_binary()).to_pylist()), _END], np.uint64)
+                spelt = terms.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
+                hashes = np.append(np.fromiter(map(xxhash.xxh64_intdigest, spelt), np.uint64, n), np.uint64(_END))
                 size = np.bincount(doc, minlength=len(part)) + 1
                 ends = np.cumsum(size) - 1
                 codes = np.full(int(size.sum()), n, np.uint32)
-                codes[np.delete(np.arange(len(codes)), ends)] = terms.indices.to_numpy()
+                inner = np.ones(len(codes), bool)
+                inner[ends] = False
+                codes[inner] = terms.indices.to_numpy()
                 held = np.array([_held_out(i) for i in own], bool)
                 counts = np.bincount(codes[~np.repeat(held, size)], minlength=n + 1).astype(np.uint32)
                 row = [block, own, _pack(size.astype(np.uint32)), _pack(held), _pack(codes), _pack(hashes), _pack(counts)]
@@ -130,27 +145,6 @@ def _each(blocks: DataFrame, columns: list[str], schema: str, fn: Callable[...,
     return blocks.select(*columns).mapInArrow(run, schema)
 
 
-def _grams(words: np.ndarray, codes: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(k, gram, context, there) for k = 1, 2, ...: per token, hashes of the k words that end
-    at it and of all but the last of them, and whether the text has so many.
-
-    The token before a text's first is its end mark; no context reaches further.
-    """
-    last, first = words[codes], np.cumsum(size) - size
-    at = np.arange(len(codes)) - np.repeat(first, size)
-    gram = last
-    yield 1, gram, gram, at >= 0
-    for k in range(2, DEPTH + 2):
-        context = np.empty_like(gram)
-        context[1:] = gram[:-1]
-        if k == 2:
-            context[first] = _END
-        x = (context ^ (context >> np.uint64(32))) * _MIX[0] + last
-        x = (x ^ (x >> np.uint64(29))) * _MIX[1]
-        gram = x ^ (x >> np.uint64(32))
-        yield k, gram, context, at >= k - 2
-
-
 def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the keys, and the keys in it.
 
@@ -171,55 +165,71 @@ def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, found
 
 
+def _left(total: np.ndarray, seen: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Weight of the shorter context's view."""
+    return (total - seen.astype(float) + DISCOUNT * kinds + MU) / (total + MU)
+
+
+def _own(n: np.ndarray, total: np.ndarray, left: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Probabilities of continuations, by those after the shorter context."""
+    return (n - DISCOUNT) / (total + MU) + left * shorter
+
+
 class _Level:
-    """What a block knows of its different sequences of k words, in the order of their hashes.
+    """What a block knows of its different sequences of k words, in the order of their hashes;
+    once it is told their counts, only of those that stand often enough, but of all words.
 
-    at: place in this list, for each token, of the sequence that ends there, or -1. context,
-    suffix: places in the list of the next shorter sequences. own: how often each stands in
-    the block's training texts, until it is told how often in all.
+    ends: tokens where one of them ends; place: its place in this list, for each of these.
+    context, suffix: places in the list of the next shorter sequences. own: how often each
+    stands in the block's training texts, until it is told how often in all.
     """
 
     n = lead = often = left = kinds = kept = p = own = context = suffix = None
 
-    def __init__(self, keys: np.ndarray, at: np.ndarray):
-        self.keys, self.at = keys, at
+    def __init__(self, keys: np.ndarray, ends: np.ndarray, place: np.ndarray):
+        self.keys, self.ends, self.place = keys, ends, place
 
     def learn(self, k: int, told: dict[str, list[np.ndarray]], least: int) -> None:
-        self.n, self.lead = (told[f"n{k}"][0] >> np.uint64(1)).view(np.int64), (told[f"n{k}"][0] & np.uint64(1)) > 0
-        self.often = self.n >= least
+        n = told[f"n{k}"][0]
+        self.often = n >= np.uint64(2 * least)
+        if k > 1:
+            some = np.flatnonzero(self.often)
+            to = np.full(len(n), -1, np.int32)
+            to[some] = np.arange(len(some), dtype=np.int32)
+            place = to[self.place]
+            held = np.flatnonzero(place >= 0)
+            self.ends, self.place = self.ends[held], place[held]
+            self.keys, self.often, self.context, self.suffix, n = (x[some] for x in (self.keys, self.often, self.context, self.suffix, n))
+        self.n, self.lead = (n >> np.uint64(1)).view(np.int64), (n & np.uint64(1)) > 0
         if f"s{k}" in told:
-            seen, kinds = (x.view(np.int64) for x in told[f"s{k}"])
-            self.kinds, self.left = np.zeros(len(self.keys), np.int32), np.ones(len(self.keys))
-            total = self.n[self.often]
-            self.kinds[self.often] = kinds
-            self.left[self.often] = (total - seen + DISCOUNT * kinds + MU) / (total + MU)
-        if f"r{k}" in told:
-            self.kept = np.zeros(len(self.keys), bool)
-            self.kept[self.kinds > 0] = told[f"r{k}"][0]
-
-
-def _after(x: np.ndarray, first: np.ndarray, start: object) -> np.ndarray:
-    """For each token, x of the one before it, or start for the first of a text."""
-    out = np.empty_like(x)
-    out[1:] = x[:-1]
-    out[first] = start
-    return out
+            seen, kinds, kept = told[f"s{k}"]
+            self.kinds, self.left, self.kept = np.zeros(len(self.keys), np.int32), np.ones(len(self.keys)), np.zeros(len(self.keys), bool)
+            self.kinds[self.often], self.kept[self.often] = kinds, kept
+            self.left[self.often] = _left(self.n[self.often], seen, kinds)
+        if f"c{k}" in told:
+            self.kept[(self.kinds > 0) & ~self.kept] = told[f"c{k}"][0]
+
+    def at(self, tokens: int) -> np.ndarray:
+        """For each token, the place of the sequence that ends there, or -1."""
+        out = np.full(tokens, -1, np.int32)
+        out[self.ends] = self.place
+        return out
 
 
 def _levels(row: dict, told: dict[str, list[np.ndarray]], least: int, scale: int, most: int = DEPTH + 1, rated: bool = True) -> list[_Level]:
     """Levels 1, 2, ... of a block up to most, as far as counts of the shorter sequences are
     told; rated: with probabilities.
+
+    Token 0 is an end put before the block, so that one stands before every text.
     """
-    size, codes, words = _unpack(row["sizes"], "<u4").astype(np.int64), _unpack(row["codes"], "<u4"), _unpack(row["words"], "<u8")
-    first = np.cumsum(size) - size
+    words, codes = _unpack(row["words"], "<u8"), _unpack(row["codes"], "<u4")
     order, own = _sorted(words)
     rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words), dtype=np.int32)
-    levels = [_Level(own, rank[codes])]
+    root = _Level(own, np.arange(len(codes) + 1), np.append(rank[-1], rank[codes]))
     if "n1" not in told:
-        levels[0].own = _unpack(row["counts"], "<u4")[order].astype(np.int64)
-    grams = _grams(words, codes, size)
-    next(grams)
+        root.own = _unpack(row["counts"], "<u4")[order].astype(np.int64)
+    levels = [root]
     for k in range(1, most + 1):
         here = levels[-1]
         if f"n{k}" not in told:
@@ -228,58 +238,68 @@ def _levels(row: dict, told: dict[str, list[np.ndarray]], least: int, scale: int
         if k == 1:
             here.p = (here.n + 1) / scale
         elif rated and levels[-2].left is not None:
-            shorter = levels[-2]
-            here.p = (here.n - DISCOUNT) / (shorter.n[here.context] + MU) + shorter.left[here.context] * shorter.p[here.suffix]
+            shorter, c = levels[-2], here.context
+            here.p = _own(here.n, shorter.n[c], shorter.left[c], shorter.p[here.suffix])
         if k == most:
             break
-        # A place of -1 finds the one behind the last. A list of words ends with the end.
-        often = np.append(here.often, False)[here.at]
-        may = np.flatnonzero(often & _after(often, first, here.often[rank[-1]] if k == 1 else False))
-        order, keys = _sorted(next(grams)[1][may])
+        ends, place = here.ends, here.place
+        if k == 1:
+            ends = np.flatnonzero(here.often[place])
+            place = place[ends]
+            last = own[place]
+        else:
+            last = own[root.place[ends]]
+        # Where the token before ends one too. Of longer sequences than two none ends at a text's first word.
+        both = ends[1:] - ends[:-1] == 1
+        if k == 2:
+            both &= root.place[ends[1:] - 1] != rank[-1]
+        at = np.flatnonzero(both)
+        context, suffix, ends = place[at], place[at + 1], ends[at + 1]
+        x = ((here.keys ^ (here.keys >> np.uint64(32))) * _MIX[0])[context]
+        x += last[at + 1]
+        x ^= x >> np.uint64(29)
+        x *= _MIX[1]
+        x ^= x >> np.uint64(32)
+        order, keys = _sorted(x)
         new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
         place = np.empty(len(keys), np.int32)
-        place[order] = np.cumsum(new, dtype=np.int32) - 1
-        at = np.full(len(codes), -1, np.int32)
-        at[may] = place
-        one = may[order[new]]
-        level = _Level(keys[new], at)
-        if f"n{k + 1}" not in told:
-            train = ~np.repeat(_unpack(row["held"], "?"), size)
-            level.own = np.bincount(place[train[may]], minlength=len(one))
-        # Of longer sequences none ends at a text's first word.
-        level.context = (_after(here.at, first, rank[-1]) if k == 1 else here.at)[one - (k > 1)]
-        level.suffix = here.at[one]
+        place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        level = _Level(keys[new], ends, place)
+        if f"n{k + 1}" in told:
+            one = order[new]
+            level.context, level.suffix = context[one], suffix[one]
+        else:
+            train = np.append(False, ~np.repeat(_unpack(row["held"], "?"), _unpack(row["sizes"], "<u4")))
+            level.own = np.bincount(place[train[ends]], minlength=len(level.keys))
         levels.append(level)
     return levels
 
 
+def _under(levels: list[_Level], k: int) -> np.ndarray:
+    """Whether contexts of k words are suffixes of ones that the block knows to be retained."""
+    longer = levels[k]
+    out = np.zeros(len(levels[k - 1].keys), bool)
+    out[longer.suffix[longer.kept if k + 1 == DEPTH else longer.kept | _under(levels, k + 1)]] = True
+    return out
+
+
 def _tells(step: str, levels: list[_Level]) -> tuple[np.ndarray, list[np.ndarray]]:
     """The sequences that a block asks about, by place, and what it tells of them."""
     k = int(step[1:])
     here = levels[k - 1]
     if step[0] == "n":
         return np.arange(len(here.keys)), [here.own.astype(np.uint64)]
+    if step[0] == "c":
+        asked = np.flatnonzero((here.kinds > 0) & ~here.kept)
+        return asked, [_under(levels, k)[asked]]
+    # Each continuation is told of by the first block that has it, with its probability after the suffix.
     longer = levels[k]
     lead = np.flatnonzero(longer.lead & longer.often)
-    c = longer.context[lead]
-    sums = lambda x=None: np.bincount(c, x, len(here.keys))
-    if step[0] == "s":
-        asked = np.flatnonzero(here.often)
-        return asked, [sums(longer.n[lead])[asked].astype(np.uint64), sums()[asked].astype(np.uint64)]
-    kept = np.zeros(len(here.keys), bool)
-    if longer.kept is not None:
-        kept[longer.suffix[longer.kept]] = True
-    own, other = longer.p[lead], here.p[longer.suffix[lead]]
-    parts, led = [sums(own * np.log(own / other)), sums(own), sums(other)], sums()
-    # A block that tells of all continuations of a context tests it by itself.
-    whole = np.flatnonzero((led > 0) & (led == here.kinds))
-    kept[whole] |= _differs(here.n[whole], *[x[whole] for x in parts])
-    led[whole] = 0
-    asked = np.flatnonzero(here.kinds > 0)
-    some = asked[led[asked] > 0]
-    flags = kept[asked].astype(np.uint8) | ((led[asked] > 0).astype(np.uint8) << np.uint8(1))
-    return asked, [flags, here.n[some].astype(np.uint64), *[x[some] for x in parts]]
+    lead = lead[np.argsort(longer.context[lead], kind="stable")]
+    kinds = np.bincount(longer.context[lead], minlength=len(here.keys))
+    asked, some = np.flatnonzero(here.often), np.flatnonzero(kinds)
+    return asked, [*(x.astype(np.uint64) for x in (kinds[asked], here.n[some], longer.n[lead])), here.p[longer.suffix[lead]]]
 
 
 def _differs(total: np.ndarray, each: np.ndarray, own: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -314,15 +334,17 @@ def _answer(texts: pa.Table) -> pa.Table:
         lead[order[starts]] = 1
         out = [n[place] << np.uint64(1) | lead]
     elif step[0] == "s":
-        out = [np.add.reduceat(x[order], starts)[place] for x in tells]
+        each, total, n, other = tells
+        context, has = np.repeat(place, each.view(np.int64)), place[each > 0]
+        sums = lambda x=None: np.bincount(context, x, len(starts))
+        totals = np.zeros(len(starts))
+        totals[has] = total
+        seen, kinds = sums(n), sums()
+        own = _own(n, totals[context], _left(totals, seen, kinds)[context], other)
+        kept = _differs(totals, sums(own * np.log(own / other)), sums(own), sums(other))
+        out = [x[place] for x in (seen.astype(np.uint64), kinds.astype(np.uint64), kept)]
     else:
-        flags, total, *parts = tells
-        has = place[(flags & 2) > 0]
-        n = np.zeros(len(starts))
-        n[has] = total
-        kept = _differs(n, *[np.bincount(has, x, len(starts)) for x in parts])
-        kept[place[(flags & 1) > 0]] = True
-        out = [kept[place]]
+        out = [np.logical_or.reduceat(tells[0][order], starts)[place]]
     parts = zip(*[np.split(x, cuts) for x in out])
     return pa.Table.from_pylist(
         [{"block": r["block"], "step": step, "part": r["part"], "told": [_pack(x) for x in p], "types": types if i == 0 else 0} for i, (r, p) in enumerate(zip(rows, parts))],
@@ -341,26 +363,29 @@ def _told(answers: pa.Table, steps: list[str]) -> dict[str, list[np.ndarray]]:
 def _ask(blocks: DataFrame, told: DataFrame, done: list[str], steps: list[str], parts: int, least: int, scale: int) -> DataFrame:
     """One round: answers to the steps after those done, written to the shared folder."""
     most = max(int(step[1:]) + (step[0] != "n") for step in steps)
+    needed = [x for x in done if int(x[1:]) <= most]
     edges = np.array([-(-(i << 64) // parts) for i in range(1, parts)], np.uint64)
     schema = pa.schema([("step", pa.string()), ("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("tells", pa.list_(pa.binary()))])
 
     def ask(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known, out = _told(answers, done), []
+        known, out = _told(answers, needed), []
         for row in texts.to_pylist():
-            levels = _levels(row, known, least, scale, most, steps[0][0] == "r")
+            levels = _levels(row, known, least, scale, most, steps[-1][0] == "s")
             for step in steps:
                 asked, tells = _tells(step, levels)
                 keys = levels[int(step[1:]) - 1].keys[asked]
                 cuts = np.searchsorted(keys, edges)
-                # Sums are told of some contexts only.
-                of = [np.searchsorted(np.flatnonzero(tells[0] & 2), cuts) if i and step[0] == "r" else cuts for i in range(len(tells))]
+                of = [cuts] * len(tells)
+                if step[0] == "s":
+                    before = lambda x: np.append(0, np.cumsum(x, dtype=np.int64))[cuts]  # noqa: E731, B023
+                    of[1:] = before(tells[0] > 0), before(tells[0]), before(tells[0])
                 split = [np.split(x, c) for x, c in zip(tells, of)]
                 for part, own in enumerate(np.split(keys, cuts)):
                     if len(own):
                         out.append({"step": step, "part": part, "block": row["block"], "keys": _pack(np.diff(own, prepend=np.uint64(0))), "tells": [_pack(x[part]) for x in split]})
         return pa.Table.from_pylist(out, schema)
 
-    rows = blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, _ASKED)
+    rows = blocks.groupBy("block").cogroup(told.where(F.col("step").isin(needed)).groupBy("block")).applyInArrow(ask, _ASKED)
     return cut_lineage(rows.groupBy("step", "part").applyInArrow(_answer, _TOLD))
 
 
@@ -408,22 +433,28 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share
         for row in texts.to_pylist():
             size = _unpack(row["sizes"], "<u4").astype(np.int64)
             levels = _levels(row, known, least, scale)
-            root = levels[0]
-            p = root.p[root.at]
-            first = np.cumsum(size) - size
+            root, first = levels[0], np.cumsum(size) - size
+            each = root.place[1:]
+            p = root.p[each]
+            under, before = np.arange(len(each)), root.place
             for k, (shorter, level) in enumerate(zip(levels, levels[1:])):
-                # The end's place: it is the last token of every text.
-                before = _after(shorter.at, first, shorter.at[-1] if k == 0 else -1)
-                under = np.flatnonzero(np.append(shorter.kept, False)[before])
-                p[under] *= shorter.left[before[under]]
-                listed = under[np.append(level.often, False)[level.at[under]]]
-                p[listed] = level.p[level.at[listed]]
+                # A longer retained context ends where its suffix does; a text's first word stands after the end only.
+                context = before[under]
+                kept = np.append(shorter.kept, False)[context]
+                if k:
+                    kept &= root.place[under] != root.place[0]
+                under, context = under[kept], context[kept]
+                p[under] *= shorter.left[context]
+                before = level.at(len(each) + 1)
+                here = before[under + 1]
+                listed = here >= 0
+                p[under[listed]] = level.p[here[listed]]
             sums = lambda x: np.add.reduceat(x, first)
             out.append(
                 pa.table(
                     {
-                        "id": pa.array(row["ids"], pa.int64()), "held_out": _unpack(row["held"], "?"), "n_tokens": size, "n_known": sums((root.n > 0)[root.at].astype(np.int64)),
-                        "train_tokens": np.full(len(size), tokens), "base_score": sums(np.log10(root.n + 1.0)[root.at]) - size * math.log10(scale), "score": sums(np.log10(p)),
+                        "id": pa.array(row["ids"], pa.int64()), "held_out": _unpack(row["held"], "?"), "n_tokens": size, "n_known": sums((root.n > 0).astype(np.int64)[each]),
+                        "train_tokens": np.full(len(size), tokens), "base_score": sums(np.log10(root.n + 1.0)[each]) - size * math.log10(scale), "score": sums(np.log10(p)),
                     }
                 )
             )

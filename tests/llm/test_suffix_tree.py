@@ -141,3 +141,32 @@ def test_takes_little_disk(spark):
     before = used()
     assert S.score(docs).count() == 200
     assert used() - before < 4 * 2 * sum(map(len, texts))
+
+
+def test_packs_no_bytes_that_are_all_zero():
+    rng = random.Random(5)
+    for kind, most in [("<u8", 3), ("<u8", 2**64 - 1), ("<u4", 300), ("u1", 3), ("?", 1)]:
+        for size in (0, 1, 5_000):
+            x = S.np.array([rng.randint(0, most) for _ in range(size)], kind)
+            assert (S._unpack(S._pack(x), kind) == x).all()
+    x = S.np.array([rng.random() for _ in range(100)])
+    assert (S._unpack(S._pack(x), "<f8") == x).all()
+    assert len(S._pack(S.np.zeros(1_000, "<u8"))) < 20
+
+
+def test_goes_over_the_texts_seldom(spark, monkeypatch):
+    asked, ask = [], S._ask
+    monkeypatch.setattr(S, "_ask", lambda *a: asked.append(a[3]) or ask(*a))
+    assert S.score(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string")).count() == 2
+    assert len(asked) == S.DEPTH + 3
+
+
+def test_suffixes_of_contexts_that_other_blocks_retain(spark):
+    data = rows(11, 500)
+    train = [tokens(t) for i, t, _ in data if not held(i)]
+    tree = PlainTree(train, 2)
+    every = set(tree.after)
+    assert any(tree.gain(c, every) < S.CUTOFF for c in tree.states)
+    got = S.score(spark.createDataFrame(data, "doc_id long, text string, score int").repartition(40)).collect()
+    want = Counter((i, round(tree.score(tokens(t)), 6)) for i, t, _ in data)
+    assert Counter((r.id, round(r.score, 6)) for r in got) == want
