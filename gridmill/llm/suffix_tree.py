@@ -97,8 +97,9 @@ def _unpack(x: bytes, kind: str) -> np.ndarray:
 def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Blocks of texts, written to the shared folder.
 
-    words: hash of each different word of the block, the end last; counts: how often
-    each stands in its training texts.
+    words: hash of each different word of the block, the commonest first and those of one
+    count by hash, less that of the word before; the end last. counts: how often each
+    stands in its training texts.
     """
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,16 +118,19 @@ def coded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 terms = flat.filter(word).dictionary_encode()
                 n = len(terms.dictionary)
                 spelt = terms.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
-                hashes = np.append(np.fromiter(map(xxhash.xxh64_intdigest, spelt), np.uint64, n), np.uint64(_END))
+                order, hashes = _sorted(np.fromiter(map(xxhash.xxh64_intdigest, spelt), np.uint64, n))
+                common = np.argsort(-np.bincount(terms.indices.to_numpy(), minlength=n)[order], kind="stable")
+                hashes, rank = np.append(hashes[common], np.uint64(_END)), np.empty(n, np.uint32)
+                rank[order[common]] = np.arange(n, dtype=np.uint32)
                 size = np.bincount(doc, minlength=len(part)) + 1
                 ends = np.cumsum(size) - 1
                 codes = np.full(int(size.sum()), n, np.uint32)
                 inner = np.ones(len(codes), bool)
                 inner[ends] = False
-                codes[inner] = terms.indices.to_numpy()
+                codes[inner] = rank[terms.indices.to_numpy()]
                 held = np.array([_held_out(i) for i in own], bool)
                 counts = np.bincount(codes[~np.repeat(held, size)], minlength=n + 1).astype(np.uint32)
-                row = [block, own, _pack(size.astype(np.uint32)), _pack(held), _pack(codes), _pack(hashes), _pack(counts)]
+                row = [block, own, _pack(size.astype(np.uint32)), _pack(held), _pack(codes), _pack(np.diff(hashes, prepend=np.uint64(0))), _pack(counts)]
                 kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5]
                 yield pa.record_batch([pa.array([x], k) for x, k in zip(row, kinds)], names=["block", "ids", "sizes", "held", "codes", "words", "counts"])
                 block += 1
@@ -179,14 +183,14 @@ class _Level:
     """What a block knows of its different sequences of k words, in the order of their hashes;
     once it is told their counts, only of those that stand often enough, but of all words.
 
-    ends: tokens where one of them ends; place: its place in this list, for each of these.
+    ends: tokens where one of them ends, None: all; place: its place in this list, for each of these.
     context, suffix: places in the list of the next shorter sequences. own: how often each
     stands in the block's training texts, until it is told how often in all.
     """
 
     n = lead = often = left = kinds = kept = p = own = context = suffix = None
 
-    def __init__(self, keys: np.ndarray, ends: np.ndarray, place: np.ndarray):
+    def __init__(self, keys: np.ndarray, ends: np.ndarray | None, place: np.ndarray):
         self.keys, self.ends, self.place = keys, ends, place
 
     def learn(self, k: int, told: dict[str, list[np.ndarray]], least: int) -> None:
@@ -222,11 +226,11 @@ def _levels(row: dict, told: dict[str, list[np.ndarray]], least: int, scale: int
 
     Token 0 is an end put before the block, so that one stands before every text.
     """
-    words, codes = _unpack(row["words"], "<u8"), _unpack(row["codes"], "<u4")
+    words, codes = np.cumsum(_unpack(row["words"], "<u8"), dtype=np.uint64), _unpack(row["codes"], "<u4")
     order, own = _sorted(words)
     rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words), dtype=np.int32)
-    root = _Level(own, np.arange(len(codes) + 1), np.append(rank[-1], rank[codes]))
+    root = _Level(own, None, np.append(rank[-1], rank[codes]))
     if "n1" not in told:
         root.own = _unpack(row["counts"], "<u4")[order].astype(np.int64)
     levels = [root]
@@ -238,8 +242,8 @@ def _levels(row: dict, told: dict[str, list[np.ndarray]], least: int, scale: int
         if k == 1:
             here.p = (here.n + 1) / scale
         elif rated and levels[-2].left is not None:
-            shorter, c = levels[-2], here.context
-            here.p = _own(here.n, shorter.n[c], shorter.left[c], shorter.p[here.suffix])
+            lower, c = levels[-2], here.context
+            here.p = _own(here.n, lower.n[c], lower.left[c], lower.p[here.suffix])
         if k == most:
             break
         ends, place = here.ends, here.place
@@ -254,9 +258,10 @@ def _levels(row: dict, told: dict[str, list[np.ndarray]], least: int, scale: int
         if k == 2:
             both &= root.place[ends[1:] - 1] != rank[-1]
         at = np.flatnonzero(both)
-        context, suffix, ends = place[at], place[at + 1], ends[at + 1]
-        x = ((here.keys ^ (here.keys >> np.uint64(32))) * _MIX[0])[context]
-        x += last[at + 1]
+        x = ((here.keys ^ (here.keys >> np.uint64(32))) * _MIX[0])[place[at]]
+        at += 1
+        x += last[at]
+        ends, shorter = ends[at], place
         x ^= x >> np.uint64(29)
         x *= _MIX[1]
         x ^= x >> np.uint64(32)
@@ -267,8 +272,8 @@ def _levels(row: dict, told: dict[str, list[np.ndarray]], least: int, scale: int
         place[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
         level = _Level(keys[new], ends, place)
         if f"n{k + 1}" in told:
-            one = order[new]
-            level.context, level.suffix = context[one], suffix[one]
+            one = at[order[new]]
+            level.context, level.suffix = shorter[one - 1], shorter[one]
         else:
             train = np.append(False, ~np.repeat(_unpack(row["held"], "?"), _unpack(row["sizes"], "<u4")))
             level.own = np.bincount(place[train[ends]], minlength=len(level.keys))
